@@ -21,8 +21,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(_TOKENIZER))
 
 
+def op9_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import held_out, learn, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = score(docs, learn(docs, labels.where(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing}
+    return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op9_label_propagation_sharding": op9_label_propagation_sharding,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
