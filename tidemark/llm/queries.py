@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(_TOKENIZER))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import shard
 
@@ -38,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op9_label_propagation_sharding": op9_label_propagation_sharding,
         "op10_toxicity": op10_toxicity,
     }
