@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _TOKENIZER = "word_bpe_49k.json"
 
@@ -27,6 +28,27 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import find
+
+    hits = find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_distinct(F.col("hits.item_id"))
+    return hits.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_hits"),
+        F.array_sort(items).alias("item_ids"),
+        F.array_min("hits.begin").alias("first_begin"),
+        F.array_max("hits.end").alias("last_end"),
+    )
+
+
 def op9_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import shard
 
@@ -45,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_secret_scan": op6_secret_scan,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_label_propagation_sharding": op9_label_propagation_sharding,
         "op10_toxicity": op10_toxicity,
     }
