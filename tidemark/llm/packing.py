@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ class WordTokenizer:
 
     _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ž]*")
     _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-    _REMEMBERED = 400_000
+    _REMEMBERED = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,45 +54,38 @@ class WordTokenizer:
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) > self._REMEMBERED:
-            self.chunks.clear()
-        if len(self.words) > self._REMEMBERED:
-            self.words.clear()
-        parts = [self._WORD.findall(c) for c in chunks]
-        new = list({w for p in parts for w in p} - self.words.keys())
-        if new:
-            ids = self._encode(" ".join(new))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(new):
-                data, cut = ids.tobytes(), (cuts * 4).tolist()
-                self.words.update(zip(new, (data[a:b] for a, b in zip([0, *cut], cut)), strict=False))
-            else:
-                self.words.update((w, self._encode(w).tobytes()) for w in new)
-        for c, p in zip(chunks, parts, strict=True):
-            self.chunks[c] = b"".join([self.words[w] for w in p])
+    def _learn(self, new: list[str]) -> None:
+        """Encode unknown words in one text; each word's ids end with a token that ends words."""
+        ids = self._encode(" ".join(new))
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) == len(new):
+            data = ids.tobytes()
+            self.known.update(zip(new, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        else:
+            self.known.update((w, self._encode(w).tobytes()) for w in new)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        plain = [t.lower().split() if self._PLAIN.fullmatch(t) else None for t in texts]
-        seen: set[str] = set()
-        for p in plain:
-            if p:
-                seen.update(p)
-        missing = [c for c in seen if c not in self.chunks]
-        if missing:
-            known = {c: self.chunks[c] for c in seen if c in self.chunks} if len(self.chunks) > self._REMEMBERED else {}
-            self._learn(missing)
-            self.chunks.update(known)
-        get = self.chunks.__getitem__
+        plain = [self._WORD.findall(t.lower()) if self._PLAIN.fullmatch(t) else None for t in texts]
+        if len(self.known) > self._REMEMBERED:
+            self.known.clear()
+        new = set().union(*[p for p in plain if p]).difference(self.known)
+        if new:
+            self._learn(list(new))
+        get = self.known.__getitem__
         return [b"".join(map(get, p)) if p is not None else self._encode(t).tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which runs many tasks and so keeps the words it has met."""
+    return WordTokenizer(path)
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Item indices by bin, best-fit decreasing. Bins of equal room are interchangeable, so rooms are one bit mask."""
     bins: list[list[int]] = []
@@ -136,7 +130,7 @@ def _tokenise_and_pack(tokenizer_path: str, end_id: int, capacity: int, slack: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         items: list[tuple[int, list]] = []
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
