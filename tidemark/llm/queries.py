@@ -22,6 +22,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(_TOKENIZER))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import KINDS, pseudonymise
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = pseudonymise(docs, key="check")
+    counts = [F.size(F.filter("found", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return made.select("doc_id", *counts, "text")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard_join import classes
 
@@ -66,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
