@@ -22,6 +22,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(_TOKENIZER))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pii import KINDS, pseudonymise
 
@@ -75,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
