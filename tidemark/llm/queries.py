@@ -49,6 +49,34 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_model import score
+
+    return score(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+_OP7_SQL = """
+WITH words AS (
+  SELECT rid, doc_id, i, w[i] AS word FROM (
+    SELECT row_number() OVER () AS rid, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+      FROM documents) d) u),
+pairs AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words),
+total AS (SELECT count(*) AS n FROM words),
+one AS (SELECT word, count(*) AS c FROM words GROUP BY word),
+followers AS (SELECT before, count(*) AS c FROM pairs WHERE before IS NOT NULL GROUP BY before),
+two AS (SELECT before, word, count(*) AS c FROM pairs WHERE before IS NOT NULL GROUP BY before, word),
+scored AS (
+  SELECT p.doc_id, CASE WHEN two.c >= 2 THEN ln(two.c / followers.c)
+    WHEN p.before IS NULL THEN ln(one.c / total.n) ELSE ln(one.c / total.n * 0.4) END AS s
+  FROM pairs p JOIN one ON p.word = one.word CROSS JOIN total
+  LEFT JOIN two ON p.before = two.before AND p.word = two.word LEFT JOIN followers ON p.before = followers.before)
+SELECT d.doc_id, count(s) AS n_words, round(avg(s), 6) AS score
+FROM documents d LEFT JOIN scored s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontamination import find
 
@@ -85,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
+        "op7_stupid_backoff": op7_stupid_backoff,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_label_propagation_sharding": op9_label_propagation_sharding,
         "op10_toxicity": op10_toxicity,
@@ -92,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_stupid_backoff": _OP7_SQL}

@@ -48,3 +48,16 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` hash partitions an integer that falls into it, so that ``n`` buckets get a task each."""
+    from pyspark.sql import functions as F
+
+    where = F.pmod(F.hash(F.col("key")), F.lit(n))
+    for width in (16, 64, 256):
+        keys = spark.range(width * n).select(F.col("id").cast("int").alias("key"))
+        rows = keys.groupBy(where.alias("at")).agg(F.min("key").alias("key")).orderBy("at").collect()
+        if len(rows) == n:
+            break
+    return [r["key"] for r in rows] if len(rows) == n else list(range(n))
