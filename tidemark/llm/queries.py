@@ -37,6 +37,12 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *counts, "text")
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.nn_descent import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard_join import classes
 
@@ -111,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_pii_pseudonyms": op3_pii_pseudonyms,
+        "op4_nn_descent": op4_nn_descent,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
         "op7_stupid_backoff": op7_stupid_backoff,
