@@ -166,60 +166,71 @@ def _find(index: Index, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[t
     return found
 
 
+def _hits(index: Index | None, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, set[tuple[int, int, int]]]]]:
+    for piece in kit.text_slices(batch, "text"):
+        data, bounds = kit.utf8(piece.column("text"))
+        yield piece, _find(index, _NORMAL[data], bounds) if index else {}
+
+
+_PLACE = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
+
+
 def _scan(index: Index | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("hits", pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])))])
+    """Rows (doc_id, text, hits) with the hits of this index added."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in kit.text_slices(batch, "text"):
-                data, bounds = kit.utf8(piece.column("text"))
-                found = _find(index, _NORMAL[data], bounds) if index else {}
-                hits = [[{"item_id": i, "begin": a, "end": b} for i, a, b in sorted(found.get(r, ()))] for r in range(piece.num_rows)]
-                rest = [piece.column(c) for c in piece.schema.names[1:-1]]
-                names = ["doc_id", *piece.schema.names[1:-1], "hits"]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *rest, pa.array(hits, schema.field("hits").type)], names)
+            for piece, found in _hits(index, batch):
+                known = piece.column("hits").to_pylist()
+                hits = [[*known[r], *[{"item_id": i, "begin": a, "end": b} for i, a, b in sorted(found.get(r, ()))]] for r in range(piece.num_rows)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), pa.array(hits, _PLACE)], ["doc_id", "text", "hits"])
 
     return run
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = 96, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 4 << 20) -> DataFrame:
-    """The windows of benchmark ``items`` (item_id, text) that occur in ``docs`` (doc_id, text) within their edit budget.
+def _clean(index: Index | None):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, found in _hits(index, batch):
+                yield piece.filter(pa.array([r not in found for r in range(piece.num_rows)], pa.bool_()))
 
-    Texts are compared as UTF-8 bytes with A-Z in lower case and white space as blanks; a window of n bytes may have ``rate`` * n
-    edits. Items under ``least_bytes`` are no evidence and left out, as are null ones. Returns a row for each row of ``docs``:
-    doc_id and hits, an array of (item_id, begin, end) by bytes of the text, empty for null and empty texts. Repeated rows are
-    scanned each; other columns are not read. ``most_bytes`` of item text are looked for at once; more items take several scans.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return run
+
+
+def _parts(items: DataFrame, window: int, rate: float, least_bytes: int, most_bytes: int) -> Iterator[Index | None]:
+    """Indexes of at most ``most_bytes`` of item text each, which every task gets."""
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("item_id").isNotNull() & (F.octet_length("text") >= least_bytes)).dropDuplicates(["item_id", "text"])
-    parts: list[list[tuple[int, bytes]]] = [[]]
+    part: list[tuple[int, bytes]] = []
     held = 0
     for r in known.orderBy("item_id", "text").toLocalIterator():
         text = r["text"].encode()
-        if held + len(text) > most_bytes and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append((r["item_id"], text))
+        if held + len(text) > most_bytes and part:
+            yield Index.of(part, window, rate)
+            part, held = [], 0
+        part.append((r["item_id"], text))
         held += len(text)
-    scanned = rows.select("doc_id", "text", F.expr("cast(array() as array<struct<item_id: bigint, begin: bigint, end: bigint>>)").alias("hits"))
-    kind = "array<struct<item_id: bigint, begin: bigint, end: bigint>>"
-    if len(parts) == 1:
-        scan = _scan(Index.of(parts[0], window, rate))
-        return rows.select("doc_id", "text").mapInArrow(scan, f"doc_id long, hits {kind}")
-    for part in parts:
-        scan = _scan_more(Index.of(part, window, rate))
-        scanned = scanned.mapInArrow(scan, f"doc_id long, text string, hits {kind}")
-    return scanned.select("doc_id", "hits")
+    if part:
+        yield Index.of(part, window, rate)
 
 
-def _scan_more(index: Index | None):
-    one = _scan(index)
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 96, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``find`` finds nothing; null and empty texts stay."""
+    for index in _parts(items, window, rate, least_bytes, most_bytes):
+        docs = docs.mapInArrow(_clean(index), docs.schema)
+    return docs
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [b.column("hits") for b in one([batch.select(["doc_id", "text"])])]
-            both = [[*a, *b] for a, b in zip(batch.column("hits").to_pylist(), [x for c in new for x in c.to_pylist()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(both, batch.column("hits").type)], ["doc_id", "text", "hits"])
 
-    return run
+def find(docs: DataFrame, items: DataFrame, window: int = 96, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 4 << 20) -> DataFrame:
+    """The windows of benchmark ``items`` (item_id, text) that occur in ``docs`` (doc_id, text) within their edit budget.
+
+    Texts are compared as UTF-8 bytes with A-Z in lower case and white space as blanks; a window of n bytes may have ``rate`` * n
+    edits. Items under ``least_bytes`` are no evidence and left out, as are null ones. Returns a row for each row of ``docs``:
+    doc_id and hits, an array of (item_id, begin, end) by bytes of the text, empty for null and empty texts. Repeated rows are
+    scanned each; other columns are not read. ``most_bytes`` of item text are looked for at once; more items take several scans.
+    """
+    kind = "array<struct<item_id: bigint, begin: bigint, end: bigint>>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {kind})").alias("hits"))
+    for index in _parts(items, window, rate, least_bytes, most_bytes):
+        rows = rows.mapInArrow(_scan(index), f"doc_id long, text string, hits {kind}")
+    return rows.select("doc_id", "hits")

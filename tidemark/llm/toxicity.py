@@ -231,6 +231,19 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFram
     return raw.select("doc_id", value.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_mild(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; null and empty texts have no hits and stay."""
+    limit = math.log(threshold / (1 - threshold))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            raw = [weigh(t, lexicon, automaton) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([r == 0 or r * lexicon.slope + lexicon.intercept < limit for r in raw], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """The rows that no label is learned from: a fifth, by checksum of the id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
