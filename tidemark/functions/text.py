@@ -1,0 +1,264 @@
+"""Caption features as column expressions. Keyword containment and Java regular expressions only; no Python on the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Patterns and word lists, in Spanish and English, as captions use them.
+EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+QUESTION = r"(?iu)\?|¿|cuál|qué|cómo|por qué|quién|dónde|cuándo"
+STRONG_CTA = ["comenta", "guarda", "dm", "visita", "taggea", "etiqueta", "escríbeme", "guárdalo"]
+TRIGGERS = {
+    "question": ["?", "cuál", "qué", "cómo", "por qué", "quién", "dónde", "cuándo"],
+    "urgency": ["ahora", "hoy", "último", "limitado", "exclusivo", "ya", "rápido"],
+    "social_proof": ["clientes", "testimonios", "opiniones", "reviews", "valoraciones"],
+    "value": ["gratis", "regalo", "descuento", "oferta", "promoción", "ahorra"],
+    "curiosity": ["secreto", "descubre", "sorpresa", "increíble", "no creerás"],
+    "action": ["comenta", "guarda", "comparte", "sígueme", "dm", "escríbeme", "haz click"],
+    "emotion": ["amor", "feliz", "alegría", "pasión", "sueño", "gracias"],
+    "transformation": ["antes", "después", "transformación", "cambio", "resultado"],
+}
+NICHES = {
+    "inmobiliaria": ["casa", "piso", "tour", "triana", "inmueble", "venta", "alquiler", "habitación", "propiedad", "reforma", "m²", "metros"],
+    "floristeria": ["flores", "arreglo", "ramo", "bouquet", "rosas", "tulipanes", "floristería", "planta", "decoración floral", "centro de mesa"],
+    "cafeteria": ["café", "coffee", "latte", "cappuccino", "barista", "espresso", "desayuno", "brunch", "pastelería", "dulce"],
+    "peluqueria": ["corte", "pelo", "cabello", "tinte", "mechas", "peinado", "estilista", "look", "color", "tratamiento capilar"],
+    "restaurante": ["plato", "menú", "cocina", "chef", "reserva", "cena", "comida", "gastronomía", "receta", "sabor"],
+    "gimnasio": ["entreno", "fitness", "ejercicio", "músculo", "cardio", "peso", "rutina", "gym", "entrenador", "clase"],
+    "clinica": ["salud", "doctor", "tratamiento", "consulta", "cita", "paciente", "bienestar", "medicina", "especialista"],
+}
+HOOKS = {
+    "pov": r"pov[:\s]|punto de vista",
+    "question": r"^[¿?]|^\w+\s*\?",
+    "number": r"^\d+\s+\w+|top\s*\d+|\d+\s*(cosas|tips|errores|razones)",
+    "bold_claim": r"nunca|siempre|todo|nadie|el mejor|el peor|imposible",
+    "story": r"historia|storytime|cuando|un día|me pasó",
+    "how_to": r"cómo\s+\w+|aprende\s+a|tutorial|paso\s+a\s+paso",
+    "reveal": r"secreto|te cuento|descubre|te revelo|no sabías",
+}
+CTAS = {
+    "comment": r"comenta|cuéntame|opina|dime|escribe",
+    "save": r"guarda|guardar|guárdalo|save",
+    "share": r"comparte|compartir|etiqueta|tag",
+    "follow": r"sígueme|sigue|follow|seguir",
+    "dm": r"dm|mensaje|escríbeme|mensaje directo",
+    "link": r"link|enlace|bio|click|pincha",
+}
+OPENING_HOOKS = [
+    r"(?:^|\s)(?:por qu[eé]|c[oó]mo|qu[eé]|cu[aá]l|d[oó]nde|cu[aá]ndo|qui[eé]n)",
+    r"(?:^|\s)(?:why|how|what|which|where|when|who)\b",
+    r"(?:pov|cuando|imagina|esto es|mira lo que)",
+    r"(?:story time|wait for it|you won't believe)",
+    r"(?:secreto|truco|hack|tip|dato|descubr[íi])",
+    r"(?:secret|trick|hack|tip|discover)",
+    r"(?:antes.+despu[eé]s|transforma|cambi[oó]|de.+a\s)",
+    r"(?:urgente|ahora mismo|ya|no te pierdas|[úu]ltimo)",
+    r"(?:urgent|right now|don't miss|last chance)",
+    r"(?:\d+\s*(?:tips?|trucos?|formas?|razones?|secretos?))",
+    r"(?:\d+\s*(?:ways?|tips?|tricks?|reasons?|secrets?))",
+]
+OPENING_EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
+
+
+def text(column: str = "caption") -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def words(t: Column) -> Column:
+    return F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+
+
+def any_of(t: Column, keywords: list[str]) -> Column:
+    made = F.lit(False)
+    for k in keywords:
+        made = made | F.contains(t, F.lit(k.lower()))
+    return made
+
+
+def how_many(t: Column, keywords: list[str]) -> Column:
+    return sum((F.contains(t, F.lit(k)).cast("int") for k in keywords), F.lit(0))
+
+
+def lengths(t: Column) -> dict[str, Column]:
+    """TXT-01."""
+    w = words(t)
+    n = F.size(w)
+    letters = F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x))
+    return {
+        "caption_length": F.length(t),
+        "caption_words": n,
+        "caption_lines": F.regexp_count(t, F.lit("\n")) + 1,
+        "avg_word_length": F.when(n > 0, letters / n).otherwise(0.0),
+        "lexical_richness": F.when(n > 0, F.size(F.array_distinct(w)) / n).otherwise(0.0),
+    }
+
+
+def appeals(t: Column) -> dict[str, Column]:
+    """TXT-02."""
+    return {"has_question": t.rlike(QUESTION).cast("int"), "has_strong_cta": any_of(F.lower(t), STRONG_CTA).cast("int")}
+
+
+def emoji(t: Column) -> dict[str, Column]:
+    """TXT-03: runs of emoji and their density for 100 characters."""
+    n = F.regexp_count(t, F.lit(EMOJI))
+    return {"emoji_count": n, "emoji_density": n / F.greatest(F.length(t), F.lit(1)) * 100}
+
+
+def tags(t: Column, kind: str = "#", lower: bool = False) -> Column:
+    """CLN-15: tags or mentions in a text, in order; word characters of any script."""
+    found = F.regexp_extract_all(F.lower(t) if lower else t, F.lit(rf"(?U){kind}\w+"), 0)
+    return found
+
+
+def tag_counts(t: Column) -> dict[str, Column]:
+    """TXT-04."""
+    n = F.size(tags(t))
+    return {"hashtag_count": n, "hashtag_density": n / F.greatest(F.size(words(t)), F.lit(1)), "mention_count": F.size(tags(t, "@"))}
+
+
+def niche_flags(t: Column) -> dict[str, Column]:
+    """TXT-05."""
+    return {f"niche_{k}": any_of(F.lower(t), v).cast("int") for k, v in NICHES.items()}
+
+
+def trigger_counts(t: Column) -> dict[str, Column]:
+    """TXT-06: distinct trigger words present."""
+    return {f"trigger_{k}": how_many(F.lower(t), v) for k, v in TRIGGERS.items()}
+
+
+def first_line(t: Column) -> Column:
+    return F.lower(F.substring_index(t, "\n", 1))
+
+
+def hook_flags(t: Column) -> dict[str, Column]:
+    """TXT-07: hooks of the first line, and a third for each, at most 1."""
+    flags = {f"hook_{k}": first_line(t).rlike("(?iU)" + p).cast("int") for k, p in HOOKS.items()}
+    n = sum(flags.values(), F.lit(0))
+    return flags | {"hook_regex_score": F.least(n / 3.0, F.lit(1.0))}
+
+
+def stepped_hook_score(t: Column) -> dict[str, Column]:
+    """TXT-08: 0.1, 0.5, 0.7 or 0.9 by the number of hooks, with their names; 0 without text."""
+    names = F.array_compact(F.array(*[F.when(first_line(t).rlike("(?iU)" + p), F.lit(k)) for k, p in HOOKS.items()]))
+    n = F.size(names)
+    score = F.when(t == "", 0.0).when(n >= 3, 0.9).when(n == 2, 0.7).when(n == 1, 0.5).otherwise(0.1)
+    return {"hook_score": score, "hook_names": F.when(t == "", F.array().cast("array<string>")).otherwise(names)}
+
+
+def cta_flags(t: Column) -> dict[str, Column]:
+    """TXT-09."""
+    flags = {f"cta_{k}": F.lower(t).rlike("(?i)" + p).cast("int") for k, p in CTAS.items()}
+    return flags | {"cta_count": sum(flags.values(), F.lit(0))}
+
+
+def bilingual(t: Column) -> dict[str, Column]:
+    """TXT-10: counts by character, occurrences of trigger words at most 5."""
+    found = {f"trigger_{k}": F.least(sum((F.regexp_count(F.lower(t), F.lit(_quoted(w))) for w in v), F.lit(0)), F.lit(5)) for k, v in TRIGGERS.items()}
+    return {"hashtag_count": F.regexp_count(t, F.lit("#")), "mention_count": F.regexp_count(t, F.lit("@"))} | found
+
+
+def _quoted(word: str) -> str:
+    return word.replace("?", r"\?")
+
+
+def opening_hook(caption: Column, overlay: Column, speech: Column) -> dict[str, Column]:
+    """TXT-12: the first sentence with overlay and speech: 0.2 for each pattern up to 0.6, bonuses, and less beyond 15 words."""
+    sentence = F.substring_index(F.substring_index(caption, "\n", 1), ".", 1)
+    whole = F.trim(F.concat_ws(" ", sentence, F.nullif(overlay, F.lit("")), F.nullif(speech, F.lit(""))))
+    n = sum((whole.rlike("(?iu)" + p).cast("int") for p in OPENING_HOOKS), F.lit(0))
+    bonus = F.when(F.contains(whole, F.lit("?")), 0.1).otherwise(0.0) + F.when(whole.rlike(OPENING_EMOJI), 0.05).otherwise(0.0) + F.when(F.contains(whole, F.lit("...")), 0.05).otherwise(0.0)
+    long = F.when(F.size(words(whole)) > 15, -0.1).otherwise(0.0)
+    score = F.least(F.greatest(F.least(n * 0.2, F.lit(0.6)) + bonus + long, F.lit(0.0)), F.lit(1.0))
+    return {"hook_text": F.substring(whole, 1, 200), "hook_score": F.when(whole == "", 0.0).otherwise(F.round(score, 4)), "patterns_matched": F.when(whole == "", 0).otherwise(n)}
+
+
+def curiosity_bonus(t: Column, emoji_: list[str]) -> Column:
+    """TXT-13."""
+    has = lambda *xs: any_of(t, list(xs))
+    return F.when(has("?", "¿"), 0.05).otherwise(0.0) + F.when(any_of(t, emoji_), 0.03).otherwise(0.0) + F.when(has("...", "…"), 0.02).otherwise(0.0)
+
+
+def combined_hook(semantic: Column, regex: Column) -> Column:
+    """TXT-16."""
+    return F.round(semantic * 0.85 + regex * 0.15, 4)
+
+
+def interactions(hook: Column, sentiment: Column, is_reel: Column, ctas: Column, optimal: Column, strong: Column, caption_length: Column, transcript: Column, overlay: Column) -> dict[str, Column]:
+    """TXT-18: products across modes, and how rich each text is."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    hook, sentiment, is_reel, ctas, optimal, strong = (zero(c) for c in (hook, sentiment, is_reel, ctas, optimal, strong))
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    capped = lambda n, most: F.least(n / most, F.lit(1.0))
+    return {
+        "hook_x_sentiment": hook * sentiment,
+        "hook_x_is_reel": hook * is_reel,
+        "hook_x_cta_count": hook * ctas,
+        "sentiment_x_cta_count": sentiment * ctas,
+        "is_reel_x_video_optimal": is_reel * optimal,
+        "transcript_richness": capped(size(transcript), 500),
+        "ocr_richness": capped(size(overlay), 100),
+        "multimodal_text_density": capped(zero(caption_length) + size(transcript) + size(overlay), 1000),
+        "semantic_hook_x_vader": hook * F.abs(sentiment),
+        "semantic_hook_x_cta_strong": hook * strong,
+    }
+
+
+def aligned(rows: DataFrame, wanted: list[str], keep: list[str]) -> DataFrame:
+    """TXT-20: the wanted columns in order as doubles, absent ones and NULLs as 0."""
+    return rows.select(*keep, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0)).alias(c) for c in wanted])
+
+
+def semantic_score(rows: DataFrame, prefix: str = "semantic_") -> DataFrame:
+    """TXT-21: the mean of the columns named by ``prefix`` and a number."""
+    found = sorted((c for c in rows.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
+    mean = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in found), F.lit(0.0)) / len(found) if found else F.lit(0.0)
+    return rows.withColumn("semantic_score", mean)
+
+
+def improvement(has_cta: Column, question: Column, emoji_count: Column, length: Column, shortest: int = 50, longest: int = 500) -> Column:
+    """TXT-22: points for what a caption lacks, at most 50."""
+    lack = lambda c, n: F.when(c, n).otherwise(0)
+    return F.least(lack(has_cta == 0, 20) + lack(question == 0, 15) + lack(emoji_count == 0, 10) + lack((length < shortest) | (length > longest), 10), F.lit(50))
+
+
+def missing_triggers(t: Column, wanted: tuple[str, ...] = ("question", "urgency", "value", "curiosity", "action")) -> Column:
+    """TXT-23 and SET-04: high-value triggers that a text lacks, three at most."""
+    present = F.array_compact(F.array(*[F.when(how_many(F.lower(t), TRIGGERS[k]) > 0, F.lit(k)) for k in TRIGGERS]))
+    return F.slice(F.array_except(F.array(*[F.lit(w) for w in wanted]), present), 1, 3)
+
+
+def tagged_text(parts: dict[str, Column]) -> Column:
+    """TXT-24: the parts that aren't blank, each after its source."""
+    return F.concat_ws(" ", *[F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"[{k}] "), F.trim(c))) for k, c in parts.items()])
+
+
+def expanded(vector: str, n: int, prefix: str) -> list[Column]:
+    """TXT-25: a vector's components as columns, 0 where absent."""
+    return [F.coalesce(F.try_element_at(F.col(vector), F.lit(i + 1)).cast("double"), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(n)]
+
+
+def suggestions(cta: Column, question: Column, emoji_count: Column, tags_: Column, length: Column) -> Column:
+    """TXT-26: at most five."""
+    rules = [(cta == 0, "add a call to action"), (question == 0, "ask a question"), (emoji_count == 0, "add emoji"), (tags_ < 3, "add hashtags"), (length < 50, "write more"), (length > 500, "write less")]
+    return F.slice(F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, s in rules])), 1, 5)
+
+
+def lexicon_sentiment(rows: DataFrame, lexicon: DataFrame, ident: str, column: str) -> DataFrame:
+    """TXT-11: shares of positive, negative and neutral words and a compound score, by a join of exploded words to a lexicon
+    (word, valence). The lexicon may be of any size; without hits a text is neutral."""
+    exploded = rows.select(ident, F.explode(words(text(column))).alias("word"))
+    scored = exploded.join(lexicon, "word", "left").groupBy(ident)
+    v = F.coalesce("valence", F.lit(0.0))
+    made = scored.agg(F.count("*").alias("n"), F.count_if(v > 0).alias("p"), F.count_if(v < 0).alias("q"), F.sum(v).alias("s"))
+    share = lambda c: F.coalesce(c / F.col("n"), F.lit(0.0))
+    return rows.join(made, ident, "left").select(
+        ident, share(F.col("p")).alias("pos"), share(F.col("q")).alias("neg"), (1 - share(F.col("p")) - share(F.col("q"))).alias("neu"),
+        F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("compound"),
+    )
+
+
+def features(rows: DataFrame, column: str = "caption") -> DataFrame:
+    """ML-16: every caption feature in one projection."""
+    t = text(column)
+    return rows.withColumns(lengths(t) | appeals(t) | emoji(t) | tag_counts(t) | niche_flags(t) | trigger_counts(t) | hook_flags(t) | cta_flags(t))

@@ -1,0 +1,250 @@
+"""Queries over captions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.plans.register import query, rounded
+
+_T = "coalesce(caption, '')"
+_W = f"list_filter(regexp_split_to_array(lower({_T}), '\\s+'), lambda w: w <> '')"
+_FIRST = f"lower(split_part({_T}, chr(10), 1))"
+_EMOJI = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}-\\x{1F251}]+"
+
+
+def _has(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({_T}), '{w.lower()}')" for w in words) + ")"
+
+
+def _count(words: list[str]) -> str:
+    return " + ".join(f"CAST(contains(lower({_T}), '{w}') AS INT)" for w in words)
+
+
+def _match(pattern: str, text: str = _FIRST) -> str:
+    pattern = pattern.replace("'", "''").replace("\\w", "[\\pL\\pN_]")
+    return f"CAST(regexp_matches({text}, '{pattern}', 'i') AS INT)"
+
+
+@query(
+    f"""SELECT post_id, length({_T}) AS caption_length, len({_W}) AS caption_words, length({_T}) - length(replace({_T}, chr(10), '')) + 1 AS caption_lines,
+    round(CASE WHEN len({_W}) > 0 THEN list_sum(list_transform({_W}, lambda w: length(w))) / len({_W}) ELSE 0 END, 6) AS avg_word_length,
+    round(CASE WHEN len({_W}) > 0 THEN len(list_distinct({_W})) / len({_W}) ELSE 0 END, 6) AS lexical_richness FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_01_lengths(captions: DataFrame) -> DataFrame:
+    made = T.lengths(T.text())
+    counts = [made[c].cast("long").alias(c) for c in ("caption_length", "caption_words", "caption_lines")]
+    return captions.select("post_id", *counts, *rounded({c: made[c] for c in ("avg_word_length", "lexical_richness")}))
+
+
+@query(
+    f"""SELECT post_id, CAST(regexp_matches({_T}, '\\?|¿|cuál|qué|cómo|por qué|quién|dónde|cuándo', 'i') AS INT) AS has_question, CAST({_has(T.STRONG_CTA)} AS INT) AS has_strong_cta FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_02_appeals(captions: DataFrame) -> DataFrame:
+    return captions.select("post_id", *[c.alias(k) for k, c in T.appeals(T.text()).items()])
+
+
+@query(
+    f"""SELECT post_id, len(regexp_extract_all({_T}, '{_EMOJI}')) AS emoji_count, round(len(regexp_extract_all({_T}, '{_EMOJI}')) / greatest(length({_T}), 1) * 100, 6) AS emoji_density FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_03_emoji(captions: DataFrame) -> DataFrame:
+    made = T.emoji(T.text())
+    return captions.select("post_id", made["emoji_count"].cast("long").alias("emoji_count"), *rounded({"emoji_density": made["emoji_density"]}))
+
+
+@query(
+    f"""SELECT post_id, len(regexp_extract_all({_T}, '#[\\pL\\pN_]+')) AS hashtag_count, round(len(regexp_extract_all({_T}, '#[\\pL\\pN_]+')) / greatest(len({_W}), 1), 6) AS hashtag_density,
+    len(regexp_extract_all({_T}, '@[\\pL\\pN_]+')) AS mention_count, array_to_string(regexp_extract_all(lower({_T}), '#[\\pL\\pN_]+'), ' ') AS tags FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_04_cln_15_tags(captions: DataFrame) -> DataFrame:
+    made = T.tag_counts(T.text())
+    counts = [made[c].cast("long").alias(c) for c in ("hashtag_count", "mention_count")]
+    return captions.select("post_id", *counts, F.array_join(T.tags(T.text(), lower=True), " ").alias("tags"), *rounded({"hashtag_density": made["hashtag_density"]}))
+
+
+@query("SELECT post_id, " + ", ".join(f"CAST({_has(v)} AS INT) AS niche_{k}" for k, v in T.NICHES.items()) + " FROM captions", "captions", reads="captions")
+def txt_05_niche_flags(captions: DataFrame) -> DataFrame:
+    return captions.select("post_id", *[c.alias(k) for k, c in T.niche_flags(T.text()).items()])
+
+
+@query("SELECT post_id, " + ", ".join(f"{_count(v)} AS trigger_{k}" for k, v in T.TRIGGERS.items()) + " FROM captions", "captions", reads="captions")
+def txt_06_trigger_counts(captions: DataFrame) -> DataFrame:
+    return captions.select("post_id", *[c.alias(k) for k, c in T.trigger_counts(T.text()).items()])
+
+
+_HOOKS = {k: _match(v) for k, v in T.HOOKS.items()}
+
+
+@query(
+    "SELECT post_id, " + ", ".join(f"{v} AS hook_{k}" for k, v in _HOOKS.items()) + f", round(least(({' + '.join(_HOOKS.values())}) / 3, 1), 6) AS hook_regex_score FROM captions",
+    "captions",
+    reads="captions",
+)
+def txt_07_hook_flags(captions: DataFrame) -> DataFrame:
+    made = T.hook_flags(T.text())
+    score = made.pop("hook_regex_score")
+    return captions.select("post_id", *[c.alias(k) for k, c in made.items()], *rounded({"hook_regex_score": score}))
+
+
+@query(
+    f"""SELECT post_id, CASE WHEN {_T} = '' THEN 0 ELSE CASE {' + '.join(_HOOKS.values())} WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.9 END END::DOUBLE AS hook_score,
+    CASE WHEN {_T} = '' THEN '' ELSE concat_ws(',', {', '.join(f"CASE WHEN {v} = 1 THEN '{k}' END" for k, v in _HOOKS.items())}) END AS hook_names FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_08_stepped_hook_score(captions: DataFrame) -> DataFrame:
+    made = T.stepped_hook_score(T.text())
+    return captions.select("post_id", made["hook_score"].alias("hook_score"), F.array_join(made["hook_names"], ",").alias("hook_names"))
+
+
+_CTAS = {k: _match(v, f"lower({_T})") for k, v in T.CTAS.items()}
+
+
+@query("SELECT post_id, " + ", ".join(f"{v} AS cta_{k}" for k, v in _CTAS.items()) + f", {' + '.join(_CTAS.values())} AS cta_count FROM captions", "captions", reads="captions")
+def txt_09_cta_flags(captions: DataFrame) -> DataFrame:
+    return captions.select("post_id", *[c.alias(k) for k, c in T.cta_flags(T.text()).items()])
+
+
+def _times(word: str) -> str:
+    return f"(length(lower({_T})) - length(replace(lower({_T}), '{word}', ''))) // {len(word)}"
+
+
+@query(
+    f"""SELECT post_id, {_times('#')} AS hashtag_count, {_times('@')} AS mention_count, """
+    + ", ".join(f"least({' + '.join(_times(w) for w in v)}, 5) AS trigger_{k}" for k, v in T.TRIGGERS.items())
+    + " FROM captions",
+    "captions",
+    reads="captions",
+)
+def txt_10_bilingual_counts(captions: DataFrame) -> DataFrame:
+    return captions.select("post_id", *[c.cast("long").alias(k) for k, c in T.bilingual(T.text()).items()])
+
+
+_HOOK_TEXT = f"trim(split_part(split_part({_T}, chr(10), 1), '.', 1))"
+_OPENING = [
+    "(?:^|\\s)(?:por qu[eé]|c[oó]mo|qu[eé]|cu[aá]l|d[oó]nde|cu[aá]ndo|qui[eé]n)", "(?:^|\\s)(?:why|how|what|which|where|when|who)\\b", *T.OPENING_HOOKS[2:]
+]
+_MATCHED = " + ".join(_match(p, _HOOK_TEXT) for p in _OPENING)
+_FACES = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}]+"
+
+
+@query(
+    f"""SELECT post_id, {_HOOK_TEXT} AS hook_text, CASE WHEN {_HOOK_TEXT} = '' THEN 0 ELSE {_MATCHED} END AS patterns_matched,
+    CASE WHEN {_HOOK_TEXT} = '' THEN 0 ELSE round(least(greatest(least(({_MATCHED}) * 0.2, 0.6) + CASE WHEN contains({_HOOK_TEXT}, '?') THEN 0.1 ELSE 0 END
+      + CASE WHEN regexp_matches({_HOOK_TEXT}, '{_FACES}') THEN 0.05 ELSE 0 END + CASE WHEN contains({_HOOK_TEXT}, '...') THEN 0.05 ELSE 0 END
+      - CASE WHEN len(string_split({_HOOK_TEXT}, ' ')) > 15 THEN 0.1 ELSE 0 END, 0), 1), 4) END::DOUBLE AS hook_score FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_12_opening_hook(captions: DataFrame) -> DataFrame:
+    made = T.opening_hook(T.text(), F.lit(""), F.lit(None).cast("string"))
+    return captions.select("post_id", *[c.alias(k) for k, c in made.items()])
+
+
+@query(
+    f"""SELECT post_id, round(CASE WHEN contains({_T}, '?') OR contains({_T}, '¿') THEN 0.05 ELSE 0 END + CASE WHEN contains({_T}, '🎉') THEN 0.03 ELSE 0 END
+    + CASE WHEN contains({_T}, '...') OR contains({_T}, '…') THEN 0.02 ELSE 0 END, 6)::DOUBLE AS bonus FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_13_curiosity_bonus(captions: DataFrame) -> DataFrame:
+    return captions.select("post_id", *rounded({"bonus": T.curiosity_bonus(T.text(), ["🎉"])}))
+
+
+@query(
+    f"""WITH f AS (SELECT post_id, content_format, {_T} AS t, least(({' + '.join(_HOOKS.values())}) / 3, 1) AS hook, {' + '.join(_CTAS.values())} AS ctas, CAST({_has(T.STRONG_CTA)} AS INT) AS strong,
+      CAST(content_format IN ('reel', 'tiktok_video') AS INT) AS reel, (post_id % 5 - 2) / 2.0 AS s, post_id % 2 AS opt, repeat('x', CAST(post_id % 700 AS INT)) AS speech FROM captions)
+    SELECT post_id, round(hook * s, 6) AS hook_x_sentiment, round(hook * reel, 6) AS hook_x_is_reel, round(hook * ctas, 6) AS hook_x_cta_count, round(s * ctas, 6)::DOUBLE AS sentiment_x_cta_count,
+    (reel * opt)::DOUBLE AS is_reel_x_video_optimal, round(least(length(speech) / 500, 1), 6) AS transcript_richness, 0.0::DOUBLE AS ocr_richness,
+    round(least((length(t) + length(speech)) / 1000, 1), 6) AS multimodal_text_density, round(hook * abs(s), 6) AS semantic_hook_x_vader, round(hook * strong, 6) AS semantic_hook_x_cta_strong FROM f""",
+    "captions",
+    reads="captions",
+)
+def txt_18_27_interactions(captions: DataFrame) -> DataFrame:
+    t = T.text()
+    rows = captions.withColumns(T.hook_flags(t) | T.cta_flags(t) | T.appeals(t))
+    reel = F.col("content_format").isin("reel", "tiktok_video").cast("int")
+    made = T.interactions(F.col("hook_regex_score"), (F.col("post_id") % 5 - 2) / 2, reel, F.col("cta_count"), F.col("post_id") % 2, F.col("has_strong_cta"), F.length(t), F.repeat(F.lit("x"), (F.col("post_id") % 700).cast("int")), F.lit(None).cast("string"))
+    return rows.select("post_id", *rounded(made))
+
+
+@query(
+    f"""SELECT post_id, least(CASE WHEN NOT {_has(T.STRONG_CTA)} THEN 20 ELSE 0 END + CASE WHEN NOT regexp_matches({_T}, '\\?|¿|cuál|qué|cómo|por qué|quién|dónde|cuándo', 'i') THEN 15 ELSE 0 END
+    + CASE WHEN NOT regexp_matches({_T}, '{_EMOJI}') THEN 10 ELSE 0 END + CASE WHEN length({_T}) < 50 OR length({_T}) > 500 THEN 10 ELSE 0 END, 50) AS potential,
+    array_to_string(list_slice(list_filter([{', '.join(f"CASE WHEN {_count(T.TRIGGERS[k])} = 0 THEN '{k}' END" for k in ('question', 'urgency', 'value', 'curiosity', 'action'))}], lambda x: x IS NOT NULL), 1, 3), ',') AS missing,
+    concat_ws(' ', CASE WHEN trim({_T}) <> '' THEN concat('[caption] ', trim({_T})) END, CASE WHEN post_id % 3 = 0 THEN '[speech] hola' END) AS tagged FROM captions""",
+    "captions",
+    reads="captions",
+)
+def txt_22_23_24_set_04_potential(captions: DataFrame) -> DataFrame:
+    t = T.text()
+    rows = captions.withColumns(T.appeals(t) | T.emoji(t))
+    speech = F.when(F.col("post_id") % 3 == 0, " hola ").otherwise(F.lit("  "))
+    return rows.select(
+        "post_id",
+        T.improvement(F.col("has_strong_cta"), F.col("has_question"), F.col("emoji_count"), F.length(t)).alias("potential"),
+        F.array_join(T.missing_triggers(t), ",").alias("missing"),
+        T.tagged_text({"caption": F.col("caption"), "speech": speech}).alias("tagged"),
+    )
+
+
+@query(
+    f"""WITH w AS (SELECT post_id, unnest({_W}) AS word FROM captions), v AS (SELECT * FROM (VALUES ('increíble', 2.0), ('descuento', 1.0), ('secreto', -1.0)) x(word, valence)),
+    s AS (SELECT post_id, count(*) AS n, count(*) FILTER (valence > 0) AS p, count(*) FILTER (valence < 0) AS q, sum(coalesce(valence, 0)) AS s FROM w LEFT JOIN v USING (word) GROUP BY post_id)
+    SELECT c.post_id, round(coalesce(p / n, 0), 6) AS pos, round(coalesce(q / n, 0), 6) AS neg, round(1 - coalesce(p / n, 0) - coalesce(q / n, 0), 6) AS neu, round(coalesce(s / sqrt(s * s + 15), 0), 6)::DOUBLE AS compound
+    FROM captions c LEFT JOIN s USING (post_id)""",
+    "captions",
+    reads="captions",
+)
+def txt_11_lexicon_sentiment(captions: DataFrame) -> DataFrame:
+    lexicon = captions.sparkSession.createDataFrame([("increíble", 2.0), ("descuento", 1.0), ("secreto", -1.0)], "word string, valence double")
+    made = T.lexicon_sentiment(captions, lexicon, "post_id", "caption")
+    return made.select("post_id", *rounded({c: F.col(c) for c in ("pos", "neg", "neu", "compound")}))
+
+
+@query(
+    """SELECT vec_id, round(list_avg(embedding[1:8]::DOUBLE[]), 6) AS semantic_score, round(embedding[1]::DOUBLE, 6) AS e0, round(embedding[2]::DOUBLE, 6) AS e1, 0.0::DOUBLE AS absent FROM embeddings""",
+    reads="embeddings",
+)
+def txt_20_21_25_vector_columns(embeddings: DataFrame) -> DataFrame:
+    wide = embeddings.select("vec_id", *T.expanded("embedding", 8, "semantic_"))
+    scored = T.semantic_score(wide)
+    made = T.aligned(scored, ["semantic_score", "semantic_0", "semantic_1", "absent"], ["vec_id"])
+    return made.select("vec_id", *rounded({"semantic_score": F.col("semantic_score"), "e0": F.col("semantic_0"), "e1": F.col("semantic_1"), "absent": F.col("absent")}))
+
+
+@query(
+    """WITH h AS (SELECT vec_id AS hook_id, vec_id % 12 AS category, embedding::DOUBLE[] AS hv FROM embeddings WHERE vec_id < 144), t AS (SELECT vec_id AS text_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= 144),
+    s AS (SELECT text_id, hook_id, category, list_cosine_similarity(v, hv) AS sim FROM t CROSS JOIN h), r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY sim DESC, hook_id) AS p FROM s)
+    SELECT text_id, round(max(sim), 6) AS max_similarity, round(avg(sim), 6) AS top3_avg, string_agg(hook_id::VARCHAR, ',' ORDER BY p) AS top_hooks,
+    CASE WHEN max(sim) >= 0.7 THEN 'strong' WHEN max(sim) >= 0.5 THEN 'moderate' WHEN max(sim) >= 0.3 THEN 'weak' ELSE 'minimal' END AS strength FROM r WHERE p <= 3 GROUP BY text_id""",
+    reads="embeddings",
+)
+def txt_14_hook_scores(embeddings: DataFrame) -> DataFrame:
+    from tidemark.operators.joins import hook_scores
+
+    hooks = embeddings.where("vec_id < 144").select(F.col("vec_id").alias("hook_id"), F.col("embedding").alias("hook_vector"))
+    made = hook_scores(embeddings.where("vec_id >= 144").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), hooks)
+    return made.select("text_id", "strength", F.array_join(F.col("top_hooks").cast("array<string>"), ",").alias("top_hooks"), *rounded({c: F.col(c) for c in ("max_similarity", "top3_avg")}))
+
+
+@query(
+    """SELECT t.vec_id AS text_id, h.vec_id % 12 AS category, round(max(list_cosine_similarity(t.embedding::DOUBLE[], h.embedding::DOUBLE[])), 6) AS similarity
+    FROM embeddings t CROSS JOIN embeddings h WHERE h.vec_id < 144 AND t.vec_id >= 144 GROUP BY 1, 2""",
+    reads="embeddings",
+)
+def txt_15_category_scores(embeddings: DataFrame) -> DataFrame:
+    from tidemark.operators.joins import category_scores
+
+    hooks = embeddings.where("vec_id < 144").select((F.col("vec_id") % 12).alias("category"), F.col("embedding").alias("hook_vector"))
+    made = category_scores(embeddings.where("vec_id >= 144").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), hooks)
+    return made.select("text_id", "category", *rounded({"similarity": F.col("similarity")}))
