@@ -280,12 +280,12 @@ def agg_04_trend_velocity(trends: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT trend, CAST(posted_at AS DATE) AS day, count(*) AS n FROM trends GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY trend ORDER BY n DESC, day) AS p FROM d) SELECT trend, day AS peak_day, n FROM r WHERE p = 1""",
+    """WITH d AS (SELECT trend, CAST(posted_at AS DATE) AS day, count(*) AS n FROM trends GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY trend ORDER BY n DESC, day) AS p FROM d) SELECT trend, CAST(day AS VARCHAR) AS peak_day, n FROM r WHERE p = 1""",
     "trends",
     reads="trends",
 )
 def agg_05_peak_day(trends: DataFrame) -> DataFrame:
-    return V.peak_day(trends)
+    return V.peak_day(trends).withColumn("peak_day", F.col("peak_day").cast("string"))
 
 
 @query(
