@@ -61,3 +61,17 @@ def bucket_keys(spark: SparkSession, n: int) -> list[int]:
         if len(rows) == n:
             break
     return [r["key"] for r in rows] if len(rows) == n else list(range(n))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """The inner join of large ``rows`` with ``ids``: a broadcast if at most ``most`` rows of ids are counted, else dealt by ``on``."""
+    from pyspark.sql import functions as F
+
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """``rows`` whose ``on`` is not among ``ids``, joined as in ``with_ids``."""
+    from pyspark.sql import functions as F
+
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_anti")

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Odd multiplier of the polynomial hashes; its inverse modulo 2**64 turns prefix sums into window hashes.
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -145,3 +145,8 @@ def distinct_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     keep = np.ones(len(rows), bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     return rows[keep], values[keep]
+
+
+def ends(starts: np.ndarray, n: int) -> list[int]:
+    """Where runs end that begin at ``starts`` and fill ``n`` places; nothing for no runs."""
+    return [*starts[1:].tolist(), n] if len(starts) else []
