@@ -25,20 +25,24 @@ from tidemark.llm import textkit as kit
 from tidemark.llm.scratch import Scratch, bucket_keys, partitions
 
 _LOW48 = np.uint64((1 << 48) - 1)
+_MARK = np.uint64(1 << 32)  # set in every word's hash, which so has 47 bits of its own
 _NO_ID = -(1 << 63)
-_FLUSH_WORDS = 1_500_000
+_FLUSH_WORDS = 700_000
 _FLUSH_DOCS = 60_000
 _COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 _PAIRS = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("firsts", pa.binary()), ("runs", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("sums", pa.binary())])
-_RARE = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("words", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary())])
+#: Rows of four kinds: words to score (low, high, docs, and in sums the flushes with their counts), word counts (low, high and sums),
+#: sums of a flush's documents (docs, sums), and a flush's documents themselves (ids, low with their words, sums).
+_RARE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("flush", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary()), ("ids", pa.binary())])
+_ASKED, _LONE, _COUNTED, _SUMS, _OWNERS = range(5)
 
 
 def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The rows and 48-bit hashes of all words, in order."""
+    """The rows and hashes of all words, in order."""
     data, bounds = kit.utf8(piece.column("text"))
     data = kit.lower_ascii(data)
     begin, end, first = kit.words(data, bounds)
-    return np.repeat(np.arange(piece.num_rows), np.diff(first)), kit.window_hash(kit.prefix_sums(data), begin, end) & _LOW48
+    return np.repeat(np.arange(piece.num_rows), np.diff(first)), (kit.window_hash(kit.prefix_sums(data), begin, end) & _LOW48) | _MARK
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -57,7 +61,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.text_slices(batch, "text"):
             held.append(_words(piece)[1])
             n += len(held[-1])
-            if n > 2 * _FLUSH_WORDS:
+            if n > 4 * _FLUSH_WORDS:
                 yield counts()
                 held, n = [], 0
     if n:
@@ -77,7 +81,7 @@ def _count_head_pairs(head: np.ndarray):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in kit.text_slices(batch, "text", 8 << 20):
+            for piece in kit.text_slices(batch, "text"):
                 row, word = _words(piece)
                 known, _ = _among(head, word)
                 follows = row[1:] == row[:-1]
@@ -139,12 +143,16 @@ def _deal_pairs(head: _Head, total: int, least: int, alpha: float, keys: list[in
             bucket, before, second, docs = bucket[order], before[order], word[rest][order], doc[rest][order]
             which, cuts = np.unique(bucket, return_index=True)
             rows = []
-            for b, a, z in zip(which.tolist(), cuts, [*cuts[1:], len(bucket)], strict=True):
+            for b, a, z in zip(which.tolist(), cuts, kit.ends(cuts, len(bucket)), strict=True):
                 new = np.flatnonzero(np.concatenate([[True], before[a + 1 : z] != before[a : z - 1]]))
                 runs = np.diff([*new, z - a]).astype(np.uint32)
-                rows.append((int(targets[b]), number, before[a:z][new].tobytes(), runs.tobytes(), second[a:z].astype(np.uint32).tobytes(), (second[a:z] >> np.uint64(32)).astype(np.uint16).tobytes(), docs[a:z].astype(np.uint16).tobytes(), None, None, None))
+                # A head word as second travels as its place, marked by 0 in front; other words have theirs.
+                common, place = _among(head.words, second[a:z])
+                high = np.where(common, 0, (second[a:z] >> np.uint64(32)) | np.uint64(1)).astype(np.uint16)
+                low = np.where(common, place.astype(np.uint64), second[a:z] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows.append((int(targets[b]), number, before[a:z][new].tobytes(), runs.tobytes(), low.tobytes(), high.tobytes(), docs[a:z].astype(np.uint16).tobytes(), None, None, None))
             words = np.bincount(doc, minlength=n_docs).astype(np.int64)
-            rows.append((None, number, None, None, None, None, None, np.concatenate(state["ids"]).tobytes(), words.tobytes(), sums.tobytes()))
+            rows.append((int(targets[number % len(targets)]), number, None, None, None, None, None, np.concatenate(state["ids"]).tobytes(), words.tobytes(), sums.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAIRS)], schema=_PAIRS)
             state.update(docs=[], words=[], ids=[], n=0, rows=0)
 
@@ -172,28 +180,52 @@ def _sum_rows(flush: np.ndarray, docs: np.ndarray, values: np.ndarray, flushes:
     owner = unique >> 16
     cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(unique) else np.zeros(0, np.int64)
     rows = []
-    for a, z in zip(cuts, [*cuts[1:], len(unique)], strict=True):
+    for a, z in zip(cuts, kit.ends(cuts, len(unique)), strict=True):
         rows.append((int(flushes[owner[a]]), (unique[a:z] & 0xFFFF).astype(np.uint16).tobytes(), sums[a:z].tobytes()))
     return rows
 
 
+def _rare_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RARE)], schema=_RARE)
+
+
+def _two(words: np.ndarray) -> tuple[bytes, bytes]:
+    return words.astype(np.uint32).tobytes(), (words >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _one(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
+
+
+def _sum_kind(sums: list[tuple[int, bytes, bytes]], targets: np.ndarray) -> list[tuple]:
+    return [(int(targets[f % len(targets)]), _SUMS, f, None, None, d, s, None) for f, d, s in sums]
+
+
 def _score_pairs(head: _Head, total: int, least: int, alpha: float, keys: list[int]):
-    """A bucket's pairs: sums for those frequent enough, and the words of the others dealt by word."""
+    """A bucket's pairs: sums for those frequent enough, and the words of the others dealt by word. Owners pass through."""
     targets = np.array(keys, np.int32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for b, *parts in zip(*[batch.column(c).to_pylist() for c in _PAIRS.names[:7]], strict=True):
-                held.setdefault(b, []).append(tuple(parts))
+            owners = []
+            for b, flush, *parts, ids, words, value in zip(*[batch.column(c).to_pylist() for c in _PAIRS.names], strict=True):
+                if ids is None:
+                    held.setdefault(b, []).append((flush, *parts))
+                else:
+                    owners.append((b, _OWNERS, flush, words, None, None, value, ids))
+            yield _rare_batch(owners)
         for b in list(held):
             parts = held.pop(b)
             flushes = np.array([p[0] for p in parts], np.int64)
             first = np.concatenate([np.repeat(np.frombuffer(p[1], np.uint64), np.frombuffer(p[2], np.uint32)) for p in parts])
-            second = np.frombuffer(b"".join(p[3] for p in parts), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(p[4] for p in parts), np.uint16).astype(np.uint64) << np.uint64(32)
+            low, high = (b"".join(p[i] for p in parts) for i in (3, 4))
+            second = _one(low, high)
+            common = np.frombuffer(high, np.uint16) == 0
+            second[common] = head.words[np.frombuffer(low, np.uint32)[common]]
             docs = np.frombuffer(b"".join(p[5] for p in parts), np.uint16)
             flush = np.repeat(np.arange(len(parts)), [len(p[5]) // 2 for p in parts])
-            del parts
+            del parts, low, high, common
             order = np.lexsort((second, first))
             first, second, docs, flush = first[order], second[order], docs[order], flush[order]
             new_first = np.concatenate([[True], first[1:] != first[:-1]])
@@ -209,51 +241,51 @@ def _score_pairs(head: _Head, total: int, least: int, alpha: float, keys: list[i
             known &= ~hit
             value = np.where(known, np.log((head.times[at] if len(head.words) else np.ones(len(at))) / total * alpha), value)
             done = hit | known
-            sums = _sum_rows(flush[done], docs[done], value[done], flushes)
-            rows = [(None, f, None, d, s) for f, d, s in sums]
-            rest = ~done
-            word = second[rest] | lone[rest].astype(np.uint64) << np.uint64(48)
-            flush, docs = flush[rest], docs[rest]
-            # Rows of one flush at a time would be many and small: a row has its words' flushes by index.
-            bucket = (kit.mix(second[rest]) % np.uint64(len(targets))).astype(np.int64)
-            order = np.lexsort((flush, bucket))
-            word, flush, docs, bucket = word[order], flush[order], docs[order], bucket[order]
-            which, cuts = np.unique(bucket, return_index=True)
-            for t, a, z in zip(which.tolist(), cuts, [*cuts[1:], len(bucket)], strict=True):
-                there, count = np.unique(flush[a:z], return_counts=True)
-                rows.append((int(targets[t]), -1, word[a:z].tobytes(), docs[a:z].tobytes(), np.stack([flushes[there], count]).astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RARE)], schema=_RARE)
+            rows = _sum_kind(_sum_rows(flush[done], docs[done], value[done], flushes), targets)
+            for kind, part in ((_ASKED, ~done & ~lone), (_LONE, ~done & lone)):
+                word, which_flush, doc = second[part], flush[part], docs[part]
+                bucket = (kit.mix(word) % np.uint64(len(targets))).astype(np.int64)
+                order = np.lexsort((which_flush, bucket))
+                word, which_flush, doc, bucket = word[order], which_flush[order], doc[order], bucket[order]
+                which, cuts = np.unique(bucket, return_index=True)
+                for t, a, z in zip(which.tolist(), cuts, kit.ends(cuts, len(bucket)), strict=True):
+                    there, count = np.unique(which_flush[a:z], return_counts=True)
+                    rows.append((int(targets[t]), kind, None, *_two(word[a:z]), doc[a:z].tobytes(), np.stack([flushes[there], count]).astype(np.int64).tobytes(), None))
+            yield _rare_batch(rows)
 
     return run
 
 
-def _score_words(total: int, alpha: float):
-    """A bucket's word counts, which come as rows without documents, and the words that are scored by them."""
+def _score_words(total: int, alpha: float, keys: list[int]):
+    """A bucket's word counts, and the words that are scored by them. Sums and owners pass through."""
+    targets = np.array(keys, np.int32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: dict[int, dict[int, list[tuple]]] = {}
         for batch in batches:
-            for b, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "words", "docs", "sums")], strict=True):
-                held.setdefault(b, []).append(tuple(parts))
+            kinds = np.array(batch.column("kind").to_pylist(), np.int64)
+            yield batch.filter(pa.array(kinds >= _SUMS))
+            for b, kind, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "low", "high", "docs", "sums")], strict=True):
+                if kind < _SUMS:
+                    held.setdefault(b, {}).setdefault(kind, []).append(tuple(parts))
         for b in list(held):
-            parts = held.pop(b)
-            counted = [p for p in parts if p[1] is None]
-            asked = [p for p in parts if p[1] is not None]
-            del parts
-            if not asked:
-                continue
-            word, inverse = np.unique(np.frombuffer(b"".join(p[0] for p in counted), np.uint64), return_inverse=True)
-            times = np.bincount(inverse, np.frombuffer(b"".join(p[2] for p in counted), np.int64), len(word))
-            wanted = np.frombuffer(b"".join(p[0] for p in asked), np.uint64)
-            docs = np.frombuffer(b"".join(p[1] for p in asked), np.uint16)
-            numbers = [np.frombuffer(p[2], np.int64).reshape(2, -1) for p in asked]
-            flush = np.repeat(np.concatenate([n[0] for n in numbers]), np.concatenate([n[1] for n in numbers]))
-            flushes, flush = np.unique(flush, return_inverse=True)
-            lone = wanted >> np.uint64(48) > 0
-            at = np.searchsorted(word, wanted & _LOW48)
-            value = np.log(times[at] / total) + np.where(lone, 0.0, np.log(alpha))
-            rows = [(None, f, None, d, s) for f, d, s in _sum_rows(flush, docs, value, flushes)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RARE)], schema=_RARE)
+            kinds = held.pop(b)
+            counted = kinds.get(_COUNTED, [])
+            word = _one(*(b"".join(p[i] for p in counted) for i in (0, 1)))
+            times = np.frombuffer(b"".join(p[3] for p in counted), np.int64)
+            order = np.argsort(word)
+            word, times = word[order], times[order]
+            for kind, share in ((_ASKED, alpha), (_LONE, 1.0)):
+                asked = kinds.get(kind)
+                if not asked:
+                    continue
+                wanted = _one(*(b"".join(p[i] for p in asked) for i in (0, 1)))
+                docs = np.frombuffer(b"".join(p[2] for p in asked), np.uint16)
+                numbers = [np.frombuffer(p[3], np.int64).reshape(2, -1) for p in asked]
+                flush = np.repeat(np.concatenate([n[0] for n in numbers]), np.concatenate([n[1] for n in numbers]))
+                flushes, flush = np.unique(flush, return_inverse=True)
+                value = np.log(times[np.searchsorted(word, wanted)] / total * share)
+                yield _rare_batch(_sum_kind(_sum_rows(flush, docs, value, flushes), targets))
 
     return run
 
@@ -268,8 +300,7 @@ def _pack_counts(keys: list[int]):
             bucket = (kit.mix(word) % np.uint64(len(targets))).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             which, cuts = np.unique(bucket[order], return_index=True)
-            rows = [(int(targets[t]), -1, word[order[a:z]].tobytes(), None, n[order[a:z]].tobytes()) for t, a, z in zip(which.tolist(), cuts, [*cuts[1:], len(order)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RARE)], schema=_RARE)
+            yield _rare_batch([(int(targets[t]), _COUNTED, None, *_two(word[order[a:z]]), None, n[order[a:z]].tobytes(), None) for t, a, z in zip(which.tolist(), cuts, kit.ends(cuts, len(order)), strict=True)])
 
     return run
 
@@ -280,7 +311,7 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     later: list[tuple[int, bytes, bytes]] = []
     for batch in batches:
-        for flush, docs, who, words, value in zip(*[batch.column(c).to_pylist() for c in ("flush", "docs", "ids", "words", "sums")], strict=True):
+        for flush, docs, who, words, value in zip(*[batch.column(c).to_pylist() for c in ("flush", "docs", "ids", "low", "sums")], strict=True):
             if who is not None:
                 ids[flush] = np.frombuffer(who, np.int64), np.frombuffer(words, np.int64)
                 sums[flush] = sums.get(flush, 0) + np.frombuffer(value, np.float64)
@@ -298,7 +329,7 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, least: int = 2, alpha: float = 0.4, head: int = 1000) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by the counts of all of them: doc_id, n_words, score.
 
-    Words are runs without ASCII white space with A-Z in lower case, compared by 48-bit hashes beside their neighbour's. Null texts
+    Words are runs without ASCII white space with A-Z in lower case, compared by 47-bit hashes beside their neighbour's. Null texts
     and those without words have n_words 0 and a null score; a null doc_id stays null; repeated rows are counted and scored each;
     other columns are not read.
     """
@@ -307,20 +338,18 @@ def score(docs: DataFrame, least: int = 2, alpha: float = 0.4, head: int = 1000)
     keys = bucket_keys(spark, partitions(spark))
     n = len(keys)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = scratch.save(texts.mapInArrow(_count_words, "word long, n long"))
+    counts = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = scratch.save(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    summed = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = summed.where(F.col("n") * head > total).toPandas().sort_values("word")
+    frequent = counts.where(F.col("n") * head > total).toPandas().sort_values("word")
     words, times = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     pairs = texts.mapInArrow(_count_head_pairs(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     known = _Head(words, times, pairs["word"].to_numpy(np.int64).view(np.uint64), pairs["n"].to_numpy(np.int64))
 
-    rare_type = "bucket int, flush long, words binary, docs binary, sums binary"
-    dealt = scratch.save(texts.mapInArrow(_deal_pairs(known, total, least, alpha, keys), "bucket int, flush long, firsts binary, runs binary, low binary, high binary, docs binary, ids binary, words binary, sums binary"))
-    scored = dealt.where("bucket is not null").repartition(n, "bucket").mapInArrow(_score_pairs(known, total, least, alpha, keys), rare_type)
-    scored = scratch.save(scored)
-    asked = scored.where("bucket is not null").unionByName(counts.mapInArrow(_pack_counts(keys), rare_type))
-    rare = asked.repartition(n, "bucket").mapInArrow(_score_words(total, alpha), rare_type)
-    sums = scored.where("bucket is null").unionByName(rare).select("flush", "docs", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("words"), "sums")
-    owners = dealt.where("bucket is null").select("flush", F.lit(None).cast("binary").alias("docs"), "ids", "words", "sums")
-    return owners.unionByName(sums).repartition(n, "flush").mapInArrow(_gather, "doc_id long, n_words long, score double")
+    # One chain of shuffles without tables between, as the pairs are the bulk; what is done passes through what follows.
+    rare = "bucket int, kind int, flush long, low binary, high binary, docs binary, sums binary, ids binary"
+    dealt = texts.mapInArrow(_deal_pairs(known, total, least, alpha, keys), "bucket int, flush long, firsts binary, runs binary, low binary, high binary, docs binary, ids binary, words binary, sums binary")
+    scored = dealt.repartition(n, "bucket").mapInArrow(_score_pairs(known, total, least, alpha, keys), rare)
+    asked = scored.unionByName(counts.mapInArrow(_pack_counts(keys), rare))
+    sums = asked.repartition(n, "bucket").mapInArrow(_score_words(total, alpha, keys), rare)
+    return sums.select("flush", "docs", "ids", "low", "sums").repartition(n, "flush").mapInArrow(_gather, "doc_id long, n_words long, score double")
