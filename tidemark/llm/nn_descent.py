@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import textkit as kit
 from tidemark.llm.scratch import Scratch, partitions
 
 _LISTS = pa.schema([("node", pa.int64()), ("ids", pa.binary()), ("sims", pa.binary())])
@@ -49,7 +50,7 @@ def _packed(node: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) ->
     order = np.lexsort((other, -sim, node))
     node, other, sim = node[order], other[order], sim[order]
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-    ends = [*first[1:], len(node)]
+    ends = kit.ends(first, len(node))
     return [(int(node[a]), other[a : min(z, a + most)].tobytes(), sim[a : min(z, a + most)].astype(np.float32).tobytes()) for a, z in zip(first, ends, strict=True)]
 
 
@@ -139,7 +140,7 @@ def _meet(most: int):
             at, who, worst = (np.concatenate(h) for h in held[:3])
             unit = _rows(held[3])
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            ends = [*cuts[1:].tolist(), len(at)]
+            ends = kit.ends(cuts, len(at))
             stop = cuts[-1] if upto_last else len(at)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, z in zip(cuts.tolist(), ends, strict=True):
@@ -174,10 +175,11 @@ def graph(units: DataFrame, scratch: Scratch, degree: int, back: int, rounds: in
     """Lists of ``degree`` neighbours of all nodes: node, ids, sims."""
     spark = units.sparkSession
     n = partitions(spark)
+    wide = max(1, min(n, units.count() // leaf))  # so that no leaf is short of company
     parts = []
     for tree in range(trees):
         coded = units.mapInArrow(_sign_code(1000 + tree, 10), "node long, unit binary, code long")
-        coded = coded.repartitionByRange(n, "code", F.xxhash64("node")).sortWithinPartitions("code", F.xxhash64("node"))
+        coded = coded.repartitionByRange(wide, "code", F.xxhash64("node")).sortWithinPartitions("code", F.xxhash64("node"))
         parts.append(coded.select("node", "unit").mapInArrow(_leaf_lists(leaf, degree), _LIST_TYPE))
     lists = parts[0]
     for more in parts[1:]:

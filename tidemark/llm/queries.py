@@ -33,7 +33,8 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = pseudonymise(docs, key="check")
-    counts = [F.size(F.filter("found", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    times = lambda kind: F.size(F.filter("found", lambda k: k == kind)).cast("long")
+    counts = [times(kind).alias(f"n_{kind}") for kind in KINDS]
     return made.select("doc_id", *counts, "text")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as kit
-from tidemark.llm.scratch import Scratch, partitions
+from tidemark.llm.scratch import Scratch, bucket_keys, partitions
 
 LENGTH = 100
 _ANCHOR = 32
@@ -81,23 +81,28 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     which, cuts = np.unique(bucket[order], return_index=True)
-    for b, a, z in zip(which.tolist(), cuts, [*cuts[1:], len(order)], strict=True):
+    for b, a, z in zip(which.tolist(), cuts, kit.ends(cuts, len(order)), strict=True):
         yield b, order[a:z]
 
 
-def _deal_anchors(buckets: int):
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences, which a shuffle compresses better than the values; unsigned ones wrap."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _deal_anchors(keys: list[int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in kit.text_slices(batch, "text"):
                 row, hashes, place, _, _ = anchors(*kit.utf8(piece.column("text")))
                 docs = _ids(piece.column("doc_id"))[row]
-                rows = [(b, hashes[at], docs[at], place[at]) for b, at in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64))]
+                rows = [(keys[b], hashes[at], docs[at], place[at]) for b, at in _by_bucket((hashes % np.uint64(len(keys))).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, *_ in rows], pa.int32()),
                         pa.array([(h >> np.uint64(32)).astype(np.uint32).tobytes() for _, h, _, _ in rows], pa.binary()),
-                        pa.array([d.tobytes() for _, _, d, _ in rows], pa.binary()),
-                        pa.array([p.astype(np.uint32).tobytes() for *_, p in rows], pa.binary()),
+                        pa.array([_steps(d).tobytes() for _, _, d, _ in rows], pa.binary()),
+                        pa.array([_steps(p.astype(np.uint32)).tobytes() for *_, p in rows], pa.binary()),
                     ],
                     schema=_ANCHORS,
                 )
@@ -115,11 +120,12 @@ def _repeated_places(frequent: int):
                 held.setdefault(b, []).append(tuple(parts))
         for b in list(held):
             parts = held.pop(b)
-            hashes, docs, places = (np.frombuffer(b"".join(p[i] for p in parts), t) for i, t in enumerate((np.uint32, np.int64, np.uint32)))
+            hashes = np.frombuffer(b"".join(p[0] for p in parts), np.uint32)
+            docs, places = (np.concatenate([np.cumsum(np.frombuffer(p[i], t), dtype=t) for p in parts]) for i, t in ((1, np.int64), (2, np.uint32)))
             _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
             times = count[inverse]
             docs, places, times = docs[times > 1], places[times > 1], times[times > 1]
-            marked = (places.astype(np.uint64) << np.uint64(1)) | (times > frequent).astype(np.uint64)
+            marked = (places << np.uint32(1)) | (times > frequent).astype(np.uint32)
             found = [(docs[at[0]], marked[at].tobytes()) for _, at in _by_bucket(docs)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], schema=_PLACES)
 
@@ -149,17 +155,17 @@ def _span_rows(removed: list[tuple[int, int, int]]) -> tuple[list[int], list[byt
     return list(by_doc), [np.array(v, np.uint32).tobytes() for v in by_doc.values()]
 
 
-def _deal_contexts(buckets: int):
+def _deal_contexts(keys: list[int]):
     def flush(contexts: list[tuple[int, int, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
         kept, removed = _first_of_each(contexts)
         docs, spans = _span_rows(removed)
         none = lambda t: pa.nulls(len(docs), t)
         yield pa.RecordBatch.from_arrays([none(pa.int32()), *[none(pa.binary())] * 5, pa.array(docs, pa.int64()), pa.array(spans, pa.binary())], schema=_CONTEXTS)
-        keys = np.array([c[3] for c in kept], np.uint64)
-        for b, at in _by_bucket((keys % np.uint64(buckets)).astype(np.int64)):
+        dealt = np.array([c[3] for c in kept], np.uint64)
+        for b, at in _by_bucket((dealt % np.uint64(len(keys))).astype(np.int64)):
             part = [kept[i] for i in at]
             packed = [np.array([c[j] for c in part], t).tobytes() for j, t in ((3, np.uint64), (0, np.int64), (1, np.uint32), (4, np.uint32))]
-            row = [[b], *[[p] for p in packed], [b"".join(c[2] for c in part)], [None], [None]]
+            row = [[keys[b]], *[[p] for p in packed], [b"".join(c[2] for c in part)], [None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _CONTEXTS, strict=True)], schema=_CONTEXTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +179,14 @@ def _deal_contexts(buckets: int):
                 whole = data.tobytes()
                 ends = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 for r, blobs in enumerate(piece.column("places").to_pylist()):
-                    marked = np.sort(np.frombuffer(b"".join(blobs), np.uint64))
+                    marked = np.sort(np.frombuffer(b"".join(blobs), np.uint32))
                     at = np.arange(ends[r], ends[r + 1])
                     if not len(at) or not len(marked):
                         continue
-                    seat = np.minimum(np.searchsorted(marked >> np.uint64(1), place[at].astype(np.uint64)), len(marked) - 1)
-                    same = (marked[seat] >> np.uint64(1)) == place[at].astype(np.uint64)
-                    at, hot = at[same], (marked[seat[same]] & np.uint64(1)).astype(bool)
+                    known, here = marked >> np.uint32(1), place[at].astype(np.uint32)
+                    seat = np.minimum(np.searchsorted(known, here), len(marked) - 1)
+                    same = known[seat] == here
+                    at, hot = at[same], (marked[seat[same]] & np.uint32(1)).astype(bool)
                     base, doc = int(bounds[r]), int(docs[r])
                     for h, b, n in zip(hashes[at[~hot]].tolist(), begin[at[~hot]].tolist(), count[at[~hot]].tolist(), strict=True):
                         contexts.append((doc, b, whole[base + b : base + b + n + LENGTH - 1], h, n))
@@ -308,19 +315,20 @@ def remove_repeats(docs: DataFrame, frequent: int = 20_000) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    buckets = partitions(spark)
+    keys = bucket_keys(spark, partitions(spark))
+    buckets = len(keys)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     whole = scratch.save(whole)
     first = whole.groupBy("sha256").agg(F.min("doc_id").alias("first"))
     rows = scratch.save(whole.join(first, "sha256").select("doc_id", "n_bytes", "sha256", (F.col("doc_id") > F.col("first")).alias("copy")))
 
-    dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal_anchors(buckets), "bucket int, hashes binary, docs binary, places binary")
+    dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal_anchors(keys), "bucket int, hashes binary, docs binary, places binary")
     places = dealt.repartition(buckets, "bucket").mapInArrow(_repeated_places(frequent), "doc_id long, places binary")
     places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     places = places.join(rows.where("not copy").select("doc_id").distinct(), "doc_id", "left_semi")
     suspects = scratch.save(texts.join(places, "doc_id"))
-    contexts = scratch.save(suspects.mapInArrow(_deal_contexts(buckets), "bucket int, keys binary, docs binary, begins binary, counts binary, data binary, doc_id long, spans binary"))
+    contexts = scratch.save(suspects.mapInArrow(_deal_contexts(keys), "bucket int, keys binary, docs binary, begins binary, counts binary, data binary, doc_id long, spans binary"))
     met = contexts.where("bucket is not null").select(*_CONTEXTS.names[:6]).repartition(buckets, "bucket").mapInArrow(_factors, "doc_id long, spans binary")
     spans = contexts.where("bucket is null").select("doc_id", "spans").union(met).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     cut = suspects.select("doc_id", "text").join(spans, "doc_id").dropDuplicates(["doc_id"])
