@@ -93,10 +93,17 @@ def trending(posts: DataFrame, limit: int = 50) -> DataFrame:
 
 def profile(rows: DataFrame) -> DataFrame:
     """SRC-11: handle, name and followers of records of several shapes: flat, nested owner, author's metadata."""
-    there = set(rows.columns)
+
+    def there(path: str) -> bool:
+        kind = rows.schema
+        for part in path.split("."):
+            if not isinstance(kind, T.StructType) or part not in kind.names:
+                return False
+            kind = kind[part].dataType
+        return True
 
     def pick(*paths: str) -> Column:
-        found = [F.col(p) for p in paths if p.split(".")[0] in there]
+        found = [F.col(p) for p in paths if there(p)]
         return F.coalesce(*found) if found else F.lit(None)
 
     handle = pick("ownerUsername", "username", "owner.username", "authorMeta.name")

@@ -102,7 +102,8 @@ class Learner(StatefulProcessor):
 
 
 def learned(feedback: DataFrame, features: list[str], targets: list[str], **settings) -> DataFrame:
-    """A stream of feedback (niche, seq, features, targets) as event rows. Needs the RocksDB state store."""
+    """Feedback (niche, seq, features, targets), a stream or a table, as event rows. Needs the RocksDB state store."""
+    _ = feedback.sparkSession.streams  # brings up the state stores' coordinator, which a table's plan needs too
     return feedback.groupBy("niche").transformWithStateInPandas(Learner(features, targets, **settings), METRIC_SCHEMA, "Append", "None")
 
 
