@@ -231,3 +231,25 @@ def smote(minority: DataFrame, ident: str, features: list[str], wanted: int, k:
     other = minority.select(F.col(ident).alias("_other"), *[F.col(f).alias(f"_{f}") for f in features])
     made = picked.join(other, "_other").withColumns({f: F.col(f) + F.col("_u") * (F.col(f"_{f}") - F.col(f)) for f in features})
     return made.orderBy("copy", F.xxhash64(ident)).limit(wanted).select(ident, "copy", *features, F.lit(True).alias("is_synthetic"))
+
+
+def compare_weights(predictions: DataFrame, weights: DataFrame, ident: str = "post_id") -> DataFrame:
+    """TOP-13: the index of each prediction (log_*) under each weight set (name and five weights), the best set and the range.
+
+    Weight sets are a dimension of a few rows, which Spark broadcasts by its own size rule.
+    """
+    amount = sum((F.col(f"log_{m}") * F.col(m) for m in METRICS), F.lit(0.0)) / sum((F.col(m) for m in METRICS), F.lit(0.0)) * 15
+    scored = predictions.crossJoin(weights.select("name", *METRICS)).withColumn("rpi", F.least(F.greatest(amount, F.lit(0.0)), F.lit(100.0)))
+    return scored.groupBy(ident).agg(F.max_by("name", F.struct("rpi", "name")).alias("best"), F.max("rpi").alias("best_rpi"), (F.max("rpi") - F.min("rpi")).alias("range"))
+
+
+def retrain_report(rows: DataFrame, features: list[str], label: str, at: str, days: int = 7) -> DataFrame:
+    """ML-15: split by time, fit, and the errors of the model beside the mean's, in one row."""
+    from tidemark.operators.evaluation import errors, mean_predictor
+    from tidemark.operators.sampling import split_by_time
+
+    split = split_by_time(rows, at, days)
+    model = regression(split.where("not is_test"), features, label, trees=5, depth=3)
+    scored = model.transform(split.where("is_test")).select(F.col(label).alias("y"), F.col("prediction").alias("p"))
+    own = scored.agg(*[c.alias(k) for k, c in errors().items()], F.count("*").alias("test_rows"))
+    return own.crossJoin(mean_predictor(split.where("not is_test").select(F.col(label).alias("y")), scored))

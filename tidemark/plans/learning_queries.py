@@ -219,3 +219,45 @@ def src_07_08_harmonised_records(posts: DataFrame) -> DataFrame:
     )
     both = R.instagram(even).unionByName(R.tiktok(odd))
     return both.select("platform_id", "likes", "comments", "shares", "views", "author")
+
+
+@query(
+    """WITH w AS (SELECT * FROM (VALUES ('brand_awareness', 5.0, 2.0, 4.0, 2.0, 8.0), ('community', 2.0, 10.0, 5.0, 4.0, 3.0), ('viral', 2.0, 3.0, 15.0, 4.0, 6.0)) x(name, l, c, h, s, v)),
+    r AS (SELECT post_id, name, least(greatest((ln(1 + likes) * l + ln(1 + comments) * c + ln(1 + shares) * h + ln(1 + saves) * s + ln(1 + views) * v) / (l + c + h + s + v) * 15, 0), 100)::DOUBLE AS rpi FROM posts CROSS JOIN w)
+    SELECT post_id, max_by(name, rpi) AS best, round(max(rpi), 6) AS best_rpi, round(max(rpi) - min(rpi), 6) AS range FROM r GROUP BY post_id""",
+    "posts",
+    reads="posts",
+)
+def top_13_met_17_compare_weights(posts: DataFrame) -> DataFrame:
+    from tidemark.config import METRICS, TEMPLATES
+    from tidemark.operators.models import compare_weights
+
+    rows = [(n, *[TEMPLATES[n].of(m) for m in METRICS]) for n in ("brand_awareness", "community", "viral")]
+    weights = posts.sparkSession.createDataFrame(rows, "name string, " + ", ".join(f"{m} double" for m in METRICS))
+    logs = posts.select("post_id", *[F.log1p(m).alias(f"log_{m}") for m in METRICS])
+    made = compare_weights(logs, weights)
+    return made.select("post_id", "best", *rounded({c: F.col(c) for c in ("best_rpi", "range")}))
+
+
+@query(reads="posts")
+def ml_15_retrain_report(posts: DataFrame) -> DataFrame:
+    from tidemark.operators.models import retrain_report
+
+    return retrain_report(_training(posts), _FEATURES, "log_likes", "posted_at", 90)
+
+
+@query(
+    """SELECT post_id, CASE WHEN post_id % 3 = 0 THEN 0.0 ELSE (post_id % 90)::DOUBLE END AS duration, CAST(post_id % 3 <> 0 AND post_id % 90 BETWEEN 15 AND 60 AS INT) AS video_optimal_length, CAST(post_id % 2 = 0 AS INT) AS has_audio,
+    CAST(post_id % 2 = 0 AND post_id % 4 <> 0 AS INT) AS is_trending_audio, sha256(concat('salt', 'u', post_id)) AS url FROM posts""",
+    "posts",
+    reads="posts",
+)
+def cln_06_07_12_media(posts: DataFrame) -> DataFrame:
+    from tidemark.functions import cleaning as K
+
+    i = F.col("post_id")
+    item = F.struct(F.when(i % 3 == 0, "image").otherwise("video").alias("type"), F.concat(F.lit("u"), i).alias("url"), (i % 90).cast("double").alias("duration"))
+    audio = F.when(i % 4 == 0, "Original sound").when(i % 2 == 0, "hit")
+    rows = posts.select("post_id", F.array(item).alias("media"), audio.alias("audio"))
+    rows = K.anonymous(rows, "salt", [], "media").withColumn("duration", K.first_video(F.col("media")))
+    return rows.select("post_id", "duration", *[c.alias(k) for k, c in K.media_flags(F.col("duration"), F.col("audio")).items()], F.col("media")[0]["url"].alias("url"))
