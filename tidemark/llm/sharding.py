@@ -26,11 +26,13 @@ def _wishes(state: DataFrame, total: int, shards: int) -> DataFrame:
     held = held.withColumn("members", F.sum("n").over(group)).where("members > 1")
     place = F.row_number().over(group.orderBy(F.desc("n"), F.xxhash64("link", "shard"), "shard"))
     needed = F.ceil(F.col("members") / F.lit(max(1, total // shards)))
-    homes = held.withColumn("place", place).where(F.col("place") <= needed)
-    homes = homes.groupBy(*_GROUP).agg(F.sort_array(F.collect_list("shard")).alias("homes"))
+    held = held.withColumn("place", place)
+    homes = F.sort_array(F.collect_set(F.when(F.col("place") <= needed, F.col("shard"))).over(group))
+    # Joined by group and shard, so that a large group is as many keys as it has shards.
+    homes = held.select(*_GROUP, "shard", homes.alias("homes"))
     other = F.expr("homes[pmod(xxhash64(doc_id, 7), size(homes))]")
     want = F.when(F.col("homes").isNull() | F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(other)
-    return state.join(homes, _GROUP, "left").select(
+    return state.join(homes, [*_GROUP, "shard"], "left").select(
         "doc_id", *_GROUP, "shard", want.alias("want"), F.col("homes").isNotNull().alias("linked")
     )
 
