@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by longest-previous-factor arrays, over buckets of suffixes.
 
-A string of 100 bytes repeats only where its anchor does: the 32 bytes of smallest hash in it. Each anchor owns the run of
+A string of 100 bytes repeats only where its anchor does: the 48 bytes of smallest hash in it. Each anchor owns the run of
 strings that it is the anchor of, so suffixes are dealt by anchor and equal strings meet. Anchors that occur once drop out
 after a count. For the others the bytes around them, the context, travel; equal contexts are combined before and after the
 shuffle. What is left in a bucket is put in suffix order, and the previous and next smaller places there give each suffix
@@ -20,7 +20,7 @@ from tidemark.llm import textkit as kit
 from tidemark.llm.scratch import Scratch, bucket_keys, partitions
 
 LENGTH = 100
-_ANCHOR = 32
+_ANCHOR = 48  # a multiple of 8; shorter ones repeat by chance in documents that share no whole string
 _REACH = LENGTH - _ANCHOR + 1
 _SEGMENT = 4 << 20
 _PLACE_BITS = 24
@@ -37,9 +37,9 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data) - _ANCHOR + 1
     data = np.ascontiguousarray(data)
     total = np.zeros(n, np.uint64)
-    for at, factor in ((0, 0x9E3779B97F4A7C15), (8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
+    for at in range(0, _ANCHOR, 8):
         part = np.ndarray((n,), np.uint64, data, at, (1,))
-        total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + (part ^ (part >> np.uint64(32))) * np.uint64(factor)
+        total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return kit.mix(total)
 
 

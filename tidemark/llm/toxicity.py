@@ -100,11 +100,17 @@ def weigh(text: str | None, lexicon: Lexicon, automaton) -> float:
     return total / (1 + math.log1p(len(text) / 2400)) if total else 0.0
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch, few of them in memory as Python strings at a time."""
+    for at in range(0, batch.num_rows, 256):
+        yield from batch.column("text").slice(at, 256).to_pylist()
+
+
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_docs: Counter[str] = Counter()
         toxic_docs: Counter[str] = Counter()
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+        for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall(fold(text or "")))
             all_docs.update(words)
             if toxic:
@@ -121,7 +127,7 @@ def _count_company(lexicon: Lexicon):
         for batch in batches:
             every: Counter[tuple[str, str, str]] = Counter()
             bad: Counter[tuple[str, str, str]] = Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist(), strict=True):
                 folded = fold(text or "")
                 found = {c for begin, stem, _ in _hits(folded, automaton) for c in _company(folded, begin, stem)}
                 every.update(found)
@@ -140,7 +146,7 @@ def _weigh_rows(lexicon: Lexicon):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            raw = [weigh(t, lexicon, automaton) for t in batch.column("text").to_pylist()]
+            raw = [weigh(t, lexicon, automaton) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(raw, pa.float64())], [*[c for c in batch.schema.names if c != "text"], "raw"])
 
     return run
@@ -238,7 +244,7 @@ def keep_mild(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            raw = [weigh(t, lexicon, automaton) for t in batch.column("text").to_pylist()]
+            raw = [weigh(t, lexicon, automaton) for t in _texts(batch)]
             yield batch.filter(pa.array([r == 0 or r * lexicon.slope + lexicon.intercept < limit for r in raw], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
