@@ -29,7 +29,7 @@ def _rows(frame):
     def plain(x):
         if x is None or (isinstance(x, float) and math.isnan(x)) or str(x) in ("NaT", "<NA>"):
             return "-"
-        return f"{float(x):.5f}" if isinstance(x, float) or hasattr(x, "dtype") and getattr(x, "ndim", 1) == 0 and x.dtype.kind in "fiu" or isinstance(x, int) and not isinstance(x, bool) else str(x)
+        return f"{round(float(x), 5) + 0.0:.5f}" if isinstance(x, float) or hasattr(x, "dtype") and getattr(x, "ndim", 1) == 0 and x.dtype.kind in "fiu" or isinstance(x, int) and not isinstance(x, bool) else str(x)
 
     return sorted(tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
 

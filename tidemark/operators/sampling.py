@@ -43,7 +43,7 @@ def balanced(posts: DataFrame, config: Sampling = Sampling(), by: str = "engagem
 def stratified(posts: DataFrame, top: int = 25, by: str = "engagement_score", key: str = "author_id", ident: str = "post_id") -> DataFrame:
     """TOP-03: quintiles of the ranks, the last with the remainder; twice as many of both ends, half of the middle ones."""
     each = max(top // 5, 2)
-    size = F.floor(F.col("_n") / 5)
+    size = F.greatest(F.floor(F.col("_n") / 5), F.lit(1))
     stratum = F.least(F.floor(F.col("_up") / size), F.lit(4))
     place = F.col("_up") - stratum * size
     quota = F.when(stratum.isin(0, 4), each * 2).otherwise(each // 2)

@@ -346,7 +346,7 @@ def top_02_balanced(posts: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RANKED} SELECT post_id FROM (SELECT *, least(up // (n // 5), 4) AS s FROM r) x WHERE n < 10 OR up - s * (n // 5) < CASE WHEN s IN (0, 4) THEN 6 ELSE 1 END""",
+    f"""WITH {_RANKED} SELECT post_id FROM (SELECT *, least(up // greatest(n // 5, 1), 4) AS s FROM r) x WHERE n < 10 OR up - s * (n // 5) < CASE WHEN s IN (0, 4) THEN 6 ELSE 1 END""",
     "posts",
     reads="posts",
 )

@@ -33,4 +33,5 @@ def query(sql: str | None = None, *adapters: str, reads: str = ""):
 
 
 def rounded(columns: dict[str, Column], digits: int = 6) -> list[Column]:
-    return [F.round(c.cast("double"), digits).alias(k) for k, c in columns.items()]
+    """The columns rounded; a negative zero becomes a plain one."""
+    return [(F.round(c.cast("double"), digits) + F.lit(0.0)).alias(k) for k, c in columns.items()]

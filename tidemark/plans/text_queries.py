@@ -163,7 +163,7 @@ def txt_13_curiosity_bonus(captions: DataFrame) -> DataFrame:
 @query(
     f"""WITH f AS (SELECT post_id, content_format, {_T} AS t, least(({' + '.join(_HOOKS.values())}) / 3, 1) AS hook, {' + '.join(_CTAS.values())} AS ctas, CAST({_has(T.STRONG_CTA)} AS INT) AS strong,
       CAST(content_format IN ('reel', 'tiktok_video') AS INT) AS reel, (post_id % 5 - 2) / 2.0 AS s, post_id % 2 AS opt, repeat('x', CAST(post_id % 700 AS INT)) AS speech FROM captions)
-    SELECT post_id, round(hook * s, 6) AS hook_x_sentiment, round(hook * reel, 6) AS hook_x_is_reel, round(hook * ctas, 6) AS hook_x_cta_count, round(s * ctas, 6)::DOUBLE AS sentiment_x_cta_count,
+    SELECT post_id, round(hook * s, 6) + 0.0::DOUBLE AS hook_x_sentiment, round(hook * reel, 6) AS hook_x_is_reel, round(hook * ctas, 6) AS hook_x_cta_count, round(s * ctas, 6)::DOUBLE + 0.0::DOUBLE AS sentiment_x_cta_count,
     (reel * opt)::DOUBLE AS is_reel_x_video_optimal, round(least(length(speech) / 500, 1), 6) AS transcript_richness, 0.0::DOUBLE AS ocr_richness,
     round(least((length(t) + length(speech)) / 1000, 1), 6) AS multimodal_text_density, round(hook * abs(s), 6) AS semantic_hook_x_vader, round(hook * strong, 6) AS semantic_hook_x_cta_strong FROM f""",
     "captions",
