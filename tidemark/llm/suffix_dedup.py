@@ -160,7 +160,8 @@ def _deal_contexts(keys: list[int]):
         kept, removed = _first_of_each(contexts)
         docs, spans = _span_rows(removed)
         none = lambda t: pa.nulls(len(docs), t)
-        yield pa.RecordBatch.from_arrays([none(pa.int32()), *[none(pa.binary())] * 5, pa.array(docs, pa.int64()), pa.array(spans, pa.binary())], schema=_CONTEXTS)
+        where = pa.array([keys[d % len(keys)] for d in docs], pa.int32())
+        yield pa.RecordBatch.from_arrays([where, *[none(pa.binary())] * 5, pa.array(docs, pa.int64()), pa.array(spans, pa.binary())], schema=_CONTEXTS)
         dealt = np.array([c[3] for c in kept], np.uint64)
         for b, at in _by_bucket((dealt % np.uint64(len(keys))).astype(np.int64)):
             part = [kept[i] for i in at]
@@ -256,8 +257,11 @@ def _remove_in_block(block: list[tuple[int, int, bytes, int, int]]) -> list[tupl
 def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for b, *parts in zip(*[batch.column(c).to_pylist() for c in _CONTEXTS.names[:6]], strict=True):
-            held.setdefault(b, []).append(tuple(parts))
+        known = batch.column("spans").is_valid()  # what a task found alone passes through
+        yield batch.select(["doc_id", "spans"]).filter(known)
+        for b, *parts, doc in zip(*[batch.column(c).to_pylist() for c in (*_CONTEXTS.names[:6], "doc_id")], strict=True):
+            if doc is None:
+                held.setdefault(b, []).append(tuple(parts))
     for b in list(held):
         contexts = []
         for keys, docs, begins, counts, data in held.pop(b):
@@ -328,9 +332,9 @@ def remove_repeats(docs: DataFrame, frequent: int = 20_000) -> tuple[DataFrame,
     places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     places = places.join(rows.where("not copy").select("doc_id").distinct(), "doc_id", "left_semi")
     suspects = scratch.save(texts.join(places, "doc_id"))
-    contexts = scratch.save(suspects.mapInArrow(_deal_contexts(keys), "bucket int, keys binary, docs binary, begins binary, counts binary, data binary, doc_id long, spans binary"))
-    met = contexts.where("bucket is not null").select(*_CONTEXTS.names[:6]).repartition(buckets, "bucket").mapInArrow(_factors, "doc_id long, spans binary")
-    spans = contexts.where("bucket is null").select("doc_id", "spans").union(met).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    contexts = suspects.mapInArrow(_deal_contexts(keys), "bucket int, keys binary, docs binary, begins binary, counts binary, data binary, doc_id long, spans binary")
+    spans = contexts.repartition(buckets, "bucket").mapInArrow(_factors, "doc_id long, spans binary")
+    spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     cut = suspects.select("doc_id", "text").join(spans, "doc_id").dropDuplicates(["doc_id"])
     cut = cut.mapInArrow(_cut, "doc_id long, kept binary, n_removed long, n_spans long").where("n_removed > 0")
     return cut, rows
