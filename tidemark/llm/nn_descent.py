@@ -285,7 +285,7 @@ def _shown(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(
-    vectors: DataFrame, every: int = 50, nearest: int = 5, degree: int = 24, back: int = 12, rounds: int = 4, trees: int = 3, leaf: int = 1024, width: int = 256, wide: int = 20, steps: int = 8
+    vectors: DataFrame, every: int = 50, nearest: int = 5, degree: int = 30, back: int = 16, rounds: int = 6, trees: int = 3, leaf: int = 1024, width: int = 400, wide: int = 32, steps: int = 9
 ) -> DataFrame:
     """The ``nearest`` rows of ``vectors`` (vec_id, embedding) by cosine for each row whose vec_id is divisible by ``every``.
 
