@@ -222,6 +222,25 @@ def test_jaccard_join(spark, docs, none):
         assert len(made) == 27 and {(x["doc_id"], (x["n_shingles"], x["component_id"])) for x in made if x["doc_id"]} == set(_jaccard(dict(chain)).items())
 
 
+def test_jaccard_join_of_salted_shingles(spark):
+    """Near copies of one text, each with an edit of its own, share only frequent shingles, which are dealt to many buckets."""
+    from tidemark.llm.jaccard_join import classes
+
+    r = random.Random(6)
+    base = [_word(r) + str(i) for i in range(20)]
+    copies = [(i, " ".join([*base, f"own{i}"])) for i in range(90)]
+    copies += [(i, " ".join(base[:8] + [f"x{i}y{j}" for j in range(9)])) for i in range(90, 96)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        made = classes(spark.createDataFrame(copies, "doc_id long, text string"), salted=20).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = _jaccard(dict(copies))
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in made} == want
+    assert len({c for _, c in want.values()}) == 7
+
+
 def test_secrets(spark, docs, none):
     from tidemark.llm import secrets as S
 

@@ -23,6 +23,7 @@ from tidemark.llm.scratch import Scratch, bucket_keys, partitions, with_ids, wit
 _FIRST = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 _SECOND = pa.schema([("node", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("gids", pa.binary()), ("reach", pa.binary()), ("prefix", pa.binary())])
 _SHARED = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("reach", pa.int64()), ("star", pa.int64())])
+_SALTED = np.uint32(1 << 31)
 _SETS = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
 
@@ -86,18 +87,18 @@ def _second_pass(words: int, keys: list[int], heavy: np.ndarray, heavy_times: np
                 node, rows, hashes = _sets(piece, words)
                 if not len(rows):
                     continue
-                times = np.zeros(len(hashes), np.int64)
+                times, at = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
                     times = np.where(heavy[at] == hashes, heavy_times[at], 0)
                 order = np.lexsort((hashes, times, rows))
-                hashes, times = hashes[order], times[order]
+                hashes, times, at = hashes[order], times[order], at[order]
                 size = np.bincount(rows, minlength=piece.num_rows)
                 start = np.concatenate([[0], np.cumsum(size)])
                 place = np.arange(len(rows)) - start[rows]
                 n = size[rows]
                 probing = place < n - (3 * n + 3) // 4 + 1
-                rows, hashes, times, place, n = rows[probing], hashes[probing], times[probing], place[probing], n[probing]
+                rows, hashes, times, at, place, n = rows[probing], hashes[probing], times[probing], at[probing], place[probing], n[probing]
                 # The largest set with which this could be the first shared shingle: 7 * (n - place) >= 3 * (n + other).
                 reach = ((7 * (n - place) - 3 * n) // 3).astype(np.uint32)
                 there, begins = np.unique(rows, return_index=True)
@@ -107,12 +108,14 @@ def _second_pass(words: int, keys: list[int], heavy: np.ndarray, heavy_times: np
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 prefix = [np.unique(x).tobytes() for x in np.split(short, begins[1:])]
                 yield pa.RecordBatch.from_arrays([_signed(node[there]), _signed(gid[there]), pa.array(size[there].astype(np.int64)), none, empty, empty, empty, pa.array(prefix, pa.binary())], schema=_SECOND)
-                # A very frequent shingle is dealt to several buckets by group, each with a star of its own.
+                # A very frequent shingle is dealt to several buckets by group, each with a star of its own. Its token is its
+                # place among the frequent ones, marked by the highest bit, so that it is one in all buckets.
                 groups = gid[rows]
-                salt = groups % np.maximum(1, times // salted).astype(np.uint64)
+                salts = np.maximum(1, times // salted).astype(np.uint64)
+                salt = groups % salts
                 spread = kit.mix(hashes + salt * np.uint64(0xC2B2AE3D27D4EB4F))
                 bucket = np.array(keys, np.int32)[(spread % np.uint64(len(keys))).astype(np.int64)]
-                token = short >> np.uint32(1)
+                token = np.where(salts > 1, at.astype(np.uint32) | _SALTED, short >> np.uint32(1))
                 by = np.argsort(bucket, kind="stable")
                 which, cuts = np.unique(bucket[by], return_index=True)
                 tokens, groups, reach = token[by], groups[by], reach[by]
@@ -125,7 +128,10 @@ def _second_pass(words: int, keys: list[int], heavy: np.ndarray, heavy_times: np
 
 
 def _shared_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the prefix shingles that several groups share, with the smallest of these groups as the star's centre."""
+    """Of each bucket the prefix shingles that several groups share, with the smallest of these groups as the star's centre.
+
+    Shingles that are dealt to several buckets have names below 0, and all their groups count as shared.
+    """
     held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     for batch in batches:
         for bucket, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "tokens", "gids", "reach")], strict=True):
@@ -140,9 +146,10 @@ def _shared_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         token, gid, reach = token[new], gid[new], reach[new]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff([*first, len(token)])
-        several = np.repeat(count > 1, count)
+        salted = token >= _SALTED
+        several = np.repeat(count > 1, count) | salted
         star = np.repeat(gid[first], count)
-        name = (np.int64(bucket) << np.int64(32)) | token.astype(np.int64)
+        name = np.where(salted, -1 - (token & ~_SALTED).astype(np.int64), (np.int64(bucket) << np.int64(32)) | token.astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(name[several]), pa.array(gid[several]), pa.array(reach[several].astype(np.int64)), pa.array(star[several])], schema=_SHARED)
 
 
@@ -230,7 +237,11 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     heads = scratch.save(members.groupBy("gid").agg(F.min("node").alias("head"), F.first("size").alias("size"), F.count("*").alias("n")))
     inside = members.drop("prefix").join(heads.where("n > 1").select("gid", "head"), "gid").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     ends = lambda name: heads.select(F.col("gid").alias(name), F.col("head").alias(f"{name}_head"), F.col("size").alias(f"{name}_size"))
-    across = shared.where("gid <> star").select("gid", "star").distinct().join(ends("gid"), "gid").join(ends("star"), "star")
+    # The stars of a shingle that was dealt to several buckets are themselves a star around the smallest of them.
+    dealt = shared.where("token < 0").select("token", "star").distinct()
+    hubs = dealt.join(dealt.groupBy("token").agg(F.min("star").alias("centre")), "token").select(F.col("star").alias("gid"), F.col("centre").alias("star"))
+    rays = scratch.save(shared.select("gid", "star").union(hubs).distinct())
+    across = rays.where("gid <> star").join(ends("gid"), "gid").join(ends("star"), "star")
     alike = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
     across = across.where(alike.format("gid_size", "star_size")).select(F.least("gid_head", "star_head").alias("a"), F.greatest("gid_head", "star_head").alias("b"))
     stars = scratch.save(inside.union(across).where("a <> b").distinct())
@@ -252,7 +263,7 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     found = scratch.save(components(near, scratch))
     # Once more, around several centres of each star whose members are still in several components.
     named = lambda df: df.join(members.drop("prefix"), "gid").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    around = scratch.save(named(shared.select("star", "gid").distinct()))
+    around = scratch.save(named(rays))
     mixed = around.groupBy("star").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("star")
     around = scratch.save(around.join(mixed, "star", "left_semi"))
     place = F.row_number().over(Window.partitionBy("star").orderBy(F.xxhash64("node"), "node"))
@@ -264,12 +275,15 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     near = scratch.save(near.union(links(ring)))
     found = scratch.save(components(near, scratch))
     # All pairs of different components that share a prefix shingle which can be their first; nothing else can be linked.
+    # One of the two is outside the shingle's largest component, so that one is never joined with itself.
     placed = named(shared.select("token", "gid", "reach"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = scratch.save(placed.join(mixed, "token", "left_semi"))
-    x, y = placed.alias("x"), placed.alias("y")
-    first_shared = "x.token = y.token and x.node < y.node and x.component <> y.component and x.size <= y.reach and y.size <= x.reach"
-    rest = x.join(y, F.expr(first_shared)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    largest = placed.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    minor = placed.join(largest, "token").where("component <> largest")
+    x, y = minor.alias("x"), placed.alias("y")
+    first_shared = "x.token = y.token and (x.node < y.node or y.component = x.largest) and x.component <> y.component and x.size <= y.reach and y.size <= x.reach"
+    rest = x.join(y, F.expr(first_shared)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = links(scratch.save(rest.join(stars.union(ring), ["a", "b"], "left_anti")))
     found = scratch.save(components(near.union(more), scratch))
 
