@@ -268,6 +268,22 @@ def test_secrets(spark, docs, none):
     assert S.digest(none).count() == 0
 
 
+def test_rare_structured_tokens(spark):
+    """Benjamini-Hochberg as by sorting all p-values, also where few tokens are structured."""
+    from tidemark.llm import secrets as S
+
+    r = random.Random(12)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tokens = ["z1" * 22, "abcdefgh12345678" * 3] + ["".join(r.choice(letters) for _ in range(44)) for _ in range(150)]
+    tokens = [t for t in tokens if re.search("[0-9]", t)]
+    table = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
+    p = {x["text"]: x["p"] for x in table.select("text", S.p_value(F.col("text")).alias("p")).collect()}
+    cuts = [q for k, q in enumerate(sorted(p.values()), 1) if q <= 0.05 * k / len(p)]
+    assert cuts and p[tokens[0]] <= max(cuts)
+    got = {x["doc_id"]: x["spans"] for x in S.digest(table).collect()}
+    assert {tokens[i] for i, spans in got.items() if not spans} == {t for t, q in p.items() if q <= max(cuts)}
+
+
 def test_language_model(spark, docs, none):
     import math
     from collections import Counter

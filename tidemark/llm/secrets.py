@@ -8,9 +8,13 @@ classes of length, Benjamini-Hochberg says which tokens are not random; the othe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch
+
 # The patterns that are looked for, and the encodings with their alphabets from small to large.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -29,7 +33,9 @@ ENCODINGS = [
 ]
 #: Classes of token length, by their least; longer tokens give the tests more power, so each class has a limit of its own.
 LENGTHS = (20, 28, 40, 64)
-_BINS = 400  # of p-values: the limits are found from counts in bins, a bounded table
+_STEPS = 1_000_000  # levels for each unit of -ln p, so p-values count as equal within a millionth of themselves
+_WIDE = 1 << 14  # levels in a bin; p-values are above exp(-140), so there are at most 8,600 bins
+_NEVER = 1 << 62
 
 
 def _literal(pattern: str) -> str:
@@ -114,21 +120,40 @@ def _length_class(token: Column) -> Column:
     return sum(F.when(F.length(token) >= least, 1).otherwise(0) for least in LENGTHS) - F.lit(1)
 
 
-def limits(docs: DataFrame, rate: float = 0.05) -> list[float]:
-    """For each length class the largest p-value that Benjamini-Hochberg at ``rate`` calls not random, over all tokens of
-    ``docs`` (text); -1 where it calls none so. Only counts in bins of p-values reach the driver."""
+def _level(token: Column) -> Column:
+    """-ln of the token's p-value in whole steps: the higher, the less random."""
+    return F.floor(F.greatest(-F.log(p_value(token)), F.lit(0.0)) * _STEPS).cast("long")
+
+
+def limits(docs: DataFrame, rate: float = 0.05) -> list[int]:
+    """For each length class the least level (``_level``) that Benjamini-Hochberg at ``rate`` calls not random, over all tokens
+    of ``docs`` (text); ``_NEVER`` where it calls none so. Counts in bins of levels reach the driver, then the counts of each
+    level in those bins where the limit can be."""
     tokens = _spans(docs.select("text")).select(F.explode("token").alias("m")).select(F.col("m.text").alias("token"))
-    binned = tokens.select(_length_class(F.col("token")).alias("class"), F.least(F.ceil(p_value(F.col("token")) * _BINS), F.lit(_BINS)).alias("bin"))
-    counts = {(r["class"], r["bin"]): r["n"] for r in binned.groupBy("class", "bin").agg(F.count("*").alias("n")).collect()}
-    found = []
-    for c in range(len(LENGTHS)):
-        total = sum(n for (k, _), n in counts.items() if k == c)
-        below, limit = 0, -1.0
-        for b in range(_BINS + 1):
-            below += counts.get((c, b), 0)
-            if below and b / _BINS <= rate * below / total:
-                limit = b / _BINS
-        found.append(limit)
+    scores = Scratch(docs.sparkSession, "secrets").save(tokens.select(_length_class(F.col("token")).alias("class"), _level(F.col("token")).alias("level")))
+    bins = scores.groupBy("class", F.expr(f"level div {_WIDE}").alias("bin")).agg(F.count("*").alias("n")).collect()
+    totals = [sum(r["n"] for r in bins if r["class"] == c) for c in range(len(LENGTHS))]
+    # From the largest p-values on: bins that can hold the limit, up to one that lies below the line as a whole.
+    open_bins: list[tuple[int, int, int]] = []
+    for c, total in enumerate(totals):
+        left = total
+        for b, n in sorted((r["bin"], r["n"]) for r in bins if r["class"] == c):
+            line = rate * left / total
+            left -= n
+            if math.exp(-((b + 1) * _WIDE - 1) / _STEPS) <= line:
+                open_bins.append((c, b, left))
+            if math.exp(-b * _WIDE / _STEPS) <= line:
+                break
+    found = [_NEVER] * len(LENGTHS)
+    if open_bins:
+        wanted = F.concat_ws(":", "class", F.expr(f"level div {_WIDE}")).isin([f"{c}:{b}" for c, b, _ in open_bins])
+        levels = scores.where(wanted).groupBy("class", "level").agg(F.count("*").alias("n")).collect()
+        for c, b, above in open_bins:
+            left = above
+            for level, n in sorted(((r["level"], r["n"]) for r in levels if r["class"] == c and r["level"] // _WIDE == b), reverse=True):
+                left += n
+                if math.exp(-level / _STEPS) <= rate * left / totals[c]:
+                    found[c] = min(found[c], level)
     return found
 
 
@@ -146,7 +171,7 @@ def find(docs: DataFrame, rate: float = 0.05) -> DataFrame:
         bound = chosen
         for c in range(len(LENGTHS) - 1):
             bound = F.when(_length_class(token(m)) == c, limit[c]).otherwise(bound)
-        return F.ceil(p_value(token(m)) * _BINS) / _BINS > bound
+        return _level(token(m)) < bound
 
     found = _spans(docs).withColumn("base", F.array_sort(F.concat("assign", "access", "hexes")))
     clear = F.filter("token", lambda m: random(m) & ~F.exists("base", lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
