@@ -151,6 +151,22 @@ def test_pseudonyms(spark):
     assert pseudonymise(days.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_whole_addresses(spark):
+    """Long and numeric local parts move as a whole, every counted address changes, and none coincide."""
+    from tidemark.llm.pii import pseudonymise
+
+    long = "a" * 24
+    locals_ = [f"{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [f"{1234567 + i}" for i in range(40)] + [f"{long}secretname{c}" for c in "abcdef"] + ["john1985", "john1986", "._-"]
+    rows = [(i, f"{x}@qq.com") for i, x in enumerate(locals_)]
+    made = {r["doc_id"]: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert made[len(rows) - 1]["found"] == [] and made[len(rows) - 1]["text"] == "._-@qq.com"
+    new = [made[i]["text"] for i in range(len(rows) - 1)]
+    assert all(made[i]["found"] == ["email"] and new[i] != rows[i][1] for i in range(len(new))) and len(set(new)) == len(new)
+    shape = lambda t: re.sub("[0-9]", "0", re.sub("[a-z]", "a", t))
+    assert all(shape(n) == shape(t) for n, (_, t) in zip(new, rows, strict=False))
+    assert not any("secretname" in n or "1985" in n for n in new)
+
+
 def test_nearest_neighbours(spark):
     from tidemark.llm.nn_descent import search
 

@@ -116,19 +116,29 @@ def _date(m: str) -> str:
 
 
 def _email(m: str) -> str:
-    """Letters of the local part move as a number of base 26 in two halves of at most 12; digits and signs stay."""
-    letters = f"substring(regexp_replace(lower(substring_index({m}, '@', 1)), '[^a-z]', ''), 1, 24)"
-    value = lambda part: f"aggregate(filter(split({part}, ''), c -> c <> ''), 0L, (s, c) -> s * 26 + ascii(c) - 97)"
-    power = lambda n: f"aggregate(sequence(0, {n}), 1L, (s, i) -> if(i = 0, s, s * 26))"
-    left = "(length(l) div 2)"
-    moved = _feistel("email", value(f"substring(l, 1, {left})"), value(f"substring(l, {left} + 1)"), "z.a", "z.b")
-    sized = _let(f"named_struct('a', {power(left)}, 'b', {power(f'(length(l) - {left})')})", "z", moved)
-    spell = lambda x, n: f"reverse(aggregate(sequence(0, {n}), named_struct('v', {x}, 'w', ''), (s, i) -> if(i = 0, s, named_struct('v', s.v div 26, 'w', concat(s.w, char(97 + s.v % 26)))), s -> s.w))"
-    new = _let(sized, "f", f"concat({spell('f.a', left)}, {spell('f.b', f'(length(l) - {left})')})")
-    local, domain = f"substring_index({m}, '@', 1)", f"substring_index({m}, '@', -1)"
-    seat = f"length(regexp_replace(lower(substring({local}, 1, i)), '[^a-z]', '')) + 1"
-    put = f"array_join(transform(split({local}, '(?<=.)'), (c, i) -> if(c rlike '[A-Za-z]' and {seat} <= length(w), substring(w, {seat}, 1), c)), '')"
-    return _let(letters, "l", f"if(length(l) = 0, {m}, concat({_let(new, 'w', put)}, '@', {domain}))")
+    """All letters of the local part move, and its digits where they are three or more or stand without letters; signs stay.
+
+    Each character is shifted by a keyed hash of all before it, in passes from both ends, with the first one known to all;
+    the first is shifted last, by the others, and never by 0, so every address that counts is changed and none coincide.
+    """
+    drawn = lambda *parts: f"cast(conv(substring(sha2(concat_ws('|', pii_key, 'email', {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
+
+    def shifted(c: str, by: str, least: int, kinds: str) -> str:
+        move = lambda first, base: f"char({first} + (ascii({c}) - {first} + {least} + {by} % {base - least}) % {base})"
+        digits = f"when {c} rlike '[0-9]' then {move(48, 10)}" if "0" in kinds else ""
+        return f"case when {c} rlike '[a-z]' then {move(97, 26)} {digits} else {c} end"
+
+    def moved(kinds: str) -> str:
+        one = shifted("c", drawn("length(l)", "p", "x", "r", "s"), 0, kinds)
+        through = f"aggregate(filter(split(w, ''), c -> c <> ''), '', (s, c) -> concat(s, {one}))"
+        rest = f"aggregate(sequence(1, 4), substring(l, length(p) + 2), (w, r) -> reverse({through}))"
+        whole = _let(rest, "o", f"concat(p, {shifted('x', drawn('length(l)', 'p', 'o'), 1, kinds)}, o)")
+        return _let(f"regexp_extract(l, '^[^{kinds}]*', 0)", "p", _let("substring(l, length(p) + 1, 1)", "x", whole))
+
+    digits = "length(regexp_replace(l, '[^0-9]', ''))"
+    made = f"case when {digits} >= 3 or ({digits} > 0 and not l rlike '[a-z]') then {moved('a-z0-9')} when l rlike '[a-z]' then {moved('a-z')} end"
+    local, domain = f"lower(substring_index({m}, '@', 1))", f"substring_index({m}, '@', -1)"
+    return _let(local, "l", _let(made, "n", f"if(n is null, null, concat(n, '@', {domain}))"))
 
 
 _MADE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
