@@ -368,6 +368,19 @@ def test_decontamination(spark, docs, none):
     assert D.find(none, bench).count() == 0 and D.find(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_excerpts(spark):
+    """Exact excerpts of 96 bytes are found wherever they begin in an item, and short items as whole words."""
+    from tidemark.llm import decontamination as D
+
+    r = random.Random(10)
+    item = _text(r, 60)[:200]
+    bench = spark.createDataFrame([(1, item), (2, "Grumpf  blarg"), (3, " "), (4, "")], "item_id long, text string")
+    rows = [(i, _text(r, 20) + "; " + item[i : i + 96] + " ;" + _text(r, 20)) for i in range(105)]
+    rows += [(200, "so grumpf  BLARG."), (201, "so xgrumpf  blarg"), (202, "so grumpf blarg"), (203, "grumpf  blarg"), (204, _text(r, 50)), (205, None), (206, "")]
+    made = {x["doc_id"]: {h["item_id"] for h in x["hits"]} for x in D.find(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {k: v for k, v in made.items() if v} == {i: {1} for i in range(105)} | {200: {2}, 203: {2}}
+
+
 def test_sharding(spark, docs, none):
     from tidemark.llm.sharding import shard
 

@@ -59,7 +59,7 @@ class Index:
         for item, text in rows:
             text = _NORMAL[np.frombuffer(text, np.uint8)].tobytes()
             last = max(0, len(text) - window)
-            for at in sorted({*range(0, last, window // 2), last}):
+            for at in sorted({*range(0, last, max(1, window // 4)), last}):
                 items.append(item)
                 windows.append(text[at : at + window])
         if not windows:
@@ -67,8 +67,8 @@ class Index:
         size = np.array([len(w) for w in windows])
         budget = np.minimum((size * rate).astype(np.int64), (size - _Q) // _Q)
         codes = [_grams(np.frombuffer(w, np.uint8)) for w in windows]
-        window_of = np.repeat(np.arange(len(windows)), [len(c) for c in codes])
-        place_of = np.concatenate([np.arange(len(c)) for c in codes])
+        window_of = np.repeat(np.arange(len(windows), dtype=np.int32), [len(c) for c in codes])
+        place_of = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])
         joined = np.concatenate(codes)
         order = np.argsort(joined, kind="stable")
         joined, window_of, place_of = joined[order], window_of[order], place_of[order]
@@ -166,16 +166,59 @@ def _find(index: Index, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[t
     return found
 
 
-def _hits(index: Index | None, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, set[tuple[int, int, int]]]]]:
+@dataclass
+class Short:
+    """Items too short for windows, by their number of bytes: codes in order, with the items of each code."""
+
+    codes: dict[int, np.ndarray]
+    items: dict[bytes, list[int]]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, bytes]]) -> Short:
+        items: dict[bytes, list[int]] = {}
+        for item, text in rows:
+            items.setdefault(_NORMAL[np.frombuffer(text, np.uint8)].tobytes(), []).append(item)
+        codes: dict[int, list[int]] = {}
+        for text in items:
+            data = np.frombuffer(text, np.uint8)
+            codes.setdefault(len(text), []).append(kit.window_hash(kit.prefix_sums(data), np.array([0]), np.array([len(text)]))[0])
+        return cls({n: np.unique(np.array(c, np.uint64)) for n, c in codes.items()}, items)
+
+
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def _find_short(short: Short, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
+    """For each row with a short item as whole words: item, begin and end in bytes."""
+    found: dict[int, set[tuple[int, int, int]]] = {}
+    inner = np.zeros(len(data) + 1, bool)  # places between two letters
+    inner[1:-1] = _WORD[data[1:]] & _WORD[data[:-1]]
+    inner[bounds] = False
+    edges = np.flatnonzero(~inner)
+    sums = kit.prefix_sums(data)
+    for n, codes in short.codes.items():
+        begin = edges[edges + n <= len(data)]
+        begin = begin[~inner[begin + n]]
+        begin = begin[np.isin(kit.window_hash(sums, begin, begin + n), codes)]
+        for at, r in zip(begin.tolist(), (np.searchsorted(bounds, begin, side="right") - 1).tolist(), strict=True):
+            if at + n <= bounds[r + 1]:
+                for item in short.items.get(data[at : at + n].tobytes(), ()):
+                    found.setdefault(r, set()).add((item, at - int(bounds[r]), at - int(bounds[r]) + n))
+    return found
+
+
+def _hits(index: Index | Short | None, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, set[tuple[int, int, int]]]]]:
     for piece in kit.text_slices(batch, "text"):
         data, bounds = kit.utf8(piece.column("text"))
-        yield piece, _find(index, _NORMAL[data], bounds) if index else {}
+        look = _find_short if isinstance(index, Short) else _find
+        yield piece, look(index, _NORMAL[data], bounds) if index else {}
 
 
 _PLACE = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(index: Index | None):
+def _scan(index: Index | Short | None):
     """Rows (doc_id, text, hits) with the hits of this index added."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +231,7 @@ def _scan(index: Index | None):
     return run
 
 
-def _clean(index: Index | None):
+def _clean(index: Index | Short | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, found in _hits(index, batch):
@@ -197,35 +240,38 @@ def _clean(index: Index | None):
     return run
 
 
-def _parts(items: DataFrame, window: int, rate: float, least_bytes: int, most_bytes: int) -> Iterator[Index | None]:
-    """Indexes of at most ``most_bytes`` of item text each, which every task gets."""
+def _parts(items: DataFrame, window: int, rate: float, least_bytes: int, most_bytes: int) -> Iterator[Index | Short | None]:
+    """Indexes, of items of ``least_bytes`` and of shorter ones, of at most ``most_bytes`` of item text each, which every task gets."""
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    known = known.where(F.col("item_id").isNotNull() & (F.octet_length("text") >= least_bytes)).dropDuplicates(["item_id", "text"])
-    part: list[tuple[int, bytes]] = []
-    held = 0
-    for r in known.orderBy("item_id", "text").toLocalIterator():
-        text = r["text"].encode()
-        if held + len(text) > most_bytes and part:
-            yield Index.of(part, window, rate)
-            part, held = [], 0
-        part.append((r["item_id"], text))
-        held += len(text)
-    if part:
-        yield Index.of(part, window, rate)
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 96, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 4 << 20) -> DataFrame:
+    known = known.where(F.col("item_id").isNotNull() & (F.length(F.trim("text")) > 0)).dropDuplicates(["item_id", "text"])
+    is_short = F.octet_length("text") < least_bytes
+    for some, made in ((known.where(~is_short), lambda part: Index.of(part, window, rate)), (known.where(is_short), Short.of)):
+        part: list[tuple[int, bytes]] = []
+        held = 0
+        for r in some.orderBy("item_id", "text").toLocalIterator():
+            text = r["text"].encode()
+            if held + len(text) > most_bytes and part:
+                yield made(part)
+                part, held = [], 0
+            part.append((r["item_id"], text))
+            held += len(text)
+        if part:
+            yield made(part)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``find`` finds nothing; null and empty texts stay."""
     for index in _parts(items, window, rate, least_bytes, most_bytes):
         docs = docs.mapInArrow(_clean(index), docs.schema)
     return docs
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = 96, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 4 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 1 << 20) -> DataFrame:
     """The windows of benchmark ``items`` (item_id, text) that occur in ``docs`` (doc_id, text) within their edit budget.
 
     Texts are compared as UTF-8 bytes with A-Z in lower case and white space as blanks; a window of n bytes may have ``rate`` * n
-    edits. Items under ``least_bytes`` are no evidence and left out, as are null ones. Returns a row for each row of ``docs``:
+    edits. Windows begin every quarter of ``window``, so an exact excerpt of a window and a quarter is always found. Items under
+    ``least_bytes`` must occur exactly, as whole words; null and blank ones are left out. Returns a row for each row of ``docs``:
     doc_id and hits, an array of (item_id, begin, end) by bytes of the text, empty for null and empty texts. Repeated rows are
     scanned each; other columns are not read. ``most_bytes`` of item text are looked for at once; more items take several scans.
     """
