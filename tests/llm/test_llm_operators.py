@@ -257,6 +257,27 @@ def test_jaccard_join_of_salted_shingles(spark):
     assert len({c for _, c in want.values()}) == 7
 
 
+@pytest.mark.parametrize("edits", [1, 2, 4])
+def test_jaccard_join_of_many_near_copies(spark, edits, monkeypatch):
+    """600 copies of one text, each with edits of its own: the pairs looked at grow with the copies and not with their square."""
+    from tidemark.llm import jaccard_join as J
+
+    r = random.Random(edits)
+    base = [_word(r) + str(i) for i in range(100)]
+    copies = []
+    for i in range(600):
+        words = list(base)
+        for j, at in enumerate(r.sample(range(100), edits)):
+            words[at] = f"own{i}x{j}"
+        copies.append((i, " ".join(words)))
+    asked = []
+    verify = J._Join.verify
+    monkeypatch.setattr(J._Join, "verify", lambda self, pairs: verify(self, pairs) if asked.append(pairs.count()) is None else 0)
+    made = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.classes(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert made == _jaccard(dict(copies))
+    assert sum(asked) < 60 * len(copies)  # of 300 pairs for each copy
+
+
 def test_secrets(spark, docs, none):
     from tidemark.llm import secrets as S
 

@@ -2,9 +2,10 @@
 
 Shingles are ordered rarest first, frequent ones last; two sets as similar as asked share one of the first few, the prefix.
 Documents with the same prefix and size are one group, and only groups travel. For each prefix shingle its groups form a
-star around the smallest; star pairs are verified and merged into components. What is left are pairs of groups that share a
-prefix shingle and lie in different components: all of those are expanded to members and verified too. A pair inside one
-component needs no look, so a large group of near copies costs its size and not its square.
+star around the one that shares most of its prefix; star pairs are verified and merged into components, and while many pairs
+of different components may be left, further stars around other centres. Then all pairs of groups that share a prefix shingle
+and lie in different components are filtered by their prefixes, expanded to members and verified. A pair inside one component
+needs no look, so a large group of near copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as kit
 from tidemark.llm.components import components
-from tidemark.llm.scratch import Scratch, bucket_keys, partitions, with_ids, without_ids
+from tidemark.llm.scratch import Scratch, bucket_keys, joined_dealt, partitions, with_ids, without_ids
 
 _FIRST = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
-_SECOND = pa.schema([("node", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("gids", pa.binary()), ("reach", pa.binary()), ("prefix", pa.binary())])
-_SHARED = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("reach", pa.int64()), ("star", pa.int64())])
+_PACKED = ("tokens", "gids", "sizes", "reach", "share")
+_SECOND = pa.schema([("node", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("prefix", pa.binary()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in _PACKED]])
+_SHARED = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("star", pa.int64()), ("share", pa.int32())])
+_SECOND_TYPE = "node long, gid long, size long, prefix binary, bucket int, tokens binary, gids binary, sizes binary, reach binary, share binary"
+_SHARED_TYPE = "token long, gid long, size long, reach long, star long, share int"
 _SALTED = np.uint32(1 << 31)
+_ENTRIES = 4_000_000  # prefix shingles in a bucket
 _SETS = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
 
@@ -104,10 +109,13 @@ def _second_pass(words: int, keys: list[int], heavy: np.ndarray, heavy_times: np
                 there, begins = np.unique(rows, return_index=True)
                 gid = np.zeros(piece.num_rows, np.uint64)
                 gid[there] = kit.mix(np.add.reduceat(kit.mix(hashes), begins) + size[there].astype(np.uint64) * np.uint64(0x9E37))
-                none, empty = pa.nulls(len(there), pa.int32()), pa.nulls(len(there), pa.binary())
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 prefix = [np.unique(x).tobytes() for x in np.split(short, begins[1:])]
-                yield pa.RecordBatch.from_arrays([_signed(node[there]), _signed(gid[there]), pa.array(size[there].astype(np.int64)), none, empty, empty, empty, pa.array(prefix, pa.binary())], schema=_SECOND)
+                none = [pa.nulls(len(there), f.type) for f in list(_SECOND)[4:]]
+                yield pa.RecordBatch.from_arrays([_signed(node[there]), _signed(gid[there]), pa.array(size[there].astype(np.int64)), pa.array(prefix, pa.binary()), *none], schema=_SECOND)
+                # How much of a prefix other texts have too, of 255: the less a near copy was edited, the more.
+                share = (255 * np.add.reduceat((times > 0).astype(np.int64), begins) // np.diff([*begins, len(rows)])).astype(np.uint8)
+                share = np.repeat(share, np.diff([*begins, len(rows)]))
                 # A very frequent shingle is dealt to several buckets by group, each with a star of its own. Its token is its
                 # place among the frequent ones, marked by the highest bit, so that it is one in all buckets.
                 groups = gid[rows]
@@ -118,39 +126,55 @@ def _second_pass(words: int, keys: list[int], heavy: np.ndarray, heavy_times: np
                 token = np.where(salts > 1, at.astype(np.uint32) | _SALTED, short >> np.uint32(1))
                 by = np.argsort(bucket, kind="stable")
                 which, cuts = np.unique(bucket[by], return_index=True)
-                tokens, groups, reach = token[by], groups[by], reach[by]
                 ends = kit.ends(cuts, len(by))
-                nothing = pa.nulls(len(which), pa.int64())
+                nothing = [pa.nulls(len(which), f.type) for f in list(_SECOND)[:4]]
+                columns = [x[by] for x in (token, groups, n.astype(np.uint32), reach, share)]
                 cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(which), cut(tokens), cut(groups), cut(reach), pa.nulls(len(which), pa.binary())], schema=_SECOND)
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array(which), *[cut(x) for x in columns]], schema=_SECOND)
 
     return run
 
 
 def _shared_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the prefix shingles that several groups share, with the smallest of these groups as the star's centre.
+    """Of each bucket the prefix shingles that several groups share, and the group at the centre of each shingle's star.
 
-    Shingles that are dealt to several buckets have names below 0, and all their groups count as shared.
+    The centre is the group that shares most of its prefix, as its text is likely the one that the others were made from. Groups
+    whose first shared shingle this can't be with any other are left out. Shingles that are dealt to several buckets have names
+    below 0, and all their groups are kept.
     """
-    held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+    held: dict[int, list[tuple[bytes, ...]]] = {}
     for batch in batches:
-        for bucket, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "tokens", "gids", "reach")], strict=True):
+        for bucket, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", *_PACKED)], strict=True):
             held.setdefault(bucket, []).append(tuple(parts))
     for bucket in list(held):
         parts = held.pop(bucket)
-        token, gid, reach = (np.frombuffer(b"".join(p[i] for p in parts), t) for i, t in enumerate((np.uint32, np.int64, np.uint32)))
-        order = np.lexsort((gid, token))
-        token, gid, reach = token[order], gid[order], reach[order]
+        columns = [np.frombuffer(b"".join(p[i] for p in parts), t) for i, t in enumerate((np.uint32, np.int64, np.uint32, np.uint32, np.uint8))]
+        order = np.lexsort((columns[1], columns[0]))
+        token, gid, size, reach, share = (x[order] for x in columns)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-        token, gid, reach = token[new], gid[new], reach[new]
+        for wanted in (new, None):
+            if wanted is None:
+                first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                count = np.diff([*first, len(token)])
+                smallest, farthest = (np.repeat(f.reduceat(x, first), count) for f, x in ((np.minimum, size), (np.maximum, reach)))
+                wanted = (token >= _SALTED) | ((np.repeat(count, count) > 1) & (reach >= smallest) & (size <= farthest))
+            token, gid, size, reach, share = (x[wanted] for x in (token, gid, size, reach, share))
+            if not len(token):
+                break
+        if not len(token):
+            continue
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff([*first, len(token)])
+        best = np.lexsort((gid, -share.astype(np.int64), token))[first]
+        centre = np.repeat(best, count)
+        star = gid[centre]
+        near = (gid == star) | ((size <= reach[centre]) & (size[centre] <= reach))
         salted = token >= _SALTED
-        several = np.repeat(count > 1, count) | salted
-        star = np.repeat(gid[first], count)
+        keep = salted | (np.repeat(count, count) > 1)
         name = np.where(salted, -1 - (token & ~_SALTED).astype(np.int64), (np.int64(bucket) << np.int64(32)) | token.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(name[several]), pa.array(gid[several]), pa.array(reach[several].astype(np.int64)), pa.array(star[several])], schema=_SHARED)
+        columns = [name, gid, size.astype(np.int64), reach.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in columns], pa.array(star[keep], mask=~near[keep]), pa.array(share[keep].astype(np.int32))], schema=_SHARED)
 
 
 def _make_sets(words: int):
@@ -191,19 +215,51 @@ def _promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _filtered(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    with_x = pairs.join(members.select(F.col("node").alias("a"), F.col("prefix").alias("x"), F.col("size").alias("n")), "a")
-    with_y = with_x.join(members.select(F.col("node").alias("b"), F.col("prefix").alias("y"), F.col("size").alias("m")), "b")
-    return with_y.select("a", "b", "x", "y", "n", "m").mapInArrow(_promising, "a long, b long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return with_y.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int = 2, salted: int = 20_000, centres: int = 16) -> DataFrame:
+class _Join:
+    """Groups of equal prefix and size, their members, and the links found so far."""
+
+    def __init__(self, texts: DataFrame, words: int, scratch: Scratch, members: DataFrame, nodes: DataFrame):
+        self.texts, self.words, self.scratch, self.members, self.nodes = texts, words, scratch, members, nodes
+        self.groups = scratch.save(members.groupBy("gid").agg(F.min("node").alias("head"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n")))
+        self.links = self.found = None
+
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs of different groups (a, b) those whose sizes and prefixes allow a link."""
+        ends = lambda gid, prefix, size: self.groups.select(F.col("gid").alias(gid), F.col("prefix").alias(prefix), F.col("size").alias(size))
+        both = pairs.join(ends("a", "x", "n"), "a").join(ends("b", "y", "m"), "b").where("4 * least(n, m) >= 3 * greatest(n, m)")
+        return self.scratch.save(both.select("a", "b", "x", "y", "n", "m").mapInArrow(_promising, "a long, b long"))
+
+    def verify(self, pairs: DataFrame) -> int:
+        """Link those of the pairs of nodes (a, b) that are as similar as asked, by their whole texts; say how many merges there are by now."""
+        scratch = self.scratch
+        pairs = scratch.save(pairs)
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = scratch.save(self.nodes.where("doc_id is not null").join(asked, "node", "left_semi").select("doc_id", F.col("node").alias("wanted")))
+        chosen = with_ids(self.texts, wanted, "doc_id").select("text", "wanted")
+        nameless = self.texts.where("doc_id is null").select("text", F.lit(None).cast("long").alias("wanted"))
+        sets = scratch.save(chosen.union(nameless).mapInArrow(_make_sets(self.words), "node long, hashes binary").dropDuplicates(["node"]))
+        links = scratch.save(_verified(pairs, sets))
+        scratch.drop(sets, wanted, pairs)
+        before = self.links
+        self.links = links if before is None else scratch.save(before.union(links))
+        found = scratch.save(components(self.links, scratch))
+        scratch.drop(*[t for t in (self.found, before, links if before is not None else None) if t is not None])
+        self.found = found
+        return found.count() - found.select("component").distinct().count()
+
+    def placed(self) -> DataFrame:
+        """The members with their components: gid, node, component."""
+        named = self.members.select("gid", "node").join(self.found, "node", "left")
+        return named.select("gid", "node", F.coalesce("component", "node").alias("component"))
+
+
+def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int = 2, salted: int = 20_000, most_rounds: int = 6) -> DataFrame:
     """Link documents whose sets of ``words``-word shingles have a Jaccard index of 0.75 or more, and name their components.
 
     Words are runs without ASCII white space with A-Z in lower case; fewer words make one shingle. Returns a row for each row
@@ -212,7 +268,7 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     Repeated rows are copies; rows of one doc_id with different texts are linked only by their texts. Other columns are not read.
 
     Word sequences and shingles are compared by 64-bit hashes. ``heaviest`` bounds the table of frequent shingles that every
-    task gets; it steers only the order, so results don't depend on it, nor on ``often``, ``salted`` and ``centres``.
+    task gets; it steers only the order, so results don't depend on it, nor on ``often``, ``salted`` and ``most_rounds``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -224,73 +280,70 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     token = heavy["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     token, times = token[order], heavy["times"].to_numpy(np.int64)[order]
+    nodes = scratch.save(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
 
-    keys = bucket_keys(spark, partitions(spark))
-    buckets = len(keys)
-    second = scratch.save(texts.mapInArrow(_second_pass(words, keys, token, times, salted), "node long, gid long, size long, bucket int, tokens binary, gids binary, reach binary, prefix binary"))
+    entries = rows.agg(F.sum(F.expr("size div 4 + 1"))).first()[0] or 0
+    keys = bucket_keys(spark, max(partitions(spark), -(-entries // _ENTRIES)))
+    second = scratch.save(texts.mapInArrow(_second_pass(words, keys, token, times, salted), _SECOND_TYPE))
     members = scratch.save(second.where("bucket is null").select("gid", "node", "size", "prefix").dropDuplicates(["node"]))
-    dealt = second.where("bucket is not null").select("bucket", "tokens", "gids", "reach").repartition(buckets, "bucket")
-    shared = scratch.save(dealt.mapInArrow(_shared_shingles, "token long, gid long, reach long, star long"))
+    dealt = second.where("bucket is not null").select("bucket", *_PACKED).repartition(len(keys), "bucket")
+    shared = scratch.save(dealt.mapInArrow(_shared_shingles, _SHARED_TYPE))
     scratch.drop(second)
-
-    # Star pairs: members of a group around its smallest, groups around the smallest of each shared shingle.
-    heads = scratch.save(members.groupBy("gid").agg(F.min("node").alias("head"), F.first("size").alias("size"), F.count("*").alias("n")))
-    inside = members.drop("prefix").join(heads.where("n > 1").select("gid", "head"), "gid").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    ends = lambda name: heads.select(F.col("gid").alias(name), F.col("head").alias(f"{name}_head"), F.col("size").alias(f"{name}_size"))
-    # The stars of a shingle that was dealt to several buckets are themselves a star around the smallest of them.
-    dealt = shared.where("token < 0").select("token", "star").distinct()
-    hubs = dealt.join(dealt.groupBy("token").agg(F.min("star").alias("centre")), "token").select(F.col("star").alias("gid"), F.col("centre").alias("star"))
-    rays = scratch.save(shared.select("gid", "star").union(hubs).distinct())
-    across = rays.where("gid <> star").join(ends("gid"), "gid").join(ends("star"), "star")
-    alike = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
-    across = across.where(alike.format("gid_size", "star_size")).select(F.least("gid_head", "star_head").alias("a"), F.greatest("gid_head", "star_head").alias("b"))
-    stars = scratch.save(inside.union(across).where("a <> b").distinct())
-
-    sources = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that are as similar as asked, from their whole texts."""
-        pairs = scratch.save(_filtered(pairs, members))
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = scratch.save(sources.join(nodes, "node", "left_semi").select("doc_id", F.col("node").alias("wanted")))
-        chosen = with_ids(texts, wanted, "doc_id").select("text", "wanted")
-        sets = scratch.save(chosen.mapInArrow(_make_sets(words), "node long, hashes binary"))
-        found = scratch.save(_verified(pairs, sets))
-        scratch.drop(sets, pairs, wanted)
-        return found
-
-    near = links(stars)
-    found = scratch.save(components(near, scratch))
-    # Once more, around several centres of each star whose members are still in several components.
-    named = lambda df: df.join(members.drop("prefix"), "gid").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    around = scratch.save(named(rays))
-    mixed = around.groupBy("star").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("star")
-    around = scratch.save(around.join(mixed, "star", "left_semi"))
-    place = F.row_number().over(Window.partitionBy("star").orderBy(F.xxhash64("node"), "node"))
-    some = around.withColumn("place", place).where(F.col("place") <= centres)
-    x, y = around.alias("x"), some.alias("y")
-    ring = x.join(y, F.expr("x.star = y.star and x.component <> y.component and 4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)"))
-    ring = ring.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    ring = scratch.save(ring.join(stars, ["a", "b"], "left_anti"))
-    near = scratch.save(near.union(links(ring)))
-    found = scratch.save(components(near, scratch))
-    # All pairs of different components that share a prefix shingle which can be their first; nothing else can be linked.
-    # One of the two is outside the shingle's largest component, so that one is never joined with itself.
-    placed = named(shared.select("token", "gid", "reach"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    placed = scratch.save(placed.join(mixed, "token", "left_semi"))
-    largest = placed.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    minor = placed.join(largest, "token").where("component <> largest")
-    x, y = minor.alias("x"), placed.alias("y")
-    first_shared = "x.token = y.token and (x.node < y.node or y.component = x.largest) and x.component <> y.component and x.size <= y.reach and y.size <= x.reach"
-    rest = x.join(y, F.expr(first_shared)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = links(scratch.save(rest.join(stars.union(ring), ["a", "b"], "left_anti")))
-    found = scratch.save(components(near.union(more), scratch))
-
-    owners = rows.where("size > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    owners = scratch.save(owners.select("doc_id", "size", "component"))
-    smallest = owners.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = owners.join(smallest, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    work = _Join(texts, words, scratch, members, nodes)
+    groups = work.groups
+    least_most = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    heads = lambda pairs: (
+        pairs.join(groups.select(F.col("gid").alias("a"), F.col("head").alias("x")), "a").join(groups.select(F.col("gid").alias("b"), F.col("head").alias("y")), "b").select(*least_most("x", "y"))
+    )
+
+    # Stars: a group's members around its head, groups around the centre of each shingle that they share. The stars of a shingle
+    # that was dealt to several buckets are themselves a star around the best of them.
+    several = groups.where("n > 1").select("gid", "head")
+    inside = joined_dealt(members.select("gid", "node"), several, "gid").where("node <> head").select(*least_most("head", "node"))
+    centres = shared.where("token < 0 and gid = star").select("token", "star", "share")
+    best = centres.groupBy("token").agg(F.max_by("star", F.struct("share", "star")).alias("centre"))
+    hubs = centres.join(best, "token").select(F.col("star").alias("gid"), F.col("centre").alias("star"))
+    rays = shared.where("star is not null").select("gid", "star").union(hubs).where("gid <> star").select(*least_most("gid", "star")).distinct()
+    linked = work.verify(inside.union(heads(work.promising(rays))).distinct())
+
+    # What is left are pairs of groups with a prefix shingle in common and members in different components. While they may be
+    # many, the groups meet more and more centres, drawn anew in each round.
+    n_shared = shared.count()
+    for round_ in range(1, most_rounds + 1):
+        spans = scratch.save(work.placed().groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+        open_ = shared.select("token", "gid", "size", "reach").join(spans, "gid")
+        mixed = open_.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
+        open_ = scratch.save(joined_dealt(open_, mixed, "token"))
+        largest = open_.groupBy("token", "low").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("low", F.struct("n", "low")).alias("largest"), F.sum("n").alias("there"))
+        counted = scratch.save(joined_dealt(open_, largest, "token").withColumn("minor", F.expr("low <> high or low <> largest")))
+        ahead = counted.agg(F.sum(F.when(F.col("minor"), F.col("there")).otherwise(0))).first()[0] or 0
+        if ahead <= 2 * n_shared or round_ == most_rounds:
+            break
+        place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("gid", F.lit(round_)), "gid"))
+        some = open_.withColumn("place", place).where(F.col("place") <= 2 ** (round_ + 1)).select("token", *[F.col(c).alias(f"c_{c}") for c in ("gid", "size", "reach", "low")])
+        met = joined_dealt(open_, some, "token").where("gid <> c_gid and low <> c_low and size <= c_reach and c_size <= reach")
+        now = work.verify(heads(work.promising(met.select(*least_most("gid", "c_gid")).distinct())))
+        scratch.drop(spans, open_, counted)
+        if now == linked and round_ > 2:
+            most_rounds = round_ + 1
+        linked = now
+
+    # All that can still be linked: pairs of groups that aren't wholly of one component, for which the shingle can be the first
+    # shared one. One of the two is outside the shingle's largest component, so that one is never joined with itself.
+    minor = counted.where("minor").select("token", *[F.col(c).alias(f"m_{c}") for c in ("gid", "size", "reach", "low", "high")])
+    apart = "not (low = high and m_low = m_high and low = m_low) and size <= m_reach and m_size <= reach"
+    rest = counted.join(minor, "token").where(apart).where("not minor or gid <= m_gid").select(*least_most("gid", "m_gid")).distinct()
+    rest = work.promising(rest)
+    placed = scratch.save(work.placed())
+    member = lambda gid, node, component: placed.select(F.col("gid").alias(gid), F.col("node").alias(node), F.col("component").alias(component))
+    expanded = rest.join(member("a", "x", "cx"), "a").join(member("b", "y", "cy"), "b").where("cx <> cy")
+    work.verify(expanded.select(*least_most("x", "y")).distinct())
+
+    # The smallest doc_id of each component, for its nodes and then its rows; frequent nodes and components are dealt apart.
+    named = scratch.save(nodes.join(work.found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.save(joined_dealt(named.select("node", "component"), smallest, "component").select("node", "component_id"))
+    linked = joined_dealt(rows.where("size > 0"), named, "node").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = rows.where("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
