@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as kit
 from tidemark.llm.components import components
-from tidemark.llm.scratch import Scratch, bucket_keys, joined_dealt, partitions, with_ids, without_ids
+from tidemark.llm.scratch import Scratch, bucket_keys, partitions, with_ids, without_ids
 
 _FIRST = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 _PACKED = ("tokens", "gids", "sizes", "reach", "share")
@@ -29,6 +29,7 @@ _SECOND_TYPE = "node long, gid long, size long, prefix binary, bucket int, token
 _SHARED_TYPE = "token long, gid long, size long, reach long, star long, share int"
 _SALTED = np.uint32(1 << 31)
 _ENTRIES = 4_000_000  # prefix shingles in a bucket
+_SHARES = [i / 16 for i in range(1, 17)]
 _SETS = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
 
@@ -299,7 +300,7 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     # Stars: a group's members around its head, groups around the centre of each shingle that they share. The stars of a shingle
     # that was dealt to several buckets are themselves a star around the best of them.
     several = groups.where("n > 1").select("gid", "head")
-    inside = joined_dealt(members.select("gid", "node"), several, "gid").where("node <> head").select(*least_most("head", "node"))
+    inside = members.select("gid", "node").join(several, "gid").where("node <> head").select(*least_most("head", "node"))
     centres = shared.where("token < 0 and gid = star").select("token", "star", "share")
     best = centres.groupBy("token").agg(F.max_by("star", F.struct("share", "star")).alias("centre"))
     hubs = centres.join(best, "token").select(F.col("star").alias("gid"), F.col("centre").alias("star"))
@@ -313,15 +314,18 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
         spans = scratch.save(work.placed().groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")))
         open_ = shared.select("token", "gid", "size", "reach").join(spans, "gid")
         mixed = open_.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
-        open_ = scratch.save(joined_dealt(open_, mixed, "token"))
+        open_ = scratch.save(open_.join(mixed, "token"))
         largest = open_.groupBy("token", "low").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("low", F.struct("n", "low")).alias("largest"), F.sum("n").alias("there"))
-        counted = scratch.save(joined_dealt(open_, largest, "token").withColumn("minor", F.expr("low <> high or low <> largest")))
-        ahead = counted.agg(F.sum(F.when(F.col("minor"), F.col("there")).otherwise(0))).first()[0] or 0
+        ranges = open_.groupBy("token").agg(F.percentile_approx("size", _SHARES, 100).alias("sizes"), F.percentile_approx("reach", _SHARES, 100).alias("reaches"))
+        counted = open_.join(scratch.save(largest.join(ranges, "token")), "token").withColumn("minor", F.expr("low <> high or low <> largest"))
+        counted = scratch.save(counted)
+        partners = "there * least(size(filter(sizes, x -> x <= reach)), size(filter(reaches, x -> x >= size))) / size(sizes)"
+        ahead = counted.where("minor").agg(F.sum(F.expr(partners))).first()[0] or 0
         if ahead <= 2 * n_shared or round_ == most_rounds:
             break
         place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("gid", F.lit(round_)), "gid"))
         some = open_.withColumn("place", place).where(F.col("place") <= 2 ** (round_ + 1)).select("token", *[F.col(c).alias(f"c_{c}") for c in ("gid", "size", "reach", "low")])
-        met = joined_dealt(open_, some, "token").where("gid <> c_gid and low <> c_low and size <= c_reach and c_size <= reach")
+        met = open_.join(some, "token").where("gid <> c_gid and low <> c_low and size <= c_reach and c_size <= reach")
         now = work.verify(heads(work.promising(met.select(*least_most("gid", "c_gid")).distinct())))
         scratch.drop(spans, open_, counted)
         if now == linked and round_ > 2:
@@ -339,11 +343,12 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
     expanded = rest.join(member("a", "x", "cx"), "a").join(member("b", "y", "cy"), "b").where("cx <> cy")
     work.verify(expanded.select(*least_most("x", "y")).distinct())
 
-    # The smallest doc_id of each component, for its nodes and then its rows; frequent nodes and components are dealt apart.
+    # The smallest doc_id of each component, for its nodes and then its rows. Written first, so that the joins' own shuffles
+    # can be split where a node or component is frequent.
     named = scratch.save(nodes.join(work.found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.save(joined_dealt(named.select("node", "component"), smallest, "component").select("node", "component_id"))
-    linked = joined_dealt(rows.where("size > 0"), named, "node").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    smallest = scratch.save(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = scratch.save(named.select("node", "component").join(smallest, "component").select("node", "component_id"))
+    linked = rows.where("size > 0").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = rows.where("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

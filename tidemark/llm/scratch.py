@@ -75,22 +75,3 @@ def without_ids(rows: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000)
     from pyspark.sql import functions as F
 
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_anti")
-
-
-def joined_dealt(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table`` on a key that may be very frequent in rows, few times in ``table`` each.
-
-    Keys with more than a share of 1 / (16 * partitions) of the rows are at most 16 * partitions; these are broadcast with
-    what ``table`` has for them, the others dealt by key. ``rows`` should be a saved table, as it is read several times.
-    """
-    from pyspark.sql import functions as F
-
-    most = 16 * partitions(rows.sparkSession)
-    times = rows.groupBy(on).agg(F.count("*").alias("times"))
-    total = rows.count()
-    often = times.where(F.col("times") > max(1000, total // most)).select(on).collect()
-    if not often:
-        return rows.join(table, on, how)
-    often = F.broadcast(rows.sparkSession.createDataFrame(often, rows.select(on).schema))
-    apart = lambda kind: rows.join(often, on, kind)
-    return apart("left_semi").join(F.broadcast(table.join(often, on, "left_semi")), on, how).unionByName(apart("left_anti").join(table.join(often, on, "left_anti"), on, how))
