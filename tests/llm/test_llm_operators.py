@@ -402,6 +402,25 @@ def test_decontamination_of_excerpts(spark):
     assert {k: v for k, v in made.items() if v} == {i: {1} for i in range(105)} | {200: {2}, 203: {2}}
 
 
+def test_decontamination_with_edits(spark):
+    """Windows are found with up to their budget of edits anywhere, and none that costs more; against the edit distance."""
+    from tidemark.llm import decontamination as D
+
+    r = random.Random(21)
+    items = [(i, _text(r, 30)[: r.randint(45, 64)]) for i in range(12)]
+    rows = []
+    for i in range(240):
+        text = list(items[i % 12][1])
+        for _ in range(r.randint(0, 7)):
+            at = r.randrange(len(text))
+            r.choice([lambda: text.__setitem__(at, "#"), lambda: text.insert(at, "+"), lambda: text.__delitem__(at)])()  # noqa: B023
+        rows.append((i, _text(r, 3) + " " + "".join(text) + " " + _text(r, 3)))
+    made = {x["doc_id"]: {h["item_id"] for h in x["hits"]} for x in D.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    budget = lambda n: min(int(n * 0.065), (n - 10) // 10)
+    want = {i: {k for k, item in items if _edits(item, text) <= budget(len(item))} for i, text in rows}
+    assert made == want and 60 < sum(map(bool, want.values())) < 230
+
+
 def test_sharding(spark, docs, none):
     from tidemark.llm.sharding import shard
 

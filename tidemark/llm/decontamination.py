@@ -78,41 +78,57 @@ class Index:
         return cls(items, windows, budget, size + 1 - _Q - budget * _Q, seen, unique, begin, count, window_of, place_of)
 
 
-def within(pattern: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
-    """Where ``pattern`` occurs in ``text`` with at most ``budget`` edits (begin, end), by dynamic programming in the band
-    of diagonals that the budget can reach; the fewest edits, leftmost end first. None where it doesn't."""
-    exact = text.find(pattern)
-    if exact >= 0:
-        return exact, exact + len(pattern)
-    if not budget:
-        return None
-    m, n = len(pattern), len(text)
+def aligned(patterns: np.ndarray, texts: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Banded alignment of row pairs of ``patterns`` and ``texts``, of which the places ``first`` to ``last`` count.
+
+    The patterns that occur with at most ``budget`` edits: their rows, begins and ends; of several occurrences the one with the
+    fewest edits, leftmost end first. Only diagonals within the budget are kept, and pairs drop out once all of theirs cost more.
+    """
+    m, n = patterns.shape[1], texts.shape[1]
     width = n - m + 2 * budget + 1  # diagonals -budget .. n - m + budget
-    if width <= 0:
-        return None
-    diagonal = np.arange(width) - budget
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
-    far = 10**6
-    cost = np.where((diagonal >= 0) & (diagonal <= n), 0, far)
-    start = np.clip(diagonal, 0, n)
+    rows = np.arange(len(patterns))
+    if width <= 0 or not len(rows):
+        return (np.zeros(0, np.int64),) * 3
+    diagonal = np.arange(width, dtype=np.int32) - np.int32(budget)
+    column = np.arange(width)
+    far = np.int32(1_000_000)
+    first, last = (x.astype(np.int32)[:, None] for x in (first, last))
+    cost = np.where((diagonal >= first) & (diagonal <= last), np.int32(0), far)
+    start = np.repeat(np.clip(diagonal, 0, n)[None, :], len(rows), 0)
     for i in range(1, m + 1):
-        j = diagonal + i
-        inside = (j >= 0) & (j <= n)
-        letter = t[np.clip(j - 1, 0, n - 1)]
-        across = np.where(j >= 1, cost + (letter != p[i - 1]), far)
-        down, down_start = np.append(cost[1:], far) + 1, np.append(start[1:], 0)
+        j = diagonal + np.int32(i)
+        letter = texts[:, np.clip(j - 1, 0, n - 1)]
+        across = np.where(j > first, cost + (letter != patterns[:, i - 1 : i]), far)
+        down = np.full_like(cost, far)
+        down[:, :-1] = cost[:, 1:] + 1
         take = down < across
-        best, from_ = np.where(take, down, across), np.where(take, down_start, start)
-        best = np.where(inside, best, far)
+        from_ = start.copy()
+        from_[:, :-1] = np.where(take[:, :-1], start[:, 1:], start[:, :-1])
         # Insertions run to the right along the row: cost[d] = min over e <= d of best[e] + d - e.
-        slid = best - diagonal
-        running = np.minimum.accumulate(slid)
-        source = np.maximum.accumulate(np.where(slid == running, np.arange(width), 0))
-        cost, start = np.where(inside, running + diagonal, far), from_[source]
-    d = int(np.argmin(cost))
-    if cost[d] > budget:
-        return None
-    return int(start[d]), int(diagonal[d] + m)
+        inside = (j >= first) & (j <= last)
+        slid = np.where(inside, np.where(take, down, across), far) - diagonal
+        running = np.minimum.accumulate(slid, axis=1)
+        source = np.maximum.accumulate(np.where(slid == running, column, 0), axis=1)
+        cost = np.where(inside, running + diagonal, far)
+        start = np.take_along_axis(from_, source, 1)
+        if i % 8 == 0 or i == m:
+            near = cost.min(axis=1) <= budget
+            if not near.all():
+                rows, cost, start, patterns, texts, first, last = (x[near] for x in (rows, cost, start, patterns, texts, first, last))
+                if not len(rows):
+                    break
+    best = np.argmin(cost, axis=1) if len(rows) else np.zeros(0, np.int64)
+    return rows, start[np.arange(len(rows)), best].astype(np.int64), diagonal[best].astype(np.int64) + m
+
+
+def within(pattern: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
+    """Where ``pattern`` occurs in ``text`` with at most ``budget`` edits (begin, end); None where it doesn't."""
+    exact = text.find(pattern)
+    if exact >= 0:
+        return exact, exact + len(pattern)
+    one = lambda b: np.frombuffer(b, np.uint8)[None, :]
+    rows, begin, end = aligned(one(pattern), one(text), np.array([0]), np.array([len(text)]), budget)
+    return (int(begin[0]), int(end[0])) if len(rows) else None
 
 
 def _find(index: Index, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
@@ -156,13 +172,26 @@ def _find(index: Index, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[t
     new = np.flatnonzero(np.concatenate([[True], (np.diff(key_row) != 0) | (np.diff(key_window) != 0) | (np.diff(key_band) != 0)]))
     count = np.diff([*new, len(key_row)])
     enough = new[count >= index.least[key_window[new]]]
+    # The bands that hold enough, by length and budget of their windows: exact occurrences first, the others by alignment.
+    asked: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    whole = data.tobytes()
     for r, w, b in zip(key_row[enough].tolist(), key_window[enough].tolist(), key_band[enough].tolist(), strict=True):
-        k = int(index.budget[w])
-        low = max(int(bounds[r]), b * (2 * k + 1) - k)
-        high = min(int(bounds[r + 1]), (b + 2) * (2 * k + 1) + len(index.windows[w]) + k)
-        if place := within(index.windows[w], data[low:high].tobytes(), k):
-            base = low - int(bounds[r])
-            found.setdefault(r, set()).add((index.items[w], base + place[0], base + place[1]))
+        k, m = int(index.budget[w]), len(index.windows[w])
+        begin, end = b * (2 * k + 1) - k, (b + 2) * (2 * k + 1) + m + k
+        at = whole.find(index.windows[w], max(int(bounds[r]), begin), min(int(bounds[r + 1]), end))
+        if at >= 0:
+            found.setdefault(r, set()).add((index.items[w], at - int(bounds[r]), at - int(bounds[r]) + m))
+        elif k:
+            asked.setdefault((m, k), []).append((r, w, begin))
+    for (m, k), these in asked.items():
+        r, w, begin = (np.array(x, np.int64) for x in zip(*these, strict=True))
+        n = 2 * (2 * k + 1) + m + 2 * k
+        place = begin[:, None] + np.arange(n)
+        patterns = np.frombuffer(b"".join(index.windows[x] for x in w.tolist()), np.uint8).reshape(-1, m)
+        rows, start, end = aligned(patterns, data[np.clip(place, 0, len(data) - 1)], np.clip(bounds[r] - begin, 0, n), np.clip(bounds[r + 1] - begin, 0, n), k)
+        for x, a, z in zip(rows.tolist(), start.tolist(), end.tolist(), strict=True):
+            base = int(begin[x] - bounds[r[x]])
+            found.setdefault(int(r[x]), set()).add((index.items[w[x]], base + a, base + z))
     return found
 
 
