@@ -1,8 +1,10 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Documents are tokenised and cut where Spark reads them. Each task packs its own pieces best-fit and emits the bins that
-are nearly full; the underfull ones travel on as items of their fill, and tasks of ever fewer partitions pack those again,
-until one small task is left. A bin is never opened again once emitted, so each round moves a shrinking remainder.
+are nearly full; the underfull ones travel on as items of their fill, and tasks of ever fewer partitions pack those again.
+Best fit leaves a task at most one bin that is half full or less, and two fuller ones can never meet in one. So only that one
+and a bounded number of the emptiest others, which any such bin fits into if it fits anywhere, travel on; the rest are closed.
+What reaches the last task is bounded by the fan-in, whatever the documents are.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ _PIECE = T.StructType(
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
+        T.StructField("offset", T.LongType()),
     ]
 )
 _BIN = T.StructType([T.StructField("fill", T.LongType()), T.StructField("done", T.BooleanType()), T.StructField("pieces", T.ArrayType(_PIECE))])
-_ARROW_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_ARROW_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _ARROW_BIN = pa.schema([("fill", pa.int64()), ("done", pa.bool_()), ("pieces", pa.list_(_ARROW_PIECE))])
 
 
@@ -110,20 +113,29 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _placed(pieces: Iterable[tuple]) -> list[tuple]:
+    """A bin's pieces, one after the other."""
+    at, placed = 0, []
+    for p in pieces:
+        placed.append((*p[:5], at))
+        at += p[3]
+    return placed
+
+
 def _bins(items: list[tuple[int, list]], capacity: int, slack: int, last: bool) -> pa.RecordBatch:
     packed = best_fit([size for size, _ in items], capacity)
     fills = [sum(items[i][0] for i in b) for b in packed]
+    done = [last or f >= capacity - slack for f in fills]
+    for b in sorted((b for b in range(len(packed)) if not done[b] and 2 * fills[b] > capacity), key=fills.__getitem__)[_EMPTIEST:]:
+        done[b] = True
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(fills, pa.int64()),
-            pa.array([last or f >= capacity - slack for f in fills], pa.bool_()),
-            pa.array([[p for i in b for p in items[i][1]] for b in packed], pa.list_(_ARROW_PIECE)),
-        ],
+        [pa.array(fills, pa.int64()), pa.array(done, pa.bool_()), pa.array([_placed(p for i in b for p in items[i][1]) for b in packed], pa.list_(_ARROW_PIECE))],
         schema=_ARROW_BIN,
     )
 
 
 _ITEMS_AT_ONCE = 100_000
+_EMPTIEST = 256  # bins over half full that travel on from a task's items
 
 
 def _tokenise_and_pack(tokenizer_path: str, end_id: int, capacity: int, slack: int):
@@ -141,7 +153,7 @@ def _tokenise_and_pack(tokenizer_path: str, end_id: int, capacity: int, slack: i
                     data += end
                     for piece, begin in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[begin : begin + 4 * capacity]
-                        items.append((len(part) // 4, [(doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part))]))
+                        items.append((len(part) // 4, [(doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part), 0)]))
             if len(items) >= _ITEMS_AT_ONCE:
                 yield _bins(items, capacity, slack, False)
                 items = []
@@ -157,8 +169,8 @@ def _pack_again(capacity: int, slack: int, last: bool):
         for batch in batches:
             rows = zip(batch.column("fill").to_pylist(), batch.column("pieces").to_pylist(), strict=True)
             items.extend((fill, [tuple(p.values()) for p in pieces]) for fill, pieces in rows)
-            if len(items) >= _ITEMS_AT_ONCE and not last:
-                yield _bins(items, capacity, slack, False)
+            if len(items) >= _ITEMS_AT_ONCE:
+                yield _bins(items, capacity, slack, last)
                 items = []
         if items:
             yield _bins(items, capacity, slack, last)
@@ -191,10 +203,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     for more in closed[1:]:
         bins = bins.unionByName(more)
     bins = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "pieces")
-    placed = F.expr(
-        "transform(pieces, (p, i) -> named_struct('p', p, 'at', "
-        "aggregate(slice(pieces, 1, i), 0L, (acc, q) -> acc + q.length)))"
-    )
-    return bins.select("sequence_id", F.explode(placed).alias("x")).select(
-        *[F.col(f"x.p.{c}").alias(c) for c in _PIECE.fieldNames()], "sequence_id", F.col("x.at").alias("offset")
-    )
+    pieces = bins.select("sequence_id", F.explode("pieces").alias("x"))
+    return pieces.select(*[f"x.{c}" for c in _PIECE.fieldNames()[:5]], "sequence_id", "x.offset")
