@@ -28,7 +28,8 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _MARK = np.uint64(1 << 32)  # set in every word's hash, which so has 47 bits of its own
 _NO_ID = -(1 << 63)
 _FLUSH_WORDS = 700_000
-_FLUSH_DOCS = 60_000
+_FLUSH_DOCS = 60_000  # documents of a flush have 16 bits; pieces of a batch have 30,000 rows at most
+_BUCKET_WORDS = 8_000_000
 _COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 _PAIRS = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("firsts", pa.binary()), ("runs", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("sums", pa.binary())])
 #: Rows of four kinds: words to score (low, high, docs, and in sums the flushes with their counts), word counts (low, high and sums),
@@ -335,12 +336,13 @@ def score(docs: DataFrame, least: int = 2, alpha: float = 0.4, head: int = 1000)
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language_model")
-    keys = bucket_keys(spark, partitions(spark))
-    n = len(keys)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
+    # As many buckets as keep each to so many words, however large the corpus is.
+    keys = bucket_keys(spark, max(partitions(spark), -(-total // _BUCKET_WORDS)))
+    n = len(keys)
     frequent = counts.where(F.col("n") * head > total).toPandas().sort_values("word")
     words, times = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     pairs = texts.mapInArrow(_count_head_pairs(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()

@@ -19,6 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def made_so_far() -> int:
+    """How many folders this process has made; for ``clear``."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders made after the first ``since``: for callers that have consumed or written every result made of them."""
+    while len(_MADE) > since:
+        _delete(spark, _MADE.pop())
+
+
 class Scratch:
     """Tables of one run of one operator: written as Parquet and read back, which cuts lineage and survives lost executors."""
 
@@ -26,14 +45,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
-        self._paths: dict[int, str] = {}
+        _MADE.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count}"
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(kept)] = path
         kept._scratch_path = path
         return kept
 
@@ -42,8 +60,7 @@ class Scratch:
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(self.spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

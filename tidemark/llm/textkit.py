@@ -42,15 +42,15 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``limit`` text bytes, or one row where a text is longer."""
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = _SLICE_BYTES, rows: int = 30_000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``limit`` text bytes and ``rows`` rows, or one row where a text is longer."""
     if batch.num_rows == 0:
         return
     _, bounds = utf8(batch.column(column))
     begin = 0
     while begin < batch.num_rows:
         end = int(np.searchsorted(bounds, bounds[begin] + limit, side="right")) - 1
-        end = min(max(end, begin + 1), batch.num_rows)
+        end = min(max(end, begin + 1), begin + rows, batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
 
