@@ -25,19 +25,31 @@ _LOOKALIKE = {
     "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l",
     "\u200b": None, "\u200c": None, "\u200d": None, "\u2060": None, "\ufeff": None, "\xad": None,
 }
-_AS_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+_AS_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _FOLD = str.maketrans(_LOOKALIKE | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)})
 _ODD = re.compile("[\xadıɡͰ-ӿԁѡ\u200b-\u200d\u2060ⅼ\ufeff！-～]")
-_INSIDE = re.compile(r"[013457@$](?<=[^\W\d_].)(?=[^\W\d_])")
+_MASK = re.compile(r"[013457@$!]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _unmasked(m: re.Match) -> str:
+    """Digits and signs between letters as the letters they stand for; at a word's start one digit or $ before two letters, at
+    its end dollar signs only, as numbers and exclamation marks stand there by right."""
+    text, (begin, end), run = m.string, m.span(), m[0]
+    before = text[begin - 1 : begin]
+    if before.isalpha():
+        fits = text[end : end + 1].isalpha() or not run.strip("$")
+    else:
+        fits = len(run) == 1 and run not in "@!" and not before.isalnum() and len(after := text[end : end + 2]) == 2 and after.isalpha()
+    return "".join(map(_AS_LETTER.__getitem__, run)) if fits else run
+
+
 def fold(text: str) -> str:
-    """Lower case, look-alikes as Latin letters, digits and signs between two letters as the letters they stand for."""
+    """Lower case, look-alikes as Latin letters, digits and signs in words as the letters they stand for."""
     text = text.lower()
     if not text.isascii() and _ODD.search(text):
         text = text.translate(_FOLD).lower()
-    return _INSIDE.sub(lambda m: _AS_LETTER[m[0]], text)
+    return _MASK.sub(_unmasked, text)
 
 
 @dataclass
@@ -179,12 +191,13 @@ def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, most_stems: int = 4_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> Lexicon:
     """Learn a lexicon from labels (doc_id, toxic) of documents (doc_id, text).
 
-    The bound: about ``sample`` labelled rows, those of the smallest hashes of doc_id, and ``most_stems`` stems. Equal texts
-    count once, toxic if any copy is. A stem must stand out by its log-likelihood ratio over all candidates tested. Null labels
-    and texts are left out; without labels or stems every text gets the same score, below a half.
+    The bound: about ``sample`` labelled rows, those of the smallest hashes of doc_id; the lexicon is bounded by what stands
+    out in them, and by nothing else. Equal texts count once, toxic if any copy is. A stem, the first 3 to 14 letters of words
+    or a whole longer word, must stand out by its log-likelihood ratio over all candidates tested. Null labels and texts are
+    left out; a doc_id with several labels is toxic if one is. Without labels or stems every text gets the same score, below a half.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     there = labels.count()
@@ -201,14 +214,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, most_stems:
         rate = t / n
         words = train.mapInArrow(_count_words, "word string, docs long, toxic long")
         words = words.groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-        cut = F.explode(F.expr("transform(sequence(3, greatest(3, least(length(word), 14))), n -> substring(word, 1, n))"))
+        cut = F.explode(F.expr("array_distinct(concat(transform(sequence(3, greatest(3, least(length(word), 14))), n -> substring(word, 1, n)), array(word)))"))
         stems = words.where("length(word) >= 3").select(cut.alias("stem"), "docs", "toxic").groupBy("stem").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
         stems = stems.where("docs >= 3")
         tested = stems.count()
         good, bad = F.col("docs") - F.col("toxic"), F.col("toxic")
         ratio = 2 * (bad * F.log(bad / (F.col("docs") * rate)) + F.when(good > 0, good * F.log(good / (F.col("docs") * (1 - rate)))).otherwise(0.0))
         picked = stems.where("toxic >= 3").withColumn("ratio", ratio).where((bad / F.col("docs") >= 0.75) & (F.col("ratio") >= 2 * math.log(max(tested, 2)) + 4))
-        rows = picked.orderBy(F.desc("ratio"), "stem").limit(most_stems).collect()
+        rows = picked.collect()
         kept = _closed_stems([(r["stem"], r["docs"], r["toxic"]) for r in rows])
         clean = n - t
         lexicon = Lexicon({s: math.log((x + 0.5) / (t + 1) * (clean + 1) / (d - x + 0.5)) for s, (d, x) in kept.items()})
@@ -216,11 +229,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, most_stems:
             return Lexicon(intercept=math.log(min(rate, 0.3) / (1 - min(rate, 0.3))))
         company = train.mapInArrow(_count_company(lexicon), "side string, word string, stem string, docs long, toxic long")
         company = company.groupBy("side", "word", "stem").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-        mild = company.where("docs >= 5 and toxic <= 0.1 * docs").orderBy(F.desc("docs"), "side", "word", "stem").limit(most_stems)
+        mild = company.where("docs >= 5 and toxic <= 0.1 * docs")
         lexicon.exceptions = frozenset((r["side"], r["word"], r["stem"]) for r in mild.collect())
         raw = train.mapInArrow(_weigh_rows(lexicon), "toxic int, raw double").groupBy(F.least(F.round("raw", 1), F.lit(50.0)).alias("raw"))
         points = raw.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
-        lexicon.slope, lexicon.intercept = _logistic([(r["raw"], r["n"], r["t"]) for r in points])
+        slope, intercept = _logistic([(r["raw"], r["n"], r["t"]) for r in points])
+        # A text without hits is never called toxic, even where most of the labelled ones are.
+        lexicon.slope, lexicon.intercept = slope, min(intercept, -0.01)
         return lexicon
     finally:
         train.unpersist()
@@ -238,14 +253,15 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFram
 
 
 def keep_mild(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``; null and empty texts have no hits and stay."""
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; null and empty texts have no hits and stay where
+    the threshold is a half or more."""
     limit = math.log(threshold / (1 - threshold))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             raw = [weigh(t, lexicon, automaton) for t in _texts(batch)]
-            yield batch.filter(pa.array([r == 0 or r * lexicon.slope + lexicon.intercept < limit for r in raw], pa.bool_()))
+            yield batch.filter(pa.array([r * lexicon.slope + lexicon.intercept < limit for r in raw], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
