@@ -290,8 +290,9 @@ def search(
     """The ``nearest`` rows of ``vectors`` (vec_id, embedding) by cosine for each row whose vec_id is divisible by ``every``.
 
     Returns query_id, rank from 1, vec_id, score, the double-precision cosine of the originals; ties go to the smaller vec_id,
-    and a query is no candidate of its own. Vectors that are null, zero, of another length than most, or that hold null or
-    non-finite components take no part, as does a null vec_id; repeated rows count once; other columns are not read.
+    and a query is no candidate of its own. Vectors that are null, zero, or that hold null or non-finite components take no
+    part, as does a null vec_id; shorter vectors count as if filled up with zeros. Repeated rows count once, and of several
+    vectors of one vec_id the smallest in the order of arrays counts; other columns are not read.
     ``degree``, ``back``, ``rounds``, ``trees`` and ``leaf`` steer the graph, ``width``, ``wide`` and ``steps`` the walk.
     """
     spark = vectors.sparkSession
@@ -299,9 +300,11 @@ def search(
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = "forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)"
     rows = rows.where("vec_id is not null and vector is not null").where(finite)
-    rows = scratch.save(rows.dropDuplicates(["vec_id"]).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.hash("vector")))
-    length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("vector") == F.lit(length["n"] if length else 0))
+    rows = scratch.save(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    lengths = rows.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if lengths[0] != lengths[1]:
+        rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(lengths[1]) - F.size("vector"))))
+    rows = scratch.save(rows.withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.hash("vector")))
     # A result holds a node's smallest ids only: as many as are asked for, and the query itself.
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     some = scratch.save(rows.withColumn("place", place).where(F.col("place") <= nearest + 1))
