@@ -104,19 +104,19 @@ def _ip(m: str) -> str:
 
 
 def _date(m: str) -> str:
-    """146,097 days from 1700-01-01, a whole calendar cycle, are 189 times 773."""
+    """146,097 days, a whole calendar cycle from the year 100, 500 ... 1700 ..., are 189 times 773; dates stay in their cycle."""
     iso = f"{m} rlike '^[0-9]{{4}}-'"
     day_first = f"substring({m}, 3, 1) = '.'"
     read = f"coalesce(if({iso}, try_to_date({m}, 'yyyy-MM-dd'), if({day_first}, try_to_date({m}, 'dd.MM.yyyy'), try_to_date({m}, 'MM/dd/yyyy'))))"
-    number = f"datediff({read}, date'1700-01-01')"
-    moved = _feistel("date", "(n div 773)", "(n % 773)", "189L", "773L")
-    made = _let(moved, "f", "date_add(date'1700-01-01', cast(f.a * 773 + f.b as int))")
+    number = f"datediff({read}, date'0100-01-01')"
+    moved = _feistel("date", "(n % 146097 div 773)", "(n % 146097 % 773)", "189L", "773L")
+    made = _let(moved, "f", "date_add(date'0100-01-01', cast(n - n % 146097 + f.a * 773 + f.b as int))")
     written = _let(made, "t", f"if({iso}, date_format(t, 'yyyy-MM-dd'), if({day_first}, date_format(t, 'dd.MM.yyyy'), date_format(t, 'MM/dd/yyyy')))")
-    return _let(number, "n", f"if(n >= 0 and n < 146097, {written}, null)")
+    return _let(number, "n", f"if(n >= 0 and n < 24 * 146097, {written}, null)")
 
 
 def _email(m: str) -> str:
-    """All letters of the local part move, and its digits where they are three or more or stand without letters; signs stay.
+    """All letters and digits of the local part move; signs, and which letters are capitals, stay.
 
     Each character is shifted by a keyed hash of all before it, in passes from both ends, with the first one known to all;
     the first is shifted last, by the others, and never by 0, so every address that counts is changed and none coincide.
@@ -135,10 +135,10 @@ def _email(m: str) -> str:
         whole = _let(rest, "o", f"concat(p, {shifted('x', drawn('length(l)', 'p', 'o'), 1, kinds)}, o)")
         return _let(f"regexp_extract(l, '^[^{kinds}]*', 0)", "p", _let("substring(l, length(p) + 1, 1)", "x", whole))
 
-    digits = "length(regexp_replace(l, '[^0-9]', ''))"
-    made = f"case when {digits} >= 3 or ({digits} > 0 and not l rlike '[a-z]') then {moved('a-z0-9')} when l rlike '[a-z]' then {moved('a-z')} end"
+    made = f"case when l rlike '[a-z0-9]' then {moved('a-z0-9')} end"
     local, domain = f"lower(substring_index({m}, '@', 1))", f"substring_index({m}, '@', -1)"
-    return _let(local, "l", _let(made, "n", f"if(n is null, null, concat(n, '@', {domain}))"))
+    cased = f"array_join(transform(filter(split(n, ''), c -> c <> ''), (c, i) -> if(substring({m}, i + 1, 1) rlike '[A-Z]', upper(c), c)), '')"
+    return _let(local, "l", _let(made, "n", f"if(n is null, null, concat({cased}, '@', {domain}))"))
 
 
 _MADE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
@@ -154,17 +154,21 @@ def _pseudonym(m: str) -> str:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (text) with validated personal data in the text replaced by pseudonyms, and ``found``, their kinds in order.
 
-    The kinds: e-mail addresses, IPv4 addresses, North American phone numbers, US social security numbers, dates from 1700 to
-    2099, and card numbers with a right check digit. Null stays null with nothing found; empty texts likewise; other columns
-    are kept, but for one named ``found``. ``key`` is a secret of the deployment; the same key gives the same pseudonyms.
+    The kinds: e-mail addresses, IPv4 addresses, North American phone numbers, US social security numbers, dates of the years
+    100 to 9699, and card numbers with a right check digit. Four numbers below 256 joined by points count as an address, whatever
+    they number. Null stays null with nothing found; empty texts likewise; repeated rows come out alike; other columns are kept
+    whatever their names, but for one named ``found``, which is replaced. ``key`` is a secret of the deployment; the same key
+    gives the same pseudonyms.
     """
     others = [c for c in docs.columns if c not in ("text", "found")]
-    text = "cast(text as string)"
+    text = "text"
     any_, mark = _literal(ANY), f"{text} rlike '[0-9@]'"
-    rows = docs.select(*others, F.expr(text).alias("text"), F.lit(key).alias("pii_key"))
+    # The other columns travel in one, so that none of their names can be met below.
+    kept = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    rows = docs.select(kept.alias("_others"), F.col("text").cast("string").alias("text"), F.lit(key).alias("pii_key"))
     parts = f"zip_with(split(text, {any_}, -1), transform(regexp_extract_all(text, {any_}, 0), m -> {_pseudonym('m')}), (g, x) -> named_struct('gap', g, 'x', x))"
     none = "cast(null as array<struct<gap: string, x: struct<kind: string, text: string>>>)"
     rows = rows.withColumn("_parts", F.expr(f"if({mark} and text rlike {any_}, {parts}, {none})"))
     new = "if(_parts is null, text, array_join(transform(_parts, p -> concat(p.gap, coalesce(p.x.text, ''))), ''))"
     kinds = "if(_parts is null, cast(array() as array<string>), filter(transform(_parts, p -> p.x.kind), k -> k is not null))"
-    return rows.select(*others, F.expr(new).alias("text"), F.expr(kinds).alias("found"))
+    return rows.select(*[F.col("_others").getField(c).alias(c) for c in others], F.expr(new).alias("text"), F.expr(kinds).alias("found"))
