@@ -125,6 +125,29 @@ def test_repeats(spark, docs, none, frequent, monkeypatch):
     assert S.digest(none).count() == 0
 
 
+def test_longest_previous_factors():
+    """Against a comparison of all pairs of suffixes."""
+    from tidemark.llm.suffix_dedup import longest_previous_factors
+
+    r = random.Random(17)
+    for letters, n in (("ab", 60), ("abc", 300), ("a", 150), ("abcdefgh", 200), ("x", 1)):
+        text = "".join(r.choice(letters) for _ in range(n)).encode()
+        text += text[: n // 2] + bytes([0, 255]) + text
+        starts = np.array(sorted(r.sample(range(len(text)), len(text) * 2 // 3)))
+        order = np.array([r.randrange(len(starts)) for _ in starts])
+        got = longest_previous_factors(np.frombuffer(text, np.uint8), starts, order)
+
+        def shared(a, b, text=text):
+            k = 0
+            text = text + bytes(128)
+            while k < 128 and text[a + k] == text[b + k]:
+                k += 1
+            return k
+
+        want = [max([0, *(shared(s, t) for t, p in zip(starts, order, strict=True) if p < o)]) for s, o in zip(starts, order, strict=True)]
+        assert got.tolist() == want
+
+
 def _luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

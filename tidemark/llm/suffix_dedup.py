@@ -3,8 +3,9 @@
 A string of 100 bytes repeats only where its anchor does: the 48 bytes of smallest hash in it. Each anchor owns the run of
 strings that it is the anchor of, so suffixes are dealt by anchor and equal strings meet. Anchors that occur once drop out
 after a count. For the others the bytes around them, the context, travel; equal contexts are combined before and after the
-shuffle. What is left in a bucket is put in suffix order, and the previous and next smaller places there give each suffix
-its longest earlier match. Where an anchor is very frequent its strings are dealt one by one instead, by their own bytes.
+shuffle. What is left in a bucket is put in suffix order with the common prefixes of neighbours; the previous and the next
+smaller place there give each suffix its longest previous factor, and a string goes where that has 100 bytes. Where an anchor
+is very frequent its strings are dealt one by one instead, by their own bytes, and equal ones are combined as contexts are.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ _REACH = LENGTH - _ANCHOR + 1
 _SEGMENT = 4 << 20
 _PLACE_BITS = 24
 _FLUSH = 24 << 20
+_BUCKET = 64 << 20  # bytes of text to a bucket
 _LAST = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
@@ -206,35 +208,65 @@ def _deal_contexts(keys: list[int]):
     return run
 
 
-def previous_factors(text: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether the suffix at each of ``starts`` shares ``LENGTH`` bytes with one of smaller ``order``.
-
-    Suffixes are ranked by doubling, 8 bytes first, until the rank tells ``LENGTH`` bytes; in the order of (rank, order) the
-    previous smaller and next smaller entries of a suffix are the candidates for its longest previous factor. Within a rank
-    orders grow, so the previous smaller one is the neighbour above where it has the same rank, and no other suffix shares
-    more. Equal orders are one place, not an earlier one.
-    """
+def _suffix_ranks(text: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For widths of 8, 16 ... 128 bytes the rank of the string of that width at each place, by doubling; zeros follow the text."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(LENGTH + 8, np.uint8)])
-    rank = np.unique(np.ndarray((n,), np.uint64, padded, 0, (1,)), return_inverse=True)[1].astype(np.uint64)
-    width = 8
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    # Big-endian, so that numbers stand in the order of their bytes.
+    rank = np.unique(np.ndarray((n,), np.uint64, padded, 0, (1,)).byteswap(), return_inverse=True)[1].astype(np.uint64)
+    ranks, width = [(8, rank)], 8
+    while width < LENGTH:
+        later = np.zeros(n, np.uint64)
+        later[: max(0, n - width)] = rank[width:] + np.uint64(1)
+        rank = np.unique(rank * np.uint64(n + 2) + later, return_inverse=True)[1].astype(np.uint64)
+        width *= 2
+        ranks.append((width, rank))
+    return ranks
 
-    def further(by: int) -> np.ndarray:
-        shifted = np.zeros(n, np.uint64)
-        shifted[: n - by] = rank[by:] + np.uint64(1)
-        return rank * np.uint64(n + 2) + shifted
 
-    while 2 * width <= LENGTH:
-        rank = np.unique(further(width), return_inverse=True)[1].astype(np.uint64)
-        width *= 2
-    rank = further(LENGTH - width)[starts]
-    sorted_ = np.lexsort((order, rank))
-    rank, sequence = rank[sorted_], order[sorted_]
-    first = np.concatenate([[True], rank[1:] != rank[:-1]])
-    smallest = sequence[np.maximum.accumulate(np.where(first, np.arange(len(rank)), 0))]
-    repeated = np.empty(len(starts), bool)
-    repeated[sorted_] = smallest < sequence
-    return repeated
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For the suffix at each of ``starts`` the longest prefix, up to 128 bytes, that it shares with a suffix of smaller ``order``.
+
+    In suffix order the suffixes of smaller order that share most are the nearest ones before and after: the previous and the
+    next smaller entry. What they share is the least common prefix of neighbours on the way. Equal orders are one place, not an
+    earlier one; the text counts as followed by zeros.
+    """
+    text = np.concatenate([text, np.zeros(136, np.uint8)])
+    ranks = _suffix_ranks(text)
+    # Ties of the whole width stand by order, so that the first of them leads.
+    suffix = np.lexsort((order, ranks[-1][1][starts]))
+    place, rank_in_text = order[suffix], starts[suffix]
+    # Common prefixes of neighbours: from the widest strings that are equal on to narrower ones, then byte by byte.
+    left, right = rank_in_text[:-1].copy(), rank_in_text[1:].copy()
+    common = np.zeros(len(left), np.int64)
+    for width, rank in reversed(ranks):
+        same = rank[left] == rank[right]
+        common, left, right = common + width * same, left + width * same, right + width * same
+        wide = common >= 128
+        left[wide] = right[wide] = 0
+    going = common < 128
+    for _ in range(7):
+        going &= text[left] == text[right]
+        common, left, right = common + going, left + going, right + going
+    common = np.minimum(common, 128)
+
+    def nearest_smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """What each entry shares with the nearest one before it of smaller place: pointers jump along those found so far."""
+        n = len(place)
+        to, shared = np.arange(n) - 1, np.concatenate([[0], common])
+        todo = np.flatnonzero(to >= 0)
+        while len(todo):
+            todo = todo[place[to[todo]] >= place[todo]]
+            at = to[todo]
+            shared[todo] = np.minimum(shared[todo], shared[at])
+            to[todo] = to[at]
+            todo = todo[to[todo] >= 0]
+        return np.where(to >= 0, shared, 0)
+
+    longest = np.maximum(nearest_smaller(place, common), nearest_smaller(place[::-1], common[::-1])[::-1])
+    found = np.empty(len(starts), np.int64)
+    found[suffix] = longest
+    return found
 
 
 def _remove_in_block(block: list[tuple[int, int, bytes, int, int]]) -> list[tuple[int, int, int]]:
@@ -249,8 +281,8 @@ def _remove_in_block(block: list[tuple[int, int, bytes, int, int]]) -> list[tupl
     rank = np.empty(len(which), np.int64)
     moved = np.concatenate([[True], (np.diff(docs[place]) != 0) | (np.diff(begins[place]) != 0)])
     rank[place] = np.cumsum(moved)
-    repeated = previous_factors(np.frombuffer(b"".join(c[2] for c in block), np.uint8), offsets[which] + within, rank)
-    found = np.flatnonzero(repeated)
+    longest = longest_previous_factors(np.frombuffer(b"".join(c[2] for c in block), np.uint8), offsets[which] + within, rank)
+    found = np.flatnonzero(longest >= LENGTH)
     return [(d, b, b + 1) for d, b in zip(docs[found].tolist(), begins[found].tolist(), strict=True)]
 
 
@@ -314,17 +346,19 @@ def remove_repeats(docs: DataFrame, frequent: int = 20_000) -> tuple[DataFrame,
     Returns two tables: for the documents that lose bytes doc_id, kept (binary), n_removed, n_spans; and for every row of ``docs``
     (doc_id, text) doc_id, n_bytes, sha256 of the whole text, and whether it is a later copy of an equal text, all of which is
     removed if it has 100 bytes. Strings are judged on the input. Null texts count as empty; a null doc_id comes after all
-    others; rows that share doc_id and text stand at the same places and don't remove each other, and one doc_id must not have
-    several texts. ``frequent`` anchors are dealt string by string; results don't depend on it. Other columns are not read.
+    others; rows that share doc_id and text stand at the same places and don't remove each other. Of several texts of one doc_id
+    none is earlier than another: strings at equal places are one place, and each text loses what is found for any of them, so
+    ids should be unique. ``frequent`` anchors are dealt string by string; results don't depend on it. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    keys = bucket_keys(spark, partitions(spark))
-    buckets = len(keys)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     whole = scratch.save(whole)
-    first = whole.groupBy("sha256").agg(F.min("doc_id").alias("first"))
+    keys = bucket_keys(spark, max(partitions(spark), -(-(whole.agg(F.sum("n_bytes")).first()[0] or 0) // _BUCKET)))
+    buckets = len(keys)
+    # Written first, so that the join's own shuffle can be split where one text is frequent.
+    first = scratch.save(whole.groupBy("sha256").agg(F.min("doc_id").alias("first")))
     rows = scratch.save(whole.join(first, "sha256").select("doc_id", "n_bytes", "sha256", (F.col("doc_id") > F.col("first")).alias("copy")))
 
     dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal_anchors(keys), "bucket int, hashes binary, docs binary, places binary")
