@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import KPI, METRICS, Weights
+from tidemark.operators.ranks import quantiles
 
 #: The names under which each metric occurs, first one present wins.
 ALIASES = {
@@ -82,11 +83,11 @@ def feedback_score(amount: Column, views: Column) -> Column:
 
 
 def scaled_by_quantile(posts: DataFrame, amount: Column, share: float = 0.95) -> DataFrame:
-    """MET-11: ``target``, the amount over its quantile in percent, 0 to 100. The quantile is one broadcast row."""
+    """MET-11: ``target``, the amount over its quantile in percent, 0 to 100. The quantile is one number."""
     rows = posts.withColumn("_amount", amount)
-    top = rows.agg(F.expr(f"percentile(_amount, {share})").alias("_top"))
-    made = F.when(F.col("_top") > 0, F.least(F.greatest(F.col("_amount") / F.col("_top") * 100, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
-    return rows.crossJoin(F.broadcast(top)).withColumn("target", made).drop("_amount", "_top")
+    top = F.lit(quantiles(rows, "_amount", [share])[0]).cast("double")
+    made = F.when(top > 0, F.least(F.greatest(F.col("_amount") / top * 100, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
+    return rows.withColumn("target", made).drop("_amount")
 
 
 def rate(number: Column, base: Column, percent: bool = False) -> Column:

@@ -238,10 +238,67 @@ def expanded(vector: str, n: int, prefix: str) -> list[Column]:
     return [F.coalesce(F.try_element_at(F.col(vector), F.lit(i + 1)).cast("double"), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(n)]
 
 
-def suggestions(cta: Column, question: Column, emoji_count: Column, tags_: Column, length: Column) -> Column:
-    """TXT-26: at most five."""
-    rules = [(cta == 0, "add a call to action"), (question == 0, "ask a question"), (emoji_count == 0, "add emoji"), (tags_ < 3, "add hashtags"), (length < 50, "write more"), (length > 500, "write less")]
-    return F.slice(F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, s in rules])), 1, 5)
+# What is suggested, in this order.
+SUGGESTED_FORMAT = "Considera cambiar a formato {} para este contenido"
+SUGGESTED_CTA = "Añade un CTA claro (ej: '¿Cuál prefieres? Comenta 👇' o 'Guarda para después')"
+SUGGESTED_HOOK = "Usa un hook más potente: pregunta, POV, o número en los primeros 3 segundos"
+SUGGESTED_EMOJI = "Añade 3-5 emojis relevantes para mejorar el visual scanning"
+
+
+def suggestions(current: Column, recommended: Column, confidence: Column, ctas: Column, hooked: Column, emoji_count: Column, triggers: Column) -> Column:
+    """TXT-26: at most five texts: another format if that is sure enough, a call to action, a hook, emoji, and two triggers.
+
+    ``hooked`` says whether the caption opens with a question, a point of view or a number; ``triggers`` are (type, example)
+    of high impact, of which the first two count.
+    """
+    before, after = SUGGESTED_FORMAT.split("{}")
+    rules = [
+        F.when((current != recommended) & (confidence > 70), F.concat(F.lit(before), recommended, F.lit(after))),
+        F.when(ctas == 0, F.lit(SUGGESTED_CTA)),
+        F.when(~hooked, F.lit(SUGGESTED_HOOK)),
+        F.when(emoji_count < 3, F.lit(SUGGESTED_EMOJI)),
+    ]
+    more = F.transform(F.slice(triggers, 1, 2), lambda t: F.concat(F.lit("Incluye elementos de "), t["type"], F.lit(": "), F.coalesce(t["example"], F.lit(""))))
+    return F.slice(F.concat(F.array_compact(F.array(*rules)), more), 1, 5)
+
+
+def hook_training(rows: DataFrame, caption: Column, semantic: str = "semantic_hook_score", sentiment: str = "sentiment_compound", strong: str = "has_strong_cta") -> DataFrame:
+    """TXT-17: the pattern score of a caption's hooks and the two interactions of its semantic score; absent columns count as 0."""
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
+    return rows.withColumns(
+        {
+            "hook_regex_score": hook_flags(caption)["hook_regex_score"],
+            "interaction_semantic_hook_x_vader": value(semantic) * F.abs(value(sentiment)),
+            "interaction_semantic_hook_x_cta_strong": value(semantic) * value(strong),
+        }
+    )
+
+
+def hook_bands(rows: DataFrame, score: str = "semantic_hook_score") -> DataFrame:
+    """TXT-17: how many scores are high, medium and low, and their mean, in one row."""
+    s = F.coalesce(F.col(score), F.lit(0.0))
+    return rows.agg(F.count_if(s >= 0.7).alias("high"), F.count_if((s >= 0.5) & (s < 0.7)).alias("medium"), F.count_if(s < 0.5).alias("low"), F.avg(s).alias("mean_score"))
+
+
+# Media that count as video, in scoring; training leaves out the last.
+VIDEO_KINDS = ["reel", "video", "tiktok", "tiktok_video"]
+
+
+def gated_fusion(rows: DataFrame, made: dict[str, Column], training: bool = False) -> DataFrame:
+    """TXT-19, and TXT-27 with ``training``: the fused columns ``made`` where the table holds any video, else zeros.
+
+    A row is video by media_type, or by is_reel where that column is absent. Training also needs a column of transcripts or of
+    text overlays. The gate is one aggregated row, so no more than a flag reaches the driver or is broadcast.
+    """
+    kinds = VIDEO_KINDS[:-1] if training else VIDEO_KINDS
+    if "media_type" in rows.columns:
+        video = F.lower("media_type").isin(kinds)
+    else:
+        video = F.col("is_reel") > 0 if "is_reel" in rows.columns else F.lit(False)
+    if training and not {"whisper_transcript", "easyocr_text"} & set(rows.columns):
+        return rows.withColumns({k: F.lit(0.0) for k in made})
+    gate = rows.agg(F.coalesce(F.max(video), F.lit(False)).alias("_any_video"))
+    return rows.crossJoin(F.broadcast(gate)).withColumns({k: F.when(F.col("_any_video"), c).otherwise(0.0) for k, c in made.items()}).drop("_any_video")
 
 
 def lexicon_sentiment(rows: DataFrame, lexicon: DataFrame, ident: str, column: str) -> DataFrame:

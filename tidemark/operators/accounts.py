@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.baselines import latest
+from tidemark.operators.ranks import quantiles
 
 
 def health(posts: DataFrame, authors: DataFrame, recent: int = 10, least: int = 5) -> DataFrame:
@@ -100,6 +101,36 @@ def discovery(profiles: DataFrame, least: int, most: int, days: int, monthly: in
     return kept.withColumn("rank_score", rank).orderBy(F.desc("rank_score"), "username").limit(output)
 
 
+# Reasons that a discovered account is shown with.
+REASON_NICHE, REASON_PLACE, REASON_ACTIVE, REASON_NONE = "🎯 Niche Match", "📍 Location Match", "🔥 Very Active", "Exploración general"
+
+
+def hashtag_discovery(posts: DataFrame, niches: list[str], places: list[str], least: int, most: int, as_of: str, order: list[Column], days: int | None = None, output: int = 50) -> DataFrame:
+    """TOP-11: accounts met by their posts (username, followers, posted_at, caption), with the score and reasons of this search.
+
+    An account is its first post, by ``order``, that passes the size and, with ``days``, the activity filter; users without a
+    name are left out, and unknown times count as 999 days ago. 25 for a niche word, 30 for a place, 15 for activity within a
+    week, 10 for 1,000 to 50,000 followers, and 10 for all.
+    """
+    user = F.lower(F.trim("username"))
+    since = F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.to_date("posted_at")), F.lit(999))
+    rows = posts.withColumns({"username": user, "days_since": since}).where((F.coalesce("username", F.lit("")) != "") & F.col("followers").between(least, most))
+    if days is not None:
+        rows = rows.where(F.col("days_since") <= days)
+    first = F.row_number().over(Window.partitionBy("username").orderBy(*order))
+    rows = rows.withColumn("_p", first).where("_p = 1").drop("_p")
+    text = F.lower(F.concat_ws(" ", F.coalesce("caption", F.lit("")), "username"))
+    has = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(text, w)) if words else F.lit(False)
+    niche, place, very = has(niches), has(places), F.col("days_since") <= 7
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    reasons = F.array_compact(F.array(F.when(niche, F.lit(REASON_NICHE)), F.when(place, F.lit(REASON_PLACE)), F.when(very, F.lit(REASON_ACTIVE)), F.when(~niche & ~place, F.lit(REASON_NONE))))
+    made = rows.select(
+        "username", "followers", "days_since", F.when(very, "Very Active").when(F.col("days_since") <= 30, "Active").otherwise("Inactive").alias("activity_status"),
+        (points(niche, 25) + points(place, 30) + points(very, 15) + points(F.col("followers").between(1000, 50000), 10) + 10).alias("relevance_score"), reasons.alias("match_reasons"),
+    )
+    return made.orderBy(F.desc("relevance_score"), "username").limit(output)
+
+
 def experiment_statistics(logs: DataFrame) -> DataFrame:
     """AGG-07: logs (delta, high, predicted, actual) in one row."""
     error = F.col("actual") - F.col("predicted")
@@ -173,8 +204,7 @@ def pattern_summary(patterns: DataFrame, top: int = 10) -> tuple[DataFrame, Data
 
 def trigger_ranking(rows: DataFrame, triggers: list[str], by: str = "engagement", top: int = 3) -> DataFrame:
     """AGG-24: mean of each trigger among rows above the median, the best first; one row for each trigger."""
-    middle = rows.agg(F.expr(f"percentile({by}, 0.5)").alias("_m"))
-    high = rows.crossJoin(F.broadcast(middle)).where(F.col(by) > F.col("_m"))
+    high = rows.where(F.col(by) > F.lit(quantiles(rows, by, [0.5])[0]).cast("double"))
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("trigger"), F.col(t).cast("double").alias("v")) for t in triggers])).alias("x")
     return high.select(pairs).groupBy("x.trigger").agg(F.avg("x.v").alias("mean")).orderBy(F.desc("mean"), "trigger").limit(top)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RPI, Normalisation, Weights
 from tidemark.functions.metrics import harmonised, index, weighted
+from tidemark.operators.ranks import quantiles
 
 
 def history(config: Normalisation, author: str = "author_id", order: tuple[str, ...] = ("posted_at", "post_id")):
@@ -84,7 +85,8 @@ def relative_performance(posts: DataFrame, config: Normalisation = Normalisation
     """
     rows = harmonised(posts).withColumn("weighted_engagement", weighted(weights))
     niches = niche_baselines(rows, least=config.least_niche)
-    overall = rows.agg(F.expr("percentile(weighted_engagement, 0.5)").alias("global_median"))
+    middle = quantiles(rows, "weighted_engagement", [0.5])[0]
+    overall = rows.sparkSession.createDataFrame([(middle,)], "global_median double")
     own = rows.withColumn("_own", baseline("weighted_engagement", config))
     made = with_fallback(own, niches, overall, config.default_baseline)
     base = F.coalesce("_own", "fallback")
@@ -106,6 +108,7 @@ def score_new(known: DataFrame, new: DataFrame, config: Normalisation = Normalis
 def summary(scored: DataFrame) -> DataFrame:
     """AGG-02: rows by baseline source, the score's distribution and the share of cold starts."""
     count = lambda s: F.count_if(F.col("baseline_source") == s)
+    quarter, half, three = (F.lit(q).cast("double") for q in quantiles(scored, "rpi_score", [0.25, 0.5, 0.75]))
     return scored.agg(
         F.count("*").alias("total_posts"),
         *[count(s).alias(f"{s}_posts") for s in ("personal", "niche", "global")],
@@ -113,9 +116,9 @@ def summary(scored: DataFrame) -> DataFrame:
         F.stddev_samp("rpi_score").alias("rpi_std"),
         F.min("rpi_score").alias("rpi_min"),
         F.max("rpi_score").alias("rpi_max"),
-        F.expr("percentile(rpi_score, 0.25)").alias("rpi_25"),
-        F.expr("percentile(rpi_score, 0.5)").alias("rpi_50"),
-        F.expr("percentile(rpi_score, 0.75)").alias("rpi_75"),
+        quarter.alias("rpi_25"),
+        half.alias("rpi_50"),
+        three.alias("rpi_75"),
         (1 - count("personal") / F.count("*")).alias("cold_start_rate"),
     )
 

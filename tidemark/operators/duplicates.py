@@ -16,20 +16,21 @@ def greedy(rows: DataFrame, key: str, ident: str, vector: str, threshold: float
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(ident)
-        kept: list[np.ndarray] = []
+        units = np.array([np.asarray(v, float) for v in group[vector]])
+        units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-300)
+        kept = np.empty_like(units)
+        n = 0
         owner: list[int] = []
         out = []
         times: dict[int, int] = {}
-        for i, v in zip(group[ident], group[vector], strict=True):
-            v = np.asarray(v, float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            if kept:
-                hit = np.flatnonzero(np.stack(kept) @ v > threshold)
-                if len(hit):
-                    times[owner[hit[0]]] += 1
-                    out.append((i, owner[hit[0]]))
-                    continue
-            kept.append(v)
+        for i, v in zip(group[ident], units, strict=True):
+            hit = np.flatnonzero(kept[:n] @ v > threshold)
+            if len(hit):
+                times[owner[hit[0]]] += 1
+                out.append((i, owner[hit[0]]))
+                continue
+            kept[n] = v
+            n += 1
             owner.append(i)
             times[i] = 1
             out.append((i, i))

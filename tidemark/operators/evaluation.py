@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EVALUATION, METRICS, Weights
+from tidemark.operators.ranks import quantiles
 
 # Hours of each band, of which the night wraps, and working days.
 HOURS = {"morning": (6, 12), "afternoon": (12, 18), "evening": (18, 22), "night": (22, 6)}
@@ -60,10 +61,9 @@ def weighted_index(rows: DataFrame, prefix: str, name: str, weights: Weights = E
     """AGG-12: ``name``, the weighted mean of the targets scaled so that the 5th and 95th percentiles are 0 and 100, clipped."""
     mean = sum((F.col(prefix + m) * weights.of(m) for m in METRICS), F.lit(0.0)) / weights.total
     made = rows.withColumn(name, mean)
-    ends = made.agg(F.expr(f"percentile({name}, array(0.05D, 0.95D))").alias("_ends"))
-    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    low, high = (F.lit(q).cast("double") for q in quantiles(made, name, [0.05, 0.95]))
     scaled = F.when(high > low, F.least(F.greatest((F.col(name) - low) / (high - low) * 100, F.lit(0.0)), F.lit(100.0))).otherwise(F.col(name))
-    return made.crossJoin(F.broadcast(ends)).withColumn(name, scaled).drop("_ends")
+    return made.withColumn(name, scaled)
 
 
 def index_errors(rows: DataFrame, weights: Weights = EVALUATION) -> DataFrame:
@@ -132,8 +132,7 @@ def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
     A truth's percentile is the share of truths at most as large; it is counted from distinct values by ranges, as in the test of
     distributions, so neither the table nor its pairs meet in one task.
     """
-    edges = ", ".join(f"{i / bins}D" for i in range(bins + 1))
-    cut = pairs.agg(F.expr(f"percentile(p, array({edges}))").alias("e"))
+    edges = quantiles(pairs, "p", [i / bins for i in range(1, bins)])
     shares = ", ".join(str(i / 64) for i in range(1, 64))
     cuts = pairs.agg(F.expr(f"percentile_approx(cast(y as double), array({shares}))").alias("c")).first()["c"] or []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<double>)")
@@ -142,8 +141,8 @@ def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
     starts = sizes.select("_r", F.coalesce(F.sum("rc").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), F.sum("rc").over(Window.partitionBy(F.lit(0))).alias("n"))
     upto = F.sum("c").over(Window.partitionBy("_r").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
     shares_of = counts.join(F.broadcast(starts), "_r").select("y", ((upto + F.col("s")) / F.col("n") * 100).alias("percentile"))
-    inner = F.array(*[F.col("e")[i] for i in range(1, bins)])
-    placed = pairs.crossJoin(F.broadcast(cut)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
+    inner = F.array(*[F.lit(e).cast("double") for e in edges])
+    placed = pairs.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
     made = placed.join(shares_of, "y").groupBy("bin").agg(F.avg("percentile").alias("observed"), F.count("*").alias("n"))
     return made.withColumn("expected", (F.col("bin") + 0.5) * 100 / bins)
 

@@ -99,21 +99,36 @@ def nearest_within(queries: DataFrame, known: DataFrame, bucket: str, threshold:
 def hook_scores(texts: DataFrame, hooks: DataFrame) -> DataFrame:
     """TXT-14: the largest similarity of a vector to a corpus of hooks, the mean of the best three, their ids and a band.
 
-    The corpus is a dimension; Spark broadcasts it while it is small.
+    The corpus is a dimension of counted size: it is broadcast, or looked up block by block (``_against``).
     """
-    pairs = texts.crossJoin(hooks).withColumn("similarity", cosine("vector", "hook_vector"))
     place = F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("similarity"), "hook_id"))
-    best = pairs.withColumn("_p", place).where("_p <= 3").groupBy("text_id").agg(
+    first = lambda pairs: pairs.withColumn("_p", place).where("_p <= 3")
+    best = first(_against(texts, hooks, lambda pairs: first(pairs).drop("_p"))).groupBy("text_id").agg(
         F.max("similarity").alias("max_similarity"), F.avg("similarity").alias("top3_avg"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "hook_id"))), lambda x: x["hook_id"]).alias("top_hooks")
     )
     s = F.col("max_similarity")
     return best.withColumn("strength", F.when(s >= 0.7, "strong").when(s >= 0.5, "moderate").when(s >= 0.3, "weak").otherwise("minimal"))
 
 
+def _against(texts: DataFrame, hooks: DataFrame, reduced, most: int = 10_000) -> DataFrame:
+    """``reduced`` of each text's similarities to a block of at most about ``most`` hooks, for all blocks.
+
+    A block's size is counted before it is broadcast, and what is kept of each is small, so neither the corpus nor the pairs
+    meet anywhere.
+    """
+    blocks = -(-hooks.count() // most) or 1
+    made = None
+    for block in range(blocks):
+        own = hooks if blocks == 1 else hooks.where(F.pmod(F.xxhash64("hook_vector"), F.lit(blocks)) == block)
+        pairs = texts.crossJoin(F.broadcast(own)).withColumn("similarity", cosine("vector", "hook_vector")).drop("vector", "hook_vector")
+        made = reduced(pairs) if made is None else made.unionByName(reduced(pairs))
+    return made
+
+
 def category_scores(texts: DataFrame, hooks: DataFrame) -> DataFrame:
     """TXT-15: the largest similarity to each category of hooks."""
-    pairs = texts.crossJoin(hooks).withColumn("similarity", cosine("vector", "hook_vector"))
-    return pairs.groupBy("text_id", "category").agg(F.max("similarity").alias("similarity"))
+    best = lambda pairs: pairs.groupBy("text_id", "category").agg(F.max("similarity").alias("similarity"))
+    return best(_against(texts, hooks, best))
 
 
 def merge_patterns(known: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:

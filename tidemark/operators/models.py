@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -12,13 +14,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import KPI, METRICS, Weights
 from tidemark.functions.metrics import log_index, relative_score
+from tidemark.operators.ranks import quantiles, with_place
 
 
 def assembled(features: list[str], out: str = "features") -> VectorAssembler:
@@ -116,8 +117,7 @@ def classifier(rows: DataFrame, test: DataFrame, features: list[str], label: str
 
 def format_recommender(rows: DataFrame, features: list[str], by: str = "engagement", fmt: str = "content_format", seed: int = 42) -> PipelineModel:
     """ML-06: a forest over the formats of rows above the median."""
-    middle = rows.agg(F.expr(f"percentile({by}, 0.5)").alias("_m"))
-    good = rows.crossJoin(F.broadcast(middle)).where(F.col(by) > F.col("_m")).drop("_m")
+    good = rows.where(F.col(by) > F.lit(quantiles(rows, by, [0.5])[0]).cast("double"))
     names = StringIndexer(inputCol=fmt, outputCol="_format", stringOrderType="alphabetAsc", handleInvalid="skip")
     return Pipeline(stages=[names, assembled(features), RandomForestClassifier(labelCol="_format", featuresCol="features", numTrees=20, maxDepth=5, seed=seed)]).fit(good)
 
@@ -178,10 +178,34 @@ def reducer(rows: DataFrame, vector: str, k: int, least: int = 10) -> Reducer |
     total = there.count()
     if total < least:
         return None
-    matrix = RowMatrix(there.rdd.map(lambda r: OldVectors.dense(r["v"])))
-    made = matrix.computeSVD(k, computeU=False)
-    whole = there.select(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    return Reducer(made.V.asML() if hasattr(made.V, "asML") else DenseMatrix(made.V.numRows, made.V.numCols, made.V.toArray().T.ravel()), [float(s * s / whole) for s in made.s.toArray()])
+    made = _gram(there).collect()
+    width = made[0]["width"]
+    gram = np.zeros((width, width))
+    for r in made:
+        gram[r["i"]] = r["row"]
+    values, vectors = np.linalg.eigh(gram)
+    best = np.argsort(-values)[:k]
+    whole = float(np.trace(gram))
+    return Reducer(DenseMatrix(width, len(best), vectors[:, best].ravel(order="F")), [float(max(values[i], 0.0) / whole) for i in best])
+
+
+def _gram(vectors: DataFrame) -> DataFrame:
+    """The Gram matrix of vectors ``v`` as its rows (i, row, width): summed in each task over Arrow batches, then over tasks.
+    Its size is that of the vectors, whatever their number."""
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"i": list(range(len(total))), "row": total.tolist()}, schema=pa.schema([("i", pa.int32()), ("row", pa.list_(pa.float64()))]))
+
+    parts = vectors.mapInArrow(partial, "i int, row array<double>")
+    sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"])
+    return sums.groupBy("i").agg(row.alias("row"), F.count("*").cast("int").alias("width"))
 
 
 def reduced_or_zero(rows: DataFrame, vector: str, fitted: Reducer | None, k: int, out: str) -> DataFrame:
@@ -209,28 +233,45 @@ def training_records(rows: DataFrame, features: list[str], at: str = "posted_at"
     return aligned(made, features, keep)
 
 
-def smote(minority: DataFrame, ident: str, features: list[str], wanted: int, k: int = 5, seed: int = 42) -> DataFrame:
-    """LAB-07: synthetic rows between a minority row and one of its near ones.
+def near_rows(rows: DataFrame, ident: str, features: list[str], k: int = 5, lines: int = 3, seed: int = 42) -> DataFrame:
+    """The ``k`` nearest of the rows that stand close to each row on one of several random lines: (row_id, near_id, distance, place).
 
-    Near rows are found by bucketed random projections, so only rows of one bucket are compared; a row without any stays alone
-    and is copied.
+    Features count by their spread. On each line rows are numbered, and a row meets its ``2 * k`` neighbours on either side by
+    an equi-join on their numbers, each of which is one row: work grows with the rows, however they are spread or repeated.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    spread = rows.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    scale = {f: 1.0 / spread[f] if spread[f] else 0.0 for f in features}
+    draw = np.random.default_rng(seed)
+    pairs = None
+    for line in range(lines):
+        weights = draw.standard_normal(len(features))
+        along = sum((F.col(f) * float(w * scale[f]) for f, w in zip(features, weights, strict=True)), F.lit(0.0))
+        placed = with_place(rows.select(ident, *features).withColumn("_along", along), "_along", ident)
+        other = placed.select(F.col("place").alias("_at"), F.col(ident).alias("_near_id"), *[F.col(f).alias(f"_{f}") for f in features])
+        steps = F.array(*[F.lit(d) for d in range(-2 * k, 2 * k + 1) if d])
+        met = placed.withColumn("_step", F.explode(steps)).withColumn("_at", F.col("place") + F.col("_step")).join(other, "_at")
+        square = sum(((F.col(f) - F.col(f"_{f}")) * scale[f] * (F.col(f) - F.col(f"_{f}")) * scale[f] for f in features), F.lit(0.0))
+        met = met.select(F.col(ident).alias("row_id"), F.col("_near_id").alias("near_id"), F.sqrt(square).alias("distance"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    place = F.row_number().over(Window.partitionBy("row_id").orderBy("distance", "near_id"))
+    return pairs.groupBy("row_id", "near_id").agg(F.min("distance").alias("distance")).withColumn("place", place).where(F.col("place") <= k)
+
+
+def smote(minority: DataFrame, ident: str, features: list[str], wanted: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """LAB-07: synthetic rows between a minority row and one of its near ones (``near_rows``); a row without any is copied."""
+    from tidemark.operators.sampling import keyed
 
-    vectors = assembled(features).transform(minority).select(ident, "features")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2.0, numHashTables=3, seed=seed).fit(vectors)
-    pairs = lsh.approxSimilarityJoin(vectors, vectors, 1e6, "distance").select(F.col(f"datasetA.{ident}").alias("a"), F.col(f"datasetB.{ident}").alias("b"), "distance").where("a <> b")
-    near = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "b"))), 1, k).alias("near"))
-    rows = minority.join(near, minority[ident] == near["a"], "left")
+    near = near_rows(minority, ident, features, k, seed=seed).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("distance", "near_id"))).alias("near"))
+    rows = minority.join(near.withColumnRenamed("row_id", ident), ident, "left")
     total = minority.count()
     times = -(-wanted // max(total, 1))
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    draw = lambda n: F.pmod(F.xxhash64(F.col(ident), "copy", F.lit(n), F.lit(seed)), F.lit(1_000_001)) / 1_000_000
-    chosen = F.try_element_at("near", (F.floor(draw(0) * F.size("near") * 0.999999) + 1).cast("int"))["b"]
+    draw = lambda n: keyed(ident, "copy", n, seed) % 1_000_001 / 1_000_000
+    chosen = F.try_element_at("near", (F.floor(draw(0) * F.size("near") * 0.999999) + 1).cast("int"))["near_id"]
     picked = copies.withColumns({"_other": F.coalesce(chosen, F.col(ident)), "_u": draw(1)})
     other = minority.select(F.col(ident).alias("_other"), *[F.col(f).alias(f"_{f}") for f in features])
     made = picked.join(other, "_other").withColumns({f: F.col(f) + F.col("_u") * (F.col(f"_{f}") - F.col(f)) for f in features})
-    return made.orderBy("copy", F.xxhash64(ident)).limit(wanted).select(ident, "copy", *features, F.lit(True).alias("is_synthetic"))
+    return made.orderBy("copy", keyed(ident, seed), ident).limit(wanted).select(ident, "copy", *features, F.col("_other").alias("towards"), F.lit(True).alias("is_synthetic"))
 
 
 def compare_weights(predictions: DataFrame, weights: DataFrame, ident: str = "post_id") -> DataFrame:

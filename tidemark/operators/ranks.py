@@ -1,17 +1,21 @@
-"""Places in the order of a whole table without sorting it in one task."""
+"""Places in the order of a whole table, and the values at places, without sorting it in one task."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_place(rows: DataFrame, by: str, ident: str, buckets: int = 128, name: str = "place") -> DataFrame:
+def with_place(rows: DataFrame, by: str, ident: str, buckets: int | None = None, name: str = "place") -> DataFrame:
     """Add ``name``, the row's place from 0 in ascending order of ``by``, ties by ``ident``; NULLs come first.
 
     Approximate quantiles, ``buckets`` numbers on the driver, cut the values into ranges; each range numbers its rows, and the
-    counts of the ranges before it are added. Equal values share a range, so a very frequent value makes a large one.
+    counts of the ranges before it are added. Equal values share a range, so a very frequent value makes a large one. Without
+    ``buckets`` there are as many ranges as shuffle partitions, 16 at least.
     """
+    buckets = buckets or max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = ", ".join(str(i / buckets) for i in range(1, buckets))
     cuts = rows.agg(F.expr(f"percentile_approx(cast({by} as double), array({shares}), 20000)").alias("c")).first()["c"] or []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<double>)")
@@ -22,3 +26,59 @@ def with_place(rows: DataFrame, by: str, ident: str, buckets: int = 128, name: s
     starts = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each range
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.asc(by), F.asc(ident))) - 1
     return bucketed.withColumn("_local", local).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_local") + F.col("_start")).drop("_bucket", "_local", "_start")
+
+
+_AT_ONCE = 100_000  # rows whose values the driver orders
+
+
+def values_at(rows: DataFrame, by: str, places: list[int], n: int | None = None) -> list[float | None]:
+    """The values of ``by`` at ``places``, from 0, of its ascending order without NULLs; None for places outside.
+
+    Approximate quantiles enclose each place in a range; the rows below the range are counted, and those in it are ordered once
+    they are few, else enclosed again. Ranges narrow some hundredfold each time, so a few passes do for any table.
+    """
+    values = rows.where(F.col(by).isNotNull()).select(F.col(by).cast("double").alias("v"))
+    n = values.count() if n is None else n
+    wanted = sorted({p for p in places if 0 <= p < n})
+    known: dict[int, float] = {}
+    if not wanted:
+        return [None] * len(places)
+    if n <= _AT_ONCE:
+        ordered = [(r["v"], r["c"]) for r in values.groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect()]
+        at, below = 0, 0
+        for p in wanted:
+            while below + ordered[at][1] <= p:
+                below += ordered[at][1]
+                at += 1
+            known[p] = ordered[at][0]
+        return [known.get(p) for p in places]
+    margin = n // 500 + 1
+    shares = [min(max((p + d) / n, 0.0), 1.0) for p in wanted for d in (-margin, margin)]
+    found = values.agg(F.percentile_approx("v", shares, 10_000).alias("q")).first()["q"]
+    ranges = list(zip(found[0::2], found[1::2], strict=True))
+    counts = values.agg(*[F.count_if(F.col("v") < low) for low, _ in ranges], *[F.count_if(F.col("v") <= high) for _, high in ranges]).first()
+    for i, (p, (low, high)) in enumerate(zip(wanted, ranges, strict=True)):
+        below, upto = counts[i], counts[len(ranges) + i]
+        if not below <= p < upto:  # the quantiles missed it: everything on its side
+            inside, below, upto = (values.where(F.col("v") < low), 0, below) if p < below else (values.where(F.col("v") > high), upto, n)
+        elif low == high:
+            known[p] = low
+            continue
+        else:
+            inside = values.where(F.col("v").between(low, high))
+        known[p] = values_at(inside, "v", [p - below], upto - below)[0]
+    return [known.get(p) for p in places]
+
+
+def quantiles(rows: DataFrame, by: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of ``by``, interpolated between its two nearest values; None for a table without any."""
+    values = rows.where(F.col(by).isNotNull()).select(F.col(by).cast("double").alias("v")).persist()
+    try:
+        n = values.count()
+        if not n:
+            return [None] * len(shares)
+        at = [(n - 1) * s for s in shares]
+        ends = values_at(values, "v", [int(f(x)) for x in at for f in (math.floor, math.ceil)], n)
+        return [low if low == high else low * (math.ceil(x) - x) + high * (x - math.floor(x)) for x, low, high in zip(at, ends[0::2], ends[1::2], strict=True)]
+    finally:
+        values.unpersist()

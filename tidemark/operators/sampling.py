@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Sampling
-from tidemark.operators.ranks import with_place
+from tidemark.operators.ranks import quantiles, values_at, with_place
+
+
+def keyed(*parts: Column | str | int) -> Column:
+    """A number of 60 bits drawn by the parts' text, which must name what is drawn for; any engine with MD5 draws the same."""
+    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _ranked(posts: DataFrame, by: str, key: str, ident: str) -> DataFrame:
@@ -61,27 +69,24 @@ def label_by_position(posts: DataFrame, by: str = "engagement_ratio", top: float
     Rows at or below ``least`` don't move
     the cut-offs but are labelled by them.
     """
-    valid = posts.where(F.col(by) > least).select((-F.col(by)).alias("_down"), by)
-    whole = valid.agg(F.count("*").alias("n")).select(F.floor(F.col("n") * top).alias("_hi"), F.floor(F.col("n") * (1 - bottom)).alias("_lo"), "n")
-    placed = with_place(valid, "_down", by).crossJoin(F.broadcast(whole))
-    inner = lambda c: (F.col(c) > 0) & (F.col(c) < F.col("n"))
-    limits = placed.agg(
-        F.max(F.when(inner("_hi") & (F.col("place") == F.col("_hi") - 1), F.col(by))).alias("_viral_from"),
-        F.max(F.when(inner("_lo") & (F.col("place") == F.col("_lo")), F.col(by))).alias("_flop_to"),
-    )
-    rows = posts.crossJoin(F.broadcast(limits))
-    viral = (F.col(by) >= F.col("_viral_from")) & (F.col("_viral_from") > 0)
-    flop = F.col(by) <= F.coalesce("_flop_to", F.lit(0.0))
-    label = F.when(F.coalesce(viral, F.lit(False)), "viral").when(flop, "flop").otherwise("middle")
-    return _with_class(rows.withColumn("viral_label", label)).drop("_viral_from", "_flop_to")
+    valid = posts.where(F.col(by) > least).select(by).persist()
+    try:
+        n = valid.count()
+        # Places from the largest on; outside the table there is no cut-off.
+        high, low = math.floor(n * top), math.floor(n * (1 - bottom))
+        viral_from, flop_to = values_at(valid, by, [n - high if 0 < high < n else -1, n - 1 - low if 0 < low < n else -1], n)
+    finally:
+        valid.unpersist()
+    viral = F.lit(False) if viral_from is None else F.coalesce((F.col(by) >= viral_from) & F.lit(viral_from > 0), F.lit(False))
+    label = F.when(viral, "viral").when(F.col(by) <= (flop_to or 0.0), "flop").otherwise("middle")
+    return _with_class(posts.withColumn("viral_label", label))
 
 
 def label_by_quantile(posts: DataFrame, by: str = "engagement_ratio", top: float = 0.2, bottom: float = 0.2) -> DataFrame:
     """LAB-02: viral, flop or middle against interpolated quantiles."""
-    limits = posts.agg(F.expr(f"percentile({by}, array({1 - top}D, {bottom}D))").alias("_q"))
-    rows = posts.crossJoin(F.broadcast(limits))
-    label = F.when(F.col(by) >= F.col("_q")[0], "viral").when(F.col(by) <= F.col("_q")[1], "flop").otherwise("middle")
-    return _with_class(rows.withColumn("viral_label", label)).drop("_q")
+    high, low = (F.lit(q).cast("double") for q in quantiles(posts, by, [1 - top, bottom]))
+    label = F.when(F.col(by) >= high, "viral").when(F.col(by) <= low, "flop").otherwise("middle")
+    return _with_class(posts.withColumn("viral_label", label))
 
 
 def _with_class(rows: DataFrame) -> DataFrame:
@@ -90,7 +95,7 @@ def _with_class(rows: DataFrame) -> DataFrame:
 
 def undersample(rows: DataFrame, keep: int, ident: str, seed: int = 42) -> DataFrame:
     """LAB-04: exactly ``keep`` rows, those of the smallest keyed hashes; the same at any partitioning."""
-    return rows.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(keep)
+    return rows.orderBy(keyed(ident, seed), ident).limit(keep)
 
 
 def oversample(rows: DataFrame, wanted: int, metrics: list[str], ident: str, seed: int = 42, noise: float = 0.1) -> DataFrame:
@@ -102,9 +107,9 @@ def oversample(rows: DataFrame, wanted: int, metrics: list[str], ident: str, see
     if not total or wanted <= 0:
         return rows.limit(0).withColumns({"is_synthetic": F.lit(True), "source_id": F.col(ident), "copy": F.lit(0)})
     times = F.floor((F.lit(wanted) - 1 - F.col("_place")) / total) + 1
-    copies = with_place(rows.withColumn("_hash", F.xxhash64(F.col(ident), F.lit(seed))), "_hash", ident, name="_place").drop("_hash").where(F.col("_place") < wanted)
+    copies = with_place(rows.withColumn("_hash", keyed(ident, seed)), "_hash", ident, name="_place").drop("_hash").where(F.col("_place") < wanted)
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    draw = lambda m: F.pmod(F.xxhash64(F.col(ident), "copy", F.lit(m), F.lit(seed)), F.lit(1_000_001)) / 1_000_000 * 2 - 1
+    draw = lambda m: keyed(ident, "copy", F.lit(m), seed) % 1_000_001 / 1_000_000 * 2 - 1
     moved = {m: F.greatest(F.lit(0), F.floor(F.col(m) * (1 + draw(m) * noise))).cast("long") for m in metrics}
     return copies.withColumns(moved).withColumns({"is_synthetic": F.lit(True), "source_id": F.col(ident)}).drop("_place")
 
@@ -138,7 +143,7 @@ def split_by_time(rows: DataFrame, at: str, days: int = 7) -> DataFrame:
 
 def split_by_hash(rows: DataFrame, ident: str, share: int = 80, seed: int = 42) -> DataFrame:
     """LAB-10: ``is_test`` by a keyed hash of the id, the same at any partitioning."""
-    return rows.withColumn("is_test", F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(100)) >= share)
+    return rows.withColumn("is_test", keyed(ident, seed) % 100 >= share)
 
 
 def sample_weight(target: Column, below: float = 1.0, weight: float = 3.5) -> Column:
@@ -148,5 +153,35 @@ def sample_weight(target: Column, below: float = 1.0, weight: float = 3.5) -> Co
 
 def above_median(rows: DataFrame, by: str) -> DataFrame:
     """LAB-12: ``high``: 1 above the median."""
-    middle = rows.agg(F.expr(f"percentile({by}, 0.5)").alias("_m"))
-    return rows.crossJoin(F.broadcast(middle)).withColumn("high", (F.col(by) > F.col("_m")).cast("int")).drop("_m")
+    middle = quantiles(rows, by, [0.5])[0]
+    return rows.withColumn("high", (F.col(by) > F.lit(middle).cast("double")).cast("int"))
+
+
+def statistics(labelled: DataFrame, balanced: DataFrame) -> DataFrame:
+    """LAB-08: one row of counts: what went in, its classes, and what balancing gave, with its share of negatives."""
+    kind = lambda c: F.count_if(c)
+    before = labelled.agg(
+        F.count("*").alias("input_count"), kind(F.col("is_viral") == 1).alias("viral_count"), kind(F.col("is_viral") == 0).alias("flop_count"), kind(F.col("is_viral").isNull()).alias("middle_count")
+    )
+    negative = kind(F.col("is_viral") == 0)
+    after = balanced.agg(F.count("*").alias("output_count"), kind(F.col("is_synthetic")).alias("synthetic_count"), (negative / F.greatest(F.count("*"), F.lit(1))).alias("negative_share"))
+    return before.crossJoin(after)
+
+
+def best_of_business(posts: DataFrame, limit: int = 15, business: str = "business_id", by: str = "engagement_score", ident: str = "post_id", longest: int = 300) -> DataFrame:
+    """TOP-05: the best posts of each business over all its competitors, with captions cut to ``longest``. NULL captions are empty."""
+    place = F.row_number().over(Window.partitionBy(business).orderBy(F.desc(by), F.asc(ident)))
+    kept = posts.withColumn("_p", place).where(F.col("_p") <= limit).drop("_p")
+    return kept.withColumn("caption", F.substring(F.coalesce("caption", F.lit("")), 1, longest))
+
+
+def failed_of_niche(posts: DataFrame, limit: int = 20, more_than: int = 50, niche: str = "niche", by: str = "engagement_score", ident: str = "post_id") -> DataFrame:
+    """TOP-06: the worst posts of each niche that has over ``more_than`` posts; smaller niches are noise and give none."""
+    large = posts.where(F.col(niche).isNotNull()).groupBy(niche).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).select(niche)
+    place = F.row_number().over(Window.partitionBy(niche).orderBy(F.asc(by), F.asc(ident)))
+    return posts.withColumn("_p", place).where(F.col("_p") <= limit).drop("_p").join(large, niche, "left_semi")
+
+
+def training_queue(samples: DataFrame, least: float = 0.0, priority: str = "priority", ident: str = "post_id") -> DataFrame:
+    """TOP-07: samples of at least that priority, the most urgent first."""
+    return samples.where(F.col(priority) >= least).orderBy(F.desc(priority), ident)

@@ -57,6 +57,18 @@ def fresh(velocities: DataFrame) -> DataFrame:
     return velocities.where("is_fresh").orderBy(F.desc("velocity_score"), "trend")
 
 
+def recipe_elements(elements: DataFrame, velocities: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """TOP-12: a recipe's elements (kind: audio or hashtag, name) as validated or filtered, each list of a recipe and kind in order.
+
+    Elements without samples are fresh and unknown. Validated ones stand fastest first, filtered ones by name.
+    """
+    rows = elements.join(velocities.select(F.col("trend").alias("name"), "status", "velocity_score", "is_stale"), "name", "left")
+    stale = F.coalesce("is_stale", F.lit(False))
+    rows = rows.withColumns({"list": F.when(stale, "filtered").otherwise("validated"), "status": F.coalesce("status", F.lit("unknown")), "velocity_score": F.coalesce("velocity_score", F.lit(0.0))})
+    own = Window.partitionBy(recipe, "kind", "list").orderBy(F.desc(F.when(F.col("list") == "validated", F.col("velocity_score"))), "name")
+    return rows.select(recipe, "kind", "name", "list", "status", "velocity_score", F.row_number().over(own).alias("place"))
+
+
 def ideas_with_status(ideas: DataFrame, velocities: DataFrame) -> DataFrame:
     """TOP-15: ideas (idea_id, trend, potential) with their trend's status; stale ones go, rising ones are worth more."""
     rows = ideas.join(velocities.select("trend", "status", "velocity_score"), "trend", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))

@@ -300,6 +300,23 @@ def win_09_acceleration(trends: DataFrame) -> DataFrame:
     return V.acceleration(trends).select("trend", "n", *rounded({"acceleration": F.col("acceleration")}))
 
 
+@query(
+    f"""WITH {_V}, el AS (SELECT DISTINCT u % 5 AS recipe_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'audio' ELSE 'hashtag' END AS kind, trend AS name FROM trends
+      UNION ALL SELECT DISTINCT u % 5, 'audio', concat('unheard_', u) FROM trends),
+    j AS (SELECT recipe_id, kind, name, coalesce(status, 'unknown') AS status, coalesce(score, 0) AS score, CASE WHEN status = 'stale' THEN 'filtered' ELSE 'validated' END AS list FROM el LEFT JOIN vel ON trend = name)
+    SELECT recipe_id, kind, name, list, status, round(score, 6)::DOUBLE AS velocity_score, row_number() OVER (PARTITION BY recipe_id, kind, list ORDER BY CASE WHEN list = 'validated' THEN score END DESC, name) AS place FROM j""",
+    "trends",
+    reads="trends",
+)
+def top_12_recipe_elements(trends: DataFrame) -> DataFrame:
+    recipe = (F.col("u") % 5).alias("recipe_id")
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "audio").otherwise("hashtag").alias("kind")
+    elements = trends.select(recipe, kind, F.col("trend").alias("name")).distinct()
+    elements = elements.unionByName(trends.select(recipe, F.lit("audio").alias("kind"), F.concat(F.lit("unheard_"), "u").alias("name")).distinct())
+    made = V.recipe_elements(elements, V.velocity(trends))
+    return made.select("recipe_id", "kind", "name", "list", "status", F.col("place").cast("long").alias("place"), *rounded({"velocity_score": F.col("velocity_score")}))
+
+
 @query(f"WITH {_V} SELECT trend, status, round(score, 6) AS velocity_score FROM vel WHERE status <> 'stale'", "trends", reads="trends")
 def top_12_fresh_trends(trends: DataFrame) -> DataFrame:
     return V.fresh(V.velocity(trends)).select("trend", "status", *rounded({"velocity_score": F.col("velocity_score")}))
@@ -359,20 +376,86 @@ def top_03_stratified(posts: DataFrame) -> DataFrame:
     "posts",
     reads="posts",
 )
-def top_05_06_16_best_of_each(posts: DataFrame) -> DataFrame:
+def top_16_best_of_each(posts: DataFrame) -> DataFrame:
     return B.latest(posts.where("niche is not null"), "niche", 20, [F.desc("likes"), F.asc("post_id")]).select("post_id", "niche")
 
 
+_COMPETING = f"c AS (SELECT p.*, a.business_id, {_ES} AS e, k.caption FROM posts p JOIN authors a USING (author_id) LEFT JOIN (SELECT post_id, caption FROM captions) k USING (post_id))"
+
+
+def _competing(posts: DataFrame, authors: DataFrame, captions: DataFrame) -> DataFrame:
+    return _scored(posts).join(authors.select("author_id", "business_id"), "author_id").join(captions.select("post_id", "caption"), "post_id", "left")
+
+
+@query(
+    f"""WITH {_COMPETING} SELECT business_id, post_id, e AS engagement_score, substring(coalesce(caption, ''), 1, 30) AS caption
+    FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY e DESC, post_id) AS p FROM c) x WHERE p <= 15""",
+    "posts", "authors", "captions",
+    reads="posts authors captions",
+)
+def top_05_best_of_business(posts: DataFrame, authors: DataFrame, captions: DataFrame) -> DataFrame:
+    """Captions here are short, so the cut is at 30 letters."""
+    return S.best_of_business(_competing(posts, authors, captions), longest=30).select("business_id", "post_id", "engagement_score", "caption")
+
+
+@query(
+    f"""WITH {_COMPETING}, n AS (SELECT niche FROM c WHERE niche IS NOT NULL GROUP BY niche HAVING count(*) > 50)
+    SELECT post_id, 'best' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY e DESC, post_id) AS p FROM c) x WHERE p <= 20
+    UNION ALL SELECT post_id, 'failed' FROM (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY e, post_id) AS p FROM c) y JOIN n USING (niche) WHERE p <= 20""",
+    "posts", "authors", "captions",
+    reads="posts authors captions",
+)
+def top_06_best_and_failed(posts: DataFrame, authors: DataFrame, captions: DataFrame) -> DataFrame:
+    rows = _competing(posts, authors, captions)
+    best = S.top_only(rows, 20, "engagement_score", "business_id").select("post_id", F.lit("best").alias("kind"))
+    return best.unionByName(S.failed_of_niche(rows).select("post_id", F.lit("failed").alias("kind")))
+
+
+_PRIORITY = """least(1, least(1, abs(delta) / 100) * CASE WHEN abs(delta) > 50 THEN 1.5 WHEN abs(delta) > 20 THEN 1.2 ELSE 1 END * CASE content_format WHEN 'carousel' THEN 1.3
+WHEN 'static_image' THEN 1.2 ELSE 1 END * CASE WHEN views > 10000 THEN 1.3 WHEN views > 1000 THEN 1.1 ELSE 1 END)"""
+
+
+@query(
+    f"WITH d AS (SELECT *, {_DELTA} AS delta FROM ab_logs), q AS (SELECT post_id, actual, {_PRIORITY} AS p FROM d) SELECT post_id, actual AS engagement_score, round(p, 6)::DOUBLE AS priority FROM q WHERE p >= 0.6",
+    "ab_logs",
+    reads="ab_logs",
+)
+def top_07_training_queue(logs: DataFrame) -> DataFrame:
+    rows = logs.withColumn("delta", M.delta(F.col("actual"), F.col("predicted")))
+    rows = rows.withColumn("priority", M.priority(F.col("delta"), F.col("content_format"), F.col("views")))
+    return S.training_queue(rows, 0.6).select("post_id", F.col("actual").alias("engagement_score"), *rounded({"priority": F.col("priority")}))
+
+
 @query(
     f"WITH d AS (SELECT *, {_DELTA} AS delta FROM ab_logs) SELECT post_id FROM d WHERE abs(delta) > 20 ORDER BY posted_at DESC, post_id LIMIT 50",
     "ab_logs",
     reads="ab_logs",
 )
-def top_07_08_high_priority(logs: DataFrame) -> DataFrame:
+def top_08_high_priority(logs: DataFrame) -> DataFrame:
     rows = logs.withColumn("delta", M.delta(F.col("actual"), F.col("predicted"))).where(M.is_high_priority(F.col("delta")))
     return S.top_rows(rows, 50, [F.desc("posted_at"), F.asc("post_id")]).select("post_id")
 
 
+_FOUND = """x AS (SELECT lower(username) AS username, followers, date_diff('day', posted_at::DATE, DATE '1998-08-03') AS d, lower(concat_ws(' ', coalesce(caption, ''), lower(username))) AS t,
+  row_number() OVER (PARTITION BY username ORDER BY posted_at DESC, post_id DESC) AS p FROM posts JOIN authors USING (author_id) LEFT JOIN (SELECT post_id, caption FROM captions) k USING (post_id)
+  WHERE followers BETWEEN 500 AND 100000 AND date_diff('day', posted_at::DATE, DATE '1998-08-03') <= 90),
+y AS (SELECT *, contains(t, 'casa') OR contains(t, 'café') AS niche, contains(t, '0001') AS place, d <= 7 AS very FROM x WHERE p = 1)"""
+
+
+@query(
+    f"""WITH {_FOUND} SELECT username, followers, CASE WHEN very THEN 'Very Active' WHEN d <= 30 THEN 'Active' ELSE 'Inactive' END AS activity_status,
+    CASE WHEN niche THEN 25 ELSE 0 END + CASE WHEN place THEN 30 ELSE 0 END + CASE WHEN very THEN 15 ELSE 0 END + CASE WHEN followers BETWEEN 1000 AND 50000 THEN 10 ELSE 0 END + 10 AS relevance_score,
+    concat_ws('; ', CASE WHEN niche THEN '🎯 Niche Match' END, CASE WHEN place THEN '📍 Location Match' END, CASE WHEN very THEN '🔥 Very Active' END, CASE WHEN NOT niche AND NOT place THEN 'Exploración general' END) AS match_reasons
+    FROM y ORDER BY relevance_score DESC, username LIMIT 50""",
+    "posts", "authors", "captions",
+    reads="posts authors captions",
+)
+def top_11_hashtag_discovery(posts: DataFrame, authors: DataFrame, captions: DataFrame) -> DataFrame:
+    rows = posts.join(authors.select("author_id", "username", "followers"), "author_id").join(captions.select("post_id", "caption"), "post_id", "left")
+    made = A.hashtag_discovery(rows, ["casa", "café"], ["0001"], 500, 100_000, "1998-08-03", [F.desc("posted_at"), F.desc("post_id")], days=90)
+    return made.select("username", "followers", "activity_status", "relevance_score", F.array_join("match_reasons", "; ").alias("match_reasons"))
+
+
 _TEXT = "concat_ws(' ', lower(content), lower(username))"
 _REL = """CASE WHEN contains(t, 'furn') THEN 30 ELSE 0 END + CASE WHEN contains(t, 'auto') THEN 30 ELSE 0 END + CASE WHEN contains(t, '00012') THEN 20 ELSE 0 END + CASE WHEN contains(t, 'build') THEN 20 ELSE 0 END
 + CASE WHEN author_id % 2 = 0 THEN 15 ELSE 0 END + 10 - CASE WHEN author_id % 9 = 0 THEN 20 ELSE 0 END + CASE WHEN followers BETWEEN 1000 AND 15000 THEN 10 ELSE 0 END"""
@@ -399,7 +482,7 @@ def _relevance():
     "authors",
     reads="authors",
 )
-def top_09_11_discovery(authors: DataFrame) -> DataFrame:
+def top_09_discovery(authors: DataFrame) -> DataFrame:
     rows = authors.withColumns(_relevance() | {"activity_score": F.col("author_id") % 100, "days_since_last_post": F.col("author_id") % 60, "posts_last_month": F.lit(5)})
     return A.discovery(rows, 500, 50000, 30, 1, 20, 50).select("author_id", *rounded({"rank_score": F.col("rank_score")}))
 
@@ -435,11 +518,38 @@ def lab_02_label_by_quantile(posts: DataFrame, authors: DataFrame) -> DataFrame:
     return S.label_by_quantile(_ratios(posts, authors)).select("post_id", "viral_label", "is_viral")
 
 
-@query(reads="posts authors")
-def lab_03_06_08_balanced_training_set(posts: DataFrame, authors: DataFrame) -> DataFrame:
-    """Ratios, labels and balance in one; which rows are drawn is by hash, so tests check counts and provenance."""
+_KEYED = "('0x' || substr(md5(concat_ws('|', {})), 1, 15))::BIGINT"
+_BALANCED = f"""x AS (SELECT post_id, likes, comments, {_RATIO} AS r FROM posts JOIN authors USING (author_id)), v AS (SELECT r, row_number() OVER (ORDER BY r DESC) - 1 AS p, count(*) OVER () AS n FROM x WHERE r > 0),
+c AS (SELECT max(r) FILTER (p = CAST(floor(n * 0.2) AS INT) - 1) AS hi, max(r) FILTER (p = CAST(floor(n * 0.95) AS INT)) AS lo FROM v),
+l AS (SELECT post_id, likes, comments, CASE WHEN r >= hi THEN 1 WHEN r <= lo THEN 0 END AS is_viral FROM x, c),
+t AS (SELECT count(*) FILTER (is_viral = 1) AS p, count(*) FILTER (is_viral = 0) AS n FROM l),
+g AS (SELECT *, CASE WHEN p = 0 OR n = 0 OR n / (p + n) >= 0.3 THEN 'plain' WHEN CAST(floor(n * 0.7 / 0.3) AS BIGINT) >= 0.7 * p THEN 'fewer' ELSE 'more' END AS way, CAST(floor(n * 0.7 / 0.3) AS BIGINT) AS keep, CAST(ceil(p * 0.3 / 0.7) AS BIGINT) - n AS wanted FROM t),
+o AS (SELECT l.*, row_number() OVER (PARTITION BY is_viral ORDER BY {_KEYED.format('post_id, 42')}, post_id) - 1 AS place FROM l WHERE is_viral IS NOT NULL),
+e AS (SELECT post_id, is_viral, likes, comments, unnest(range(1, CAST(floor((wanted - 1 - place) / n) AS BIGINT) + 2)) AS copy FROM o, g WHERE way = 'more' AND is_viral = 0 AND place < wanted),
+d AS (SELECT *, {_KEYED.format("post_id, copy, 'likes', 42")} % 1000001 / 1000000 * 2 - 1 AS dl, {_KEYED.format("post_id, copy, 'comments', 42")} % 1000001 / 1000000 * 2 - 1 AS dc FROM e),
+b AS (SELECT post_id, is_viral, FALSE AS is_synthetic, post_id AS source_id, CAST(0 AS BIGINT) AS copy, likes, comments FROM o, g WHERE way <> 'fewer' OR is_viral = 0 OR place < keep
+  UNION ALL SELECT post_id, is_viral, TRUE, post_id, copy, CAST(greatest(0, floor(likes * (1 + dl * 0.15))) AS BIGINT), CAST(greatest(0, floor(comments * (1 + dc * 0.15))) AS BIGINT) FROM d)"""
+
+
+@query(f"WITH {_BALANCED} SELECT * FROM b", "posts", "authors", reads="posts authors")
+def lab_03_04_05_06_balanced_training_set(posts: DataFrame, authors: DataFrame) -> DataFrame:
+    """Ratios, labels and balance in one; rows and noise are drawn by MD5, so that the twin draws the same."""
+    rows = S.label_by_position(_ratios(posts, authors), bottom=0.05)
+    made = S.balance(rows, ["likes", "comments"], "post_id")
+    return made.select("post_id", "is_viral", "is_synthetic", "source_id", F.col("copy").cast("long").alias("copy"), "likes", "comments")
+
+
+@query(
+    f"""WITH {_BALANCED} SELECT count(*) AS input_count, count(*) FILTER (is_viral = 1) AS viral_count, count(*) FILTER (is_viral = 0) AS flop_count, count(*) FILTER (is_viral IS NULL) AS middle_count,
+    (SELECT count(*) FROM b) AS output_count, (SELECT count(*) FROM b WHERE is_synthetic) AS synthetic_count, (SELECT round(count(*) FILTER (is_viral = 0) / greatest(count(*), 1), 6) FROM b) AS negative_share FROM l""",
+    "posts",
+    "authors",
+    reads="posts authors",
+)
+def lab_08_statistics(posts: DataFrame, authors: DataFrame) -> DataFrame:
     rows = S.label_by_position(_ratios(posts, authors), bottom=0.05)
-    return S.balance(rows, ["likes", "comments"], "post_id").select("post_id", "is_viral", "is_synthetic", "source_id", "copy", "likes", "comments")
+    made = S.statistics(rows, S.balance(rows, ["likes", "comments"], "post_id"))
+    return made.select(*[c for c in made.columns if c != "negative_share"], *rounded({"negative_share": F.col("negative_share")}))
 
 
 @query(
@@ -452,7 +562,7 @@ def lab_09_11_12_split_and_weights(posts: DataFrame) -> DataFrame:
     return made.select("post_id", "is_test", S.sample_weight(F.col("likes"), 50.0).alias("w"), "high")
 
 
-@query(reads="posts")
+@query(f"SELECT post_id, {_KEYED.format('post_id, 42')} % 100 >= 80 AS is_test FROM posts", "posts", reads="posts")
 def lab_10_split_by_hash(posts: DataFrame) -> DataFrame:
     return S.split_by_hash(posts, "post_id").select("post_id", "is_test")
 
@@ -482,5 +592,6 @@ def set_01_02_union(posts: DataFrame) -> DataFrame:
     reads="posts",
 )
 def set_03_distinct_in_order(posts: DataFrame) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("post_id", "content_format"))), lambda x: x["content_format"])
-    return posts.groupBy("author_id").agg(F.array_join(F.slice(F.array_distinct(ordered), 1, 10), ",").alias("formats"))
+    first = posts.groupBy("author_id", "content_format").agg(F.min("post_id").alias("first"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "content_format"))), lambda x: x["content_format"])
+    return first.groupBy("author_id").agg(F.array_join(F.slice(ordered, 1, 10), ",").alias("formats"))

@@ -39,12 +39,13 @@ SELECT post_id, content_format, CASE WHEN post_id % 17 = 0 THEN NULL WHEN post_i
 FROM posts
 """
 
+# Every event is a sample. Users' numbers split trends by age or amount, so that fresh, stale and rare ones occur.
 TRENDS = """
-SELECT concat(event_type, '_', user_id % 20) AS trend, event_id, ts AS posted_at, CAST(floor(value) AS BIGINT) AS likes,
-  age_hours, user_id % 20 AS u FROM (
+SELECT concat(event_type, '_', user_id % 20, CASE WHEN user_id % 20 < 8 THEN CASE WHEN age_hours <= 72 THEN '_new' WHEN age_hours > 336 THEN '_old' ELSE '_mid' END
+    WHEN user_id % 20 < 12 THEN CASE WHEN age_hours <= 336 THEN '_late' ELSE '_early' END
+    WHEN user_id % 20 = 19 THEN concat('_', CAST(floor(value * 10) AS BIGINT)) ELSE '' END) AS trend,
+  event_id, event_type, ts AS posted_at, CAST(floor(value) AS BIGINT) AS likes, age_hours, user_id % 20 AS u FROM (
   SELECT *, (epoch_us_of(TIMESTAMP '2024-01-31 00:00:00') - epoch_us_of(ts)) / 3600000000.0 AS age_hours FROM events) e
-WHERE CASE WHEN user_id % 20 < 4 THEN age_hours <= 48 OR event_id % 40 = 0 WHEN user_id % 20 < 8 THEN age_hours > 336 OR event_id % 11 = 0
-  WHEN user_id % 20 < 12 THEN age_hours <= 336 WHEN user_id % 20 < 16 THEN TRUE ELSE event_id % 40 = 0 END
 """
 
 PREDICTIONS = """

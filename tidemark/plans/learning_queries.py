@@ -25,10 +25,12 @@ def ml_01_02_11_niche_scores(posts: DataFrame) -> DataFrame:
     rows = _training(posts)
     base = L.regression(rows, _FEATURES, "log_likes", trees=5, depth=3)
     made = base.transform(rows).select("post_id", "niche", F.col("prediction").alias("base"))
+    own = None  # each post is scored by the model of its niche, and met once
     for name, model in L.niche_models(rows, _FEATURES, "log_likes", base, trees=3, depth=3).items():
-        own = model.transform(rows.where(F.col("niche") == name)).select("post_id", F.col("prediction").alias(f"m_{name}"))
-        made = made.join(own, "post_id", "left")
-    niche = F.coalesce(*[F.col(c) for c in made.columns if c.startswith("m_")])
+        scored = model.transform(rows.where(F.col("niche") == name)).select("post_id", F.col("prediction").alias("own"))
+        own = scored if own is None else own.unionByName(scored)
+    made = made.withColumn("own", F.lit(None).cast("double")) if own is None else made.join(own, "post_id", "left")
+    niche = F.col("own")
     best = L.best_available({"niche": niche, "base": F.col("base")}, F.lit(False), F.lit(None).cast("double"))
     return made.select("post_id", *[c.alias(k) for k, c in best.items()])
 
@@ -119,10 +121,13 @@ def ml_12_feature_confidence(posts: DataFrame) -> DataFrame:
 
 @query(reads="posts")
 def lab_07_smote(posts: DataFrame) -> DataFrame:
+    """The minority are the posts of least engagement, a tenth of all; there come to be as many again."""
     from tidemark.operators.models import smote
+    from tidemark.operators.ranks import quantiles
 
-    few = _training(posts).where("post_id % 50 = 0").select("post_id", "log_likes", "log_views")
-    return smote(few, "post_id", ["log_likes", "log_views"], 500)
+    rows = _training(posts)
+    few = rows.where(F.col("log_likes") <= quantiles(rows, "log_likes", [0.1])[0]).select("post_id", "log_likes", "log_views")
+    return smote(few, "post_id", ["log_likes", "log_views"], few.count())
 
 
 @query(reads="embeddings")
@@ -139,6 +144,34 @@ def str_03_07_learned(predictions: DataFrame) -> DataFrame:
     return S.learned(rows, ["x"], ["y"])
 
 
+@query(reads="predictions")
+def str_05_satisfaction_learned(predictions: DataFrame) -> DataFrame:
+    """Labels by how far the truth lies above the prediction."""
+    label = F.when(F.col("y") - F.col("p") > 0.1, "viral").when(F.col("y") - F.col("p") < -0.1, "flop").otherwise("good")
+    rows = predictions.select("niche", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("y") - F.col("p")).alias("x"), label.alias("label"))
+    return S.satisfaction_learned(rows, ["x"])
+
+
+_STR_02_DELTA = "CASE WHEN predicted > 0 THEN (actual - predicted) / predicted * 100 WHEN actual > 0 THEN 100 ELSE 0 END"
+
+
+@query(
+    f"""WITH d AS (SELECT *, {_STR_02_DELTA} AS delta FROM ab_logs) SELECT post_id, round(actual, 6) AS actual, round(delta, 6)::DOUBLE AS delta, abs(delta) > 20 AS high_priority,
+    round(least(1, least(1, abs(delta) / 100) * CASE WHEN abs(delta) > 50 THEN 1.5 WHEN abs(delta) > 20 THEN 1.2 ELSE 1 END * CASE content_format WHEN 'carousel' THEN 1.3 WHEN 'static_image' THEN 1.2 ELSE 1 END
+    * CASE WHEN views > 10000 THEN 1.3 WHEN views > 1000 THEN 1.1 ELSE 1 END), 6)::DOUBLE AS priority FROM d""",
+    "ab_logs",
+    reads="ab_logs posts",
+)
+def str_02_profile_feedback(logs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Own profiles' pages with their recent posts, one of each author and format, as feedback rows."""
+    fields = ["post_id", "content_format", "likes", "comments", "saves", "shares", "views", "predicted"]
+    rows = logs.join(posts.select("post_id", "author_id"), "post_id")
+    pages = rows.groupBy("author_id", "content_format").agg(F.collect_list(F.struct(*fields)).alias("recentPosts"))
+    pages = pages.select(F.lit("instagram").alias("platform"), F.struct(F.col("author_id").cast("string").alias("username")).alias("profile"), "recentPosts")
+    made = S.feedback_rows(S.profile_grid(pages), F.col("predicted"))
+    return made.select("post_id", "high_priority", *rounded({c: F.col(c) for c in ("actual", "delta", "priority")}))
+
+
 @query(
     """WITH h AS (SELECT trend, date_trunc('hour', posted_at) AS hour, count(*) AS n FROM trends GROUP BY 1, 2), a AS (SELECT *, (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(hour)) / 3600 AS age FROM h)
     SELECT trend, CAST(sum(n) AS BIGINT) AS n, round(coalesce(sum(n) FILTER (age <= 48), 0) / sum(n), 6) AS pct_last_48h, round(coalesce(sum(n) FILTER (age > 48 AND age <= 168), 0) / sum(n), 6) AS pct_last_week,

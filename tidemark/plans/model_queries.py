@@ -417,14 +417,3 @@ def seq_11_posting_time(authors: DataFrame) -> DataFrame:
     rows = authors.select(F.col("author_id").alias("business_id"), F.when(F.col("author_id") % 2 == 0, "tiktok").otherwise("other").alias("platform"))
     patterns = authors.where("author_id % 3 = 0").select(F.col("author_id").alias("business_id"), F.lit("time").alias("pattern_type"), F.lit("09:00").alias("name"), F.lit(1).alias("pattern_id"))
     return Q.posting_time(rows, patterns, {"tiktok": "18:00"}).select("business_id", "posting_time")
-
-
-@query(
-    "SELECT post_id, round(0.3 * 0.85 + 0.15 * CASE WHEN post_id % 2 = 0 THEN 0.5 ELSE 0.1 END, 4)::DOUBLE AS combined, least(CASE WHEN post_id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN post_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN post_id % 5 = 0 THEN 1 ELSE 0 END, 5) AS n FROM posts",
-    "posts",
-    reads="posts",
-)
-def txt_16_17_26_hooks_and_suggestions(posts: DataFrame) -> DataFrame:
-    i = F.col("post_id")
-    made = T.suggestions((i % 2 == 0).cast("int"), F.lit(1), (i % 3 != 0).cast("int"), F.when(i % 5 == 0, 1).otherwise(5), F.lit(100))
-    return posts.select("post_id", T.combined_hook(F.lit(0.3), F.when(i % 2 == 0, 0.5).otherwise(0.1)).alias("combined"), F.size(made).alias("n"))

@@ -222,9 +222,20 @@ def txt_20_21_25_vector_columns(embeddings: DataFrame) -> DataFrame:
     return made.select("vec_id", *rounded({"semantic_score": F.col("semantic_score"), "e0": F.col("semantic_0"), "e1": F.col("semantic_1"), "absent": F.col("absent")}))
 
 
+# A hook is the mean of all vectors of a label and a twelfth of the ids; its category is the twelfth.
+_HOOK_ROWS = """e AS (SELECT label * 12 + vec_id % 12 AS hook_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT hook_id, i, avg(x) AS x FROM e GROUP BY 1, 2), h AS (SELECT hook_id, hook_id % 12 AS category, list(x ORDER BY i) AS hv FROM m GROUP BY 1)"""
+
+
+def _hooks(embeddings: DataFrame) -> DataFrame:
+    parts = embeddings.select((F.col("label") * 12 + F.col("vec_id") % 12).alias("hook_id"), F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("hook_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"])
+    return means.groupBy("hook_id").agg(vector.alias("hook_vector")).withColumn("category", F.col("hook_id") % 12)
+
+
 @query(
-    """WITH h AS (SELECT vec_id AS hook_id, vec_id % 12 AS category, embedding::DOUBLE[] AS hv FROM embeddings WHERE vec_id < 144), t AS (SELECT vec_id AS text_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= 144),
-    s AS (SELECT text_id, hook_id, category, list_cosine_similarity(v, hv) AS sim FROM t CROSS JOIN h), r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY sim DESC, hook_id) AS p FROM s)
+    f"""WITH {_HOOK_ROWS}, s AS (SELECT vec_id AS text_id, hook_id, list_cosine_similarity(embedding::DOUBLE[], hv) AS sim FROM embeddings CROSS JOIN h), r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY sim DESC, hook_id) AS p FROM s)
     SELECT text_id, round(max(sim), 6) AS max_similarity, round(avg(sim), 6) AS top3_avg, string_agg(hook_id::VARCHAR, ',' ORDER BY p) AS top_hooks,
     CASE WHEN max(sim) >= 0.7 THEN 'strong' WHEN max(sim) >= 0.5 THEN 'moderate' WHEN max(sim) >= 0.3 THEN 'weak' ELSE 'minimal' END AS strength FROM r WHERE p <= 3 GROUP BY text_id""",
     reads="embeddings",
@@ -232,19 +243,104 @@ def txt_20_21_25_vector_columns(embeddings: DataFrame) -> DataFrame:
 def txt_14_hook_scores(embeddings: DataFrame) -> DataFrame:
     from tidemark.operators.joins import hook_scores
 
-    hooks = embeddings.where("vec_id < 144").select(F.col("vec_id").alias("hook_id"), F.col("embedding").alias("hook_vector"))
-    made = hook_scores(embeddings.where("vec_id >= 144").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), hooks)
+    made = hook_scores(embeddings.select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), _hooks(embeddings).drop("category"))
     return made.select("text_id", "strength", F.array_join(F.col("top_hooks").cast("array<string>"), ",").alias("top_hooks"), *rounded({c: F.col(c) for c in ("max_similarity", "top3_avg")}))
 
 
 @query(
-    """SELECT t.vec_id AS text_id, h.vec_id % 12 AS category, round(max(list_cosine_similarity(t.embedding::DOUBLE[], h.embedding::DOUBLE[])), 6) AS similarity
-    FROM embeddings t CROSS JOIN embeddings h WHERE h.vec_id < 144 AND t.vec_id >= 144 GROUP BY 1, 2""",
+    f"""WITH {_HOOK_ROWS} SELECT vec_id AS text_id, category, round(max(list_cosine_similarity(embedding::DOUBLE[], hv)), 6) AS similarity FROM embeddings CROSS JOIN h GROUP BY 1, 2""",
     reads="embeddings",
 )
 def txt_15_category_scores(embeddings: DataFrame) -> DataFrame:
     from tidemark.operators.joins import category_scores
 
-    hooks = embeddings.where("vec_id < 144").select((F.col("vec_id") % 12).alias("category"), F.col("embedding").alias("hook_vector"))
-    made = category_scores(embeddings.where("vec_id >= 144").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), hooks)
+    made = category_scores(embeddings.select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), _hooks(embeddings).drop("hook_id"))
     return made.select("text_id", "category", *rounded({"similarity": F.col("similarity")}))
+
+
+# Stand-ins for what an encoder and a sentiment model give; patterns are those of the captions.
+_SEMANTIC, _SENTIMENT = "(post_id % 11) / 10.0", "((post_id % 5) - 2) / 2.0"
+_REGEX = f"least(({' + '.join(_HOOKS.values())}) / 3, 1)"
+
+
+def _with_models(captions: DataFrame) -> DataFrame:
+    made = T.appeals(T.text())
+    return captions.withColumns({"semantic_hook_score": F.expr(_SEMANTIC).cast("double"), "sentiment_compound": F.expr(_SENTIMENT).cast("double"), "has_strong_cta": made["has_strong_cta"]})
+
+
+@query(f"SELECT post_id, round(round({_SEMANTIC} * 0.85 + {_REGEX} * 0.15, 4), 4)::DOUBLE AS combined FROM captions", "captions", reads="captions")
+def txt_16_combined_hook(captions: DataFrame) -> DataFrame:
+    rows = _with_models(captions)
+    return rows.select("post_id", *rounded({"combined": T.combined_hook(F.col("semantic_hook_score"), T.hook_flags(T.text())["hook_regex_score"])}, 4))
+
+
+_STRONG = f"CAST({_has(T.STRONG_CTA)} AS INT)"
+
+
+@query(
+    f"SELECT post_id, round({_REGEX}, 6)::DOUBLE AS hook_regex_score, round({_SEMANTIC} * abs({_SENTIMENT}), 6)::DOUBLE AS x_vader, round({_SEMANTIC} * {_STRONG}, 6)::DOUBLE AS x_cta FROM captions",
+    "captions",
+    reads="captions",
+)
+def txt_17_hook_training(captions: DataFrame) -> DataFrame:
+    made = T.hook_training(_with_models(captions), T.text())
+    names = {"hook_regex_score": "hook_regex_score", "x_vader": "interaction_semantic_hook_x_vader", "x_cta": "interaction_semantic_hook_x_cta_strong"}
+    return made.select("post_id", *rounded({k: F.col(c) for k, c in names.items()}))
+
+
+@query(
+    f"SELECT count(*) FILTER (s >= 0.7) AS high, count(*) FILTER (s >= 0.5 AND s < 0.7) AS medium, count(*) FILTER (s < 0.5) AS low, round(avg(s), 6)::DOUBLE AS mean_score FROM (SELECT {_SEMANTIC} AS s FROM captions) x",
+    "captions",
+    reads="captions",
+)
+def txt_17_hook_bands(captions: DataFrame) -> DataFrame:
+    made = T.hook_bands(_with_models(captions))
+    return made.select("high", "medium", "low", *rounded({"mean_score": F.col("mean_score")}))
+
+
+_TRIGGER_WORDS = [("social_proof", "clientes"), ("transformation", "antes"), ("value", "gratis")]
+
+
+@query(
+    f"""WITH f AS (SELECT post_id, content_format, {_T} AS t, CASE WHEN post_id % 2 = 0 THEN 'reel' ELSE 'carousel' END AS rec, 60 + post_id % 30 AS conf,
+      {' + '.join(_match(p, f'lower({_T})') for p in T.CTAS.values())} AS ctas, {_HOOKS['question']} + {_HOOKS['pov']} + {_HOOKS['number']} AS hooks, len(regexp_extract_all({_T}, '{_EMOJI}')) AS em,
+      list_filter([{', '.join(f"CASE WHEN NOT contains(lower({_T}), '{w}') THEN 'Incluye elementos de {k}: {w}' END" for k, w in _TRIGGER_WORDS)}], lambda x: x IS NOT NULL) AS trig FROM captions)
+    SELECT post_id, array_to_string(list_concat(list_filter([CASE WHEN cur <> rec AND conf > 70 THEN concat('Considera cambiar a formato ', rec, ' para este contenido') END, CASE WHEN ctas = 0 THEN '{T.SUGGESTED_CTA.replace("'", "''")}' END,
+      CASE WHEN hooks = 0 THEN '{T.SUGGESTED_HOOK}' END, CASE WHEN em < 3 THEN '{T.SUGGESTED_EMOJI}' END], lambda x: x IS NOT NULL), trig[1:2])[1:5], ' | ') AS suggestions
+    FROM (SELECT *, CASE content_format WHEN 'reel' THEN 'reel' WHEN 'carousel' THEN 'carousel' ELSE 'static' END AS cur FROM f) x""",
+    "captions",
+    reads="captions",
+)
+def txt_26_suggestions(captions: DataFrame) -> DataFrame:
+    t, hooks = T.text(), T.hook_flags(T.text())
+    current = F.when(F.col("content_format").isin("reel", "carousel"), F.col("content_format")).otherwise("static")
+    recommended = F.when(F.col("post_id") % 2 == 0, "reel").otherwise("carousel")
+    triggers = F.array_compact(F.array(*[F.when(~F.contains(F.lower(t), F.lit(w)), F.struct(F.lit(k).alias("type"), F.lit(w).alias("example"))) for k, w in _TRIGGER_WORDS]))
+    hooked = (hooks["hook_question"] + hooks["hook_pov"] + hooks["hook_number"]) > 0
+    made = T.suggestions(current, recommended, 60 + F.col("post_id") % 30, T.cta_flags(t)["cta_count"], hooked, T.emoji(t)["emoji_count"], triggers)
+    return captions.select("post_id", F.array_join(made, " | ").alias("suggestions"))
+
+
+_FUSED = {"training": "content_format IN ('reel', 'video', 'tiktok')", "scoring": "content_format IN ('reel', 'video', 'tiktok', 'tiktok_video')"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{mode}' AS mode, '{kind}' AS tables, post_id, CASE WHEN (SELECT coalesce(bool_or({rule}), FALSE) FROM captions WHERE {kept}) THEN round(length({_T}) / 500.0, 6) ELSE 0 END::DOUBLE AS richness FROM captions WHERE {kept}"
+        for mode, rule in _FUSED.items()
+        for kind, kept in (("all", "TRUE"), ("tiktok", "content_format IN ('tiktok_video', 'story')"), ("still", "content_format IN ('static_image', 'carousel')"))
+    ),
+    "captions",
+    reads="captions",
+)
+def txt_19_27_gated_fusion(captions: DataFrame) -> DataFrame:
+    """The gate for tables with every format, with TikTok videos only, which training doesn't count, and without any video."""
+    rows = captions.withColumns({"media_type": F.upper("content_format"), "whisper_transcript": T.text()})
+    tables = {"all": rows, "tiktok": rows.where(F.col("content_format").isin("tiktok_video", "story")), "still": rows.where(F.col("content_format").isin("static_image", "carousel"))}
+    made = None
+    for mode in _FUSED:
+        for kind, table in tables.items():
+            fused = T.gated_fusion(table, {"richness": F.length("whisper_transcript") / 500}, training=mode == "training")
+            fused = fused.select(F.lit(mode).alias("mode"), F.lit(kind).alias("tables"), "post_id", *rounded({"richness": F.col("richness")}))
+            made = fused if made is None else made.unionByName(fused)
+    return made

@@ -57,12 +57,13 @@ class Learner(StatefulProcessor):
 
     State: samples; for each target the weights, and sums of |e|, e², y and y². After ``burn_in`` samples an event row is emitted
     every ``every`` samples, ``retrain`` where the error fell by over 5 % since the last one, else ``steady``; and ``evaluate``
-    every ``deep`` samples. Rows of a batch are taken in the order of ``seq``.
+    every ``deep`` samples. With ``bounds`` (STR-05) predictions are clipped to them, and the first one is their middle. Rows
+    come in the order of ``seq``, batch by batch; no more than a batch of them is in memory.
     """
 
-    def __init__(self, features: list[str], targets: list[str], rate: float = 0.5, burn_in: int = 10, every: int = 15, deep: int = 50):
+    def __init__(self, features: list[str], targets: list[str], rate: float = 0.5, burn_in: int = 10, every: int = 15, deep: int = 50, bounds: tuple[float, float] | None = None):
         self.features, self.targets = features, targets
-        self.rate, self.burn_in, self.every, self.deep = rate, burn_in, every, deep
+        self.rate, self.burn_in, self.every, self.deep, self.bounds = rate, burn_in, every, deep, bounds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("model", "samples long, weights array<double>, sums array<double>, last array<double>")
@@ -76,11 +77,14 @@ class Learner(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         samples, weights, sums, last = self._load()
-        batch = pd.concat(list(rows)).sort_values("seq")
         out = []
-        for x, y in zip(batch[self.features].to_numpy(float), batch[self.targets].to_numpy(float), strict=True):
+        for x, y in self._samples(rows):
             x = np.append(x, 1.0)
-            error = y - weights @ x
+            predicted = weights @ x
+            if self.bounds:
+                low, high = self.bounds
+                predicted = np.clip(predicted, low, high) if samples else np.full(len(y), (low + high) / 2)
+            error = y - predicted
             sums += np.stack([np.abs(error), error**2, y, y**2], axis=1)
             weights += self.rate * np.outer(error, x) / (1.0 + x @ x)
             samples += 1
@@ -97,6 +101,11 @@ class Learner(StatefulProcessor):
         self.state.update((samples, weights.ravel().tolist(), sums.ravel().tolist(), last.tolist()))
         yield pd.DataFrame(out, columns=["niche", "target", "samples", "mae", "r2", "event"])
 
+    def _samples(self, rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in rows:
+            batch = batch.sort_values("seq")
+            yield from zip(batch[self.features].to_numpy(float), batch[self.targets].to_numpy(float), strict=True)
+
     def close(self) -> None:
         pass
 
@@ -104,12 +113,16 @@ class Learner(StatefulProcessor):
 def learned(feedback: DataFrame, features: list[str], targets: list[str], **settings) -> DataFrame:
     """Feedback (niche, seq, features, targets), a stream or a table, as event rows. Needs the RocksDB state store."""
     _ = feedback.sparkSession.streams  # brings up the state stores' coordinator, which a table's plan needs too
+    if not feedback.isStreaming:
+        # The grouping keeps a partition's order within a niche only if rows already lie by niche and number.
+        feedback = feedback.repartition("niche").sortWithinPartitions("niche", "seq")
     return feedback.groupBy("niche").transformWithStateInPandas(Learner(features, targets, **settings), METRIC_SCHEMA, "Append", "None")
 
 
-def satisfaction_target(label: Column) -> Column:
-    """STR-05: what a label stands for as a target between 0 and 1; its predictions are clipped there, and 0.5 where none is."""
-    return M.satisfaction(label)
+def satisfaction_learned(feedback: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """STR-05: the learner of satisfaction, what a label stands for between 0 and 1; its predictions stay there, 0.5 at first."""
+    rows = feedback.withColumn("satisfaction", M.satisfaction(F.col(label)))
+    return learned(rows, features, ["satisfaction"], bounds=(0.0, 1.0))
 
 
 def clipped_satisfaction(prediction: Column) -> Column:
