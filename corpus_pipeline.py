@@ -1,7 +1,8 @@
 """A corpus from documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
-of documents.
+of documents. Null and empty texts pass the filters and are packed as empty documents; rows without a doc_id pass them too, and
+those that repeat one stay or go together; equal texts in one group leave the smallest doc_id. Further columns are kept.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, packing, secrets, toxicity
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, clear, made_so_far
 
 
 def mild(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +58,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
+        before, known = docs, made_so_far()
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+        clear(spark, known)  # what the stage wrote for itself
     return STAGES[-1][1](spark, docs, sf_dir)
