@@ -23,11 +23,12 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             break
         before = now
         both = kept.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(kept.select("lo", "hi"))
-        smallest = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        # Written first, so that the join's own shuffle can be split at a hub.
+        smallest = scratch.save(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
         told = both.join(smallest, "u")
         stars = told.select(F.col("v").alias("x"), "m").union(smallest.select("u", "m")).where("x <> m")
         contracted = scratch.save(stars.select(*canonical("x", "m")).distinct())
-        scratch.drop(kept)
+        scratch.drop(kept, smallest)
         kept = contracted
     else:
         raise RuntimeError("components did not settle")
