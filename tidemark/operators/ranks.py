@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,7 @@ def values_at(rows: DataFrame, by: str, places: list[int], n: int | None = None)
     found = values.agg(F.percentile_approx("v", shares, 10_000).alias("q")).first()["q"]
     ranges = list(zip(found[0::2], found[1::2], strict=True))
     counts = values.agg(*[F.count_if(F.col("v") < low) for low, _ in ranges], *[F.count_if(F.col("v") <= high) for _, high in ranges]).first()
+    narrow: list[tuple[int, float, float, int]] = []
     for i, (p, (low, high)) in enumerate(zip(wanted, ranges, strict=True)):
         below, upto = counts[i], counts[len(ranges) + i]
         if not below <= p < upto:  # the quantiles missed it: everything on its side
@@ -64,9 +66,23 @@ def values_at(rows: DataFrame, by: str, places: list[int], n: int | None = None)
         elif low == high:
             known[p] = low
             continue
+        elif upto - below <= _AT_ONCE // len(wanted):
+            narrow.append((p, low, high, below))
+            continue
         else:
             inside = values.where(F.col("v").between(low, high))
         known[p] = values_at(inside, "v", [p - below], upto - below)[0]
+    if narrow:  # few rows in all of these: one pass for them
+        some = F.lit(False)
+        for _, low, high, _ in narrow:
+            some |= F.col("v").between(low, high)
+        ordered = [(r["v"], r["c"]) for r in values.where(some).groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect()]
+        for p, low, _, below in narrow:
+            for v, c in ordered[bisect_left(ordered, (low, 0)) :]:
+                below += c
+                if below > p:
+                    known[p] = v
+                    break
     return [known.get(p) for p in places]
 
 
