@@ -628,6 +628,31 @@ def test_sharding(spark, docs, none):
     assert shard(none, 7).count() == 0
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Beside a group of a third of the rows, groups of up to a few hundred and many small ones stay whole where seats allow it."""
+    from tidemark.llm.sharding import shard
+
+    r = random.Random(5)
+    texts = ["hot"] * 4000 + [f"large {i}" for i in range(6) for _ in range(250)]
+    while len(texts) < 9000:
+        texts += [f"small {len(texts)}"] * r.randint(2, 5)
+    texts += [f"single {i}" for i in range(12000 - len(texts))]
+    r.shuffle(texts)
+    made = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=40).toPandas()
+    sizes = made.shard.value_counts()
+    assert len(made) == len(texts) and set(sizes) == {300} and len(sizes) == 40
+    made["text"] = [texts[i] for i in made.doc_id]
+    spread = made.groupby("text").shard.nunique()
+    assert spread["hot"] == 14 and spread.drop("hot").max() == 1
+    # Without documents that stand alone the seats don't work out for all; at most a shard's last group is cut.
+    texts = [f"{i // 3}" for i in range(1000)]
+    made = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=7).toPandas()
+    made["text"] = [texts[i] for i in made.doc_id]
+    assert made.shard.value_counts().max() - made.shard.value_counts().min() <= 1 and (made.groupby("text").shard.nunique() > 1).sum() <= 7
+    # Fewer rows than shards.
+    assert sorted(shard(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string"), 5).toPandas().groupby("shard").size()) == [1, 1, 1]
+
+
 def test_toxicity(spark, none):
     from tidemark.llm.toxicity import Lexicon, fold, keep_mild, learn, score, weigh
 
