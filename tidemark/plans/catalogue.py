@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import account_queries, learning_queries, metric_queries, model_queries, text_queries  # noqa: F401
+from tidemark.plans import account_queries, learning_queries, metric_queries, model_queries, record_queries, text_queries  # noqa: F401
 from tidemark.plans.register import QUERIES, SQL, Query
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidemark.functions.cleaning import parsed_time
 from tidemark.functions.text import tags
 
-PAYLOAD = T.StructType.fromDDL(
+PAYLOAD = (
     "platform string, contentType string, contentId string, caption string, postedAt string, hashtags array<string>, mentions array<string>, "
     "author struct<username: string>, media array<struct<type: string, url: string, duration: double>>, audio struct<title: string, artist: string>, "
     "metrics struct<likes: bigint, comments: bigint, shares: bigint, saves: bigint, views: bigint, plays: bigint>, "
@@ -156,5 +156,5 @@ def evaluation_history(spark: SparkSession, path: str, keep: int = 100) -> DataF
 
 
 def append_log(logs: DataFrame, path: str, at: str = "logged_at") -> None:
-    """SRC-15: logs appended by date."""
-    logs.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
+    """SRC-15: logs appended by date; a day's rows come from few tasks, so that a write makes few files."""
+    logs.withColumn("day", F.to_date(at)).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
