@@ -327,9 +327,9 @@ def classes(docs: DataFrame, words: int = 5, heaviest: int = 200_000, often: int
         some = open_.withColumn("place", place).where(F.col("place") <= 2 ** (round_ + 1)).select("token", *[F.col(c).alias(f"c_{c}") for c in ("gid", "size", "reach", "low")])
         met = open_.join(some, "token").where("gid <> c_gid and low <> c_low and size <= c_reach and c_size <= reach")
         now = work.verify(heads(work.promising(met.select(*least_most("gid", "c_gid")).distinct())))
+        if now == linked:  # nothing merged, so what is counted still holds
+            break
         scratch.drop(spans, open_, counted)
-        if now == linked and round_ > 2:
-            most_rounds = round_ + 1
         linked = now
 
     # All that can still be linked: pairs of groups that aren't wholly of one component, for which the shingle can be the first
