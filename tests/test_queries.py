@@ -83,6 +83,8 @@ def test_balance_and_oversample(spark):
     fewer = S.balance(rows, ["likes"], "post_id", strategy="undersample").toPandas()
     assert (fewer.is_viral == 0).sum() == 10 and (fewer.is_viral == 1).sum() == 23
     assert S.undersample(rows, 7, "post_id").count() == 7
+    places = S.top_only(rows, 2, "likes", "is_viral", "post_id")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in places
 
 
 def test_place_without_one_task(spark):
@@ -110,26 +112,124 @@ def test_values_and_quantiles(spark, monkeypatch):
     assert ranks.quantiles(rows.limit(0), "v", [0.5]) == [None]
 
 
-def test_near_rows(spark):
-    """Near rows are among the truly nearest, mostly the nearest; equal rows and constant features do no harm."""
+@pytest.mark.parametrize("cell", [8, 2000])
+def test_near_rows(spark, cell):
+    """The k nearest by brute force, with ties to the smaller id, equal rows and a constant feature, in many cells and in one."""
     import numpy as np
 
-    from tidemark.operators.models import near_rows, smote
+    from tidemark.operators.near_rows import near_rows
 
     x = np.random.default_rng(5).standard_normal((300, 2))
-    x[:20] = x[0]
+    x[:40] = x[0]
+    x[100:150] = np.round(x[100:150])  # a grid: ties between points
     rows = spark.createDataFrame([(i, float(a), float(b), 1.0) for i, (a, b) in enumerate(x)], "id long, a double, b double, c double")
-    near = near_rows(rows, "id", ["a", "b", "c"]).toPandas()
+    near = near_rows(rows, "id", ["a", "b", "c"], cell=cell).toPandas().sort_values(["row_id", "place"])
     scaled = x / x.std(axis=0)
-    far = np.linalg.norm(scaled[:, None] - scaled[None], axis=2)
+    far = np.sqrt((scaled[:, None, 0] - scaled[None, :, 0]) ** 2 + (scaled[:, None, 1] - scaled[None, :, 1]) ** 2)
     np.fill_diagonal(far, np.inf)
-    assert (near.groupby("row_id").size() == 5).all() and np.allclose(near.distance, far[near.row_id, near.near_id])
-    assert np.mean(near.distance <= np.sort(far, axis=1)[near.row_id, 4] + 1e-9) > 0.6
+    want = np.array([sorted(range(300), key=lambda j, i=i: (round(far[i, j], 9), j))[:5] for i in range(300)])
+    assert (near.near_id.to_numpy().reshape(300, 5) == want).all() and np.allclose(near.distance, far[near.row_id, near.near_id])
+    assert near_rows(rows.limit(0), "id", ["a"]).count() == 0 and near_rows(rows.limit(1), "id", ["a"]).count() == 0
+
+
+def test_smote(spark):
+    import numpy as np
+
+    from tidemark.operators.models import smote
+
+    x = np.random.default_rng(5).standard_normal((300, 2))
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
     made = smote(rows, "id", ["a", "b"], 450).toPandas()
-    assert len(made) == 450
+    assert len(made) == 450 and set(made.groupby("id").size()) == {1, 2} and len(smote(rows, "id", ["a", "b"], 7).collect()) == 7
     for r in made.itertuples():
         low, high = np.minimum(x[r.id], x[r.towards]) - 1e-9, np.maximum(x[r.id], x[r.towards]) + 1e-9
         assert low[0] <= r.a <= high[0] and low[1] <= r.b <= high[1]
+    lone = smote(rows.limit(1), "id", ["a", "b"], 3).collect()
+    assert len(lone) == 3 and {(r["id"], r["towards"]) for r in lone} == {(0, 0)}
+
+
+def _greedy(vectors, threshold=0.9):
+    import numpy as np
+
+    u = np.array(vectors, float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    kept, owner = [], []
+    for i in range(len(u)):
+        hit = [k for k in kept if u[k] @ u[i] > threshold]
+        owner.append(hit[0] if hit else i)
+        if not hit:
+            kept.append(i)
+    return owner
+
+
+@pytest.mark.parametrize("block", [5, 4096])
+def test_greedy_duplicates(spark, block):
+    """In rounds of few rows as in one: the owners of a plain loop, with chains, copies and a key of most rows."""
+    import numpy as np
+
+    from tidemark.operators.duplicates import greedy
+
+    r = np.random.default_rng(4)
+    vectors = [r.standard_normal(3) for _ in range(120)]
+    vectors[50:60] = [vectors[2]] * 10
+    vectors[60:70] = [[np.cos(a), np.sin(a), 0.0] for a in np.arange(10) * 0.3]  # each like its neighbours only
+    keys = ["hot" if i % 4 else None if i % 8 else "few" for i in range(120)]
+    rows = spark.createDataFrame([(k, i, [float(c) for c in v]) for i, (k, v) in enumerate(zip(keys, vectors))], "k string, id long, v array<double>")
+    made = {x["id"]: (x["kept_as"], x["times"]) for x in greedy(rows, "k", "id", "v", block=block).collect()}
+    for key in set(keys):
+        mine = [i for i in range(120) if keys[i] == key]
+        owner = {mine[a]: mine[b] for a, b in enumerate(_greedy([vectors[i] for i in mine]))}
+        assert all(made[i] == (o, list(owner.values()).count(i)) for i, o in owner.items())
+    odd = spark.createDataFrame([("k", 1, None), ("k", 2, [0.0, 0.0]), ("k", 3, [1.0, 0.0]), ("k", 4, [1e200, 0.0])], "k string, id long, v array<double>")
+    assert {x["id"]: x["kept_as"] for x in greedy(odd, "k", "id", "v").collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_nearest_within(spark):
+    """Against all pairs, ties to the smaller id; far fewer pairs are compared, and cells spare whole blocks of clustered ones."""
+    import numpy as np
+
+    from tidemark.operators import nearest as N
+
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((30, 32))
+    known = np.concatenate([centres[r.integers(0, 30, 900)] + 0.2 * r.standard_normal((900, 32)), r.standard_normal((600, 32))])
+    known[700:720] = known[3]
+    asked = np.concatenate([known[r.integers(0, 1500, 300)] * 3 + 0.05 * r.standard_normal((300, 32)), r.standard_normal((100, 32))])
+    frame = lambda rows, name: spark.createDataFrame([(i, f"b{i % 2}", [float(x) for x in v]) for i, v in enumerate(rows)], f"{name}_id long, bucket string, {name}_vector array<double>")
+    queries, there = frame(asked, "query"), frame(known, "known")
+    u, w = N.units(asked), N.units(known)
+    want = {}
+    for i in range(len(asked)):
+        near = np.einsum("j,kj->k", u[i], w)
+        best = max((j for j in range(len(known)) if j % 2 == i % 2 and near[j] > 0.9), key=lambda j: (near[j], -j), default=None)
+        if best is not None:
+            want[i] = best
+    for pivots, block in ((32, 100), (1, 4096)):
+        made = {x["query_id"]: x["known_id"] for x in N.nearest_within(queries, there, "bucket", pivots=pivots, block=block).collect()}
+        assert made == want
+    work = lambda queries, there: N._candidates(queries, there, "bucket", 0.9, 32, 25).agg(F.sum("met").alias("met"), F.sum("compared").alias("compared")).first()
+    mixed, clustered = work(queries, there), work(queries.where("query_id < 300"), there.where("known_id < 900"))
+    assert mixed["compared"] < 0.1 * 400 * 1500 / 2 and clustered["met"] < 0.7 * 300 * 900 / 2, (mixed, clustered)
+
+
+def test_hook_scores_by_blocks(spark):
+    """Blocks of few hooks give what one gives, and what all pairs give; equal hooks rank by id."""
+    import numpy as np
+
+    from tidemark.operators.nearest import category_scores, hook_scores, units
+
+    r = np.random.default_rng(2)
+    t, h = r.standard_normal((60, 8)), r.standard_normal((50, 8))
+    h[10:20] = h[0]
+    texts = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(t)] + [(99, None)], "text_id long, vector array<double>")
+    hooks = spark.createDataFrame([(i, i % 4, [float(x) for x in v]) for i, v in enumerate(h)], "hook_id long, category long, hook_vector array<double>")
+    near = np.einsum("id,jd->ij", units(t), units(h))
+    want = {i: sorted(range(50), key=lambda j: (-round(near[i, j], 12), j))[:3] for i in range(60)}
+    for most in (10_000, 13):
+        made = {x["text_id"]: x for x in hook_scores(texts, hooks, most).collect()}
+        assert {i: x["top_hooks"] for i, x in made.items()} == want and all(abs(made[i]["top3_avg"] - near[i, want[i]].mean()) < 1e-12 for i in want)
+        best = {(x["text_id"], x["category"]): x["similarity"] for x in category_scores(texts, hooks, most).collect()}
+        assert len(best) == 240 and all(abs(s - near[i, c::4].max()) < 1e-12 for (i, c), s in best.items())
 
 
 def test_reduction_by_hand(spark):

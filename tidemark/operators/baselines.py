@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RPI, Normalisation, Weights
 from tidemark.functions.metrics import harmonised, index, weighted
-from tidemark.operators.ranks import quantiles
+from tidemark.operators.ranks import Counted, quantiles
 
 
 def history(config: Normalisation, author: str = "author_id", order: tuple[str, ...] = ("posted_at", "post_id")):
@@ -54,13 +54,12 @@ def baseline(value: str, config: Normalisation) -> Column:
 
 
 def niche_baselines(posts: DataFrame, value: str = "weighted_engagement", niche: str = "niche", least: int = 10) -> DataFrame:
-    """AGG-01: median, mean, deviation, size and quartiles of each niche with enough rows."""
-    quartiles = F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))")
-    made = posts.where(F.col(niche).isNotNull()).groupBy(niche).agg(
-        quartiles.alias("q"), F.avg(value).alias("mean_engagement"), F.stddev_samp(value).alias("std_engagement"), F.count(value).alias("sample_size")
-    )
-    return made.where(F.col("sample_size") >= least).select(
-        niche, F.col("q")[1].alias("median_engagement"), "mean_engagement", "std_engagement", "sample_size", F.col("q")[0].alias("percentile_25"), F.col("q")[2].alias("percentile_75")
+    """AGG-01: median, mean, deviation, size and quartiles of each niche with enough rows: two passes, no niche in one task."""
+    rows = posts.where(F.col(niche).isNotNull())
+    quartiles = Counted(rows, value, [niche]).quantiles([0.25, 0.5, 0.75]).where(F.col("n") >= least)
+    moments = rows.groupBy(niche).agg(F.avg(value).alias("mean_engagement"), F.stddev_samp(value).alias("std_engagement"))
+    return quartiles.join(moments, niche).select(
+        niche, F.col("q")[1].alias("median_engagement"), "mean_engagement", "std_engagement", F.col("n").alias("sample_size"), F.col("q")[0].alias("percentile_25"), F.col("q")[2].alias("percentile_75")
     )
 
 
@@ -81,12 +80,12 @@ def with_fallback(posts: DataFrame, niches: DataFrame, overall: DataFrame, defau
 def relative_performance(posts: DataFrame, config: Normalisation = Normalisation(), weights: Weights = RPI) -> DataFrame:
     """WIN-06: every post with its weighted engagement, baseline and its source, raw and logarithmic index.
 
-    One shuffle by author for the window; the niche medians are one grouped aggregate over the same rows.
+    One shuffle by author for the window; the medians of niches and of all posts are read from one table of counted values.
     """
     rows = harmonised(posts).withColumn("weighted_engagement", weighted(weights))
-    niches = niche_baselines(rows, least=config.least_niche)
-    middle = quantiles(rows, "weighted_engagement", [0.5])[0]
-    overall = rows.sparkSession.createDataFrame([(middle,)], "global_median double")
+    counted = Counted(rows, "weighted_engagement", ["niche"])
+    niches = counted.quantiles([0.5]).where(F.col("n") >= config.least_niche).where("niche is not null").select("niche", F.col("q")[0].alias("median_engagement"))
+    overall = counted.quantiles([0.5], []).select(F.col("q")[0].alias("global_median"))
     own = rows.withColumn("_own", baseline("weighted_engagement", config))
     made = with_fallback(own, niches, overall, config.default_baseline)
     base = F.coalesce("_own", "fallback")

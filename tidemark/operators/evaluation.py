@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EVALUATION, METRICS, Weights
-from tidemark.operators.ranks import quantiles
+from tidemark.operators.ranks import Counted, quantiles
+from tidemark.operators.tables import Steps
 
 # Hours of each band, of which the night wraps, and working days.
 HOURS = {"morning": (6, 12), "afternoon": (12, 18), "evening": (18, 22), "night": (22, 6)}
@@ -129,21 +130,14 @@ def range_drift(pairs: DataFrame, key: str = "niche", threshold: float = 0.3) ->
 def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """AGG-16: of quantile bins of the prediction the mean percentile of the truths, beside what it should be.
 
-    A truth's percentile is the share of truths at most as large; it is counted from distinct values by ranges, as in the test of
-    distributions, so neither the table nor its pairs meet in one task.
+    A truth's percentile is the share of truths at most as large. Pairs are counted by truth and bin, and places are read from the
+    counts, so two passes over the pairs are all, and neither they nor a frequent truth meet in one task.
     """
-    edges = quantiles(pairs, "p", [i / bins for i in range(1, bins)])
-    shares = ", ".join(str(i / 64) for i in range(1, 64))
-    cuts = pairs.agg(F.expr(f"percentile_approx(cast(y as double), array({shares}))").alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<double>)")
-    counts = pairs.groupBy("y").agg(F.count("*").alias("c")).withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col("y"))))
-    sizes = counts.groupBy("_r").agg(F.sum("c").alias("rc"))
-    starts = sizes.select("_r", F.coalesce(F.sum("rc").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), F.sum("rc").over(Window.partitionBy(F.lit(0))).alias("n"))
-    upto = F.sum("c").over(Window.partitionBy("_r").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    shares_of = counts.join(F.broadcast(starts), "_r").select("y", ((upto + F.col("s")) / F.col("n") * 100).alias("percentile"))
-    inner = F.array(*[F.lit(e).cast("double") for e in edges])
-    placed = pairs.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
-    made = placed.join(shares_of, "y").groupBy("bin").agg(F.avg("percentile").alias("observed"), F.count("*").alias("n"))
+    edges = F.array(*[F.lit(e).cast("double") for e in quantiles(pairs, "p", [i / bins for i in range(1, bins)])])
+    binned = pairs.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col("p"))))
+    cells = Steps(pairs.sparkSession, "calibration").save(binned.groupBy(F.col("y").cast("double").alias("y"), "bin").agg(F.count("*").alias("c")))
+    percentiles = Counted(cells, "y", times=F.col("c")).placed([]).select(F.col("_v").alias("y"), ((F.col("_first") + F.col("_c")) / F.col("n") * 100).alias("percentile"))
+    made = cells.join(percentiles, "y").groupBy("bin").agg((F.sum(F.col("percentile") * F.col("c")) / F.sum("c")).alias("observed"), F.sum("c").alias("n"))
     return made.withColumn("expected", (F.col("bin") + 0.5) * 100 / bins)
 
 

@@ -78,59 +78,6 @@ def upserted(known: DataFrame, new: DataFrame, keys: list[str], at: str) -> Data
     return both.withColumn("_p", place).where("_p = 1").drop("_p", "_new")
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda s, v: s + v)
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
-
-
-def nearest_within(queries: DataFrame, known: DataFrame, bucket: str, threshold: float = 0.9, chunk: int = 64) -> DataFrame:
-    """JOIN-08: the most similar known vector of the same bucket, above a threshold: query_id, known_id, similarity.
-
-    Queries and known vectors of a bucket meet in blocks of about ``chunk`` known ones, so one large bucket is many tasks, and
-    each block keeps its best before they are compared.
-    """
-    blocks = known.withColumn("_block", F.pmod(F.xxhash64("known_id"), F.lit(chunk)).cast("int"))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(chunk - 1))))
-    pairs = asked.join(blocks, [bucket, "_block"]).withColumn("similarity", cosine("query_vector", "known_vector"))
-    best = pairs.where(F.col("similarity") > threshold).groupBy("query_id").agg(F.max(F.struct("similarity", -F.col("known_id"))).alias("m"))
-    return best.select("query_id", (-F.col("m.col2")).alias("known_id"), F.col("m.similarity").alias("similarity"))
-
-
-def hook_scores(texts: DataFrame, hooks: DataFrame) -> DataFrame:
-    """TXT-14: the largest similarity of a vector to a corpus of hooks, the mean of the best three, their ids and a band.
-
-    The corpus is a dimension of counted size: it is broadcast, or looked up block by block (``_against``).
-    """
-    place = F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("similarity"), "hook_id"))
-    first = lambda pairs: pairs.withColumn("_p", place).where("_p <= 3")
-    best = first(_against(texts, hooks, lambda pairs: first(pairs).drop("_p"))).groupBy("text_id").agg(
-        F.max("similarity").alias("max_similarity"), F.avg("similarity").alias("top3_avg"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "hook_id"))), lambda x: x["hook_id"]).alias("top_hooks")
-    )
-    s = F.col("max_similarity")
-    return best.withColumn("strength", F.when(s >= 0.7, "strong").when(s >= 0.5, "moderate").when(s >= 0.3, "weak").otherwise("minimal"))
-
-
-def _against(texts: DataFrame, hooks: DataFrame, reduced, most: int = 10_000) -> DataFrame:
-    """``reduced`` of each text's similarities to a block of at most about ``most`` hooks, for all blocks.
-
-    A block's size is counted before it is broadcast, and what is kept of each is small, so neither the corpus nor the pairs
-    meet anywhere.
-    """
-    blocks = -(-hooks.count() // most) or 1
-    made = None
-    for block in range(blocks):
-        own = hooks if blocks == 1 else hooks.where(F.pmod(F.xxhash64("hook_vector"), F.lit(blocks)) == block)
-        pairs = texts.crossJoin(F.broadcast(own)).withColumn("similarity", cosine("vector", "hook_vector")).drop("vector", "hook_vector")
-        made = reduced(pairs) if made is None else made.unionByName(reduced(pairs))
-    return made
-
-
-def category_scores(texts: DataFrame, hooks: DataFrame) -> DataFrame:
-    """TXT-15: the largest similarity to each category of hooks."""
-    best = lambda pairs: pairs.groupBy("text_id", "category").agg(F.max("similarity").alias("similarity"))
-    return best(_against(texts, hooks, best))
-
-
 def merge_patterns(known: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
     """SEQ-06: matched patterns take 0.7 of the new engagement and one more use, others are inserted.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import KPI, METRICS, Weights
 from tidemark.functions.metrics import log_index, relative_score
+from tidemark.operators.near_rows import near_rows
 from tidemark.operators.ranks import quantiles, with_place
 
 
@@ -233,45 +234,25 @@ def training_records(rows: DataFrame, features: list[str], at: str = "posted_at"
     return aligned(made, features, keep)
 
 
-def near_rows(rows: DataFrame, ident: str, features: list[str], k: int = 5, lines: int = 3, seed: int = 42) -> DataFrame:
-    """The ``k`` nearest of the rows that stand close to each row on one of several random lines: (row_id, near_id, distance, place).
+def smote(minority: DataFrame, ident: str, features: list[str], wanted: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """LAB-07: ``wanted`` synthetic rows between a minority row and one of its ``k`` nearest (``near_rows``); a lone row is copied.
 
-    Features count by their spread. On each line rows are numbered, and a row meets its ``2 * k`` neighbours on either side by
-    an equi-join on their numbers, each of which is one row: work grows with the rows, however they are spread or repeated.
+    Rows take turns in the order of keyed hashes; a row's turns are made in place, so nothing is ordered or limited as a whole.
     """
-    spread = rows.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
-    scale = {f: 1.0 / spread[f] if spread[f] else 0.0 for f in features}
-    draw = np.random.default_rng(seed)
-    pairs = None
-    for line in range(lines):
-        weights = draw.standard_normal(len(features))
-        along = sum((F.col(f) * float(w * scale[f]) for f, w in zip(features, weights, strict=True)), F.lit(0.0))
-        placed = with_place(rows.select(ident, *features).withColumn("_along", along), "_along", ident)
-        other = placed.select(F.col("place").alias("_at"), F.col(ident).alias("_near_id"), *[F.col(f).alias(f"_{f}") for f in features])
-        steps = F.array(*[F.lit(d) for d in range(-2 * k, 2 * k + 1) if d])
-        met = placed.withColumn("_step", F.explode(steps)).withColumn("_at", F.col("place") + F.col("_step")).join(other, "_at")
-        square = sum(((F.col(f) - F.col(f"_{f}")) * scale[f] * (F.col(f) - F.col(f"_{f}")) * scale[f] for f in features), F.lit(0.0))
-        met = met.select(F.col(ident).alias("row_id"), F.col("_near_id").alias("near_id"), F.sqrt(square).alias("distance"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    place = F.row_number().over(Window.partitionBy("row_id").orderBy("distance", "near_id"))
-    return pairs.groupBy("row_id", "near_id").agg(F.min("distance").alias("distance")).withColumn("place", place).where(F.col("place") <= k)
-
-
-def smote(minority: DataFrame, ident: str, features: list[str], wanted: int, k: int = 5, seed: int = 42) -> DataFrame:
-    """LAB-07: synthetic rows between a minority row and one of its near ones (``near_rows``); a row without any is copied."""
     from tidemark.operators.sampling import keyed
 
-    near = near_rows(minority, ident, features, k, seed=seed).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("distance", "near_id"))).alias("near"))
-    rows = minority.join(near.withColumnRenamed("row_id", ident), ident, "left")
     total = minority.count()
-    times = -(-wanted // max(total, 1))
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    near = near_rows(minority, ident, features, k).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "near_id"))).alias("near"))
+    turns = with_place(minority.withColumn("_hash", keyed(ident, seed)), "_hash", ident, "_turn").drop("_hash")
+    times = F.floor((F.lit(wanted) - 1 - F.col("_turn")) / max(total, 1)) + 1
+    rows = turns.where(F.col("_turn") < wanted).join(near.withColumnRenamed("row_id", ident), ident, "left")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
     draw = lambda n: keyed(ident, "copy", n, seed) % 1_000_001 / 1_000_000
     chosen = F.try_element_at("near", (F.floor(draw(0) * F.size("near") * 0.999999) + 1).cast("int"))["near_id"]
     picked = copies.withColumns({"_other": F.coalesce(chosen, F.col(ident)), "_u": draw(1)})
     other = minority.select(F.col(ident).alias("_other"), *[F.col(f).alias(f"_{f}") for f in features])
     made = picked.join(other, "_other").withColumns({f: F.col(f) + F.col("_u") * (F.col(f"_{f}") - F.col(f)) for f in features})
-    return made.orderBy("copy", keyed(ident, seed), ident).limit(wanted).select(ident, "copy", *features, F.col("_other").alias("towards"), F.lit(True).alias("is_synthetic"))
+    return made.select(ident, "copy", *features, F.col("_other").alias("towards"), F.lit(True).alias("is_synthetic"))
 
 
 def compare_weights(predictions: DataFrame, weights: DataFrame, ident: str = "post_id") -> DataFrame:

@@ -1,100 +1,115 @@
-"""Places in the order of a whole table, and the values at places, without sorting it in one task."""
+"""Places in an order, and the values at places, of a whole table or of each key, without a task for a table, key or value."""
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import Steps
+
+
+def _partitions(rows: DataFrame) -> int:
+    return max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
 
-def with_place(rows: DataFrame, by: str, ident: str, buckets: int | None = None, name: str = "place") -> DataFrame:
-    """Add ``name``, the row's place from 0 in ascending order of ``by``, ties by ``ident``; NULLs come first.
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place", weight: str | None = None) -> DataFrame:
+    """Add ``name``, the row's place from 0 in ``order`` among the rows of its ``keys``, or among all rows without keys.
 
-    Approximate quantiles, ``buckets`` numbers on the driver, cut the values into ranges; each range numbers its rows, and the
-    counts of the ranges before it are added. Equal values share a range, so a very frequent value makes a large one. Without
-    ``buckets`` there are as many ranges as shuffle partitions, 16 at least.
+    Rows are dealt by range of keys and order and written, so a large key spans many partitions, and equal values do so where
+    later columns of ``order`` tell them apart. Each partition numbers its own; the counts of a key's earlier partitions, a row
+    for each partition and key, are added. With ``weight`` a place is the sum of that column over the earlier rows.
     """
-    buckets = buckets or max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = ", ".join(str(i / buckets) for i in range(1, buckets))
-    cuts = rows.agg(F.expr(f"percentile_approx(cast({by} as double), array({shares}), 20000)").alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<double>)")
-    value = F.col(by).cast("double")
-    bucketed = rows.withColumn("_bucket", F.coalesce(F.size(F.filter(bounds, lambda b: b < value)), F.lit(0)))
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each range
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.asc(by), F.asc(ident))) - 1
-    return bucketed.withColumn("_local", local).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_local") + F.col("_start")).drop("_bucket", "_local", "_start")
+    steps = Steps(rows.sparkSession, "numbered")
+    named = {f"_o{i}": c for i, c in enumerate(order)}
+    by = [*keys, *named]
+    dealt = rows.withColumns(named).repartitionByRange(_partitions(rows), *by)
+    dealt = steps.save(dealt.withColumn("_part", F.spark_partition_id()))
+    size = F.sum(weight) if weight else F.count("*")
+    counts = dealt.groupBy(*keys, "_part").agg(size.alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), F.coalesce(earlier, F.lit(0)).alias("_start"))
+    here = Window.partitionBy(*keys, "_part").orderBy(*named)
+    local = F.coalesce(F.sum(weight).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(here) - 1
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = dealt.withColumn("_local", local)
+    starts = starts if keys else F.broadcast(starts)  # without keys a row for each partition
+    return placed.join(starts, same).select(*rows.columns, (F.col("_local") + F.col("_start")).alias(name))
 
 
-_AT_ONCE = 100_000  # rows whose values the driver orders
+def with_place(rows: DataFrame, by: str, ident: str, name: str = "place") -> DataFrame:
+    """Add ``name``, the row's place from 0 in ascending order of ``by``, ties by ``ident``; NULLs come first."""
+    return numbered(rows, [], [F.col(by), F.col(ident)], name)
 
 
-def values_at(rows: DataFrame, by: str, places: list[int], n: int | None = None) -> list[float | None]:
-    """The values of ``by`` at ``places``, from 0, of its ascending order without NULLs; None for places outside.
+_AT_ONCE = 100_000  # counted values that one task orders
 
-    Approximate quantiles enclose each place in a range; the rows below the range are counted, and those in it are ordered once
-    they are few, else enclosed again. Ranges narrow some hundredfold each time, so a few passes do for any table.
+
+class Counted:
+    """How often each value of ``by`` occurs for each of ``keys``: one pass over ``rows``, from which any order statistics are read.
+
+    Rows without a value don't count. Frequent values are one row here, so places are found in a table of distinct values: in
+    one task if they are few, else numbered over ranges. Results are exact and the same either way. A row may stand for ``times``.
     """
-    values = rows.where(F.col(by).isNotNull()).select(F.col(by).cast("double").alias("v"))
-    n = values.count() if n is None else n
-    wanted = sorted({p for p in places if 0 <= p < n})
-    known: dict[int, float] = {}
-    if not wanted:
-        return [None] * len(places)
-    if n <= _AT_ONCE:
-        ordered = [(r["v"], r["c"]) for r in values.groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect()]
-        at, below = 0, 0
-        for p in wanted:
-            while below + ordered[at][1] <= p:
-                below += ordered[at][1]
-                at += 1
-            known[p] = ordered[at][0]
-        return [known.get(p) for p in places]
-    margin = n // 500 + 1
-    shares = [min(max((p + d) / n, 0.0), 1.0) for p in wanted for d in (-margin, margin)]
-    found = values.agg(F.percentile_approx("v", shares, 10_000).alias("q")).first()["q"]
-    ranges = list(zip(found[0::2], found[1::2], strict=True))
-    counts = values.agg(*[F.count_if(F.col("v") < low) for low, _ in ranges], *[F.count_if(F.col("v") <= high) for _, high in ranges]).first()
-    narrow: list[tuple[int, float, float, int]] = []
-    for i, (p, (low, high)) in enumerate(zip(wanted, ranges, strict=True)):
-        below, upto = counts[i], counts[len(ranges) + i]
-        if not below <= p < upto:  # the quantiles missed it: everything on its side
-            inside, below, upto = (values.where(F.col("v") < low), 0, below) if p < below else (values.where(F.col("v") > high), upto, n)
-        elif low == high:
-            known[p] = low
-            continue
-        elif upto - below <= _AT_ONCE // len(wanted):
-            narrow.append((p, low, high, below))
-            continue
+
+    def __init__(self, rows: DataFrame, by: str, keys: list[str] | None = None, times: Column | None = None):
+        self.keys = keys or []
+        times = F.lit(1) if times is None else times
+        named = rows.where(F.col(by).isNotNull()).select(*self.keys, F.col(by).cast("double").alias("_v"), times.cast("long").alias("_c"))
+        self.steps = Steps(rows.sparkSession, "counted")
+        self.rows = self.steps.save(named.groupBy(*self.keys, "_v").agg(F.sum("_c").alias("_c")))
+
+    def placed(self, keys: list[str]) -> DataFrame:
+        """Each key's distinct values ``_v`` with their count ``_c``, the first of their places ``_first``, and the key's ``n``."""
+        counted = self.rows if keys == self.keys else self.rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+        if self.rows.count() <= _AT_ONCE:
+            before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+            placed = counted.withColumn("_first", F.coalesce(before, F.lit(0)))
         else:
-            inside = values.where(F.col("v").between(low, high))
-        known[p] = values_at(inside, "v", [p - below], upto - below)[0]
-    if narrow:  # few rows in all of these: one pass for them
-        some = F.lit(False)
-        for _, low, high, _ in narrow:
-            some |= F.col("v").between(low, high)
-        ordered = [(r["v"], r["c"]) for r in values.where(some).groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect()]
-        for p, low, _, below in narrow:
-            for v, c in ordered[bisect_left(ordered, (low, 0)) :]:
-                below += c
-                if below > p:
-                    known[p] = v
-                    break
-    return [known.get(p) for p in places]
+            placed = numbered(counted, keys, [F.col("_v")], "_first", weight="_c")
+        sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("n"))
+        if keys:
+            sizes = sizes.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+            placed = placed.join(sizes, same)
+        else:
+            placed = placed.crossJoin(F.broadcast(sizes))  # one row
+        return placed.select(*keys, "_v", "_c", "_first", "n")
+
+    def at(self, keys: list[str], wanted: dict[str, Column]) -> DataFrame:
+        """For each key ``n`` and the values at the places ``wanted``, columns over ``n``; NULL for places outside."""
+        at = lambda place: F.max(F.when((place >= F.col("_first")) & (place < F.col("_first") + F.col("_c")), F.col("_v")))
+        return self.placed(keys).groupBy(*keys).agg(F.max("n").alias("n"), *[at(place).alias(name) for name, place in wanted.items()])
+
+    def quantiles(self, shares: list[float], keys: list[str] | None = None) -> DataFrame:
+        """For each key ``n`` and ``q``, the quantiles, interpolated between the two nearest values. ``keys`` may be fewer."""
+        keys = self.keys if keys is None else keys
+        exact = [(F.col("n") - 1) * F.lit(float(s)) for s in shares]
+        ends = {f"_{side}{i}": f(x).cast("long") for i, x in enumerate(exact) for side, f in (("low", F.floor), ("high", F.ceil))}
+        between = lambda i, x: F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(
+            F.col(f"_low{i}") * (F.ceil(x) - x) + F.col(f"_high{i}") * (x - F.floor(x))
+        )
+        return self.at(keys, ends).select(*keys, "n", F.array(*[between(i, x) for i, x in enumerate(exact)]).alias("q"))
+
+    def clear(self) -> None:
+        self.steps.clear()
+
+
+def values_at(rows: DataFrame, by: str, places: list[int | Column]) -> list[float | None]:
+    """The values of ``by`` at ``places``, from 0 or columns over ``n``, of its ascending order without NULLs; None for places outside."""
+    counted = Counted(rows, by)
+    try:
+        found = counted.at([], {f"p{i}": p if isinstance(p, Column) else F.lit(p) for i, p in enumerate(places)}).first()
+        return [found[f"p{i}"] for i in range(len(places))]
+    finally:
+        counted.clear()
 
 
 def quantiles(rows: DataFrame, by: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles of ``by``, interpolated between its two nearest values; None for a table without any."""
-    values = rows.where(F.col(by).isNotNull()).select(F.col(by).cast("double").alias("v")).persist()
+    counted = Counted(rows, by)
     try:
-        n = values.count()
-        if not n:
-            return [None] * len(shares)
-        at = [(n - 1) * s for s in shares]
-        ends = values_at(values, "v", [int(f(x)) for x in at for f in (math.floor, math.ceil)], n)
-        return [low if low == high else low * (math.ceil(x) - x) + high * (x - math.floor(x)) for x, low, high in zip(at, ends[0::2], ends[1::2], strict=True)]
+        return counted.quantiles(shares).first()["q"]
     finally:
-        values.unpersist()
+        counted.clear()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +30,19 @@ def tiers(posts: DataFrame, by: str = "engagement_score", key: str = "author_id"
     return made.drop("_up", "_down", "_n")
 
 
+def _limited(posts: DataFrame, n: int, key: str, order: list[Column]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return posts.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 def top_only(posts: DataFrame, n: int, by: str, key: str = "author_id", ident: str = "post_id") -> DataFrame:
-    """TOP-01/04: the best ``n`` of each account."""
-    return _ranked(posts, by, key, ident).where(F.col("_up") < n).drop("_up", "_down", "_n")
+    """TOP-01/04: the best ``n`` of each account; each task keeps no more of one before the shuffle."""
+    return _limited(posts, n, key, [F.desc(by), F.asc(ident)])
 
 
 def bottom_only(posts: DataFrame, n: int, by: str, key: str = "author_id", ident: str = "post_id") -> DataFrame:
-    """TOP-01/04: the worst ``n`` of each account."""
-    return _ranked(posts, by, key, ident).where(F.col("_down") < n).drop("_up", "_down", "_n")
+    """TOP-01/04: the worst ``n`` of each account; each task keeps no more of one before the shuffle."""
+    return _limited(posts, n, key, [F.asc(by), F.desc(ident)])
 
 
 def balanced(posts: DataFrame, config: Sampling = Sampling(), by: str = "engagement_score", key: str = "author_id", ident: str = "post_id") -> DataFrame:
@@ -69,14 +72,10 @@ def label_by_position(posts: DataFrame, by: str = "engagement_ratio", top: float
     Rows at or below ``least`` don't move
     the cut-offs but are labelled by them.
     """
-    valid = posts.where(F.col(by) > least).select(by).persist()
-    try:
-        n = valid.count()
-        # Places from the largest on; outside the table there is no cut-off.
-        high, low = math.floor(n * top), math.floor(n * (1 - bottom))
-        viral_from, flop_to = values_at(valid, by, [n - high if 0 < high < n else -1, n - 1 - low if 0 < low < n else -1], n)
-    finally:
-        valid.unpersist()
+    # Places from the largest on; outside the table there is no cut-off.
+    high, low = F.floor(F.col("n") * top), F.floor(F.col("n") * (1 - bottom))
+    inside = lambda at, place: F.when((at > 0) & (at < F.col("n")), place).otherwise(-1)
+    viral_from, flop_to = values_at(posts.where(F.col(by) > least), by, [inside(high, F.col("n") - high), inside(low, F.col("n") - 1 - low)])
     viral = F.lit(False) if viral_from is None else F.coalesce((F.col(by) >= viral_from) & F.lit(viral_from > 0), F.lit(False))
     label = F.when(viral, "viral").when(F.col(by) <= (flop_to or 0.0), "flop").otherwise("middle")
     return _with_class(posts.withColumn("viral_label", label))
@@ -94,8 +93,9 @@ def _with_class(rows: DataFrame) -> DataFrame:
 
 
 def undersample(rows: DataFrame, keep: int, ident: str, seed: int = 42) -> DataFrame:
-    """LAB-04: exactly ``keep`` rows, those of the smallest keyed hashes; the same at any partitioning."""
-    return rows.orderBy(keyed(ident, seed), ident).limit(keep)
+    """LAB-04: exactly ``keep`` rows, those of the smallest keyed hashes; the same at any partitioning, and ordered by ranges."""
+    placed = with_place(rows.withColumn("_hash", keyed(ident, seed)), "_hash", ident, "_place")
+    return placed.where(F.col("_place") < keep).drop("_hash", "_place")
 
 
 def oversample(rows: DataFrame, wanted: int, metrics: list[str], ident: str, seed: int = 42, noise: float = 0.1) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark import config as C
 from tidemark.functions import cleaning as K
 from tidemark.functions import metrics as M
 from tidemark.operators import baselines as B
+from tidemark.operators.ranks import Counted
 from tidemark.plans.register import query, rounded
 
 _RPI = "(CAST(likes AS DOUBLE) + comments * 2::DOUBLE + saves * 5::DOUBLE + shares * 10::DOUBLE + views * 0.01::DOUBLE)"
@@ -175,7 +176,7 @@ def agg_02_summary(posts: DataFrame) -> DataFrame:
 )
 def join_04_fallback_baseline(posts: DataFrame) -> DataFrame:
     rows = M.harmonised(posts).withColumn("weighted_engagement", M.weighted(C.RPI))
-    overall = rows.agg(F.expr("percentile(weighted_engagement, 0.5)").alias("global_median"))
+    overall = Counted(rows, "weighted_engagement").quantiles([0.5]).select(F.col("q")[0].alias("global_median"))
     return B.with_fallback(rows, B.niche_baselines(rows), overall).select("post_id", "fallback_source", *rounded({"fallback": F.col("fallback")}))
 
 

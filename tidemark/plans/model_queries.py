@@ -10,6 +10,7 @@ from tidemark.functions import text as T
 from tidemark.operators import evaluation as E
 from tidemark.operators import joins as J
 from tidemark.operators import sequences as Q
+from tidemark.operators.nearest import nearest_within
 from tidemark.plans.register import query, rounded
 
 
@@ -337,7 +338,7 @@ def _near(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 )
 def join_08_nearest_pattern(embeddings: DataFrame) -> DataFrame:
     queries, known = _near(embeddings)
-    return J.nearest_within(queries, known, "label").select("query_id", "known_id", *rounded({"similarity": F.col("similarity")}, 5))
+    return nearest_within(queries, known, "label").select("query_id", "known_id", *rounded({"similarity": F.col("similarity")}, 5))
 
 
 @query(
@@ -349,7 +350,7 @@ def seq_06_merge_patterns(embeddings: DataFrame) -> DataFrame:
     known = embeddings.select(F.col("vec_id").alias("pattern_id"), (F.col("vec_id") % 100).cast("double").alias("engagement"), F.lit(1).alias("usage_count"), F.array(F.lit("x")).alias("examples"))
     new = embeddings.where("vec_id % 10 <= 1").select((F.col("vec_id") + 1000000).alias("pattern_id"), F.lit(50.0).alias("engagement"), F.array(F.lit("y")).alias("examples"))
     queries, vectors = _near(embeddings)
-    matches = J.nearest_within(queries.withColumn("query_id", F.col("query_id") + 1000000), vectors, "label")
+    matches = nearest_within(queries.withColumn("query_id", F.col("query_id") + 1000000), vectors, "label")
     return J.merge_patterns(known, new, matches).select("pattern_id", "usage_count", *rounded({"engagement": F.col("engagement")}))
 
 

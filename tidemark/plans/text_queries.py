@@ -241,7 +241,7 @@ def _hooks(embeddings: DataFrame) -> DataFrame:
     reads="embeddings",
 )
 def txt_14_hook_scores(embeddings: DataFrame) -> DataFrame:
-    from tidemark.operators.joins import hook_scores
+    from tidemark.operators.nearest import hook_scores
 
     made = hook_scores(embeddings.select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), _hooks(embeddings).drop("category"))
     return made.select("text_id", "strength", F.array_join(F.col("top_hooks").cast("array<string>"), ",").alias("top_hooks"), *rounded({c: F.col(c) for c in ("max_similarity", "top3_avg")}))
@@ -252,7 +252,7 @@ def txt_14_hook_scores(embeddings: DataFrame) -> DataFrame:
     reads="embeddings",
 )
 def txt_15_category_scores(embeddings: DataFrame) -> DataFrame:
-    from tidemark.operators.joins import category_scores
+    from tidemark.operators.nearest import category_scores
 
     made = category_scores(embeddings.select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")), _hooks(embeddings).drop("hook_id"))
     return made.select("text_id", "category", *rounded({"similarity": F.col("similarity")}))
