@@ -334,6 +334,9 @@ def test_streams_equal_batches(spark, tmp_path):
     query.awaitTermination(120)
     streamed, batch = spark.table("learned").toPandas(), S.learned(rows, ["x"], ["y"]).toPandas()
     assert len(streamed) == len(batch) == 2 * (6 + 2) and set(streamed.event) <= {"steady", "retrain", "evaluate"}
+    by = ["niche", "target", "samples", "event"]
+    both = streamed.merge(batch, on=by)
+    assert len(both) == len(batch) and (abs(both.mae_x - both.mae_y) < 1e-9).all() and (abs(both.r2_x - both.r2_y) < 1e-9).all()
     last = batch.sort_values("samples").groupby("niche").last()
     assert (last.mae < batch.sort_values("samples").groupby("niche").first().mae).all()
     counts = spark.range(50).selectExpr("id % 3 as experiment", "'A' as variant", "id as score", "cast(id as int) as i")
@@ -341,11 +344,66 @@ def test_streams_equal_batches(spark, tmp_path):
     query = S.bandit_counts(spark.readStream.schema(counts.schema).parquet(str(tmp_path / "c"))).writeStream.format("memory").queryName("bandit").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("bandit").collect())) == sorted(map(tuple, S.bandit_counts(counts).collect()))
-    media = spark.createDataFrame([("u", "2024-01-01"), ("u", "2024-01-02"), ("v", "2024-01-02")], "url string, seen_at string").withColumn("seen_at", F.to_timestamp("seen_at"))
-    media.coalesce(1).write.parquet(str(tmp_path / "m"))
-    query = S.unseen_media(spark.readStream.schema(media.schema).parquet(str(tmp_path / "m"))).writeStream.format("memory").queryName("media").outputMode("append").trigger(availableNow=True).start()
+
+
+def test_seen_media(spark, tmp_path):
+    """The time to live begins at a kept row: kept on the 1st, the 8th and the 16th, whatever is seen between; stream and table alike."""
+    from tidemark.streaming import feedback as S
+
+    days = [("u", 1), ("u", 2), ("u", 7), ("u", 8), ("u", 8), ("u", 14), ("u", 16), ("v", 3), ("v", 9), ("v", 10), ("w", 20), (None, 3)]
+    media = spark.createDataFrame([(u, f"2024-01-{d:02}") for u, d in days], "url string, seen_at string").withColumn("seen_at", F.to_timestamp("seen_at"))
+    want = {("u", 1), ("u", 8), ("u", 16), ("v", 3), ("v", 10), ("w", 20)}
+    found = lambda df: {(r["url"], r["seen_at"].day) for r in df.collect()}
+    assert found(S.unseen_media(media)) == want and S.unseen_media(media).count() == len(want)
+    for name, low, high in (("a", 1, 5), ("b", 6, 12), ("c", 13, 31)):
+        media.where(F.dayofmonth("seen_at").between(low, high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema(media.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
+    query = S.unseen_media(stream).writeStream.format("memory").queryName("media").outputMode("append").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert spark.table("media").count() == 2
+    assert found(spark.table("media")) == want and spark.table("media").count() == len(want)
+
+
+def _learned(rows, features, targets, bounds=None):
+    """The learner as a plain loop over each niche's rows."""
+    import numpy as np
+
+    out = []
+    for niche in {r[0] for r in rows}:
+        w, sums, last = np.zeros((targets, features + 1)), np.zeros((targets, 4)), None
+        for n, r in enumerate(sorted((r for r in rows if r[0] == niche), key=lambda r: r[1]), 1):
+            x, y = np.array([*r[2 : 2 + features], 1.0]), np.array(r[2 + features :])
+            shown = w @ x
+            if bounds:
+                shown = np.clip(shown, *bounds) if n > 1 else np.full(targets, sum(bounds) / 2)
+            e = y - shown
+            sums += np.stack([abs(e), e**2, y, y**2], axis=1)
+            w += 0.5 * np.outer(y - w @ x, x) / (1 + x @ x)
+            mae, spread = sums[:, 0] / n, sums[:, 3] - sums[:, 2] ** 2 / n
+            events = []
+            if n >= 10 and n % 15 == 0:
+                events.append("retrain" if last is not None and mae.mean() < 0.95 * last.mean() else "steady")
+                last = mae
+            events += ["evaluate"] * (n % 50 == 0)
+            out += [(niche, f"y{t}", n, ev, mae[t], 1 - sums[t, 1] / spread[t]) for ev in events for t in range(targets)]
+    return out
+
+
+@pytest.mark.parametrize("bounds", [None, (0.0, 1.0)])
+def test_learner_equals_a_plain_loop(spark, bounds):
+    """Blocks of 30 and of 3,000 rows, several features and targets, a niche of few rows and one without a name."""
+    import numpy as np
+
+    from tidemark.streaming.blocks import learned_in_blocks
+
+    r = np.random.default_rng(3)
+    x = r.standard_normal((700, 2))
+    rows = [("hot" if i % 9 else None if i % 2 else "few", int(i * 7919 % 700), *map(float, v), float(v @ [0.3, 0.1] + 0.4), float(v @ [-1, 2])) for i, v in enumerate(x)]
+    want = sorted((str(n), t, s, e, m, q) for n, t, s, e, m, q in _learned(rows, 2, 2, bounds))
+    feedback = spark.createDataFrame(rows, "niche string, seq long, a double, b double, y0 double, y1 double")
+    for block in (30, 3000):
+        made = sorted((str(m["niche"]), m["target"], m["samples"], m["event"], m["mae"], m["r2"]) for m in learned_in_blocks(feedback, ["a", "b"], ["y0", "y1"], bounds=bounds, block=block).collect())
+        assert [m[:4] for m in made] == [w[:4] for w in want] and np.allclose([m[4:] for m in made], [w[4:] for w in want], atol=1e-9)
+    assert learned_in_blocks(feedback.limit(0), ["a", "b"], ["y0", "y1"]).count() == 0
 
 
 def test_adapters_read_alike(spark, duck):

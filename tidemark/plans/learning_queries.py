@@ -138,18 +138,59 @@ def seq_05_greedy_duplicates(embeddings: DataFrame) -> DataFrame:
     return greedy(embeddings.unionByName(bent), "label", "vec_id", "embedding").select("vec_id", "kept_as", "times")
 
 
-@query(reads="predictions")
+# The learner as a fold over each niche's rows in order; what it holds is carried in the list's own struct.
+def _fold(rows: str, shown: str) -> str:
+    return f"""r AS ({rows}),
+    l AS (SELECT niche, list({{'x': x, 'y': y, 'w': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'n': 0, 'a': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'sy': 0.0::DOUBLE, 'sq': 0.0::DOUBLE, 'last': NULL::DOUBLE,
+      'ev': NULL::STRUCT(n INT, mae DOUBLE, r2 DOUBLE, event VARCHAR)[]}} ORDER BY seq, x, y) AS rows FROM r GROUP BY niche),
+    f AS (SELECT niche, list_reduce(rows, lambda g, e: list_transform([{{'p': g.w * e.x + g.b, 'h': {shown}}}], lambda q: list_transform([{{'n': g.n + 1, 'u': 0.5 * (e.y - q.p) / (2 + e.x * e.x),
+        'a': g.a + abs(e.y - q.h), 's': g.s + (e.y - q.h) * (e.y - q.h), 'sy': g.sy + e.y, 'sq': g.sq + e.y * e.y}}],
+      lambda k: {{'x': e.x, 'y': e.y, 'w': g.w + k.u * e.x, 'b': g.b + k.u, 'n': k.n, 'a': k.a, 's': k.s, 'sy': k.sy, 'sq': k.sq,
+        'last': CASE WHEN k.n >= 10 AND k.n % 15 = 0 THEN k.a / k.n ELSE g.last END,
+        'ev': list_concat(g.ev, list_transform(list_filter([CASE WHEN k.n >= 10 AND k.n % 15 = 0 THEN CASE WHEN k.a / k.n < 0.95 * g.last THEN 'retrain' ELSE 'steady' END END, CASE WHEN k.n % 50 = 0 THEN 'evaluate' END], lambda v: v IS NOT NULL),
+          lambda v: {{'n': k.n, 'mae': k.a / k.n, 'r2': CASE WHEN k.sq - k.sy * k.sy / k.n > 0 THEN 1 - k.s / (k.sq - k.sy * k.sy / k.n) ELSE 0 END, 'event': v}}))}})[1])[1],
+      {{'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 'w': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'n': 0, 'a': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'sy': 0.0::DOUBLE, 'sq': 0.0::DOUBLE, 'last': NULL::DOUBLE,
+       'ev': []::STRUCT(n INT, mae DOUBLE, r2 DOUBLE, event VARCHAR)[]}}) AS g FROM l),
+    events AS (SELECT niche, v.n::BIGINT AS samples, v.mae AS mae, v.r2 AS r2, v.event AS event FROM (SELECT niche, unnest(g.ev) AS v FROM f) u)"""
+
+
+_SEQ = "l_orderkey * 10 + l_linenumber AS seq"
+_LEARNED = _fold(f"SELECT niche, {_SEQ}, p AS x, y FROM predictions", "g.w * e.x + g.b")
+_SATISFIED = _fold(
+    f"SELECT niche, {_SEQ}, y - p AS x, CASE WHEN y - p > 0.1 THEN 1.0 WHEN y - p < -0.1 THEN 0.1 ELSE 0.7 END::DOUBLE AS y FROM predictions",
+    "CASE WHEN g.n = 0 THEN 0.5 ELSE least(greatest(g.w * e.x + g.b, 0.0), 1.0) END",
+)
+
+
+def _feedback(predictions: DataFrame) -> DataFrame:
+    return predictions.select("niche", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("p").alias("x"), F.col("y"))
+
+
+@query(f"WITH {_LEARNED} SELECT niche, 'y' AS target, samples, event, round(mae, 6) AS mae, round(r2, 6) AS r2 FROM events", "predictions", reads="predictions")
 def str_03_07_learned(predictions: DataFrame) -> DataFrame:
-    rows = predictions.select("niche", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("p").alias("x"), F.col("y"))
-    return S.learned(rows, ["x"], ["y"])
+    made = S.learned(_feedback(predictions), ["x"], ["y"])
+    return made.select("niche", "target", "samples", "event", *rounded({c: F.col(c) for c in ("mae", "r2")}))
 
 
-@query(reads="predictions")
+@query(f"WITH {_SATISFIED} SELECT niche, 'satisfaction' AS target, samples, event, round(mae, 6) AS mae, round(r2, 6) AS r2 FROM events", "predictions", reads="predictions")
 def str_05_satisfaction_learned(predictions: DataFrame) -> DataFrame:
     """Labels by how far the truth lies above the prediction."""
     label = F.when(F.col("y") - F.col("p") > 0.1, "viral").when(F.col("y") - F.col("p") < -0.1, "flop").otherwise("good")
     rows = predictions.select("niche", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("y") - F.col("p")).alias("x"), label.alias("label"))
-    return S.satisfaction_learned(rows, ["x"])
+    made = S.satisfaction_learned(rows, ["x"])
+    return made.select("niche", "target", "samples", "event", *rounded({c: F.col(c) for c in ("mae", "r2")}))
+
+
+@query(
+    """WITH RECURSIVE m AS (SELECT concat('https://media.example/', event_type, '/', user_id % 20) AS url, ts FROM events),
+    kept AS (SELECT url, min(ts) AS ts FROM m GROUP BY url UNION ALL SELECT m.url, min(m.ts) FROM kept JOIN m ON m.url = kept.url AND m.ts >= kept.ts + INTERVAL 7 DAY GROUP BY m.url)
+    SELECT url, sha256(url) AS url_hash, epoch_us(ts) AS seen_at_us FROM kept""",
+    reads="events",
+)
+def str_08_unseen_media(events: DataFrame) -> DataFrame:
+    url = F.concat(F.lit("https://media.example/"), "event_type", F.lit("/"), F.col("user_id") % 20)
+    made = S.unseen_media(events.select(url.alias("url"), F.col("ts").cast("timestamp").alias("seen_at")))
+    return made.select("url", "url_hash", F.unix_micros("seen_at").alias("seen_at_us"))
 
 
 _STR_02_DELTA = "CASE WHEN predicted > 0 THEN (actual - predicted) / predicted * 100 WHEN actual > 0 THEN 100 ELSE 0 END"
@@ -204,13 +245,15 @@ def str_11_late_feedback(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT niche, content_format AS target, max(l_orderkey) AS samples, round(min(abs(y - p)), 6) AS best_mae FROM predictions GROUP BY 1, 2",
+    f"""WITH {_LEARNED} SELECT niche, 'y' AS target, max(samples) AS samples, round(max_by(mae, samples), 6) AS mae, round(max_by(r2, samples), 6) AS r2, round(min(mae), 6) AS best_mae,
+    count(*) FILTER (event = 'retrain') AS retrains FROM events GROUP BY niche""",
     "predictions",
     reads="predictions",
 )
 def str_12_status(predictions: DataFrame) -> DataFrame:
-    events = predictions.select("niche", F.col("content_format").alias("target"), F.col("l_orderkey").alias("samples"), F.abs(F.col("y") - F.col("p")).alias("mae"), F.lit(0.0).alias("r2"), F.lit("steady").alias("event"))
-    return S.status(events).select("niche", "target", "samples", *rounded({"best_mae": F.col("best_mae")}))
+    """The status of what the learner itself has reported."""
+    made = S.status(S.learned(_feedback(predictions), ["x"], ["y"]))
+    return made.select("niche", "target", "samples", "retrains", *rounded({c: F.col(c) for c in ("mae", "r2", "best_mae")}))
 
 
 @query(

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.config import INGEST, SCORE
 from tidemark.functions import cleaning as K
 from tidemark.functions import metrics as M
+from tidemark.streaming.blocks import learned_in_blocks
 
 
 def ingested(payloads: DataFrame, salt: str) -> DataFrame:
@@ -58,7 +59,7 @@ class Learner(StatefulProcessor):
     State: samples; for each target the weights, and sums of |e|, e², y and y². After ``burn_in`` samples an event row is emitted
     every ``every`` samples, ``retrain`` where the error fell by over 5 % since the last one, else ``steady``; and ``evaluate``
     every ``deep`` samples. With ``bounds`` (STR-05) predictions are clipped to them, and the first one is their middle. Rows
-    come in the order of ``seq``, batch by batch; no more than a batch of them is in memory.
+    come in the order of ``seq``, equal ones by their values, batch by batch; no more than a batch of them is in memory.
     """
 
     def __init__(self, features: list[str], targets: list[str], rate: float = 0.5, burn_in: int = 10, every: int = 15, deep: int = 50, bounds: tuple[float, float] | None = None):
@@ -80,12 +81,12 @@ class Learner(StatefulProcessor):
         out = []
         for x, y in self._samples(rows):
             x = np.append(x, 1.0)
-            predicted = weights @ x
-            if self.bounds:
+            error = y - weights @ x
+            shown = error
+            if self.bounds:  # what is shown is clipped; what is learned from is the model's own error
                 low, high = self.bounds
-                predicted = np.clip(predicted, low, high) if samples else np.full(len(y), (low + high) / 2)
-            error = y - predicted
-            sums += np.stack([np.abs(error), error**2, y, y**2], axis=1)
+                shown = y - (np.clip(y - error, low, high) if samples else np.full(len(y), (low + high) / 2))
+            sums += np.stack([np.abs(shown), shown**2, y, y**2], axis=1)
             weights += self.rate * np.outer(error, x) / (1.0 + x @ x)
             samples += 1
             mae = sums[:, 0] / samples
@@ -103,7 +104,7 @@ class Learner(StatefulProcessor):
 
     def _samples(self, rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in rows:
-            batch = batch.sort_values("seq")
+            batch = batch.sort_values(["seq", *self.features, *self.targets])
             yield from zip(batch[self.features].to_numpy(float), batch[self.targets].to_numpy(float), strict=True)
 
     def close(self) -> None:
@@ -111,11 +112,14 @@ class Learner(StatefulProcessor):
 
 
 def learned(feedback: DataFrame, features: list[str], targets: list[str], **settings) -> DataFrame:
-    """Feedback (niche, seq, features, targets), a stream or a table, as event rows. Needs the RocksDB state store."""
-    _ = feedback.sparkSession.streams  # brings up the state stores' coordinator, which a table's plan needs too
+    """Feedback (niche, seq, features, targets) as event rows; rows that lack a feature or a target are left out.
+
+    A stream keeps its niches' models in state and needs the RocksDB state store. A table is learned in blocks, each niche by many
+    tasks, with the same results.
+    """
+    feedback = feedback.na.drop(subset=[*features, *targets])
     if not feedback.isStreaming:
-        # The grouping keeps a partition's order within a niche only if rows already lie by niche and number.
-        feedback = feedback.repartition("niche").sortWithinPartitions("niche", "seq")
+        return learned_in_blocks(feedback, features, targets, **settings)
     return feedback.groupBy("niche").transformWithStateInPandas(Learner(features, targets, **settings), METRIC_SCHEMA, "Append", "None")
 
 
@@ -129,9 +133,63 @@ def clipped_satisfaction(prediction: Column) -> Column:
     return F.least(F.greatest(F.coalesce(prediction, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
 
 
-def unseen_media(media: DataFrame, url: str = "url", at: str = "seen_at", ttl: str = "7 days") -> DataFrame:
-    """STR-08: media whose address hasn't been seen within the time to live."""
-    return media.withColumn("url_hash", F.sha2(F.col(url), 256)).withWatermark(at, ttl).dropDuplicatesWithinWatermark(["url_hash"])
+class SeenMedia(StatefulProcessor):
+    """STR-08 as a stream: an address's state is when it was last kept, and is cleared when its time to live is over."""
+
+    def __init__(self, ttl: pd.Timedelta):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "kept_at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        out, last = [], pd.Timestamp(self.kept.get()[0]) if self.kept.exists() else None
+        for batch in rows:
+            for url, at in batch.sort_values("seen_at")[["url", "seen_at"]].itertuples(index=False):
+                if last is None or at >= last + self.ttl:
+                    out.append((key[0], url, at))
+                    last = at
+        if out:
+            self.kept.update((last.to_pydatetime(),))
+            self.handle.registerTimer(int((last + self.ttl).timestamp() * 1000))
+        yield pd.DataFrame(out, columns=["url_hash", "url", "seen_at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.kept.exists() and (pd.Timestamp(self.kept.get()[0]) + self.ttl).timestamp() * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_MEDIA = "url_hash string, url string, seen_at timestamp"
+
+
+def unseen_media(media: DataFrame, ttl: str = "7 days") -> DataFrame:
+    """STR-08: media (url, seen_at) whose address wasn't kept within the time to live before: url_hash, url, seen_at.
+
+    The time to live begins at a kept row and not at each sight, so an address that is seen all the time is kept once in it. Rows
+    without an address or time are left out. A stream's state is keyed by the address's hash; rows later than the time to live
+    are late. In a table equal sights are one row first, and an address's times then pass a task in order, one at a time.
+    """
+    span = pd.Timedelta(ttl)
+    rows = media.where("url is not null and seen_at is not null").select(F.sha2(F.col("url"), 256).alias("url_hash"), "url", F.col("seen_at").cast("timestamp").alias("seen_at"))
+    if media.isStreaming:
+        return rows.withWatermark("seen_at", ttl).groupBy("url_hash").transformWithStateInPandas(SeenMedia(span), _MEDIA, "Append", "EventTime")
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, last = None, None
+        for batch in batches:
+            keep = []
+            for key, at in zip(batch["url_hash"], batch["seen_at"], strict=True):
+                fresh = key != name or at >= last + span
+                name, last = key, at if fresh else last
+                keep.append(fresh)
+            yield batch[np.array(keep, bool)]
+
+    return rows.distinct().repartition("url_hash").sortWithinPartitions("url_hash", "seen_at").mapInPandas(kept, _MEDIA)
 
 
 def hourly_counts(samples: DataFrame, at: str = "posted_at", late: str = "14 days") -> DataFrame:
