@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as kit
+from tidemark.llm.scratch import bounded_batches
 
 _NORMAL = kit.lower_ascii(np.arange(256, dtype=np.uint8))
 _NORMAL[[9, 10, 11, 12, 13]] = 32
@@ -290,6 +291,7 @@ def _parts(items: DataFrame, window: int, rate: float, least_bytes: int, most_by
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``find`` finds nothing; null and empty texts stay."""
+    bounded_batches(docs.sparkSession)
     for index in _parts(items, window, rate, least_bytes, most_bytes):
         docs = docs.mapInArrow(_clean(index), docs.schema)
     return docs
@@ -305,6 +307,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.06
     scanned each; other columns are not read. ``most_bytes`` of item text are looked for at once; more items take several scans.
     """
     kind = "array<struct<item_id: bigint, begin: bigint, end: bigint>>"
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {kind})").alias("hits"))
     for index in _parts(items, window, rate, least_bytes, most_bytes):
         rows = rows.mapInArrow(_scan(index), f"doc_id long, text string, hits {kind}")

@@ -19,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that reach Python workers hold some 4 MB at most: the default bound is by rows, and a text can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < known <= _BATCH_BYTES:
+        spark.conf.set(key, str(_BATCH_BYTES))
+
+
 _MADE: list[str] = []
 
 
@@ -43,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
         _MADE.append(self.root)

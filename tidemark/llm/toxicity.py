@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import bounded_batches
+
 # Letters of other scripts that look like Latin ones, and digits or signs used as letters.
 _LOOKALIKE = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o",
@@ -199,6 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> Lexicon:
     or a whole longer word, must stand out by its log-likelihood ratio over all candidates tested. Null labels and texts are
     left out; a doc_id with several labels is toxic if one is. Without labels or stems every text gets the same score, below a half.
     """
+    bounded_batches(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     there = labels.count()
     if there > sample:
@@ -246,6 +249,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFram
 
     Null and empty texts have no hits and get the curve's value there; repeated rows are scored each; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     raw = rows.mapInArrow(_weigh_rows(lexicon), "doc_id long, raw double")
     value = 1 / (1 + F.exp(-(F.col("raw") * lexicon.slope + lexicon.intercept)))
@@ -255,6 +259,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFram
 def keep_mild(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``; null and empty texts have no hits and stay where
     the threshold is a half or more."""
+    bounded_batches(docs.sparkSession)
     limit = math.log(threshold / (1 - threshold))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
