@@ -264,13 +264,10 @@ def test_greedy_duplicates_by_hand(spark):
 
 
 def test_models_learn_known_data(spark):
-    """A noiseless linear target: contributions are coefficient times distance from the mean, models beat the mean."""
+    """A noiseless linear target: models beat the mean."""
     from tidemark.operators import models as L
 
     rows = spark.range(400).selectExpr("id as post_id", "id % 20 / 10.0D as a", "id % 7 / 3.0D as b", "cast(id % 5 as int) as fold").withColumn("y", F.col("a") * 3 - F.col("b"))
-    mean = rows.agg(F.avg("a")).first()[0]
-    made = {(r["row_id"], r["feature"]): r["value"] for r in L.linear_contributions(rows, ["a", "b"], "y", "post_id").collect()}
-    assert abs(made[(19, "a")] - 3 * (1.9 - mean)) < 0.15
     ranked = L.growth(rows, ["a", "b"], "y", "fold")
     assert ranked["importances"][0][0] == "a" and ranked["cv_rmse"] < 0.8
     high = rows.withColumn("high", (F.col("y") > 2.5).cast("int"))

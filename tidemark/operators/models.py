@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from tidemark.config import KPI, METRICS, Weights
 from tidemark.functions.metrics import log_index, relative_score
 from tidemark.operators.near_rows import near_rows
 from tidemark.operators.ranks import quantiles, with_place
+from tidemark.operators.tables import Steps
 
 
 def assembled(features: list[str], out: str = "features") -> VectorAssembler:
@@ -37,40 +38,24 @@ def regression(rows: DataFrame, features: list[str], label: str, weight: str | N
     return Pipeline(stages=[assembled(features), _gbt(label, weight, trees, depth, seed)]).fit(rows)
 
 
-def policy(counts: int, least: int = 30, scratch: int = 300) -> str:
-    """ML-01: what a niche's rows allow."""
-    return "fail" if counts < least else "fine_tune" if counts < scratch else "scratch"
-
-
-@dataclass
-class FineTuned:
-    """ML-02: a base model and trees on its residuals."""
-
-    base: PipelineModel
-    residual: PipelineModel
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        first = self.base.transform(rows).withColumnRenamed("prediction", "_base").drop("features")
-        both = self.residual.transform(first).withColumn("prediction", F.col("_base") + F.col("prediction"))
-        return both.drop("_base", "features")
-
-
-def fine_tuned(base: PipelineModel, rows: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3, seed: int = 42) -> FineTuned:
-    first = base.transform(rows).withColumn("_residual", F.col(label) - F.col("prediction")).drop("features", "prediction")
-    return FineTuned(base, regression(first, features, "_residual", None, trees, depth, seed))
+def niche_scores(rows: DataFrame, features: list[str], label: str, ident: str, niche: str = "niche", least: int = 30, scratch: int = 300, base_trees: int = 20, trees: int = 20, depth: int = 4) -> DataFrame:
+    """ML-01/02: every row scored by the base model and by its niche's own: (ident, niche, ``base``, ``own``, ``policy``).
 
+    A niche of ``scratch`` rows gets its own trees, one of ``least`` gets trees on the residuals of the base model, and a smaller one
+    none. All niches' trees are grown in the same jobs (``grouped_trees``), so their number doesn't matter.
+    """
+    from tidemark.operators import grouped_trees as G
 
-def niche_models(rows: DataFrame, features: list[str], label: str, base: PipelineModel, niche: str = "niche", **settings) -> dict[str, PipelineModel | FineTuned]:
-    """ML-01: a model for each niche by its policy. Niches are few and named by one grouped count; each fit is a Spark job."""
-    counts = {r[niche]: r["n"] for r in rows.where(F.col(niche).isNotNull()).groupBy(niche).agg(F.count("*").alias("n")).collect()}
-    made: dict[str, PipelineModel | FineTuned] = {}
-    for name, n in sorted(counts.items()):
-        own = rows.where(F.col(niche) == name)
-        if policy(n) == "scratch":
-            made[name] = regression(own, features, label, **settings)
-        elif policy(n) == "fine_tune":
-            made[name] = fine_tuned(base, own, features, label)
-    return made
+    steps = Steps(rows.sparkSession, "niches")
+    base = regression(rows, features, label, trees=base_trees, depth=depth)
+    scored = base.transform(rows).select(ident, niche, *[f for f in features if f not in (ident, niche)], label, F.col("prediction").alias("base"))
+    there = rows.where(F.col(niche).isNotNull()).groupBy(niche).agg(F.count("*").alias("_n"))
+    policy = F.when(F.col("_n") >= scratch, "scratch").when(F.col("_n") >= least, "fine_tune").otherwise("fail")
+    known = steps.save(scored.join(there, niche, "left").withColumn("policy", F.when(F.col(niche).isNotNull(), policy)).drop("_n"))
+    residual = known.withColumn("_y", F.when(F.col("policy") == "scratch", F.col(label)).otherwise(F.col(label) - F.col("base")))
+    own = G.score(G.fit(residual.where("policy in ('scratch', 'fine_tune')"), niche, features, "_y", trees, depth), known, niche, ident)
+    made = known.join(own.withColumnRenamed("row_id", ident), ident, "left")
+    return made.withColumn("own", F.when(F.col("policy") == "scratch", F.col("prediction")).when(F.col("policy") == "fine_tune", F.col("base") + F.col("prediction"))).drop("prediction")
 
 
 def five_targets(rows: DataFrame, features: list[str], least: int = 50, **settings) -> dict[str, PipelineModel]:
@@ -137,6 +122,12 @@ def ensemble(model: Column, heuristic: Column, alpha: Column) -> Column:
     return alpha * model + (1 - alpha) * heuristic
 
 
+def online_score(weights: Column, features: list[str]) -> Column:
+    """The incremental model's prediction: features and a constant against its weights."""
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], F.lit(1.0))
+    return F.aggregate(F.zip_with(values, weights, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+
+
 def best_available(candidates: dict[str, Column], drifting: Column, online: Column) -> dict[str, Column]:
     """ML-11: the first score there is, the online one under drift, and where it comes from."""
     source = F.lit(None).cast("string")
@@ -152,14 +143,6 @@ def feature_confidence(features: list[str]) -> Column:
     return F.least(F.greatest(60 + there * 35, F.lit(60.0)), F.lit(95.0))
 
 
-def linear_contributions(rows: DataFrame, features: list[str], label: str, ident: str) -> DataFrame:
-    """ML-10: each feature's coefficient times its distance from the mean, by a linear surrogate: (row_id, feature, value)."""
-    model = LinearRegression(labelCol=label, featuresCol="features", regParam=0.01).fit(assembled(features).transform(rows))
-    means = rows.agg(*[F.avg(f).alias(f"_{f}") for f in features])
-    parts = [F.struct(F.lit(f).alias("feature"), ((F.col(f) - F.col(f"_{f}")) * float(b)).alias("value")) for f, b in zip(features, model.coefficients.toArray(), strict=True)]
-    return rows.crossJoin(F.broadcast(means)).select(F.col(ident).alias("row_id"), F.explode(F.array(*parts)).alias("x")).select("row_id", "x.*")
-
-
 @dataclass
 class Reducer:
     """ML-14: a truncated singular value decomposition, not centred."""

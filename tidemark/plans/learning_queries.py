@@ -19,20 +19,25 @@ def _training(posts: DataFrame) -> DataFrame:
 
 @query(reads="posts")
 def ml_01_02_11_niche_scores(posts: DataFrame) -> DataFrame:
-    """Every post scored by its niche's model, else by the base model."""
-    from tidemark.operators import models as L
+    """Every post scored by its niche's model, else by the base model, and by the incremental one where the niche's model drifts.
 
-    rows = _training(posts)
-    base = L.regression(rows, _FEATURES, "log_likes", trees=5, depth=3)
-    made = base.transform(rows).select("post_id", "niche", F.col("prediction").alias("base"))
-    own = None  # each post is scored by the model of its niche, and met once
-    for name, model in L.niche_models(rows, _FEATURES, "log_likes", base, trees=3, depth=3).items():
-        scored = model.transform(rows.where(F.col("niche") == name)).select("post_id", F.col("prediction").alias("own"))
-        own = scored if own is None else own.unionByName(scored)
-    made = made.withColumn("own", F.lit(None).cast("double")) if own is None else made.join(own, "post_id", "left")
-    niche = F.col("own")
-    best = L.best_available({"niche": niche, "base": F.col("base")}, F.lit(False), F.lit(None).cast("double"))
-    return made.select("post_id", *[c.alias(k) for k, c in best.items()])
+    Niches by age of the post make large ones, some of a few hundred posts and some of fewer than thirty.
+    """
+    from tidemark.operators import models as L
+    from tidemark.operators.evaluation import range_drift
+    from tidemark.streaming.blocks import online_weights
+
+    small = F.when(F.col("post_id") % 100 == 0, "weekly").when(F.col("post_id") % 700 == 1, "yearly")
+    rows = _training(posts).withColumn("niche", F.coalesce(small, F.col("niche")))
+    scored = L.niche_scores(rows, _FEATURES, "log_likes", "post_id", base_trees=5, trees=3, depth=3)
+    best = F.coalesce("own", "base")
+    drift = range_drift(scored.where("niche is not null").select("niche", F.col("log_likes").alias("y"), best.alias("p")), threshold=0.2).select("niche", "drift")
+    logs = rows.select("niche", F.col("post_id").alias("seq"), *[F.log1p(f).alias(f) for f in _FEATURES], "log_likes")
+    weights = online_weights(logs.where("niche is not null"), _FEATURES, "log_likes")
+    made = scored.join(drift, "niche", "left").join(weights, "niche", "left").withColumns({f: F.log1p(f) for f in _FEATURES})
+    online = F.when(F.col("online").isNotNull(), L.online_score(F.col("online"), _FEATURES))
+    found = L.best_available({"niche": F.col("own"), "base": F.col("base")}, F.coalesce("drift", F.lit(False)), online)
+    return made.select("post_id", "niche", "policy", "drift", *[c.alias(k) for k, c in found.items()])
 
 
 @query(reads="posts")
@@ -73,9 +78,11 @@ def ml_06_recommended_formats(posts: DataFrame) -> DataFrame:
 
 @query(reads="posts")
 def ml_10_contributions(posts: DataFrame) -> DataFrame:
-    from tidemark.operators import models as L
+    """Shapley values of trees for each content format."""
+    from tidemark.operators import grouped_trees as G
 
-    return L.linear_contributions(_training(posts), _FEATURES, "log_likes", "post_id")
+    rows = _training(posts)
+    return G.contributions(G.fit(rows, "content_format", _FEATURES, "log_likes", trees=3, depth=3), rows, "content_format", "post_id")
 
 
 @query(reads="embeddings")

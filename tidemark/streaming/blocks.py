@@ -37,6 +37,54 @@ def steps_of(weights: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float) ->
     return weights, errors
 
 
+class _Blocks:
+    """A table of feedback in blocks (niche, block): ``dealt``, its rows, and ``starts``, the weights before and after each block."""
+
+    def __init__(self, feedback: DataFrame, features: list[str], targets: list[str], rate: float, block: int):
+        self.width, self.n_targets = len(features) + 1, len(targets)
+        width, n_targets = self.width, self.n_targets
+        self.steps = Steps(feedback.sparkSession, "learned")
+        rows = feedback.select(F.coalesce(F.col("niche").cast("string"), F.lit("\0")).alias("niche"), "seq", F.array(*[F.col(f).cast("double") for f in [*features, *targets]]).alias("v"))
+        placed = numbered(rows, ["niche"], [F.col("seq"), F.col("v")])
+        self.dealt = self.steps.save(placed.select("niche", "place", "v", F.expr(f"place div {block}").alias("block")))
+        arrays = self.arrays
+
+        def composed(group: pd.DataFrame) -> pd.DataFrame:
+            """What the block makes of the weights: targets learned from nothing, and the image of each unit vector."""
+            x, y = arrays(group, width)
+            made, _ = steps_of(np.hstack([np.zeros((width, n_targets)), np.eye(width)]), x, np.hstack([y, np.zeros((len(y), width))]), rate)
+            return pd.DataFrame({"niche": [group["niche"].iloc[0]], "block": [group["block"].iloc[0]], "map": [made.ravel()]})
+
+        def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The weights that each block begins and ends with; blocks of a niche come in order."""
+            niche, weights = None, None
+            for batch in batches:
+                out = [np.zeros(0)]
+                for name, made in zip(batch["niche"], batch["map"], strict=True):
+                    if name != niche:
+                        niche, weights = name, np.zeros((width, n_targets))
+                    out.append(weights.ravel())
+                    made = np.asarray(made).reshape(width, n_targets + width)
+                    weights = made[:, :n_targets] + made[:, n_targets:] @ weights
+                    out.append(weights.ravel())
+                yield pd.DataFrame({"niche": batch["niche"], "block": batch["block"], "weights": out[1::2], "after": out[2::2]})
+
+        maps = self.steps.save(self.dealt.groupBy("niche", "block").applyInPandas(composed, "niche string, block long, map array<double>"))
+        folds = maps.repartition("niche").sortWithinPartitions("niche", "block").mapInPandas(folded, "niche string, block long, weights array<double>, after array<double>")
+        self.starts = self.steps.save(folds)
+
+    @staticmethod
+    def arrays(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+        values = np.array(list(group.sort_values("place")["v"]), float)
+        return np.hstack([values[:, : width - 1], np.ones((len(values), 1))]), values[:, width - 1 :]
+
+
+def online_weights(feedback: DataFrame, features: list[str], target: str, rate: float = 0.5, block: int = 3000) -> DataFrame:
+    """The learner's weights after all of a niche's rows: niche, ``online``, one for each feature and a last one for the constant."""
+    made = _Blocks(feedback.na.drop(subset=[*features, target]), features, [target], rate, block).starts
+    return made.groupBy("niche").agg(F.max_by("after", "block").alias("online")).withColumn("niche", F.nullif(F.col("niche"), F.lit("\0")))
+
+
 def learned_in_blocks(
     feedback: DataFrame, features: list[str], targets: list[str], rate: float = 0.5, burn_in: int = 10, every: int = 15, deep: int = 50, bounds: tuple[float, float] | None = None, block: int = 3000
 ) -> DataFrame:
@@ -45,40 +93,14 @@ def learned_in_blocks(
     A niche's rows are numbered by ``seq`` over ranges and cut into blocks of about ``block``; a task holds a block, and the fold
     over a niche holds one block's matrix of (features + 1) squared at a time. Equal ``seq`` go by their values; a NULL niche is one.
     """
-    width, n_targets = len(features) + 1, len(targets)
     block = every * max(1, block // every)  # so that an event's predecessor lies in the same block
-    steps = Steps(feedback.sparkSession, "learned")
-    rows = feedback.select(F.coalesce(F.col("niche").cast("string"), F.lit("\0")).alias("niche"), "seq", F.array(*[F.col(f).cast("double") for f in [*features, *targets]]).alias("v"))
-    placed = numbered(rows, ["niche"], [F.col("seq"), F.col("v")])
-    dealt = steps.save(placed.select("niche", "place", "v", F.expr(f"place div {block}").alias("block")))
-
-    def arrays(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        values = np.array(list(group.sort_values("place")["v"]), float)
-        return np.hstack([values[:, : width - 1], np.ones((len(values), 1))]), values[:, width - 1 :]
-
-    def composed(group: pd.DataFrame) -> pd.DataFrame:
-        """What the block makes of the weights: targets learned from nothing, and the image of each unit vector."""
-        x, y = arrays(group)
-        made, _ = steps_of(np.hstack([np.zeros((width, n_targets)), np.eye(width)]), x, np.hstack([y, np.zeros((len(y), width))]), rate)
-        return pd.DataFrame({"niche": [group["niche"].iloc[0]], "block": [group["block"].iloc[0]], "map": [made.ravel()]})
-
-    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The weights that each block begins with; blocks of a niche come in order."""
-        niche, weights = None, None
-        for batch in batches:
-            out = []
-            for name, made in zip(batch["niche"], batch["map"], strict=True):
-                if name != niche:
-                    niche, weights = name, np.zeros((width, n_targets))
-                out.append(weights.ravel())
-                made = np.asarray(made).reshape(width, n_targets + width)
-                weights = made[:, :n_targets] + made[:, n_targets:] @ weights
-            yield pd.DataFrame({"niche": batch["niche"], "block": batch["block"], "weights": out})
+    blocks = _Blocks(feedback, features, targets, rate, block)
+    steps, dealt, arrays, width, n_targets = blocks.steps, blocks.dealt, blocks.arrays, blocks.width, blocks.n_targets
 
     def measured(key: tuple, group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         """The block's sums at its events and, as sample 0, at its end: |e|, e squared, y and y squared, by target; the sum of |e|
         over targets there and at the event before."""
-        x, y = arrays(group)
+        x, y = arrays(group, width)
         _, errors = steps_of(np.asarray(start["weights"].iloc[0]).reshape(width, n_targets), x, y, rate)
         first = int(key[1]) * block
         if bounds:
@@ -96,9 +118,7 @@ def learned_in_blocks(
         values = sums[places].reshape(-1, 4)
         return pd.DataFrame(frame | {c: values[:, i] for i, c in enumerate(("a", "s", "y", "q"))} | {"total": np.repeat(total[places], n_targets), "before": np.repeat(total[before], n_targets)})
 
-    maps = steps.save(dealt.groupBy("niche", "block").applyInPandas(composed, "niche string, block long, map array<double>"))
-    starts = steps.save(maps.repartition("niche").sortWithinPartitions("niche", "block").mapInPandas(folded, "niche string, block long, weights array<double>"))
-    found = dealt.groupBy("niche", "block").cogroup(starts.groupBy("niche", "block")).applyInPandas(
+    found = dealt.groupBy("niche", "block").cogroup(blocks.starts.groupBy("niche", "block")).applyInPandas(
         measured, "niche string, block long, samples long, target string, a double, s double, y double, q double, total double, before double"
     )
     found = steps.save(found)
