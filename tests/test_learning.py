@@ -153,3 +153,27 @@ def test_targets_formats_components_and_report(spark):
     report = L.retrain_report(rows.withColumn("y", F.col("f0") * 2.0), ["f0"], "y", "at", 3).first()
     late = [2.0 * (i % 10) for i in range(200) if i > 199 - 72]
     assert report["test_rows"] in (len(late), len(late) + 1) and report["mae"] < 2.0
+
+
+def test_ensemble(spark):
+    """No model below thirty rows or without a score; at fifty rows it has half of 0.95."""
+    from tidemark.operators.models import ensemble
+
+    rows = spark.createDataFrame([(2.0, 1.0, 29), (2.0, 1.0, 50), (None, 1.0, 500), (2.0, 1.0, 10_000), (2.0, 1.0, None)], "m double, h double, n long")
+    made = ensemble(F.col("m"), F.col("h"), F.col("n"))
+    got = [(round(a, 6), round(s, 6), e) for a, s, e in rows.select(made["alpha"], made["score"], made["explained_by"]).collect()]
+    assert got == [(0, 1, "heuristic"), (0.475, 1.475, "heuristic"), (0, 1, "heuristic"), (0.95, 1.95, "model"), (0, 1, "heuristic")]
+
+
+def test_sentiment_by_hand(spark):
+    """Boosters and negations reach three words; a negation farther off does nothing."""
+    from tidemark.functions.text import lexicon_sentiment
+
+    texts = {1: "bueno", 2: "muy bueno", 3: "no es muy bueno", 4: "no one two three bueno", 5: "triste!!", 6: "", 7: None, 8: "words only"}
+    rows = spark.createDataFrame(list(texts.items()), "id long, caption string")
+    lexicon = spark.createDataFrame([("bueno", 2.0), ("triste", -2.0)], "word string, valence double")
+    made = {r["id"]: r for r in lexicon_sentiment(rows, lexicon, "id", "caption").collect()}
+    whole = lambda s: s / math.sqrt(s * s + 15)
+    want = {1: whole(2.0), 2: whole(2.293), 3: whole(2.293 * -0.74), 4: whole(2.0), 5: whole(-2.584), 6: 0.0, 7: 0.0, 8: 0.0}
+    assert all(abs(made[i]["compound"] - w) < 1e-9 for i, w in want.items()) and len(made) == 8
+    assert made[1]["pos"] == 1 and made[6]["neu"] == 1 and abs(made[3]["neg"] - 2.69682 / 5.69682) < 1e-6

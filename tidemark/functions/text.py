@@ -301,21 +301,67 @@ def gated_fusion(rows: DataFrame, made: dict[str, Column], training: bool = Fals
     return rows.crossJoin(F.broadcast(gate)).withColumns({k: F.when(F.col("_any_video"), c).otherwise(0.0) for k, c in made.items()}).drop("_any_video")
 
 
-def lexicon_sentiment(rows: DataFrame, lexicon: DataFrame, ident: str, column: str) -> DataFrame:
-    """TXT-11: shares of positive, negative and neutral words and a compound score, by a join of exploded words to a lexicon
-    (word, valence). The lexicon may be of any size; without hits a text is neutral."""
-    exploded = rows.select(ident, F.explode(words(text(column))).alias("word"))
-    scored = exploded.join(lexicon, "word", "left").groupBy(ident)
-    v = F.coalesce("valence", F.lit(0.0))
-    made = scored.agg(F.count("*").alias("n"), F.count_if(v > 0).alias("p"), F.count_if(v < 0).alias("q"), F.sum(v).alias("s"))
-    share = lambda c: F.coalesce(c / F.col("n"), F.lit(0.0))
-    return rows.join(made, ident, "left").select(
-        ident, share(F.col("p")).alias("pos"), share(F.col("q")).alias("neg"), (1 - share(F.col("p")) - share(F.col("q"))).alias("neu"),
-        F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("compound"),
+#: Words that turn what follows, and words that strengthen or weaken it, by how much. Parameters of ``lexicon_sentiment``.
+NEGATIONS = ["no", "not", "never", "nunca", "nada", "sin", "without", "tampoco", "isn't", "don't", "can't"]
+BOOSTERS = {"muy": 0.293, "very": 0.293, "super": 0.293, "really": 0.293, "tan": 0.293, "totalmente": 0.293, "extremely": 0.293, "algo": -0.293, "poco": -0.293, "somewhat": -0.293, "apenas": -0.293}
+#: Valences of common Spanish and English words, -4 to 4; any table (word, valence) can take its place.
+VALENCES = {
+    4.0: "perfecto perfecta perfect magnífico amazing",
+    3.0: "increíble excelente maravilloso maravillosa love amor excellent wonderful fantástico",
+    2.0: "bueno buena feliz genial good great happy mejor best bonito bonita hermoso fácil gracias win",
+    1.0: "descuento gratis free nice útil nuevo nueva fresco interesante smart ahorra",
+    -1.0: "secreto caro cara difícil hard slow lento raro problema problem miedo",
+    -2.0: "malo mala triste bad sad peor worst feo error fail dolor aburrido",
+    -3.0: "horrible terrible odio hate fatal awful desastre asco",
+}
+
+
+def valences() -> list[tuple[str, float]]:
+    return [(word, v) for v, group in VALENCES.items() for word in group.split()]
+
+
+def lexicon_sentiment(rows: DataFrame, lexicon: DataFrame, ident: str, column: str, window: int = 3, turned: float = -0.74) -> DataFrame:
+    """TXT-11: shares of positive, negative and neutral words and a compound score, by a join of words to a lexicon (word, valence).
+
+    A word's valence is moved by a booster among the ``window`` words before it, less the farther off it stands, and then
+    multiplied by ``turned`` for each negation among them; exclamation marks, four at most, add to the sum. Words are looked up
+    without the signs around them. A hit weighs one more than its valence, a neutral word one. The lexicon, of one row for a
+    word, may be of any size; texts without words or hits are neutral; repeated idents are one text.
+    """
+    plain = F.transform(words(text(column)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    tokens = F.filter(plain, lambda w: w != "")
+    listed = rows.select(ident, tokens.alias("_w"), F.least(F.regexp_count(text(column), F.lit("!")), F.lit(4)).alias("_marks"))
+    before = [F.get("_w", F.col("_i") - k).alias(f"_b{k}") for k in range(1, window + 1)]
+    exploded = listed.select(ident, "_w", "_marks", F.posexplode("_w").alias("_i", "word")).select(ident, "_marks", "word", *before)
+    hits = exploded.join(lexicon, "word", "left")
+    v, sign = F.coalesce("valence", F.lit(0.0)), F.signum(F.coalesce("valence", F.lit(0.0)))
+    boost = F.create_map(*[F.lit(x) for pair in BOOSTERS.items() for x in pair])
+    moved = v
+    for k in range(1, window + 1):
+        moved = moved + sign * F.coalesce(F.try_element_at(boost, F.col(f"_b{k}")), F.lit(0.0)) * (1 - 0.05 * (k - 1))
+    for k in range(1, window + 1):
+        moved = moved * F.when(F.col(f"_b{k}").isin(NEGATIONS), turned).otherwise(1.0)
+    hits = hits.withColumn("_v", moved)
+    x = F.col("_v")
+    made = hits.groupBy(ident).agg(
+        F.sum(F.when(x > 0, x + 1).otherwise(0.0)).alias("_p"), F.sum(F.when(x < 0, 1 - x).otherwise(0.0)).alias("_q"), F.count_if(x == 0).alias("_z"), F.sum(x).alias("_s"), F.max("_marks").alias("_marks")
+    )
+    s = F.col("_s") + F.signum("_s") * F.col("_marks") * 0.292
+    whole = F.col("_p") + F.col("_q") + F.col("_z")
+    share = lambda c: F.coalesce(c / whole, F.lit(0.0))
+    return rows.select(ident).distinct().join(made, ident, "left").select(
+        ident, share(F.col("_p")).alias("pos"), share(F.col("_q")).alias("neg"), (1 - share(F.col("_p")) - share(F.col("_q"))).alias("neu"), F.coalesce(s / F.sqrt(s * s + 15), F.lit(0.0)).alias("compound"),
     )
 
 
-def features(rows: DataFrame, column: str = "caption") -> DataFrame:
-    """ML-16: every caption feature in one projection."""
+def features(rows: DataFrame, column: str = "caption", at: str | None = None, fmt: str | None = None) -> DataFrame:
+    """ML-16: the feature table of a batch, every caption feature, and those of time and format, in one projection."""
+    from tidemark.functions import cleaning as K
+
     t = text(column)
-    return rows.withColumns(lengths(t) | appeals(t) | emoji(t) | tag_counts(t) | niche_flags(t) | trigger_counts(t) | hook_flags(t) | cta_flags(t))
+    made = lengths(t) | appeals(t) | emoji(t) | tag_counts(t) | niche_flags(t) | trigger_counts(t) | hook_flags(t) | cta_flags(t)
+    if at:
+        made |= K.hour_and_day(F.col(at))
+    if fmt:
+        made |= K.format_flags(F.col(fmt)) | {"post_type_encoded": K.encoded(F.col(fmt))}
+    return rows.withColumns(made)

@@ -197,9 +197,9 @@ def mean_predictor(train: DataFrame, test: DataFrame) -> DataFrame:
     return rows.agg(plain.alias("baseline_mae"), own.alias("model_mae"), F.when(plain > 0, (plain - own) / plain * 100).otherwise(0.0).alias("improvement"))
 
 
-def confidence(n: Column, midpoint: float = 100.0, steepness: float = 0.03, least: int = 30, most: float = 0.95) -> Column:
-    """ML-07: the model's share in an ensemble, by its training rows."""
-    return F.when(n < least, 0.0).otherwise(F.least(1 / (1 + F.exp(-steepness * (n - midpoint))), F.lit(most)))
+def confidence(n: Column, midpoint: float = 50.0, steepness: float = 0.1, least: int = 30, most: float = 0.95) -> Column:
+    """ML-07: the model's share in an ensemble, a sigmoid of its training rows; 0 below ``least`` and without a count."""
+    return F.when(n >= least, most / (1 + F.exp(-steepness * (n - midpoint)))).otherwise(0.0)
 
 
 def interval(score: Column, rmse: Column) -> dict[str, Column]:

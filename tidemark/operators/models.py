@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import KPI, METRICS, Weights
 from tidemark.functions.metrics import log_index, relative_score
+from tidemark.operators.evaluation import confidence
 from tidemark.operators.near_rows import near_rows
 from tidemark.operators.ranks import quantiles, with_place
 from tidemark.operators.tables import Steps
@@ -117,9 +118,11 @@ def recommended(model: PipelineModel, rows: DataFrame, top: int = 3) -> DataFram
     return made.withColumn("recommended", best).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def ensemble(model: Column, heuristic: Column, alpha: Column) -> Column:
-    """ML-07."""
-    return alpha * model + (1 - alpha) * heuristic
+def ensemble(model: Column, heuristic: Column, n: Column) -> dict[str, Column]:
+    """ML-07: a batch's scores, ``alpha`` of the model's and the rest of the heuristic one's, by the model's training rows ``n``;
+    without a model's score the heuristic one."""
+    alpha = F.when(model.isNull(), 0.0).otherwise(confidence(n))
+    return {"alpha": alpha, "score": alpha * F.coalesce(model, F.lit(0.0)) + (1 - alpha) * heuristic, "explained_by": F.when(alpha >= 0.5, "model").otherwise("heuristic")}
 
 
 def online_score(weights: Column, features: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.plans.register import query, rounded
+from tidemark.plans.register import SQL, query, rounded
 
 _T = "coalesce(caption, '')"
 _W = f"list_filter(regexp_split_to_array(lower({_T}), '\\s+'), lambda w: w <> '')"
@@ -197,17 +197,30 @@ def txt_22_23_24_set_04_potential(captions: DataFrame) -> DataFrame:
     )
 
 
+# Captions between words that strengthen, weaken or turn what follows them.
+_LEXICON = ", ".join(f"('{w}', {v})" for w, v in T.valences())
+_BOOSTS = ", ".join(f"('{w}', {b})" for w, b in T.BOOSTERS.items())
+_TURNS = ", ".join("'" + n.replace("'", "''") + "'" for n in T.NEGATIONS)
+_BEFORE = lambda k: f"lag(word, {k}) OVER (PARTITION BY post_id ORDER BY i)"
+
+
 @query(
-    f"""WITH w AS (SELECT post_id, unnest({_W}) AS word FROM captions), v AS (SELECT * FROM (VALUES ('increíble', 2.0), ('descuento', 1.0), ('secreto', -1.0)) x(word, valence)),
-    s AS (SELECT post_id, count(*) AS n, count(*) FILTER (valence > 0) AS p, count(*) FILTER (valence < 0) AS q, sum(coalesce(valence, 0)) AS s FROM w LEFT JOIN v USING (word) GROUP BY post_id)
-    SELECT c.post_id, round(coalesce(p / n, 0), 6) AS pos, round(coalesce(q / n, 0), 6) AS neg, round(1 - coalesce(p / n, 0) - coalesce(q / n, 0), 6) AS neu, round(coalesce(s / sqrt(s * s + 15), 0), 6)::DOUBLE AS compound
-    FROM captions c LEFT JOIN s USING (post_id)""",
+    f"""WITH t AS (SELECT post_id, concat_ws(' ', ['muy bueno, no?', 'no es muy bueno', 'nunca odio!!', 'algo triste...', 'without any very bad word', 'Perfecto!!!!!', 'neutral'][post_id % 7 + 1], caption) AS text FROM captions),
+    x AS (SELECT * FROM (VALUES {_LEXICON}) x(word, valence)), g AS (SELECT * FROM (VALUES {_BOOSTS}) g(word, b)),
+    w AS (SELECT post_id, least(len(text) - len(replace(text, '!', '')), 4) AS marks, list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda c: c <> ''), lambda c: regexp_replace(c, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda c: c <> '') AS w FROM t),
+    e AS (SELECT post_id, marks, unnest(w) AS word, unnest(range(len(w))) AS i FROM w), p AS (SELECT *, {_BEFORE(1)} AS b1, {_BEFORE(2)} AS b2, {_BEFORE(3)} AS b3 FROM e),
+    v AS (SELECT p.*, (coalesce(valence, 0) + sign(coalesce(valence, 0)) * (coalesce(g1.b, 0) + coalesce(g2.b, 0) * 0.95 + coalesce(g3.b, 0) * 0.9))::DOUBLE * (CASE WHEN b1 IN ({_TURNS}) THEN -0.74 ELSE 1 END)::DOUBLE * (CASE WHEN b2 IN ({_TURNS}) THEN -0.74 ELSE 1 END)::DOUBLE * (CASE WHEN b3 IN ({_TURNS}) THEN -0.74 ELSE 1 END)::DOUBLE AS v
+      FROM p LEFT JOIN x USING (word) LEFT JOIN g g1 ON g1.word = b1 LEFT JOIN g g2 ON g2.word = b2 LEFT JOIN g g3 ON g3.word = b3),
+    a AS (SELECT post_id, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS q, count(*) FILTER (v = 0) AS z, sum(v) + sign(sum(v)) * max(marks) * 0.292 AS s FROM v GROUP BY post_id)
+    SELECT post_id, round(p / (p + q + z), 6) AS pos, round(q / (p + q + z), 6) AS neg, round(1 - p / (p + q + z) - q / (p + q + z), 6) + 0 AS neu, round(s / sqrt(s * s + 15), 6) AS compound FROM a""",
     "captions",
     reads="captions",
 )
 def txt_11_lexicon_sentiment(captions: DataFrame) -> DataFrame:
-    lexicon = captions.sparkSession.createDataFrame([("increíble", 2.0), ("descuento", 1.0), ("secreto", -1.0)], "word string, valence double")
-    made = T.lexicon_sentiment(captions, lexicon, "post_id", "caption")
+    lexicon = captions.sparkSession.createDataFrame(T.valences(), "word string, valence double")
+    openings = F.array(*[F.lit(x) for x in ("muy bueno, no?", "no es muy bueno", "nunca odio!!", "algo triste...", "without any very bad word", "Perfecto!!!!!", "neutral")])
+    told = captions.withColumn("caption", F.concat_ws(" ", F.get(openings, (F.col("post_id") % 7).cast("int")), "caption"))
+    made = T.lexicon_sentiment(told, lexicon, "post_id", "caption")
     return made.select("post_id", *rounded({c: F.col(c) for c in ("pos", "neg", "neu", "compound")}))
 
 
@@ -344,3 +357,16 @@ def txt_19_27_gated_fusion(captions: DataFrame) -> DataFrame:
             fused = fused.select(F.lit(mode).alias("mode"), F.lit(kind).alias("tables"), "post_id", *rounded({"richness": F.col("richness")}))
             made = fused if made is None else made.unionByName(fused)
     return made
+
+
+_TABLE = ["txt_01_lengths", "txt_02_appeals", "txt_03_emoji", "txt_04_cln_15_tags", "txt_05_niche_flags", "txt_06_trigger_counts", "txt_07_hook_flags", "txt_09_cta_flags"]
+
+
+@query("SELECT * EXCLUDE (tags) FROM " + " JOIN ".join(f"({SQL[q]}) {q}" if i == 0 else f"({SQL[q]}) {q} USING (post_id)" for i, q in enumerate(_TABLE)), reads="captions")
+def ml_16_feature_table(captions: DataFrame) -> DataFrame:
+    """The caption features of a batch as one table, in one pass."""
+    made = T.features(captions.select("post_id", "caption"))
+    doubles = ["avg_word_length", "lexical_richness", "emoji_density", "hashtag_density", "hook_regex_score"]
+    longs = ["caption_length", "caption_words", "caption_lines", "emoji_count", "hashtag_count", "mention_count"]
+    others = [c for c in made.columns if c not in (*doubles, *longs, "caption")]
+    return made.select(*others, *[F.col(c).cast("long").alias(c) for c in longs], *rounded({c: F.col(c) for c in doubles}))
