@@ -598,7 +598,8 @@ def test_decontamination_with_edits(spark):
     from tidemark.llm import decontamination as D
 
     r = random.Random(21)
-    items = [(i, _text(r, 30)[: r.randint(45, 64)]) for i in range(12)]
+    lengths = [16, 17, 19, 20, 25, 30, 31, 39, 40, 47, 62, 64]
+    items = [(i, _text(r, 30)[:n]) for i, n in enumerate(lengths)]
     rows = []
     for i in range(240):
         text = list(items[i % 12][1])
@@ -607,9 +608,25 @@ def test_decontamination_with_edits(spark):
             r.choice([lambda: text.__setitem__(at, "#"), lambda: text.insert(at, "+"), lambda: text.__delitem__(at)])()  # noqa: B023
         rows.append((i, _text(r, 3) + " " + "".join(text) + " " + _text(r, 3)))
     made = {x["doc_id"]: {h["item_id"] for h in x["hits"]} for x in D.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    budget = lambda n: min(int(n * 0.065), (n - 10) // 10)
-    want = {i: {k for k, item in items if _edits(item, text) <= budget(len(item))} for i, text in rows}
+    want = {i: {k for k, item in items if _edits(item, text) <= int(len(item) * 0.065)} for i, text in rows}
     assert made == want and 60 < sum(map(bool, want.values())) < 230
+    assert all(any(w == {k} for w in want.values()) for k in range(12))
+
+
+def test_decontamination_in_one_stage(spark):
+    """A plan has one Python stage for any number of parts; rows that repeat a doc_id keep their own hits."""
+    from tidemark.llm import decontamination as D
+
+    r = random.Random(3)
+    bench = spark.createDataFrame([(i, _text(r, 40)) for i in range(40)], "item_id long, text string")
+    first = bench.orderBy("item_id").first()["text"]
+    rows = spark.createDataFrame([(1, first), (1, "clean"), (2, "x " + first[:39].replace("a", "o", 1) + " y"), (None, first)], "doc_id long, text string").withColumns({"_number": F.lit(1), "_row": F.lit(2), "hits": F.lit(3)})
+    made = D.find(rows, bench, most_bytes=300)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+    assert sorted((x["doc_id"] or 0, len(x["hits"]) > 0) for x in made.collect()) == [(0, True), (1, False), (1, True), (2, False)]
+    clean = D.keep_clean(rows, bench, most_bytes=300)
+    assert clean.columns == rows.columns and sorted(x["text"] for x in clean.collect()) == sorted(["clean", "x " + first[:39].replace("a", "o", 1) + " y"])
+    assert D.keep_clean(rows, spark.createDataFrame([(1, first[:39])], "item_id long, text string")).count() == 1
 
 
 def test_sharding(spark, docs, none):

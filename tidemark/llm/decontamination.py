@@ -3,11 +3,13 @@
 An item is cut into overlapping windows. If a window of n bytes occurs in a document with at most k edits, the two share at
 least n + 1 - q - k * q q-grams whose diagonals (place in the document minus place in the window) lie within 2k + 1 of each
 other. Shared q-grams are counted in bands of diagonals, each overlapping the next by half; bands that meet the bound are
-verified by banded alignment. The items' index is the small side and has a size bound; more items are read in several parts.
+verified by banded alignment. The items' index is the small side and has a size bound; more items are read in several parts, a
+job for each, so that a plan has one Python stage however many they are.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,21 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as kit
-from tidemark.llm.scratch import bounded_batches
+from tidemark.llm.scratch import Scratch, bounded_batches
 
 _NORMAL = kit.lower_ascii(np.arange(256, dtype=np.uint8))
 _NORMAL[[9, 10, 11, 12, 13]] = 32
-_Q = 10
+_Q, _SHORT_Q = 10, 8  # bytes of a q-gram; the latter for windows that with their edits are too short for the former
+_LONG = 20
 _BITS = 22
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit code of the ten bytes at each place."""
-    n = len(data) - _Q + 1
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit code of the eight or ten bytes at each place."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     data = np.ascontiguousarray(data)
     eight = lambda at: np.ndarray((n,), np.uint64, data, at, (1,))
+    if q == 8:
+        return eight(0) * np.uint64(0x9E3779B97F4A7C15)
     return eight(0) * np.uint64(0x9E3779B97F4A7C15) + (eight(2) ^ (eight(2) >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -53,9 +58,10 @@ class Index:
     count: np.ndarray
     window_of: np.ndarray
     place_of: np.ndarray
+    q: int
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]], window: int, rate: float) -> Index | None:
+    def of(cls, rows: list[tuple[int, bytes]], window: int, rate: float, q: int) -> Index | None:
         items, windows = [], []
         for item, text in rows:
             text = _NORMAL[np.frombuffer(text, np.uint8)].tobytes()
@@ -66,8 +72,11 @@ class Index:
         if not windows:
             return None
         size = np.array([len(w) for w in windows])
-        budget = np.minimum((size * rate).astype(np.int64), (size - _Q) // _Q)
-        codes = [_grams(np.frombuffer(w, np.uint8)) for w in windows]
+        budget = (size * rate).astype(np.int64)
+        least = size + 1 - q - budget * q
+        if least.min() < 1:
+            raise ValueError(f"windows of {size.min()} bytes don't allow {rate} edits a byte")
+        codes = [_grams(np.frombuffer(w, np.uint8), q) for w in windows]
         window_of = np.repeat(np.arange(len(windows), dtype=np.int32), [len(c) for c in codes])
         place_of = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])
         joined = np.concatenate(codes)
@@ -76,7 +85,7 @@ class Index:
         unique, begin, count = np.unique(joined, return_index=True, return_counts=True)
         seen = np.zeros(1 << _BITS, bool)
         seen[_slot(unique)] = True
-        return cls(items, windows, budget, size + 1 - _Q - budget * _Q, seen, unique, begin, count, window_of, place_of)
+        return cls(items, windows, budget, least, seen, unique, begin, count, window_of, place_of, q)
 
 
 def aligned(patterns: np.ndarray, texts: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +144,7 @@ def within(pattern: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
 def _find(index: Index, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
     """For each row with a verified window: item, begin and end in bytes."""
     found: dict[int, set[tuple[int, int, int]]] = {}
-    codes = _grams(data)
+    codes = _grams(data, index.q)
     hit = np.flatnonzero(index.seen[_slot(codes)])
     if not len(hit):
         return found
@@ -143,7 +152,7 @@ def _find(index: Index, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[t
     same = index.codes[at] == codes[hit]
     hit, at = hit[same], at[same]
     row = np.searchsorted(bounds, hit, side="right") - 1
-    inside = hit + _Q <= bounds[row + 1]
+    inside = hit + index.q <= bounds[row + 1]
     hit, at, row = hit[inside], at[inside], row[inside]
     # Places that lie among enough others for any window at all.
     least = int(index.least.min())
@@ -238,77 +247,121 @@ def _find_short(short: Short, data: np.ndarray, bounds: np.ndarray) -> dict[int,
     return found
 
 
-def _hits(index: Index | Short | None, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, set[tuple[int, int, int]]]]]:
+@dataclass
+class Part:
+    """Some of the items: those of no edits as whole texts, and two indexes by their q."""
+
+    short: Short
+    indexes: list[Index]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, bytes]], window: int, rate: float) -> Part:
+        exact = lambda text: int(len(text) * rate) == 0
+        kinds = [(_SHORT_Q, lambda n: n < _LONG), (_Q, lambda n: n >= _LONG)]
+        made = [Index.of([(i, t) for i, t in rows if not exact(t) and of(len(t))], window, rate, q) for q, of in kinds]
+        return cls(Short.of([(i, t) for i, t in rows if exact(t)]), [index for index in made if index])
+
+    def find(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
+        found = _find_short(self.short, data, bounds) if self.short.items else {}
+        for index in self.indexes:
+            for row, hits in _find(index, data, bounds).items():
+                found.setdefault(row, set()).update(hits)
+        return found
+
+
+def _hits(part: Part | None, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, set[tuple[int, int, int]]]]]:
     for piece in kit.text_slices(batch, "text"):
         data, bounds = kit.utf8(piece.column("text"))
-        look = _find_short if isinstance(index, Short) else _find
-        yield piece, look(index, _NORMAL[data], bounds) if index else {}
+        yield piece, part.find(_NORMAL[data], bounds) if part else {}
 
 
 _PLACE = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
+_KIND = "array<struct<item_id: bigint, begin: bigint, end: bigint>>"
 
 
-def _scan(index: Index | Short | None):
-    """Rows (doc_id, text, hits) with the hits of this index added."""
+def _scan(part: Part | None, ident: str):
+    """Rows (ident, text) as (ident, hits)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, found in _hits(index, batch):
-                known = piece.column("hits").to_pylist()
-                hits = [[*known[r], *[{"item_id": i, "begin": a, "end": b} for i, a, b in sorted(found.get(r, ()))]] for r in range(piece.num_rows)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), pa.array(hits, _PLACE)], ["doc_id", "text", "hits"])
+            for piece, found in _hits(part, batch):
+                hits = [[{"item_id": i, "begin": a, "end": b} for i, a, b in sorted(found.get(r, ()))] for r in range(piece.num_rows)]
+                yield pa.RecordBatch.from_arrays([piece.column(ident), pa.array(hits, _PLACE)], [ident, "hits"])
 
     return run
 
 
-def _clean(index: Index | Short | None):
+def _clean(part: Part | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, found in _hits(index, batch):
+            for piece, found in _hits(part, batch):
                 yield piece.filter(pa.array([r not in found for r in range(piece.num_rows)], pa.bool_()))
 
     return run
 
 
-def _parts(items: DataFrame, window: int, rate: float, least_bytes: int, most_bytes: int) -> Iterator[Index | Short | None]:
-    """Indexes, of items of ``least_bytes`` and of shorter ones, of at most ``most_bytes`` of item text each, which every task gets."""
+def _parts(items: DataFrame, window: int, rate: float, most_bytes: int) -> Iterator[Part]:
+    """The items in parts of at most ``most_bytes`` of text each, or one longer item; the driver holds one part at a time."""
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("item_id").isNotNull() & (F.length(F.trim("text")) > 0)).dropDuplicates(["item_id", "text"])
-    is_short = F.octet_length("text") < least_bytes
-    for some, made in ((known.where(~is_short), lambda part: Index.of(part, window, rate)), (known.where(is_short), Short.of)):
-        part: list[tuple[int, bytes]] = []
-        held = 0
-        for r in some.orderBy("item_id", "text").toLocalIterator():
-            text = r["text"].encode()
-            if held + len(text) > most_bytes and part:
-                yield made(part)
-                part, held = [], 0
-            part.append((r["item_id"], text))
-            held += len(text)
-        if part:
-            yield made(part)
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 1 << 20) -> DataFrame:
+    part: list[tuple[int, bytes]] = []
+    held = 0
+    for r in known.orderBy("item_id", "text").toLocalIterator():
+        text = r["text"].encode()
+        if held + len(text) > most_bytes and part:
+            yield Part.of(part, window, rate)
+            part, held = [], 0
+        part.append((r["item_id"], text))
+        held += len(text)
+    if part:
+        yield Part.of(part, window, rate)
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` written once, with a number for each row that all later reads see alike."""
+    return scratch.save(docs.withColumn("_number", F.monotonically_increasing_id()))
+
+
+def _hits_by_number(numbered: DataFrame, parts: Iterable[Part], scratch: Scratch) -> DataFrame:
+    """(_number, hits) of the rows with any: a job and a small table for each part."""
+    texts, found = numbered.select("_number", "text"), None
+    for part in parts:
+        made = scratch.save(texts.mapInArrow(_scan(part, "_number"), f"_number long, hits {_KIND}").where(F.size("hits") > 0))
+        found = made if found is None else found.union(made)
+    return found.groupBy("_number").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, most_bytes: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``find`` finds nothing; null and empty texts stay."""
     bounded_batches(docs.sparkSession)
-    for index in _parts(items, window, rate, least_bytes, most_bytes):
-        docs = docs.mapInArrow(_clean(index), docs.schema)
-    return docs
-
-
-def find(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, least_bytes: int = 40, most_bytes: int = 1 << 20) -> DataFrame:
+    parts = _parts(items, window, rate, most_bytes)
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        return docs.mapInArrow(_clean(first), docs.schema)
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    numbered = _numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text")), scratch)
+    found = _hits_by_number(numbered, itertools.chain([first, second], parts), scratch)
+    kept = numbered.join(found.select("_number"), "_number", "left_anti")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def find(docs: DataFrame, items: DataFrame, window: int = 64, rate: float = 0.065, most_bytes: int = 1 << 20) -> DataFrame:
     """The windows of benchmark ``items`` (item_id, text) that occur in ``docs`` (doc_id, text) within their edit budget.
 
     Texts are compared as UTF-8 bytes with A-Z in lower case and white space as blanks; a window of n bytes may have ``rate`` * n
-    edits. Windows begin every quarter of ``window``, so an exact excerpt of a window and a quarter is always found. Items under
-    ``least_bytes`` must occur exactly, as whole words; null and blank ones are left out. Returns a row for each row of ``docs``:
+    edits, rounded down, whatever its length. Windows begin every quarter of ``window``, so an exact excerpt of a window and a
+    quarter is always found; a shorter item is one window. Where that allows no edit, under 16 bytes, an item must stand there as
+    whole words, or it would be found within others. Null and blank items are left out. Returns a row for each row of ``docs``:
     doc_id and hits, an array of (item_id, begin, end) by bytes of the text, empty for null and empty texts. Repeated rows are
-    scanned each; other columns are not read. ``most_bytes`` of item text are looked for at once; more items take several scans.
+    scanned each; other columns are not read. ``most_bytes`` of item text are looked for at once, more in further jobs.
     """
-    kind = "array<struct<item_id: bigint, begin: bigint, end: bigint>>"
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {kind})").alias("hits"))
-    for index in _parts(items, window, rate, least_bytes, most_bytes):
-        rows = rows.mapInArrow(_scan(index), f"doc_id long, text string, hits {kind}")
-    return rows.select("doc_id", "hits")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = _parts(items, window, rate, most_bytes)
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        return rows.mapInArrow(_scan(first, "doc_id"), f"doc_id long, hits {_KIND}")
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    numbered = _numbered(rows, scratch)
+    found = _hits_by_number(numbered, itertools.chain([first, second], parts), scratch)
+    return numbered.join(found, "_number", "left").select("doc_id", F.coalesce("hits", F.expr(f"cast(array() as {_KIND})")).alias("hits"))
