@@ -31,36 +31,39 @@ _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", p
 _SCALE = 1_000_000_000
 
 
-def _terms(text: bytes) -> Counter:
-    """How often each term occurs in a text, which is read piece by piece."""
-    text, found, begin = text.translate(_LOWER), Counter(), 0
+def _terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order, piece by piece."""
+    text, begin = text.translate(_LOWER), 0
     while begin < len(text):
         cut = _BREAK.search(text, begin + _PIECE)
         end = cut.start() if cut else len(text)
-        found.update(_TERM.findall(text, begin, end))
+        yield _TERM.findall(text, begin, end)
         begin = end
-    return found
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by group and term, summed over the rows that a task has met since it last handed them on."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
-    def handed_on() -> pa.RecordBatch:
-        rows = [(lang, source, term.decode(), n, docs[term]) for (lang, source), (times, docs) in held.items() for term, n in times.items()]
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (times, docs) in held.items():
+            terms = pa.array(times.keys(), pa.binary()).cast(pa.string())
+            columns = [pa.repeat(pa.scalar(lang), len(times)), pa.repeat(pa.scalar(source), len(times)), terms, pa.array(times.values(), pa.int64()), pa.array(map(docs.__getitem__, times), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _COUNTED.types, strict=True)] if rows else [pa.array([], t) for t in _COUNTED.types], schema=_COUNTED)
 
     for batch in batches:
         for piece in text_slices(batch, "text"):
             for lang, source, text in zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                found = _terms(text)
                 times, docs = held[lang, source]
-                times.update(found)
-                docs.update(found.keys())
+                there: set[bytes] = set()
+                for found in _terms(text):
+                    times.update(found)
+                    there.update(found)
+                docs.update(there)
             if sum(len(times) for times, _ in held.values()) > _HELD:
-                yield handed_on()
-    yield handed_on()
+                yield from handed_on()
+    yield from handed_on()
 
 
 def _price(count: str, total: str) -> Column:
