@@ -246,6 +246,29 @@ def test_pseudonyms_by_hand(spark):
     assert two == three == one.lower() and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}@x\.org", one) and two != "anna.lee@x.org"
 
 
+def test_pseudonyms_in_any_script(spark):
+    """Letters of other scripts move within them, nothing of a name is left, and what can't be moved whole stays and isn't counted."""
+    import time
+
+    from tidemark.llm.pii import pseudonymise
+
+    names = ["josé.garcía", "JOSÉ.García", "мария", "Ольга-2", "γιώργος", "山田太郎", "김철수", "עדי", "mixé漢д", "ñandú", "straße", "x̂y"]
+    rows = [(i, f"write {n}@ejemplo.es now") for i, n in enumerate(names)] + [(50, "josé.garcía@ejemplo.es"), (51, "mail@bücher.example.com"), (52, "é@ é@x x@y.z a@b.cd")]
+    made = {r["doc_id"]: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    moved = {i: made[i]["text"][6:].split("@")[0] for i in range(len(names))}
+    assert made[50]["text"] == moved[0] + "@ejemplo.es" and moved[0].lower() == moved[1].lower() and moved[1].split(".")[0].isupper()
+    kind = lambda c: next((k for k, (a, b) in enumerate([(0x61, 0x7A), (0xE0, 0x17F), (0x3AC, 0x3CE), (0x430, 0x45F), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x5D0, 0x5EA)]) if a <= ord(c.lower()) <= b), c)
+    for i, name in enumerate(names[:10]):
+        assert made[i]["found"] == ["email"] and list(map(kind, "".join("9" if c.isdigit() else c for c in moved[i]))) == list(map(kind, "".join("9" if c.isdigit() else c for c in name)))
+        assert sum(a == b for a, b in zip(moved[i], name) if a.isalpha()) <= len(name) // 3 and moved[i] != name
+    assert made[10]["found"] == [] and moved[10] == "straße" and made[11]["found"] == ["email"] and made[51]["found"] == ["email"]
+    assert made[52]["text"].startswith("é@ é@x x@y.z ") and made[52]["found"] == ["email"]
+    began = time.perf_counter()
+    long = pseudonymise(spark.createDataFrame([(1, "b" * 1_000_000 + "@x.org"), (2, "c" * 1_000_000)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert long[0]["found"] == ["email"] and len(long[0]["text"]) == 1_000_006 and "bbbbbbbb" not in long[0]["text"] and long[1]["found"] == []
+    assert time.perf_counter() - began < 120
+
+
 def test_pseudonyms_of_whole_addresses(spark):
     """Long and numeric local parts move as a whole, every counted address changes, and none coincide."""
     from tidemark.llm.pii import pseudonymise

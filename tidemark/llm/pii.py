@@ -15,13 +15,22 @@ ROUNDS = 8
 
 # The formats, in the order in which they are tried. Validation follows.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}{2,}(?![\p{L}\p{M}\p{N}])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
+#: Alphabets within which letters of addresses move, by first and last code point and step: digits, Latin without and with
+#: marks, Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, Hiragana, Katakana, Han, Hangul.
+LETTERS = [
+    (0x30, 0x39, 1), (0x61, 0x7A, 1), (0xE0, 0xF6, 1), (0xF8, 0xFF, 1), (0x101, 0x12F, 2), (0x133, 0x137, 2), (0x13A, 0x148, 2),
+    (0x14B, 0x177, 2), (0x17A, 0x17E, 2), (0x3AC, 0x3AF, 1), (0x3B1, 0x3CB, 1), (0x3CC, 0x3CE, 1), (0x430, 0x44F, 1), (0x450, 0x45F, 1),
+    (0x561, 0x586, 1), (0x5D0, 0x5EA, 1), (0x621, 0x63A, 1), (0x641, 0x64A, 1), (0x904, 0x939, 1), (0xE01, 0xE2E, 1), (0x10D0, 0x10FA, 1),
+    (0x3041, 0x3096, 1), (0x30A1, 0x30FA, 1), (0x4E00, 0x9FFF, 1), (0xAC00, 0xD7A3, 1),
+]
+_MOVES = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b, _ in LETTERS)
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9._%+@-])", r"(?![A-Za-z0-9@]|[.-][0-9A-Za-z])"
 ANY = _BEFORE + "(?:" + "|".join(KINDS.values()) + ")" + _AFTER
 
@@ -116,29 +125,37 @@ def _date(m: str) -> str:
 
 
 def _email(m: str) -> str:
-    """All letters and digits of the local part move; signs, and which letters are capitals, stay.
+    """All letters and digits of the local part move, each within its alphabet; signs, and which letters are capitals, stay.
 
-    Each character is shifted by a keyed hash of all before it, in passes from both ends, with the first one known to all;
-    the first is shifted last, by the others, and never by 0, so every address that counts is changed and none coincide.
+    Each character is shifted by a running keyed digest of all before it, in passes from both ends, with the first one known to
+    all; the first is shifted last, by the others, and never by 0, so every address that counts is changed and none coincide.
+    Characters are taken in blocks, so long parts take time in proportion but for the joining of blocks. An address with a
+    letter of another alphabet, or one whose small form isn't one letter, can't be moved whole: it stays and doesn't count.
     """
-    drawn = lambda *parts: f"cast(conv(substring(sha2(concat_ws('|', pii_key, 'email', {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
-
-    def shifted(c: str, by: str, least: int, kinds: str) -> str:
-        move = lambda first, base: f"char({first} + (ascii({c}) - {first} + {least} + {by} % {base - least}) % {base})"
-        digits = f"when {c} rlike '[0-9]' then {move(48, 10)}" if "0" in kinds else ""
-        return f"case when {c} rlike '[a-z]' then {move(97, 26)} {digits} else {c} end"
-
-    def moved(kinds: str) -> str:
-        one = shifted("c", drawn("length(l)", "p", "x", "r", "s"), 0, kinds)
-        through = f"aggregate(filter(split(w, ''), c -> c <> ''), '', (s, c) -> concat(s, {one}))"
-        rest = f"aggregate(sequence(1, 4), substring(l, length(p) + 2), (w, r) -> reverse({through}))"
-        whole = _let(rest, "o", f"concat(p, {shifted('x', drawn('length(l)', 'p', 'o'), 1, kinds)}, o)")
-        return _let(f"regexp_extract(l, '^[^{kinds}]*', 0)", "p", _let("substring(l, length(p) + 1, 1)", "x", whole))
-
-    made = f"case when l rlike '[a-z0-9]' then {moved('a-z0-9')} end"
-    local, domain = f"lower(substring_index({m}, '@', 1))", f"substring_index({m}, '@', -1)"
-    cased = f"array_join(transform(filter(split(n, ''), c -> c <> ''), (c, i) -> if(substring({m}, i + 1, 1) rlike '[A-Z]', upper(c), c)), '')"
-    return _let(local, "l", _let(made, "n", f"if(n is null, null, concat({cased}, '@', {domain}))"))
+    number = lambda digest: f"cast(conv(substring({digest}, 1, 15), 16, 10) as bigint)"
+    alphabets = "array(" + ", ".join(f"named_struct('a', {a}, 'n', {(b - a) // step + 1}, 's', {step})" for a, b, step in LETTERS) + ")"
+    moves, still, strange = _literal(f"[{_MOVES}]"), _literal(f"^[^{_MOVES}]*"), _literal(rf"[\p{{L}}\p{{N}}&&[^{_MOVES}]]")
+
+    def shifted(c: str, by: str, least: int) -> str:
+        """SQL: the character moved in its alphabet, or as it is."""
+        plain = " ".join(f"when {c} between '{chr(a)}' and '{chr(b)}' then char({a} + (ascii({c}) - {a} + {least} + {by} % {b - a + 1 - least}) % {b - a + 1})" for a, b, _ in LETTERS[:2])
+        place = f"g.a + g.s * (((ascii({c}) - g.a) div g.s + {least} + {by} % (g.n - {least})) % g.n)"
+        other = f"element_at(transform(filter({alphabets}, g -> ascii({c}) >= g.a and ascii({c}) <= g.a + g.s * (g.n - 1)), g -> decode(unhex(lpad(hex({place}), 4, '0')), 'UTF-16BE')), 1)"
+        return f"case {plain} when {c} rlike {moves} then {other} else {c} end"
+
+    step = _let(shifted("c", number("s.d"), 0), "n", "named_struct('d', sha2(concat(s.d, n), 256), 't', concat(s.t, n))")
+    block = _let(f"aggregate(filter(split(b, ''), c -> c <> ''), named_struct('d', z.d, 't', ''), (s, c) -> {step})", "k", "named_struct('d', k.d, 't', concat(z.t, k.t))")
+    blocks = "transform(sequence(0, cast(greatest(length(w) - 1, 0) div 1000 as int)), i -> substring(w, i * 1000 + 1, 1000))"
+    seed = "sha2(concat_ws('|', pii_key, 'email', length(l), p, x, r), 256)"
+    through = f"aggregate({blocks}, named_struct('d', {seed}, 't', ''), (z, b) -> {block}).t"
+    rest = f"aggregate(sequence(1, 4), substring(l, length(p) + 2), (w, r) -> reverse({through}))"
+    first = shifted("x", number("sha2(concat_ws('|', pii_key, 'email', length(l), p, o), 256)"), 1)
+    made = _let(f"regexp_extract(l, {still}, 0)", "p", _let("substring(l, length(p) + 1, 1)", "x", _let(rest, "o", f"concat(p, {first}, o)")))
+    local, domain = f"substring_index({m}, '@', 1)", f"substring_index({m}, '@', -1)"
+    able = f"length(l) = length({local}) and l rlike {moves} and not l rlike {strange}"
+    letters = lambda t: f"filter(split({t}, ''), c -> c <> '')"
+    cased = f"array_join(zip_with({letters('n')}, {letters(local)}, (c, k) -> if(k <> lower(k), upper(c), c)), '')"
+    return _let(f"lower({local})", "l", _let(f"if({able}, {made}, null)", "n", f"if(n is null, null, concat({cased}, '@', {domain}))"))
 
 
 _MADE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
@@ -154,7 +171,7 @@ def _pseudonym(m: str) -> str:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (text) with validated personal data in the text replaced by pseudonyms, and ``found``, their kinds in order.
 
-    The kinds: e-mail addresses, IPv4 addresses, North American phone numbers, US social security numbers, dates of the years
+    The kinds: e-mail addresses in scripts that ``LETTERS`` has, IPv4 addresses, North American phone numbers, US social security numbers, dates of the years
     100 to 9699, and card numbers with a right check digit. Four numbers below 256 joined by points count as an address, whatever
     they number. Null stays null with nothing found; empty texts likewise; repeated rows come out alike; other columns are kept
     whatever their names, but for one named ``found``, which is replaced. ``key`` is a secret of the deployment; the same key
