@@ -291,7 +291,7 @@ def search(
 
     Returns query_id, rank from 1, vec_id, score, the double-precision cosine of the originals; ties go to the smaller vec_id,
     and a query is no candidate of its own. Vectors that are null, zero, or that hold null or non-finite components take no
-    part, as does a null vec_id; shorter vectors count as if filled up with zeros. Repeated rows count once, and of several
+    part, as does a null vec_id; vectors of huge or tiny components are scaled first; shorter vectors count as if filled up with zeros. Repeated rows count once, and of several
     vectors of one vec_id the smallest in the order of arrays counts; other columns are not read.
     ``degree``, ``back``, ``rounds``, ``trees`` and ``leaf`` steer the graph, ``width``, ``wide`` and ``steps`` the walk.
     """
@@ -300,7 +300,11 @@ def search(
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = "forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)"
     rows = rows.where("vec_id is not null and vector is not null").where(finite)
-    rows = scratch.save(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # Squares of very large or small components leave the range of doubles; such vectors are scaled, which leaves their cosines.
+    largest = "array_max(transform(vector, x -> abs(x)))"
+    scaled = f"if({largest} between 1e-100 and 1e100, vector, transform(vector, x -> x / {largest}))"
+    rows = scratch.save(rows.withColumn("vector", F.expr(scaled)))
     lengths = rows.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
     if lengths[0] != lengths[1]:
         rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(lengths[1]) - F.size("vector"))))
