@@ -3,12 +3,16 @@
 All of it is column expressions. A pattern's matches and the gaps between them give their places. Each long token is taken
 to be of the smallest encoding that has its letters; under the hypothesis that it was drawn at random from that alphabet,
 uniformity (chi-squared), runs about the middle and serial correlation give p-values, combined by Fisher's method. Within
-classes of length, Benjamini-Hochberg says which tokens are not random; the others are secrets.
+classes of length, Benjamini-Hochberg says which tokens are not random. Of the others, those are secrets that can't be natural
+either: names made of words pass the battery now and then, so each token's likelihood under a model of letters that follow each
+other is set against that of its alphabet. The ratio bounds the p-value of a natural token, and Benjamini-Hochberg within classes
+of length bounds the share of harmless tokens among those reported.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,20 @@ ENCODINGS = [
 ]
 #: Classes of token length, by their least; longer tokens give the tests more power, so each class has a limit of its own.
 LENGTHS = (20, 28, 40, 64)
+#: Words from which the pairs of letters of natural tokens are counted: a parameter, any text of the languages at hand will do.
+WORDS = """
+the and that have with this from they would there their what about which when make like time just know people into year good some could
+them other than then look only come over think also back after use two how our work first well even want because any these give day most
+user name data file path index value type page test image config server client table query model order price market system report project
+der die und nicht eine sich mit auch werden haben sein nach bei einer noch wie einem zeit oder wenn mehr schon gegen durch jahr stadt haus
+arbeit leben welt kinder wasser schule freund que los del las una por con para como pero este entre cuando todo esta sobre hasta donde
+quien desde nosotros ciudad trabajo tiempo mundo casa gobierno persona mujer historia nombre les des une dans pour pas sur plus avec tout
+faire comme nous vous mais elle leur bien sans autre temps monde jour maison ville travail enfant homme femme histoire
+"""
+#: How a natural token goes on, from small letter, capital, digit or sign to each of these; the last row is how it begins.
+GOES_ON = [(0.85, 0.06, 0.03, 0.06), (0.42, 0.48, 0.05, 0.05), (0.08, 0.08, 0.70, 0.14), (0.45, 0.25, 0.25, 0.05), (0.50, 0.30, 0.15, 0.05)]
+_DIGIT, _SIGN = 0.1, 0.3  # of one digit among digits, one sign among signs
+_FARTHEST = 140.0  # -ln of a p-value beyond which it makes no difference
 _STEPS = 1_000_000  # levels for each unit of -ln p, so p-values count as equal within a millionth of themselves
 _WIDE = 1 << 14  # levels in a bin; p-values are above exp(-140), so there are at most 8,600 bins
 _NEVER = 1 << 62
@@ -81,16 +99,22 @@ def _spans(docs: DataFrame, *keep: str) -> DataFrame:
             f"if({t} rlike {_literal(TOKEN)}, filter({_matches(t, TOKEN, 3)}, m -> m.text rlike '[0-9]' and m.text rlike '[A-Za-z]'), {_NONE})"
         ).alias("_tokens"),
     )
-    scored = F.transform("_tokens", lambda m: F.struct(m["begin"].alias("begin"), m["kind"].alias("kind"), m["end"].alias("end"), m["text"].alias("text"), _length_class(m["text"]).alias("class"), _level(m["text"]).alias("level")))
+    scored = F.transform("_tokens", lambda m: F.struct(m["begin"].alias("begin"), m["kind"].alias("kind"), m["end"].alias("end"), m["text"].alias("text"), _length_class(m["text"]).alias("class"), _level(m["text"]).alias("level"), _strangeness(m["text"]).alias("strange")))
     return found.withColumn("token", scored).drop("_tokens")
 
 
-def p_value(token: Column) -> Column:
-    """How well ``token`` passes for random letters of its encoding: Fisher's combination of the three tests, 0 to 1."""
+def _encoded(token: Column) -> tuple[Column, Column]:
+    """The token without padding, and the letters of the smallest encoding that has all of its."""
     body = F.regexp_replace(token, "=+$", "")
     alphabet = F.lit(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS):
         alphabet = F.when(body.rlike(pattern), letters).otherwise(alphabet)
+    return body, alphabet
+
+
+def p_value(token: Column) -> Column:
+    """How well ``token`` passes for random letters of its encoding: Fisher's combination of the three tests, 0 to 1."""
+    body, alphabet = _encoded(token)
     made = F.array(F.struct(body.alias("body"), alphabet.alias("alphabet")))
 
     def tests(s: Column) -> Column:
@@ -129,6 +153,41 @@ def _log_tail(z: Column) -> Column:
     return -F.log1p(F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+def _letter_logs() -> tuple[list[float], list[float]]:
+    """ln of each letter's share in ``WORDS``, and of each letter's after each other, smoothed towards it."""
+    words = WORDS.split()
+    ones, pairs = Counter("".join(words)), Counter(p for w in words for p in zip(w, w[1:], strict=False))
+    total, before = sum(ones.values()), Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    share = {c: (ones[c] + 0.5) / (total + 13) for c in _LOW}
+    return [math.log(share[c]) for c in _LOW], [math.log((pairs[a, b] + 8 * share[b]) / (before[a] + 8)) for a in _LOW for b in _LOW]
+
+
+def natural_odds(token: Column) -> Column:
+    """ln of the token's likelihood as a natural one less that as random letters of its encoding.
+
+    Of random tokens e to this power is 1 in the mean, and of natural ones e to less this, so e to this is a bound of the p-value
+    that a natural token has it.
+    """
+    body, alphabet = _encoded(token)
+    ones, pairs = (F.array(*[F.lit(x) for x in xs]) for xs in _letter_logs())
+    goes = F.array(*[F.lit(math.log(x)) for row in GOES_ON for x in row])
+    code = lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
+    letter = lambda c: F.ascii(F.lower(c)) - 97
+    made = F.array(F.struct(F.filter(F.split(body, ""), lambda c: c != "").alias("letters"), F.log(F.length(alphabet)).alias("size")))
+    coded = F.transform(made, lambda s: F.struct(s["size"].alias("size"), F.transform(s["letters"], lambda c: F.struct(code(c).alias("k"), letter(c).alias("l"))).alias("c")))
+
+    def one(s: Column, x: Column, i: Column) -> Column:
+        last = F.get(s["c"], i - 1)
+        way = F.element_at(goes, F.coalesce(last["k"], F.lit(4)) * 4 + x["k"] + 1)
+        within = (last["k"] <= 1) & ~((last["k"] == 0) & (x["k"] == 1))
+        drawn = F.when(within, F.try_element_at(pairs, last["l"] * 26 + x["l"] + 1)).otherwise(F.try_element_at(ones, x["l"] + 1))
+        return way + s["size"] + F.when(x["k"] <= 1, drawn).when(x["k"] == 2, math.log(_DIGIT)).otherwise(math.log(_SIGN))
+
+    return F.transform(coded, lambda s: F.aggregate(F.transform(s["c"], lambda x, i: one(s, x, i)), F.lit(0.0), lambda a, x: a + x))[0]
+
+
 def _length_class(token: Column) -> Column:
     return sum(F.when(F.length(token) >= least, 1).otherwise(0) for least in LENGTHS) - F.lit(1)
 
@@ -138,49 +197,56 @@ def _level(token: Column) -> Column:
     return F.floor(F.greatest(-F.log(p_value(token)), F.lit(0.0)) * _STEPS).cast("long")
 
 
-def limits(scanned: DataFrame, rate: float = 0.05) -> list[int]:
-    """For each length class the least level (``_level``) that Benjamini-Hochberg at ``rate`` calls not random, over all tokens
-    of ``scanned`` (``_spans``, saved); ``_NEVER`` where it calls none so. Counts in bins of levels reach the driver, then the
-    counts of each level in those bins where the limit can be.
+def _strangeness(token: Column) -> Column:
+    """-ln of the bound of the token's p-value as a natural one in whole steps: the higher, the less natural."""
+    return F.floor(F.least(F.greatest(-natural_odds(token), F.lit(0.0)), F.lit(_FARTHEST)) * _STEPS).cast("long")
 
-    The hypothesis tested is that a token is random, so the rate bounds the share of random tokens among those let go, which is
-    that of secrets missed. The share of harmless ones among those reported has no such bound: it falls as tokens get longer.
+
+def limits(scanned: DataFrame, rates: tuple[float, float]) -> tuple[list[int], list[int]]:
+    """For each length class the least level that Benjamini-Hochberg calls not random, and the least strangeness that it calls not
+    natural, at the two ``rates``, over all tokens of ``scanned`` (``_spans``, saved); ``_NEVER`` where it calls none so. Counts in
+    bins of levels reach the driver, then the counts of each level in those bins where the limit can be.
+
+    The first rate bounds the share of random tokens among those let go for not being random, the second that of natural ones
+    among those that are not let go for being natural.
     """
-    scores = scanned.select(F.explode("token").alias("m")).select("m.class", "m.level")
+    n = len(LENGTHS)
+    both = F.array(F.struct(F.col("m.class").alias("class"), F.col("m.level").alias("level")), F.struct((F.col("m.class") + n).alias("class"), F.col("m.strange").alias("level")))
+    scores = scanned.select(F.explode("token").alias("m")).select(F.explode(both).alias("x")).select("x.class", "x.level")
+    rate = [r for r in rates for _ in LENGTHS]
     bins = scores.groupBy("class", F.expr(f"level div {_WIDE}").alias("bin")).agg(F.count("*").alias("n")).collect()
-    totals = [sum(r["n"] for r in bins if r["class"] == c) for c in range(len(LENGTHS))]
+    totals = [sum(r["n"] for r in bins if r["class"] == c) for c in range(2 * n)]
     # From the largest p-values on: bins that can hold the limit, up to one that lies below the line as a whole.
     open_bins: list[tuple[int, int, int]] = []
     for c, total in enumerate(totals):
         left = total
-        for b, n in sorted((r["bin"], r["n"]) for r in bins if r["class"] == c):
-            line = rate * left / total
-            left -= n
+        for b, count in sorted((r["bin"], r["n"]) for r in bins if r["class"] == c):
+            line = rate[c] * left / total
+            left -= count
             if math.exp(-((b + 1) * _WIDE - 1) / _STEPS) <= line:
                 open_bins.append((c, b, left))
             if math.exp(-b * _WIDE / _STEPS) <= line:
                 break
-    found = [_NEVER] * len(LENGTHS)
+    found = [_NEVER] * (2 * n)
     if open_bins:
         wanted = F.concat_ws(":", "class", F.expr(f"level div {_WIDE}")).isin([f"{c}:{b}" for c, b, _ in open_bins])
         levels = scores.where(wanted).groupBy("class", "level").agg(F.count("*").alias("n")).collect()
         for c, b, above in open_bins:
             left = above
-            for level, n in sorted(((r["level"], r["n"]) for r in levels if r["class"] == c and r["level"] // _WIDE == b), reverse=True):
-                left += n
-                if math.exp(-level / _STEPS) <= rate * left / totals[c]:
+            for level, count in sorted(((r["level"], r["n"]) for r in levels if r["class"] == c and r["level"] // _WIDE == b), reverse=True):
+                left += count
+                if math.exp(-level / _STEPS) <= rate[c] * left / totals[c]:
                     found[c] = min(found[c], level)
-    return found
+    return found[:n], found[n:]
 
 
-def _found(docs: DataFrame, rate: float, *keep: str) -> DataFrame:
+def _found(docs: DataFrame, rates: tuple[float, float], *keep: str) -> DataFrame:
     """Of ``docs`` (text) the columns ``keep``, assign, access, hexes, base and spans. Texts are searched once, and what is found
     is written, as the limits need the tokens of all of them."""
     scanned = Scratch(docs.sparkSession, "secrets").save(_spans(docs, *keep))
-    limit = limits(scanned, rate)
-    bounds = F.array(*[F.lit(x) for x in limit])
+    random, natural = (F.array(*[F.lit(x) for x in found]) for found in limits(scanned, rates))
     base = scanned.withColumn("base", F.array_sort(F.concat("assign", "access", "hexes")))
-    clear = F.filter("token", lambda m: (m["level"] < F.element_at(bounds, m["class"] + 1)) & ~F.exists("base", lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
+    clear = F.filter("token", lambda m: (m["level"] < F.element_at(random, m["class"] + 1)) & (m["strange"] >= F.element_at(natural, m["class"] + 1)) & ~F.exists("base", lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
     clear = F.transform(clear, lambda m: F.struct(*[m[c].alias(c) for c in ("begin", "kind", "end", "text")]))
     return base.withColumn("spans", F.array_sort(F.concat(F.col("base"), clear))).drop("token")
 
@@ -190,14 +256,17 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
 
 
-def find(docs: DataFrame, rate: float = 0.05) -> DataFrame:
+RATES = (0.05, 0.01)  # of random tokens let go, and of natural ones reported
+
+
+def find(docs: DataFrame, rates: tuple[float, float] = RATES) -> DataFrame:
     """Add to each row of ``docs`` (text) ``base`` and ``spans``: arrays of (begin, kind, end, text), by begin, then kind.
 
     Kinds: 0 assign, 1 access, 2 hex, 3 random token. Base spans are those of the first three; ``spans`` adds the random
     tokens that touch none of them. Null and empty texts have empty arrays; repeated rows come out alike; other columns are kept
     whatever their names, but for those named ``base`` or ``spans``, which are replaced.
     """
-    found = _found(_packed(docs), rate, "_row")
+    found = _found(_packed(docs), rates, "_row")
     return found.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 
 
@@ -208,7 +277,7 @@ def joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), 0.05, "doc_id")
+    found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), RATES, "doc_id")
     size = lambda c: F.size(c).cast("long")
     return found.select(
         "doc_id",
@@ -223,7 +292,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans are one. Texts without spans stay, null
     and empty ones too, as do all other columns."""
-    found = _found(_packed(docs), 0.05, "_row")
+    found = _found(_packed(docs), RATES, "_row")
     # Spans that touch are merged; what remains of the text are the gaps between them, each cut out once.
     text = "cast(_row.text as string)"
     step = "(acc, m) -> if(size(acc) > 0 and m.begin < element_at(acc, -1).end, concat(slice(acc, 1, size(acc) - 1), array(named_struct('begin', element_at(acc, -1).begin, 'end', greatest(element_at(acc, -1).end, m.end)))), concat(acc, array(named_struct('begin', m.begin, 'end', m.end))))"
