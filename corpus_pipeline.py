@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, packing, secrets, toxicity
-from tidemark.llm.scratch import Scratch, clear, made_so_far
+from tidemark.llm.scratch import Scratch, clear, folders_made
 
 
 def mild(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        before, known = docs, made_so_far()
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        before = docs
+        with folders_made() as own:
+            docs = scratch.save(stage(spark, docs, sf_dir))
         scratch.drop(before)
-        clear(spark, known)  # what the stage wrote for itself
+        clear(spark, own)  # what the stage wrote for itself
     return STAGES[-1][1](spark, docs, sf_dir)

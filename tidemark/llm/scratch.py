@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (single-machine tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+from tidemark.operators.tables import delete, shared_folder
 
 _BATCH_BYTES = 4 << 20
 
@@ -30,23 +22,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(_BATCH_BYTES))
 
 
-_MADE: list[str] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def made_so_far() -> int:
-    """How many folders this process has made; for ``clear``."""
-    return len(_MADE)
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that operators make inside the block, in this thread; those of other queries of the driver aren't among them."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Delete the folders made after the first ``since``: for callers that have consumed or written every result made of them."""
-    while len(_MADE) > since:
-        _delete(spark, _MADE.pop())
+def clear(spark: SparkSession, folders: list[str]) -> None:
+    """Delete ``folders``: for callers that have consumed or written every result made of them."""
+    while folders:
+        delete(spark, folders.pop())
 
 
 class Scratch:
@@ -57,7 +50,8 @@ class Scratch:
         bounded_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
-        _MADE.append(self.root)
+        if (made := _MADE.get()) is not None:
+            made.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._count += 1
@@ -72,7 +66,7 @@ class Scratch:
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                _delete(self.spark, path)
+                delete(self.spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
