@@ -9,6 +9,12 @@ from tidemark.config import EVALUATION, METRICS, Weights
 from tidemark.operators.ranks import Counted, quantiles
 from tidemark.operators.tables import Steps
 
+# The texts of alerts.
+SHIFTED = "Distribution shift detected (KS p=%.4f)"
+DEGRADED = "MAE degraded %.1f%% vs baseline"
+DRIFTED = "Drift detected"
+
+
 # Hours of each band, of which the night wraps, and working days.
 HOURS = {"morning": (6, 12), "afternoon": (12, 18), "evening": (18, 22), "night": (22, 6)}
 LEAST = 5
@@ -113,11 +119,11 @@ def drift(mae: Column, baseline_mae: Column, ks: Column, p_value: Column) -> dic
     score = F.round(F.when(ks.isNotNull() & baseline_mae.isNotNull(), by_ks * 0.4 + by_mae * 0.6).when(baseline_mae.isNotNull(), by_mae).when(ks.isNotNull(), by_ks).otherwise(0.0), 4)
     parts = F.concat_ws(
         "; ",
-        F.when(p_value < 0.05, F.concat(F.lit("Distribution shift detected (KS p="), F.format_string("%.4f", p_value), F.lit(")"))),
-        F.when(increase > 0.2, F.concat(F.lit("MAE degraded "), F.format_string("%.1f", increase * 100), F.lit("% vs baseline"))),
+        F.when(p_value < 0.05, F.format_string(SHIFTED, p_value)),
+        F.when(increase > 0.2, F.format_string(DEGRADED, increase * 100)),
     )
     detected = score > 0.3
-    return {"mae_vs_baseline": increase, "drift_score": score, "drift_detected": detected, "alert": F.when(detected, F.when(parts == "", "Drift detected").otherwise(parts))}
+    return {"mae_vs_baseline": increase, "drift_score": score, "drift_detected": detected, "alert": F.when(detected, F.when(parts == "", DRIFTED).otherwise(parts))}
 
 
 def range_drift(pairs: DataFrame, key: str = "niche", threshold: float = 0.3) -> DataFrame:

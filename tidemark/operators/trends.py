@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import numbered
+
 # Ages in hours, shares that make a status, and weights of the velocity.
 RECENT, WEEK, OLD = 48, 168, 336
 TRENDING, RISING, STALE = 0.5, 0.3, 0.8
@@ -40,10 +42,12 @@ def peak_day(samples: DataFrame) -> DataFrame:
 
 
 def acceleration(samples: DataFrame, ident: str = "event_id", least: int = 10) -> DataFrame:
-    """WIN-09: the relative change of density from the earlier half of a trend's samples to the later."""
-    own = Window.partitionBy("trend")
-    rows = samples.withColumns({"place": F.row_number().over(own.orderBy("posted_at", ident)), "n": F.count("*").over(own)})
-    late = F.col("place") > F.floor(F.col("n") / 2)
+    """WIN-09: the relative change of density from the earlier half of a trend's samples to the later. Samples are numbered over
+    ranges, so a trend is many tasks; a NULL trend is one."""
+    placed = numbered(samples.select("trend", "posted_at", ident), ["trend"], [F.col("posted_at"), F.col(ident)])
+    sizes = placed.groupBy(F.col("trend").alias("_trend")).agg(F.count("*").alias("n"))
+    rows = placed.join(sizes, F.col("trend").eqNullSafe(F.col("_trend")))
+    late = F.col("place") >= F.floor(F.col("n") / 2)
     hours = F.unix_micros(F.col("posted_at").cast("timestamp")) / 3.6e9
     ends = lambda c: F.max(F.when(c, hours)) - F.min(F.when(c, hours))
     halves = rows.groupBy("trend").agg(F.max("n").alias("n"), F.count_if(~late).alias("n1"), F.count_if(late).alias("n2"), ends(~late).alias("span1"), ends(late).alias("span2"))

@@ -376,16 +376,18 @@ def join_08_nearest_pattern(embeddings: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT vec_id AS pattern_id, round(CASE WHEN vec_id % 10 = 0 THEN (vec_id % 100) * 0.3 + 50 * 0.7 ELSE vec_id % 100 END, 6)::DOUBLE AS engagement, CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS usage_count FROM embeddings
-    UNION ALL SELECT vec_id + 1000000, 50.0, 1 FROM embeddings WHERE vec_id % 10 = 1""",
+    """SELECT vec_id AS pattern_id, round(CASE WHEN vec_id % 10 = 0 THEN (vec_id % 100) * 0.3 + 50 * 0.7 ELSE vec_id % 100 END, 6)::DOUBLE AS engagement, CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS usage_count,
+      CASE WHEN vec_id % 10 <> 0 THEN 'e0,e1,e2,e3,e4,e5,e6,e7,e8' WHEN vec_id % 20 = 0 THEN 'e1,e2,e3,e4,e5,e6,e7,e8,y,z' ELSE 'e0,e1,e2,e3,e4,e5,e6,e7,e8,z' END AS examples FROM embeddings
+    UNION ALL SELECT vec_id + 1000000, 50.0, 1, 'y,z' FROM embeddings WHERE vec_id % 10 = 1""",
     reads="embeddings",
 )
 def seq_06_merge_patterns(embeddings: DataFrame) -> DataFrame:
-    known = embeddings.select(F.col("vec_id").alias("pattern_id"), (F.col("vec_id") % 100).cast("double").alias("engagement"), F.lit(1).alias("usage_count"), F.array(F.lit("x")).alias("examples"))
-    new = embeddings.where("vec_id % 10 <= 1").select((F.col("vec_id") + 1000000).alias("pattern_id"), F.lit(50.0).alias("engagement"), F.array(F.lit("y")).alias("examples"))
+    known = embeddings.select(F.col("vec_id").alias("pattern_id"), (F.col("vec_id") % 100).cast("double").alias("engagement"), F.lit(1).alias("usage_count"), F.array(*[F.lit(f"e{i}") for i in range(9)]).alias("examples"))
+    new = embeddings.where("vec_id % 10 <= 1").select((F.col("vec_id") + 1000000).alias("pattern_id"), F.lit(50.0).alias("engagement"), F.array(F.when(F.col("vec_id") % 20 <= 1, "y").when(F.col("vec_id") % 10 == 1, "y").otherwise("e8"), F.lit("z")).alias("examples"))
     queries, vectors = _near(embeddings)
     matches = nearest_within(queries.withColumn("query_id", F.col("query_id") + 1000000), vectors, "label")
-    return J.merge_patterns(known, new, matches).select("pattern_id", "usage_count", *rounded({"engagement": F.col("engagement")}))
+    made = J.merge_patterns(known, new, matches)
+    return made.select("pattern_id", "usage_count", F.array_join("examples", ",").alias("examples"), *rounded({"engagement": F.col("engagement")}))
 
 
 @query(

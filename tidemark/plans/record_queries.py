@@ -5,25 +5,17 @@ Files go to a folder of their own for each call under ``spark.checkpoint.dir``,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.tables import new_folder
 from tidemark.plans.register import query
 from tidemark.sources import records as R
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only in local mode without the setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemark-records-")
-    return f"{shared.rstrip('/')}/records-{uuid.uuid4().hex}"
+    return new_folder(spark, "records")
 
 
 @query(

@@ -130,10 +130,7 @@ def txt_10_bilingual_counts(captions: DataFrame) -> DataFrame:
 
 
 _HOOK_TEXT = f"trim(split_part(split_part({_T}, chr(10), 1), '.', 1))"
-_OPENING = [
-    "(?:^|\\s)(?:por qu[eé]|c[oó]mo|qu[eé]|cu[aá]l|d[oó]nde|cu[aá]ndo|qui[eé]n)", "(?:^|\\s)(?:why|how|what|which|where|when|who)\\b", *T.OPENING_HOOKS[2:]
-]
-_MATCHED = " + ".join(_match(p, _HOOK_TEXT) for p in _OPENING)
+_MATCHED = " + ".join(_match(p, _HOOK_TEXT) for p in T.OPENING_HOOKS)
 _FACES = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}]+"
 
 
