@@ -114,7 +114,7 @@ def _against(texts: DataFrame, hooks: DataFrame, task, schema: str, label: str,
     session = texts.sparkSession
     hooks = hooks.select(F.col(label).cast("long").alias("label"), F.col("hook_vector").cast("array<double>").alias("v"))
     blocks = -(-hooks.count() // most) or 1
-    rows = texts.select(F.col("text_id").cast("long").alias("text_id"), F.col("vector").cast("array<double>").alias("v"))
+    rows = texts.where("vector is not null").select(F.col("text_id").cast("long").alias("text_id"), F.col("vector").cast("array<double>").alias("v"))
     made = None
     for block in range(blocks):
         own = (hooks if blocks == 1 else hooks.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block)).toPandas().sort_values("label", kind="stable")
