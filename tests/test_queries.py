@@ -112,6 +112,36 @@ def test_values_and_quantiles(spark, monkeypatch):
     assert ranks.quantiles(rows.limit(0), "v", [0.5]) == [None]
 
 
+def test_places_and_quantiles_by_key(spark, monkeypatch):
+    """Numbers, running sums and quantiles within keys, a NULL key among them, of one hot key and of values that repeat."""
+    import numpy as np
+
+    from tidemark.operators import ranks
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id % 5))) as k", "if(id % 41 = 0, null, if(id % 2 = 0, 1.0, cast(id * 7919 % 100 as double))) as v", "id % 4 as w")
+    plain = rows.toPandas()
+    plain["k"] = plain.k.fillna("-")
+    made = ranks.numbered(rows, ["k"], [F.col("v"), F.col("id")]).toPandas()
+    sums = ranks.numbered(rows, ["k"], [F.col("id")], "before", weight="w").toPandas()
+    assert made.columns.tolist() == ["id", "k", "v", "w", "place"]
+    for frame in (made, sums):
+        frame["k"] = frame.k.fillna("-")
+    for key, group in plain.groupby("k"):
+        own = group.sort_values(["v", "id"], na_position="first").id.tolist()
+        assert made[made.k == key].sort_values("place").id.tolist() == own
+        assert sums[sums.k == key].sort_values("id").before.tolist() == (group.w.cumsum() - group.w).tolist()
+    for at_once in (100_000, 10):
+        monkeypatch.setattr(ranks, "_AT_ONCE", at_once)
+        counted = ranks.Counted(rows, "v", ["k"])
+        shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+        found = {r["k"] or "-": r for r in counted.quantiles(shares).collect()}
+        for key, group in plain.groupby("k"):
+            values = group.v.dropna()
+            assert found[key]["n"] == len(values) and np.allclose(found[key]["q"], np.quantile(values, shares))
+        assert np.allclose(counted.quantiles([0.5], []).first()["q"], plain.v.median())
+        counted.clear()
+
+
 @pytest.mark.parametrize("cell", [8, 2000])
 def test_near_rows(spark, cell):
     """The k nearest by brute force, with ties to the smaller id, equal rows and a constant feature, in many cells and in one."""
