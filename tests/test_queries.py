@@ -443,3 +443,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_upserted_where_added_ids_are_known(spark, tmp_path):
+    """Customers beyond the added ids' shift: one row for each id, the later one, in the query and in its SQL."""
+    import duckdb
+
+    customers = spark.range(99_990, 100_310).union(spark.range(150)).union(spark.range(200_000, 200_250)).selectExpr("id as c_custkey")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    made = sorted(map(tuple, catalogue.queries()["seq_07_08_upserted"](spark, str(tmp_path)).collect()))
+    known = {r["c_custkey"] for r in customers.collect()}
+    want = {i: "new" if i % 3 == 0 else "old" for i in known}
+    want |= {i + 100_000: "new" for i in known if i % 100 == 0 and i + 100_000 not in known}
+    assert made == sorted(want.items()) and any(i % 100 == 0 and i + 100_000 in known and want[i + 100_000] == "old" for i in known)
+    duck = duckdb.connect()
+    duck.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(duck.execute(catalogue.oracle_sql()["seq_07_08_upserted"]).fetchall()) == made

@@ -349,9 +349,13 @@ def join_09_weights_in_force(authors: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM customer UNION ALL SELECT c_custkey + 100000, 'new' FROM customer WHERE c_custkey % 100 = 0", reads="customer"
+    """WITH b AS (SELECT c_custkey AS id, 'old' AS v, 1 AS seen, 0 AS added FROM customer UNION ALL SELECT c_custkey, 'new', 1, 1 FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey + 100000, 'new', 0, 1 FROM customer WHERE c_custkey % 100 = 0)
+    SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seen DESC, added DESC) AS p FROM b) WHERE p = 1""",
+    reads="customer",
 )
 def seq_07_08_upserted(customer: DataFrame) -> DataFrame:
+    """An added id may be a known customer's, whose row is later and stays."""
     known = customer.select(F.col("c_custkey").alias("id"), F.lit("old").alias("v"), F.lit(1).alias("at"))
     changed = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("v"), F.lit(1).alias("at"))
     added = customer.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 100000).alias("id"), F.lit("new").alias("v"), F.lit(0).alias("at"))
