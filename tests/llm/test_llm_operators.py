@@ -125,6 +125,28 @@ def test_repeats(spark, docs, none, frequent, monkeypatch):
     assert S.digest(none).count() == 0
 
 
+def test_op2_places_are_dealt_by_lots_of_documents():
+    """Documents with anchors in every bucket make a row for each bucket and lot, not for each bucket and document."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import suffix_dedup as S
+
+    lots, buckets, docs = [11, 12, 13], 40, np.arange(-5, 295)
+    blob = lambda x: x.tobytes()
+    rows = []
+    for b in range(buckets):  # each document twice in each bucket, with the same anchor; one anchor of each bucket is alone
+        ids, hashes = np.concatenate([docs, docs, [7]]), np.concatenate([np.arange(300), np.arange(300), [999]]).astype(np.uint32)
+        places = np.concatenate([np.full(300, b), np.full(300, 1000 + b), [5000]]).astype(np.uint32)
+        batch = pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([blob(x)], pa.binary()) for x in (hashes, S._steps(ids), S._steps(places))]], schema=S._ANCHORS)
+        rows.extend(S._repeated_places(1_000, lots)([batch]))
+    assert sum(r.num_rows for r in rows) <= buckets * len(lots)
+    found = [x for r in S._places_by_document(rows) for x in zip(r.column("doc_id").to_pylist(), r.column("places").to_pylist(), strict=True)]
+    assert sorted(d for d, _ in found) == docs.tolist()
+    want = sorted([2 * b for b in range(buckets)] + [2 * (1000 + b) for b in range(buckets)])
+    assert all(sorted(np.frombuffer(m, np.uint32).tolist()) == want for _, m in found)
+
+
 def test_longest_previous_factors():
     """Against a comparison of all pairs of suffixes."""
     from tidemark.llm.suffix_dedup import longest_previous_factors

@@ -26,10 +26,12 @@ _REACH = LENGTH - _ANCHOR + 1
 _SEGMENT = 4 << 20
 _PLACE_BITS = 24
 _FLUSH = 24 << 20
+_BATCH = 4 << 20  # bytes of places that are handed on at once
 _BUCKET = 64 << 20  # bytes of text to a bucket
 _LAST = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+_LOTS = pa.schema([("lot", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 _PLACES = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 _CONTEXTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("begins", pa.binary()), ("counts", pa.binary()), ("data", pa.binary()), ("doc_id", pa.int64()), ("spans", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
@@ -112,8 +114,8 @@ def _deal_anchors(keys: list[int]):
     return run
 
 
-def _repeated_places(frequent: int):
-    """Of one bucket's anchors those that occur more than once, by document; the lowest bit says if an anchor is frequent."""
+def _repeated_places(frequent: int, keys: list[int]):
+    """Of one bucket's anchors those that occur more than once, dealt by document; the lowest bit says if an anchor is frequent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
@@ -128,12 +130,37 @@ def _repeated_places(frequent: int):
             times = count[inverse]
             docs, places, times = docs[times > 1], places[times > 1], times[times > 1]
             marked = (places << np.uint32(1)) | (times > frequent).astype(np.uint32)
-            found = [(docs[at[0]], marked[at].tobytes()) for _, at in _by_bucket(docs)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], schema=_PLACES)
+            order = np.lexsort((marked, docs))
+            docs, marked = docs[order], marked[order]
+            # A row for each lot of documents, not for each document, of which each bucket has parts.
+            lot = (kit.mix(docs.astype(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
+            rows = [(keys[n], _steps(docs[at]).tobytes(), marked[at].tobytes()) for n, at in _by_bucket(lot)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_LOTS)], schema=_LOTS)
 
     return run
 
 
+def _places_by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each document from all buckets' rows of its lot; a lot is in one task."""
+    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    for batch in batches:
+        for n, *parts in zip(*[batch.column(c).to_pylist() for c in _LOTS.names], strict=True):
+            held.setdefault(n, []).append(tuple(parts))
+    for n in list(held):
+        parts = held.pop(n)
+        docs = np.concatenate([np.cumsum(np.frombuffer(d, np.int64), dtype=np.int64) for d, _ in parts])
+        marked = np.concatenate([np.frombuffer(m, np.uint32) for _, m in parts])
+        names, blobs, size = [], [], 0
+        for doc, at in _by_bucket(docs):
+            names.append(doc)
+            blobs.append(marked[at].tobytes())
+            size += len(blobs[-1])
+            if size > _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], schema=_PLACES)
+                names, blobs, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], schema=_PLACES)
+
+
 def _first_of_each(contexts: list[tuple[int, int, bytes, int, int]]) -> tuple[list[tuple[int, int, bytes, int, int]], list[tuple[int, int, int]]]:
     """Of (doc, begin, bytes, key, count) those that are first of their key and bytes, and what the others remove."""
     contexts.sort(key=lambda c: (c[0], c[1]))
@@ -181,8 +208,8 @@ def _deal_contexts(keys: list[int]):
                 row, hashes, place, begin, count = anchors(data, bounds)
                 whole = data.tobytes()
                 ends = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                for r, blobs in enumerate(piece.column("places").to_pylist()):
-                    marked = np.sort(np.frombuffer(b"".join(blobs), np.uint32))
+                for r, blob in enumerate(piece.column("places").to_pylist()):
+                    marked = np.sort(np.frombuffer(blob, np.uint32))
                     at = np.arange(ends[r], ends[r + 1])
                     if not len(at) or not len(marked):
                         continue
@@ -362,8 +389,8 @@ def remove_repeats(docs: DataFrame, frequent: int = 20_000) -> tuple[DataFrame,
     rows = scratch.save(whole.join(first, "sha256").select("doc_id", "n_bytes", "sha256", (F.col("doc_id") > F.col("first")).alias("copy")))
 
     dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal_anchors(keys), "bucket int, hashes binary, docs binary, places binary")
-    places = dealt.repartition(buckets, "bucket").mapInArrow(_repeated_places(frequent), "doc_id long, places binary")
-    places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = dealt.repartition(buckets, "bucket").mapInArrow(_repeated_places(frequent, keys), "lot int, docs binary, places binary")
+    places = places.repartition(buckets, "lot").mapInArrow(_places_by_document, "doc_id long, places binary")
     places = places.join(rows.where("not copy").select("doc_id").distinct(), "doc_id", "left_semi")
     suspects = scratch.save(texts.join(places, "doc_id"))
     contexts = suspects.mapInArrow(_deal_contexts(keys), "bucket int, keys binary, docs binary, begins binary, counts binary, data binary, doc_id long, spans binary")
