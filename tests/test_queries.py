@@ -459,3 +459,27 @@ def test_upserted_where_added_ids_are_known(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     assert sorted(duck.execute(catalogue.oracle_sql()["seq_07_08_upserted"]).fetchall()) == made
+
+
+def test_growth_learns_from_cells(spark, monkeypatch):
+    """Fits see a row for each cell of equal bins and fold, not each row; error and model are those of the single rows."""
+    import numpy as np
+
+    from tidemark.operators import models as L
+
+    draw = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1000)) / 1000
+    made = spark.range(0, 3000, 1, 1).withColumns({"a": F.floor(draw(1) ** 2 * 4) / 2, "b": F.floor(draw(2) * 3) * 1.0, "fold": (draw(3) < 0.4).cast("int")})
+    made = made.withColumn("y", F.col("a") * 4.13 - F.col("b") * F.col("b") * 0.77 + F.col("a") * F.col("b") * 0.31 + draw(4))
+    seen, whole = [], L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, rows: seen.append(rows.count()) or whole(self, rows))
+    found = L.growth(made, ["a", "b"], "y", "fold")
+    assert seen == [12, 12, 24]
+    scored = found["model"].transform(made).select("y", "prediction").toPandas()
+    direct = L.regression(made, ["a", "b"], "y", trees=10, depth=3).transform(made).orderBy("id").select("prediction").toPandas()
+    assert np.allclose(scored["prediction"], direct["prediction"])
+    rows = made.toPandas()
+    errors = []
+    for f in (0, 1):
+        model = L.regression(made.where(f"fold <> {f}"), ["a", "b"], "y", trees=10, depth=3)
+        errors.append(np.sqrt(((model.transform(made.where(f"fold = {f}")).select("prediction").toPandas()["prediction"] - rows[rows["fold"] == f]["y"].to_numpy()) ** 2).mean()))
+    assert np.isclose(found["cv_rmse"], np.mean(errors))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.feature import PCA, Bucketizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from tidemark.config import KPI, METRICS, Weights
 from tidemark.functions.metrics import log_index, relative_score
 from tidemark.operators.evaluation import confidence
 from tidemark.operators.near_rows import near_rows
-from tidemark.operators.ranks import quantiles, with_place
+from tidemark.operators.ranks import Counted, quantiles, with_place
 from tidemark.operators.tables import Steps
 
 
@@ -81,16 +81,48 @@ def score_targets(models: dict[str, PipelineModel], rows: DataFrame, features: l
     return (made.withColumn("relative_score", relative_score("pred_")) if baseline else made).drop("features")
 
 
+_BINS = 32  # as Spark's trees have by themselves
+
+
+def _bins(rows: DataFrame, features: list[str]) -> Bucketizer:
+    """Features to at most 32 bins ``_bin_*``: a bin for each value where there are few, else between exact quantiles of all rows."""
+    values = rows.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "v")).where(~F.isnan("v"))
+    counted = Counted(values, "v", ["f"])
+    few = [r["f"] for r in counted.rows.groupBy("f").count().where(F.col("count") <= _BINS).collect()]
+    edges = {r["f"]: r["q"] for r in counted.quantiles([i / _BINS for i in range(1, _BINS)]).where(~F.col("f").isin(few)).collect()}
+    for r in counted.rows.where(F.col("f").isin(few)).orderBy("f", "_v").collect():
+        edges.setdefault(r["f"], []).append(r["_v"])
+    counted.clear()
+    splits = [[-math.inf, *(sorted(set(edges.get(i, [0.0])))[i in few and len(edges[i]) > 1 :]), math.inf] for i in range(len(features))]
+    return Bucketizer(splitsArray=splits, inputCols=features, outputCols=[f"_bin_{f}" for f in features], handleInvalid="keep")
+
+
 def growth(rows: DataFrame, features: list[str], label: str, fold: str, weight: str | None = None, seed: int = 42) -> dict:
-    """ML-04/20: scaling, folds by a column, a weighted fit: the model, its cross-validated error and the features by importance."""
+    """ML-04/20: scaling, folds by a column, a weighted fit: the model, its cross-validated error and the features by importance.
+
+    Rows are read once. Trees of squared error see no more of rows of equal bins and fold than their weight and mean, so such
+    rows are one cell, and fits pass over cells, whose number ends with the bins'. Errors are those of the single rows.
+    """
+    steps = Steps(rows.sparkSession, "growth")
+    kept = steps.save(rows.where(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y"), F.col(fold).alias("_fold"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")))
+    binned = _bins(kept, features)
+    names = binned.getOutputCols()
+    y, w = F.col("_y"), F.col("_w")
+    cells = binned.transform(kept).groupBy(*names, "_fold").agg(F.count("*").alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q"), F.sum(w).alias("_w"), (F.sum(w * y) / F.sum(w)).alias("_y"))
+    cells = steps.save(cells)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    trees = _gbt(label, weight, 10, 3, seed)
-    pipe = Pipeline(stages=[assembled(features, "raw"), scaler, trees])
-    folds = rows.select(F.countDistinct(fold)).first()[0]
-    check = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, foldCol=fold, parallelism=2)
-    fitted = check.fit(rows)
-    ranked = sorted(zip(features, fitted.bestModel.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
-    return {"model": fitted.bestModel, "cv_rmse": fitted.avgMetrics[0], "importances": ranked[:20]}
+    pipe = Pipeline(stages=[assembled(names, "raw"), scaler, _gbt("_y", "_w", 10, 3, seed)])
+    folds = [r[0] for r in cells.where("_fold is not null").select("_fold").distinct().orderBy("_fold").collect()]
+    if len(folds) < 2:
+        raise ValueError("cross-validation needs two folds")
+    p = F.col("prediction")
+    error = F.sqrt(F.greatest(F.sum(F.col("_q") - 2 * p * F.col("_s") + F.col("_n") * p * p), F.lit(0.0)) / F.sum("_n"))
+    fit = lambda part: pipe.fit(part.where("_w > 0"))
+    errors = [fit(cells.where(F.col("_fold") != f)).transform(cells.where(F.col("_fold") == f)).agg(error).first()[0] for f in folds]
+    model = PipelineModel([binned, *fit(cells).stages])
+    steps.clear()
+    ranked = sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+    return {"model": model, "cv_rmse": float(np.mean(errors)), "importances": ranked[:20]}
 
 
 def classifier(rows: DataFrame, test: DataFrame, features: list[str], label: str = "high", seed: int = 42) -> dict:
