@@ -483,3 +483,15 @@ def test_growth_learns_from_cells(spark, monkeypatch):
         model = L.regression(made.where(f"fold <> {f}"), ["a", "b"], "y", trees=10, depth=3)
         errors.append(np.sqrt(((model.transform(made.where(f"fold = {f}")).select("prediction").toPandas()["prediction"] - rows[rows["fold"] == f]["y"].to_numpy()) ** 2).mean()))
     assert np.isclose(found["cv_rmse"], np.mean(errors))
+
+
+def test_nearest_python_steps_do_not_multiply_queries(spark):
+    """A query's blocks are made by a join and not in a batch in Python, which would hold the query once for each of them."""
+    from tidemark.operators import nearest as N
+
+    rows = spark.range(60).selectExpr("id", "id % 2 as bucket", "array(cast(id % 7 as double), 1.0D, cast(id % 5 as double)) as v")
+    known = rows.selectExpr("id as known_id", "bucket", "v as known_vector")
+    plan = N._candidates(rows.selectExpr("id as query_id", "bucket", "v as query_vector"), known, "bucket", 0.9, 4, 5)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.split("\n") if "explode(sequence(0, (blocks" in line]
+    python = [i for i, line in enumerate(plan.split("\n")) if "MapInPandas" in line]
+    assert generated and len(python) == 1 and plan.split("\n").index(generated[0]) < python[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.tables import Steps
 
 _TILE = 512  # rows of a product that are held at once
+_NUMBERS = 1 << 20  # numbers of a side that are gathered at once to compare pairs
 _SLACK = 1e-9  # what rounding may move in a bound
 
 
@@ -45,17 +46,9 @@ def _candidates(queries: DataFrame, known: DataFrame, bucket: str, threshold: fl
             near = units(batch["v"]) @ centres.T
             yield batch.assign(cell=near.argmax(axis=1).astype(np.int32), angle=np.arccos(np.clip(near.max(axis=1), -1.0, 1.0)))
 
-    def met_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each block of each cell of the query's bucket whose ring of angles around its pivot the query reaches."""
+    def angled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            angles = np.arccos(np.clip(units(batch["v"]) @ centres.T, -1.0, 1.0))
-            out = []
-            for i, rings in enumerate(batch["rings"]):
-                for ring in rings:
-                    if ring["low"] - reach <= angles[i, ring["cell"]] <= ring["high"] + reach:
-                        out.extend((i, ring["cell"], b) for b in range(ring["blocks"]))
-            at = np.array(out, np.int64).reshape(-1, 3)
-            yield batch.drop(columns="rings").iloc[at[:, 0]].assign(cell=at[:, 1].astype(np.int32), block=at[:, 2].astype(np.int32))
+            yield batch.assign(angles=list(np.arccos(np.clip(units(batch["v"]) @ centres.T, -1.0, 1.0))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -68,7 +61,10 @@ def _candidates(queries: DataFrame, known: DataFrame, bucket: str, threshold: fl
             tile = slice(begin, begin + _TILE)
             # Of the rest of the components the product of the norms is all that is to be had.
             i, j = np.nonzero(q[tile, :head] @ k[:, :head].T + np.outer(q_rest[tile], k_rest) > threshold - _SLACK)
-            similarity = np.einsum("ij,ij->i", q[tile][i], k[j])
+            similarity = np.empty(len(i))
+            for part in range(0, len(i), pairs := max(1, _NUMBERS // max(q.shape[1], 1))):
+                some = slice(part, part + pairs)
+                similarity[some] = np.einsum("ij,ij->i", q[tile][i[some]], k[j[some]])
             above = similarity > threshold
             order = np.lexsort((ids[j[above]], -similarity[above], i[above]))
             i_, j_, s_ = i[above][order], j[above][order], similarity[above][order]
@@ -87,9 +83,13 @@ def _candidates(queries: DataFrame, known: DataFrame, bucket: str, threshold: fl
     rings = steps.save(rings)
     asked = queries.where(F.col("query_vector").isNotNull()).select(F.col(bucket).alias("bucket"), F.col("query_id").cast("long").alias("query_id"), wide("query_vector").alias("v"))
     lots = asked.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("lots"))
-    every = rings.groupBy("bucket").agg(F.collect_list(F.struct("cell", "low", "high", "blocks")).alias("rings"))  # as many as pivots at most
-    met = asked.join(every.join(lots, "bucket"), "bucket").withColumn("lot", F.pmod(F.xxhash64("query_id"), "lots").cast("int"))
-    met = met.select("bucket", "query_id", "v", "lot", "rings").mapInPandas(met_cells, f"bucket {kind}, query_id long, v array<double>, lot int, cell int, block int")
+    asked = asked.join(lots, "bucket").withColumn("lot", F.pmod(F.xxhash64("query_id"), "lots").cast("int")).select("bucket", "query_id", "v", "lot")
+    asked = asked.mapInPandas(angled, f"bucket {kind}, query_id long, v array<double>, lot int, angles array<double>")
+    # The blocks of each cell of the query's bucket whose ring of angles around its pivot the query reaches: joined, so that no
+    # batch in Python holds a query as often as it has blocks.
+    angle, there = F.get(asked["angles"], rings["cell"]), asked["bucket"] == rings["bucket"]
+    met = asked.join(rings, there & (angle >= F.col("low") - reach) & (angle <= F.col("high") + reach))
+    met = met.select(asked["bucket"], "query_id", "v", "lot", "cell", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     dealt = cells.join(rings.select("bucket", "cell", "blocks"), ["bucket", "cell"]).join(lots, "bucket")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("known_id"), "blocks").cast("int")).withColumn("lot", F.explode(F.expr("sequence(0, lots - 1)")))
     task = ["bucket", "cell", "block", "lot"]
