@@ -177,3 +177,21 @@ def test_sentiment_by_hand(spark):
     want = {1: whole(2.0), 2: whole(2.293), 3: whole(2.293 * -0.74), 4: whole(2.0), 5: whole(-2.584), 6: 0.0, 7: 0.0, 8: 0.0}
     assert all(abs(made[i]["compound"] - w) < 1e-9 for i, w in want.items()) and len(made) == 8
     assert made[1]["pos"] == 1 and made[6]["neu"] == 1 and abs(made[3]["neg"] - 2.69682 / 5.69682) < 1e-6
+
+
+def test_compared_weights_keep_a_prediction_one_row(spark):
+    """Sets meet a prediction as one array: the join makes no more rows than there are predictions. Ties go to the later name."""
+    from tidemark.config import METRICS
+    from tidemark.operators import models as L
+
+    rows = spark.range(0, 50, 1, 2).select("id", *[(F.col("id") % (3 + i) * 1.0).alias(f"log_{m}") for i, m in enumerate(METRICS)])
+    sets = {"a": [1.0, 2.0, 3.0, 4.0, 5.0], "b": [5.0, 1.0, 1.0, 1.0, 1.0], "c": [5.0, 1.0, 1.0, 1.0, 1.0]}
+    made = L.compare_weights(rows.union(rows.where("id = 7")), spark.createDataFrame([(n, *w) for n, w in sets.items()], "name string, " + ", ".join(f"{m} double" for m in METRICS)), "id")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and "collect_list" in plan
+    found = {r["id"]: (r["best"], r["best_rpi"], r["range"]) for r in made.collect()}
+    assert len(found) == 50
+    for i in range(50):
+        index = {n: min(max(sum(w[j] * (i % (3 + j)) for j in range(5)) / sum(w) * 15, 0), 100) for n, w in sets.items()}
+        best = max(index, key=lambda n: (round(index[n], 9), n))
+        assert found[i][0] == best and np.allclose(found[i][1:], (index[best], max(index.values()) - min(index.values())))

@@ -276,11 +276,19 @@ def smote(minority: DataFrame, ident: str, features: list[str], wanted: int, k:
 def compare_weights(predictions: DataFrame, weights: DataFrame, ident: str = "post_id") -> DataFrame:
     """TOP-13: the index of each prediction (log_*) under each weight set (name and five weights), the best set and the range.
 
-    Weight sets are a dimension of a few rows, which Spark broadcasts by its own size rule.
+    Weight sets are a dimension of a few rows: they meet each prediction as one array, so a prediction stays one row.
     """
-    amount = sum((F.col(f"log_{m}") * F.col(m) for m in METRICS), F.lit(0.0)) / sum((F.col(m) for m in METRICS), F.lit(0.0)) * 15
-    scored = predictions.crossJoin(weights.select("name", *METRICS)).withColumn("rpi", F.least(F.greatest(amount, F.lit(0.0)), F.lit(100.0)))
-    return scored.groupBy(ident).agg(F.max_by("name", F.struct("rpi", "name")).alias("best"), F.max("rpi").alias("best_rpi"), (F.max("rpi") - F.min("rpi")).alias("range"))
+    sets = weights.agg(F.collect_list(F.struct("name", *METRICS)).alias("_sets"))
+
+    def index(w: Column) -> Column:
+        amount = sum((F.col(f"log_{m}") * w[m] for m in METRICS), F.lit(0.0)) / sum((w[m] for m in METRICS), F.lit(0.0)) * 15
+        return F.struct(F.least(F.greatest(amount, F.lit(0.0)), F.lit(100.0)).alias("rpi"), w["name"].alias("name"))
+
+    scored = predictions.crossJoin(F.broadcast(sets)).select(ident, F.transform("_sets", index).alias("_all"))  # one row of sets
+    scored = scored.select(ident, F.array_max("_all").alias("_most"), F.array_min("_all").alias("_least"))
+    # An ident is one row as a rule; where it has more, the best and the least of all of them count.
+    made = scored.groupBy(ident).agg(F.max("_most").alias("m"), F.min("_least.rpi").alias("l"))
+    return made.select(ident, F.col("m.name").alias("best"), F.col("m.rpi").alias("best_rpi"), (F.col("m.rpi") - F.col("l")).alias("range"))
 
 
 def retrain_report(rows: DataFrame, features: list[str], label: str, at: str, days: int = 7) -> DataFrame:
