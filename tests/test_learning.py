@@ -195,3 +195,24 @@ def test_compared_weights_keep_a_prediction_one_row(spark):
         index = {n: min(max(sum(w[j] * (i % (3 + j)) for j in range(5)) / sum(w) * 15, 0), 100) for n, w in sets.items()}
         best = max(index, key=lambda n: (round(index[n], 9), n))
         assert found[i][0] == best and np.allclose(found[i][1:], (index[best], max(index.values()) - min(index.values())))
+
+
+def test_five_targets_are_fitted_on_cells(spark):
+    """Rows of equal bins are one row of the fits, with their number and means; the models are those of the rows themselves."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from tidemark.config import METRICS
+    from tidemark.operators import models as L
+
+    rows = spark.range(3000).selectExpr("id", "id % 7 as f0", "id % 5 as f1", *[f"(id % 7) * {i + 1}.0D + (id % 5) * (id % 11) as log_{m}" for i, m in enumerate(METRICS)])
+    sizes, fit = [], GBTRegressor._fit
+    GBTRegressor._fit = lambda self, dataset: (sizes.append(dataset.count()), fit(self, dataset))[1]
+    try:
+        models = L.five_targets(rows, ["f0", "f1"], trees=2, depth=3)
+    finally:
+        GBTRegressor._fit = fit
+    assert sizes == [35] * 5
+    made = L.score_targets(models, rows, ["f0", "f1"]).orderBy("id").toPandas()
+    for m in METRICS:
+        plain = L.regression(rows, ["f0", "f1"], f"log_{m}", trees=2, depth=3).transform(rows).orderBy("id").toPandas()
+        assert np.allclose(made[f"pred_log_{m}"], plain.prediction)

@@ -14,7 +14,7 @@ from pyspark.ml.feature import PCA, Bucketizer, StandardScaler, StringIndexer, V
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import KPI, METRICS, Weights
@@ -60,25 +60,32 @@ def niche_scores(rows: DataFrame, features: list[str], label: str, ident: str, n
 
 
 def five_targets(rows: DataFrame, features: list[str], least: int = 50, **settings) -> dict[str, PipelineModel]:
-    """ML-03: one fit for each metric's logarithm, on one cached feature table."""
-    kept = assembled(features).transform(rows).persist()
-    try:
-        if kept.count() < least:
-            raise ValueError(f"five targets need {least} rows")
-        options = {"trees": 10, "depth": 4, "seed": 42} | settings
-        return {m: PipelineModel([_gbt(f"log_{m}", None, options["trees"], options["depth"], options["seed"], f"pred_log_{m}").fit(kept)]) for m in METRICS}
-    finally:
-        kept.unpersist()
+    """ML-03: one fit for each metric's logarithm, on one table of cells of equal bins with their weight and mean logarithms, which
+    is all that trees of squared error see of their rows. Models share all stages but the last. Rows are read twice."""
+    steps = Steps(rows.sparkSession, "targets")
+    binned = _bins(rows, features)
+    names = binned.getOutputCols()
+    means = [F.avg(f"log_{m}").alias(f"log_{m}") for m in METRICS]
+    cells = steps.save(_in_cells(binned, rows).agg(F.count("*").cast("double").alias("_w"), *means))
+    if (cells.agg(F.sum("_w")).first()[0] or 0) < least:
+        raise ValueError(f"five targets need {least} rows")
+    options = {"trees": 10, "depth": 4, "seed": 42} | settings
+    shared = assembled(names)
+    kept = shared.transform(cells)
+    fit = lambda m: _gbt(f"log_{m}", "_w", options["trees"], options["depth"], options["seed"], f"pred_log_{m}").fit(kept)
+    made = {m: PipelineModel([binned, shared, fit(m)]) for m in METRICS}
+    steps.clear()
+    return made
 
 
 def score_targets(models: dict[str, PipelineModel], rows: DataFrame, features: list[str], weights: Weights = KPI, baseline: bool = False) -> DataFrame:
     """ML-21: five predicted logarithms, what they stand for, the weighted index, and the score against columns avg_*."""
-    made = assembled(features).transform(rows)
+    made = PipelineModel(next(iter(models.values())).stages[:-1]).transform(rows)
     for model in models.values():
-        made = model.transform(made)
+        made = model.stages[-1].transform(made)
     values = {f"pred_{m}": F.expm1(F.greatest(F.col(f"pred_log_{m}"), F.lit(0.0))) for m in METRICS}
     made = made.withColumns(values).withColumn("weighted_rpi", log_index(weights, prefix="pred_log_"))
-    return (made.withColumn("relative_score", relative_score("pred_")) if baseline else made).drop("features")
+    return (made.withColumn("relative_score", relative_score("pred_")) if baseline else made).drop("features", *[f"_bin_{f}" for f in features])
 
 
 _BINS = 32  # as Spark's trees have by themselves
@@ -97,6 +104,12 @@ def _bins(rows: DataFrame, features: list[str]) -> Bucketizer:
     return Bucketizer(splitsArray=splits, inputCols=features, outputCols=[f"_bin_{f}" for f in features], handleInvalid="keep")
 
 
+def _in_cells(binned: Bucketizer, rows: DataFrame, *by: str) -> GroupedData:
+    """Rows grouped by their bins and ``by``. The sum drops what Bucketizer notes of its columns: trees would take bins as names
+    without an order."""
+    return binned.transform(rows).groupBy(*[(F.col(b) + 0.0).alias(b) for b in binned.getOutputCols()], *by)
+
+
 def growth(rows: DataFrame, features: list[str], label: str, fold: str, weight: str | None = None, seed: int = 42) -> dict:
     """ML-04/20: scaling, folds by a column, a weighted fit: the model, its cross-validated error and the features by importance.
 

@@ -42,9 +42,12 @@ def ml_01_02_11_niche_scores(posts: DataFrame) -> DataFrame:
 
 @query(reads="posts")
 def ml_03_21_multi_output(posts: DataFrame) -> DataFrame:
+    """Posts are made once, and what is learned and scored of them is written."""
+    from tidemark.config import METRICS
     from tidemark.operators import models as L
+    from tidemark.operators.tables import Steps
 
-    rows = _training(posts)
+    rows = Steps(posts.sparkSession, "outputs").save(_training(posts).select("post_id", *_FEATURES, *[f"log_{m}" for m in METRICS]))
     models = L.five_targets(rows, _FEATURES, trees=2, depth=3)
     return L.score_targets(models, rows, _FEATURES).select("post_id", "weighted_rpi", *[f"pred_{m}" for m in ("likes", "views")])
 
