@@ -216,3 +216,21 @@ def test_five_targets_are_fitted_on_cells(spark):
     for m in METRICS:
         plain = L.regression(rows, ["f0", "f1"], f"log_{m}", trees=2, depth=3).transform(rows).orderBy("id").toPandas()
         assert np.allclose(made[f"pred_log_{m}"], plain.prediction)
+
+
+def _shuffled(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_feedback_is_dealt_once(spark):
+    """The learner over a table shuffles a row once; events and blocks are few beside the rows. Niches of all sizes are learned."""
+    from tidemark.streaming.feedback import satisfaction_learned
+
+    rows = spark.range(40_000).selectExpr("if(id % 100 = 0, concat('small', id % 7000), 'large') as niche", "id * 7919 % 40009 as seq", "id % 21 / 10.0D - 1 as x", "element_at(array('viral', 'good', 'flop'), int(1 + id % 3)) as label")
+    known = _shuffled(spark)
+    made = satisfaction_learned(rows, ["x"]).where("event = 'evaluate'").groupBy("niche").agg(F.max("samples").alias("n")).collect()
+    assert {r["niche"]: r["n"] for r in made if r["niche"] == "large"} == {"large": 39_600}
+    assert sum(n for k, n in _shuffled(spark).items() if k not in known) < 60_000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.tables import Steps
 
 
-def _partitions(rows: DataFrame) -> int:
+def shuffles(rows: DataFrame) -> int:
     return max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -22,7 +22,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str =
     steps = Steps(rows.sparkSession, "numbered")
     named = {f"_o{i}": c for i, c in enumerate(order)}
     by = [*keys, *named]
-    dealt = rows.withColumns(named).repartitionByRange(_partitions(rows), *by)
+    dealt = rows.withColumns(named).repartitionByRange(shuffles(rows), *by)
     dealt = steps.save(dealt.withColumn("_part", F.spark_partition_id()))
     size = F.sum(weight) if weight else F.count("*")
     counts = dealt.groupBy(*keys, "_part").agg(size.alias("_n"))

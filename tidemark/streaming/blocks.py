@@ -7,82 +7,128 @@ order, and then every block, its weights known, measures its own errors.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import numbered
+from tidemark.operators.ranks import shuffles
 from tidemark.operators.tables import Steps
 
-_TILE = 64  # rows that are solved for together
+_TILE = 32  # rows that are solved for together
 
 
 def steps_of(weights: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features, columns) after learning the rows ``x`` and ``y`` in order, and each row's error before it was learned.
 
     Within a tile an error is the row's residual under the weights before, less what the tile's earlier errors have moved: a
-    triangular system.
+    triangular system. All tiles are solved at once, for ``y`` and for each feature; only the weights pass from tile to tile.
     """
-    weights, errors = weights.copy(), np.empty_like(y)
-    for begin in range(0, len(x), _TILE):
-        tile = slice(begin, begin + _TILE)
-        part = x[tile]
-        gain = rate / (1.0 + np.einsum("ij,ij->i", part, part))
-        earlier = np.tril(part @ part.T, -1) * gain
-        errors[tile] = np.linalg.solve(np.eye(len(part)) + earlier, y[tile] - part @ weights)
-        weights += part.T @ (gain[:, None] * errors[tile])
-    return weights, errors
+    n, k, columns = len(x), x.shape[1], y.shape[1]
+    tiles = -(-n // _TILE)
+    both = np.zeros((tiles * _TILE, k + columns))  # rows of zeros at the end move nothing
+    both[:n, :k], both[:n, k:] = x, y
+    both = both.reshape(tiles, _TILE, k + columns)
+    part = both[:, :, :k].copy()
+    gain = rate / (1.0 + np.einsum("tij,tij->ti", part, part))
+    earlier = part @ part.transpose(0, 2, 1) * gain[:, None, :]
+    for row in range(1, _TILE):
+        both[:, row] -= (earlier[:, row, None, :row] @ both[:, :row])[:, 0]
+    moved = (part * gain[:, :, None]).transpose(0, 2, 1) @ both
+    keeps, adds = np.eye(k) - moved[:, :, :k], moved[:, :, k:]
+    before = np.empty((tiles, k, columns))
+    for tile in range(tiles):
+        before[tile] = weights
+        weights = keeps[tile] @ weights + adds[tile]
+    errors = both[:, :, k:] - both[:, :, :k] @ before
+    return weights.copy(), errors.reshape(-1, columns)[:n]
 
 
 class _Blocks:
-    """A table of feedback in blocks (niche, block): ``dealt``, its rows, and ``starts``, the weights before and after each block."""
+    """A table of feedback in blocks (part, at) of a niche: ``packed``, a row for each with its ``n`` rows' values as one binary and
+    what it makes of the weights, and ``starts``, its niche's rows before it and the weights before and after it.
+
+    Rows are dealt once, by range of niche and order; each task packs and composes its own in order, so a block ends with the
+    niche's rows of a task, and blocks of a niche come in the order of (part, at).
+    """
 
     def __init__(self, feedback: DataFrame, features: list[str], targets: list[str], rate: float, block: int):
         self.width, self.n_targets = len(features) + 1, len(targets)
         width, n_targets = self.width, self.n_targets
         self.steps = Steps(feedback.sparkSession, "learned")
-        rows = feedback.select(F.coalesce(F.col("niche").cast("string"), F.lit("\0")).alias("niche"), "seq", F.array(*[F.col(f).cast("double") for f in [*features, *targets]]).alias("v"))
-        placed = numbered(rows, ["niche"], [F.col("seq"), F.col("v")])
-        self.dealt = self.steps.save(placed.select("niche", "place", "v", F.expr(f"place div {block}").alias("block")))
+        named = [F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate([*features, *targets])]
+        values = [f"_v{i}" for i in range(len(named))]
+        rows = self.steps.save(feedback.select(F.coalesce(F.col("niche").cast("string"), F.lit("\0")).alias("niche"), "seq", *named))  # ranges read them twice
+        dealt = rows.repartitionByRange(shuffles(rows), "niche", "seq", *values).sortWithinPartitions("niche", "seq", *values)
         arrays = self.arrays
 
-        def composed(group: pd.DataFrame) -> pd.DataFrame:
+        def composed(v: np.ndarray) -> np.ndarray:
             """What the block makes of the weights: targets learned from nothing, and the image of each unit vector."""
-            x, y = arrays(group, width)
+            x, y = arrays(v, width)
             made, _ = steps_of(np.hstack([np.zeros((width, n_targets)), np.eye(width)]), x, np.hstack([y, np.zeros((len(y), width))]), rate)
-            return pd.DataFrame({"niche": [group["niche"].iloc[0]], "block": [group["block"].iloc[0]], "map": [made.ravel()]})
+            return made.ravel()
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, at, name, held = TaskContext.get().partitionId(), 0, None, np.zeros((0, len(values)))
+
+            def blocks(least: int) -> Iterator[dict]:
+                nonlocal at, held
+                while len(held) >= least:
+                    v, held = held[:block], held[block:]
+                    yield {"niche": name, "part": part, "at": at, "n": len(v), "v": v.tobytes(), "map": composed(v).tolist()}
+                    at += 1
+
+            for batch in batches:
+                out: list[dict] = []
+                mine = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in values], axis=1)
+                niche = batch.column("niche")
+                cuts = np.flatnonzero(pc.not_equal(niche[1:], niche[:-1]).to_numpy(zero_copy_only=False)) + 1
+                for begin, end in itertools.pairwise([0, *cuts.tolist(), len(mine)]):
+                    if (here := niche[begin].as_py()) != name:
+                        out.extend(blocks(1))
+                        name = here
+                    held = np.vstack([held, mine[begin:end]])
+                    out.extend(blocks(block))
+                yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(list(blocks(1)), schema)
+
+        schema = pa.schema([("niche", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("map", pa.list_(pa.float64()))])
 
         def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """The weights that each block begins and ends with; blocks of a niche come in order."""
-            niche, weights = None, None
+            """The rows before each block, and the weights that it begins and ends with; blocks of a niche come in order."""
+            niche, weights, first = None, None, 0
             for batch in batches:
-                out = [np.zeros(0)]
-                for name, made in zip(batch["niche"], batch["map"], strict=True):
+                before, out = [], [np.zeros(0)]
+                for name, n, made in zip(batch["niche"], batch["n"], batch["map"], strict=True):
                     if name != niche:
-                        niche, weights = name, np.zeros((width, n_targets))
+                        niche, weights, first = name, np.zeros((width, n_targets)), 0
                     out.append(weights.ravel())
                     made = np.asarray(made).reshape(width, n_targets + width)
                     weights = made[:, :n_targets] + made[:, n_targets:] @ weights
                     out.append(weights.ravel())
-                yield pd.DataFrame({"niche": batch["niche"], "block": batch["block"], "weights": out[1::2], "after": out[2::2]})
+                    before.append(first)
+                    first += n
+                yield pd.DataFrame({"niche": batch["niche"], "part": batch["part"], "at": batch["at"], "first": before, "weights": out[1::2], "after": out[2::2]})
 
-        maps = self.steps.save(self.dealt.groupBy("niche", "block").applyInPandas(composed, "niche string, block long, map array<double>"))
-        folds = maps.repartition("niche").sortWithinPartitions("niche", "block").mapInPandas(folded, "niche string, block long, weights array<double>, after array<double>")
-        self.starts = self.steps.save(folds)
+        self.packed = self.steps.save(dealt.mapInArrow(packed, "niche string, part int, at long, n long, v binary, map array<double>"))
+        maps = self.packed.select("niche", "part", "at", "n", "map").repartition("niche").sortWithinPartitions("niche", "part", "at")
+        self.starts = self.steps.save(maps.mapInPandas(folded, "niche string, part int, at long, first long, weights array<double>, after array<double>"))
 
     @staticmethod
-    def arrays(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-        values = np.array(list(group.sort_values("place")["v"]), float)
-        return np.hstack([values[:, : width - 1], np.ones((len(values), 1))]), values[:, width - 1 :]
+    def arrays(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.hstack([v[:, : width - 1], np.ones((len(v), 1))]), v[:, width - 1 :]
 
 
 def online_weights(feedback: DataFrame, features: list[str], target: str, rate: float = 0.5, block: int = 3000) -> DataFrame:
     """The learner's weights after all of a niche's rows: niche, ``online``, one for each feature and a last one for the constant."""
     made = _Blocks(feedback.na.drop(subset=[*features, target]), features, [target], rate, block).starts
-    return made.groupBy("niche").agg(F.max_by("after", "block").alias("online")).withColumn("niche", F.nullif(F.col("niche"), F.lit("\0")))
+    return made.groupBy("niche").agg(F.max_by("after", F.struct("part", "at")).alias("online")).withColumn("niche", F.nullif(F.col("niche"), F.lit("\0")))
 
 
 def learned_in_blocks(
@@ -90,19 +136,17 @@ def learned_in_blocks(
 ) -> DataFrame:
     """STR-03...07 over a table of feedback (niche, seq, features, targets): the event rows of ``Learner``.
 
-    A niche's rows are numbered by ``seq`` over ranges and cut into blocks of about ``block``; a task holds a block, and the fold
+    A niche's rows are dealt by ``seq`` over ranges and packed in blocks of at most ``block``; a task holds one, and the fold
     over a niche holds one block's matrix of (features + 1) squared at a time. Equal ``seq`` go by their values; a NULL niche is one.
     """
-    block = every * max(1, block // every)  # so that an event's predecessor lies in the same block
     blocks = _Blocks(feedback, features, targets, rate, block)
-    steps, dealt, arrays, width, n_targets = blocks.steps, blocks.dealt, blocks.arrays, blocks.width, blocks.n_targets
+    steps, arrays, width, n_targets = blocks.steps, blocks.arrays, blocks.width, blocks.n_targets
 
-    def measured(key: tuple, group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    def measured(niche: str, part: int, at: int, v: bytes, first: int, weights: list[float]) -> pa.RecordBatch:
         """The block's sums at its events and, as sample 0, at its end: |e|, e squared, y and y squared, by target; the sum of |e|
-        over targets there and at the event before."""
-        x, y = arrays(group, width)
-        _, errors = steps_of(np.asarray(start["weights"].iloc[0]).reshape(width, n_targets), x, y, rate)
-        first = int(key[1]) * block
+        over targets there and, if it lies in the block, at the event before (at the end, the last one)."""
+        x, y = arrays(np.frombuffer(v).reshape(-1, width - 1 + n_targets), width)
+        _, errors = steps_of(np.asarray(weights).reshape(width, n_targets), x, y, rate)
         if bounds:
             shown = np.clip(y - errors, *bounds)
             if first == 0:
@@ -111,23 +155,30 @@ def learned_in_blocks(
         sums = np.vstack([np.zeros((1, n_targets, 4)), np.cumsum(np.stack([np.abs(errors), errors**2, y, y**2], axis=2), axis=0)])
         total = sums[:, :, 0].sum(axis=1)
         samples = first + np.arange(1, len(x) + 1)
-        at = np.flatnonzero(((samples >= burn_in) & (samples % every == 0)) | (samples % deep == 0)) + 1
-        places, named = np.append(at, len(x)), np.append(first + at, 0)
-        before = np.maximum((places + first) // every * every - every - first, 0)
-        frame = {"niche": key[0], "block": key[1], "samples": np.repeat(named, n_targets), "target": np.tile(targets, len(places))}
-        values = sums[places].reshape(-1, 4)
-        return pd.DataFrame(frame | {c: values[:, i] for i, c in enumerate(("a", "s", "y", "q"))} | {"total": np.repeat(total[places], n_targets), "before": np.repeat(total[before], n_targets)})
-
-    found = dealt.groupBy("niche", "block").cogroup(blocks.starts.groupBy("niche", "block")).applyInPandas(
-        measured, "niche string, block long, samples long, target string, a double, s double, y double, q double, total double, before double"
-    )
+        events = np.flatnonzero(((samples >= burn_in) & (samples % every == 0)) | (samples % deep == 0)) + 1
+        places, named = np.append(events, len(x)), np.append(first + events, 0)
+        before = (places + first) // every * every - np.append(np.full(len(events), every), 0) - first
+        earlier = np.where(before > 0, total[np.maximum(before, 0)], np.nan)
+        n = len(places) * n_targets
+        columns = [pa.repeat(niche, n), pa.repeat(pa.scalar(part, pa.int32()), n), pa.repeat(pa.scalar(at, pa.int64()), n), np.repeat(named, n_targets), pa.array(targets * len(places))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, [*columns, *sums[places].reshape(-1, 4).T.copy(), np.repeat(total[places], n_targets)]), pa.array(np.repeat(earlier, n_targets), from_pandas=True)], names)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield measured(**row)
+
+    names = ["niche", "part", "at", "samples", "target", "a", "s", "y", "q", "total", "before"]
+    held = blocks.packed.select("niche", "part", "at", "v").join(blocks.starts.select("part", "at", "first", "weights"), ["part", "at"]).select("niche", "part", "at", "v", "first", "weights")
+    found = held.mapInArrow(each, "niche string, part int, at long, samples long, target string, a double, s double, y double, q double, total double, before double")
     found = steps.save(found)
-    earlier = Window.partitionBy("niche", "target").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    sums = found.where("samples = 0").select("niche", "block", "target", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"{c}_0") for c in ("a", "s", "y", "q", "total")])
-    rows = found.where("samples > 0").join(sums, ["niche", "block", "target"])
+    earlier = Window.partitionBy("niche", "target").orderBy("part", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    ends = found.where("samples = 0").withColumns({f"{c}_0": F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) for c in ("a", "s", "y", "q", "total")})
+    ends = ends.withColumn("last", F.coalesce(F.last(F.col("total_0") + F.col("before"), ignorenulls=True).over(earlier), F.lit(0.0)))
+    rows = found.where("samples > 0").join(ends.select("part", "at", "target", *[f"{c}_0" for c in ("a", "s", "y", "q", "total")], "last"), ["part", "at", "target"])
     at, upto = F.col("samples"), lambda c: F.col(c) + F.col(f"{c}_0")
     spread = upto("q") - upto("y") * upto("y") / at
-    improved = (at - every >= burn_in) & (upto("total") / at < 0.95 * (F.col("before") + F.col("total_0")) / (at - every))
+    improved = (at - every >= burn_in) & (upto("total") / at < 0.95 * F.coalesce(F.col("before") + F.col("total_0"), "last") / (at - every))
     regular = F.when((at >= burn_in) & (at % every == 0), F.when(improved, "retrain").otherwise("steady"))
     events = F.array_compact(F.array(regular, F.when(at % deep == 0, "evaluate")))
     niche = F.nullif(F.col("niche"), F.lit("\0"))
