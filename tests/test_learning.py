@@ -234,3 +234,22 @@ def test_feedback_is_dealt_once(spark):
     made = satisfaction_learned(rows, ["x"]).where("event = 'evaluate'").groupBy("niche").agg(F.max("samples").alias("n")).collect()
     assert {r["niche"]: r["n"] for r in made if r["niche"] == "large"} == {"large": 39_600}
     assert sum(n for k, n in _shuffled(spark).items() if k not in known) < 60_000
+
+
+def test_quantiles_order_only_the_ranges_of_their_places(spark, monkeypatch):
+    """Of many distinct values only ranges that hold a wanted place are ordered, and none is numbered; a key without the place has NULL."""
+    from tidemark.operators import ranks
+
+    r = np.random.default_rng(8)
+    data = [(None if i % 5 == 0 else "one" if i == 1 else "many", float(v)) for i, v in enumerate(np.round(r.standard_normal(3000), 3))]
+    rows = spark.createDataFrame(data, "k string, v double")
+    monkeypatch.setattr(ranks, "_AT_ONCE", 10)
+    monkeypatch.setattr(ranks, "numbered", None)
+    counted = ranks.Counted(rows, "v", ["k"])
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    made = {m["k"]: (m["n"], m["q"]) for m in counted.quantiles(shares).collect()}
+    for key in (None, "one", "many"):
+        mine = [v for k, v in data if k == key]
+        assert made[key][0] == len(mine) and np.allclose(made[key][1], np.quantile(mine, shares))
+    assert np.allclose(counted.quantiles(shares, []).first()["q"], np.quantile([v for _, v in data], shares))
+    assert {m["k"]: m["p"] is None for m in counted.at(["k"], {"p": F.lit(5)}).collect()} == {None: False, "one": True, "many": False}

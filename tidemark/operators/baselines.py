@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import RPI, Normalisation, Weights
 from tidemark.functions.metrics import harmonised, index, weighted
 from tidemark.operators.ranks import Counted, quantiles
+from tidemark.operators.tables import Steps
 
 
 def history(config: Normalisation, author: str = "author_id", order: tuple[str, ...] = ("posted_at", "post_id")):
@@ -80,12 +81,16 @@ def with_fallback(posts: DataFrame, niches: DataFrame, overall: DataFrame, defau
 def relative_performance(posts: DataFrame, config: Normalisation = Normalisation(), weights: Weights = RPI) -> DataFrame:
     """WIN-06: every post with its weighted engagement, baseline and its source, raw and logarithmic index.
 
-    One shuffle by author for the window; the medians of niches and of all posts are read from one table of counted values.
+    Posts are read once and written. One shuffle by author for the window; the medians of niches and of all posts are read from
+    one table of counted values.
     """
-    rows = harmonised(posts).withColumn("weighted_engagement", weighted(weights))
+    steps = Steps(posts.sparkSession, "performance")
+    rows = steps.save(harmonised(posts).withColumn("weighted_engagement", weighted(weights)))
     counted = Counted(rows, "weighted_engagement", ["niche"])
     niches = counted.quantiles([0.5]).where(F.col("n") >= config.least_niche).where("niche is not null").select("niche", F.col("q")[0].alias("median_engagement"))
     overall = counted.quantiles([0.5], []).select(F.col("q")[0].alias("global_median"))
+    niches, overall = steps.save(niches), steps.save(overall)
+    counted.clear()
     own = rows.withColumn("_own", baseline("weighted_engagement", config))
     made = with_fallback(own, niches, overall, config.default_baseline)
     base = F.coalesce("_own", "fallback")
@@ -105,7 +110,8 @@ def score_new(known: DataFrame, new: DataFrame, config: Normalisation = Normalis
 
 
 def summary(scored: DataFrame) -> DataFrame:
-    """AGG-02: rows by baseline source, the score's distribution and the share of cold starts."""
+    """AGG-02: rows by baseline source, the score's distribution and the share of cold starts. Scores are made once and written."""
+    scored = Steps(scored.sparkSession, "summary").save(scored.select("baseline_source", "rpi_score"))
     count = lambda s: F.count_if(F.col("baseline_source") == s)
     quarter, half, three = (F.lit(q).cast("double") for q in quantiles(scored, "rpi_score", [0.25, 0.5, 0.75]))
     return scored.agg(

@@ -77,10 +77,29 @@ class Counted:
             placed = placed.crossJoin(F.broadcast(sizes))  # one row
         return placed.select(*keys, "_v", "_c", "_first", "n")
 
+    def _around(self, keys: list[str], wanted: list[Column]) -> DataFrame:
+        """As ``placed``, but of each key only its first range and those that hold a place of ``wanted``: values are dealt by range
+        and summed there, and no other range is ordered."""
+        counted = self.rows if keys == self.keys else self.rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+        dealt = self.steps.save(counted.repartitionByRange(shuffles(counted), *keys, "_v").withColumn("_part", F.spark_partition_id()))
+        sums = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
+        own = Window.partitionBy(*keys)
+        ranges = sums.withColumns({"_start": F.coalesce(F.sum("_s").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_s").over(own)})
+        holds = F.col("_start") == 0
+        for place in wanted:
+            holds |= (place >= F.col("_start")) & (place < F.col("_start") + F.col("_s"))
+        ranges = ranges.where(holds).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), "_start", "n")
+        same = F.col("_part") == F.col("_at")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        before = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+        return dealt.join(ranges, same).select(*keys, "_v", "_c", (F.col("_start") + F.coalesce(before, F.lit(0))).alias("_first"), "n")
+
     def at(self, keys: list[str], wanted: dict[str, Column]) -> DataFrame:
         """For each key ``n`` and the values at the places ``wanted``, columns over ``n``; NULL for places outside."""
         at = lambda place: F.max(F.when((place >= F.col("_first")) & (place < F.col("_first") + F.col("_c")), F.col("_v")))
-        return self.placed(keys).groupBy(*keys).agg(F.max("n").alias("n"), *[at(place).alias(name) for name, place in wanted.items()])
+        placed = self.placed(keys) if self.rows.count() <= _AT_ONCE else self._around(keys, list(wanted.values()))
+        return placed.groupBy(*keys).agg(F.max("n").alias("n"), *[at(place).alias(name) for name, place in wanted.items()])
 
     def quantiles(self, shares: list[float], keys: list[str] | None = None) -> DataFrame:
         """For each key ``n`` and ``q``, the quantiles, interpolated between the two nearest values. ``keys`` may be fewer."""

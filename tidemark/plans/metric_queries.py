@@ -163,7 +163,7 @@ def agg_01_niche_baselines(posts: DataFrame) -> DataFrame:
     reads="posts",
 )
 def agg_02_summary(posts: DataFrame) -> DataFrame:
-    made = B.summary(B.relative_performance(posts))
+    made = B.summary(B.relative_performance(posts.select("post_id", "author_id", "niche", "posted_at", *C.METRICS)))
     counts = [c for c in made.columns if c.endswith("_posts")]
     return made.select(*counts, *rounded({c: F.col(c) for c in made.columns if c not in counts}))
 
