@@ -236,6 +236,27 @@ def test_feedback_is_dealt_once(spark):
     assert sum(n for k, n in _shuffled(spark).items() if k not in known) < 60_000
 
 
+def test_classifier_sees_cells(spark):
+    """Rows of equal bins and label are one row of the fit; the measures are those of the rows scored one by one."""
+    from pyspark.ml.classification import GBTClassifier
+
+    from tidemark.operators import models as L
+
+    rows = spark.range(3000).selectExpr("id % 7 as f0", "id % 5 as f1", "double(id % 7 + id % 5 > 3 + id % 3) as high")
+    sizes, fit = [], GBTClassifier._fit
+    GBTClassifier._fit = lambda self, dataset: (sizes.append(dataset.count()), fit(self, dataset))[1]
+    try:
+        made = L.classifier(rows, rows, ["f0", "f1"])
+    finally:
+        GBTClassifier._fit = fit
+    assert len(sizes) == 1 and 35 < sizes[0] <= 70
+    plain = made["model"].transform(rows).toPandas()
+    assert abs(made["accuracy"] - (plain.prediction == plain.high).mean()) < 1e-9 and abs(made["majority"] - max(plain.high.mean(), 1 - plain.high.mean())) < 1e-9
+    score = np.array([p[1] for p in plain.probability])
+    good, bad = score[plain.high == 1][:, None], score[plain.high == 0][None, :]
+    assert abs(made["auc"] - ((good > bad).mean() + (good == bad).mean() / 2)) < 1e-9
+
+
 def test_quantiles_order_only_the_ranges_of_their_places(spark, monkeypatch):
     """Of many distinct values only ranges that hold a wanted place are ordered, and none is numbered; a key without the place has NULL."""
     from tidemark.operators import ranks

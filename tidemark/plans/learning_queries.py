@@ -65,8 +65,10 @@ def ml_04_20_growth_importances(posts: DataFrame) -> DataFrame:
 def ml_05_classifier_report(posts: DataFrame) -> DataFrame:
     from tidemark.operators import models as L
     from tidemark.operators.sampling import above_median, split_by_hash
+    from tidemark.operators.tables import Steps
 
-    rows = split_by_hash(above_median(_training(posts), "likes"), "post_id")
+    known = Steps(posts.sparkSession, "report").save(_training(posts).select("post_id", *_FEATURES, "likes"))
+    rows = split_by_hash(above_median(known, "likes"), "post_id")
     made = L.classifier(rows.where("not is_test"), rows.where("is_test"), _FEATURES)
     return posts.sparkSession.createDataFrame([(made["auc"], made["accuracy"], made["majority"])], "auc double, accuracy double, majority double")
 
