@@ -274,3 +274,18 @@ def test_quantiles_order_only_the_ranges_of_their_places(spark, monkeypatch):
         assert made[key][0] == len(mine) and np.allclose(made[key][1], np.quantile(mine, shares))
     assert np.allclose(counted.quantiles(shares, []).first()["q"], np.quantile([v for _, v in data], shares))
     assert {m["k"]: m["p"] is None for m in counted.at(["k"], {"p": F.lit(5)}).collect()} == {None: False, "one": True, "many": False}
+
+
+def test_trees_grow_on_cells(spark, monkeypatch):
+    """A key's rows of equal bins are one row of the residuals, which keep the number of rows."""
+    from tidemark.operators import grouped_trees as G
+
+    kept, save = [], G.Steps.save
+    monkeypatch.setattr(G.Steps, "save", lambda self, df: (kept.append(save(self, df)), kept[-1])[1])
+    drop = G.Steps.drop
+    monkeypatch.setattr(G.Steps, "drop", lambda self, *t: (sizes.extend(x.count() for x in t), drop(self, *t))[1])
+    sizes: list[int] = []
+    rows = spark.range(3000).selectExpr("id", "id % 2 as k", "double(id % 7) as f0", "double(id % 5) as f1", "double(id % 7 * 3 + id % 11) as y")
+    forest = G.fit(rows, "k", ["f0", "f1"], "y", trees=1, depth=2, bins=8)
+    assert sizes and max(sizes) <= 70
+    assert all(s["n_left"] + s["n_right"] == 1500 for m in forest.table.collect() for s in m["splits"] if s["node"] == 1)

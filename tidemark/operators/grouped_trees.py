@@ -46,7 +46,8 @@ def fit(rows: DataFrame, key: str, features: list[str], label: str, trees: int =
     """ML-01: boosted trees of squared error for each ``key`` of ``rows``, split at quantiles of the key's own values.
 
     NULL features count as 0, rows without a label are left out, and a NULL key is one. Ties go to the earlier feature, then the
-    smaller threshold, so a key's trees are those that it would get alone.
+    smaller threshold, so a key's trees are those that it would get alone. Trees see no more of a key's rows of equal bins than
+    their number and the sum of their residuals, so such rows are one cell, and only the first steps pass over rows.
     """
     steps = Steps(rows.sparkSession, "trees")
     named = steps.save(rows.where(F.col(label).isNotNull()).select(_named(key).alias("key"), _vector(features).alias("x"), F.col(label).cast("double").alias("y")))
@@ -56,7 +57,8 @@ def fit(rows: DataFrame, key: str, features: list[str], label: str, trees: int =
     start = named.groupBy("key").agg(F.avg("y").alias("start"))
     known = steps.save(cuts.join(start, "key").select("key", "start", F.col("cuts.q").alias("edges")))
     binned = F.zip_with("x", "edges", lambda x, edges: F.size(F.filter(edges, lambda e: e < x)))
-    state = steps.save(named.join(known, "key").select("key", binned.alias("b"), (F.col("y") - F.col("start")).alias("r")))
+    residual = named.join(known, "key").select("key", binned.alias("b"), (F.col("y") - F.col("start")).alias("r"))
+    state = steps.save(residual.groupBy("key", "b").agg(F.sum("r").alias("r"), F.count("*").alias("n")))
 
     def placed(rows: DataFrame, splits: DataFrame | None, levels: int) -> DataFrame:
         """``node`` of each row after the splits so far."""
@@ -75,12 +77,12 @@ def fit(rows: DataFrame, key: str, features: list[str], label: str, trees: int =
         splits, levels = None, []
         for level in range(depth):
             at = placed(state, splits, level).where(F.col("node") >= 1 << level)
-            sums = at.select("key", "node", "r", F.posexplode("b").alias("f", "bin")).groupBy("key", "node", "f", "bin").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
+            sums = at.select("key", "node", "r", "n", F.posexplode("b").alias("f", "bin")).groupBy("key", "node", "f", "bin").agg(F.sum("r").alias("s"), F.sum("n").alias("n"))
             levels.append(steps.save(_best(sums)))
             splits = levels[0] if level == 0 else splits.union(levels[-1])
         s = F.try_element_at("m", (F.col("node") / 2).cast("int"))
         value = F.coalesce(F.when(F.col("node") % 2 == 0, s["left"]).otherwise(s["right"]), F.lit(0.0))
-        moved = steps.save(placed(state, splits, depth).select("key", "b", (F.col("r") - value * step).alias("r")))
+        moved = steps.save(placed(state, splits, depth).select("key", "b", (F.col("r") - F.col("n") * value * step).alias("r"), "n"))
         steps.drop(state)
         state = moved
         grown.append(splits.withColumn("tree", F.lit(tree)))
@@ -113,6 +115,10 @@ def _trees(splits) -> list[dict[int, dict]]:
     return [made[t] for t in sorted(made)]
 
 
+def _matrix(mine: pd.DataFrame, width: int) -> np.ndarray:
+    return mine[[f"_x{i}" for i in range(width)]].to_numpy(float)
+
+
 def _predicted(x: np.ndarray, start: float, splits, step: float) -> np.ndarray:
     made = np.full(len(x), start)
     for tree in _trees(splits):
@@ -127,8 +133,8 @@ def _predicted(x: np.ndarray, start: float, splits, step: float) -> np.ndarray:
 
 
 def _with_models(forest: Forest, rows: DataFrame, key: str, ident: str, task, schema: str) -> DataFrame:
-    """``task`` of pieces of a key's rows (key, id, x) and the key's model."""
-    named = rows.select(_named(key).alias("key"), F.col(ident).cast("long").alias("id"), _vector(forest.features).alias("x"))
+    """``task`` of pieces of a key's rows (key, id, a column for each feature) and the key's model."""
+    named = rows.select(_named(key).alias("key"), F.col(ident).cast("long").alias("id"), *[F.get(_vector(forest.features), F.lit(i)).alias(f"_x{i}") for i in range(len(forest.features))])
     pieces = named.groupBy("key").agg(F.ceil(F.count("*") / _PIECE).cast("int").alias("pieces"))
     pieces = Steps(rows.sparkSession, "pieces").save(pieces)
     dealt = named.join(pieces, "key").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int"))
@@ -139,12 +145,12 @@ def _with_models(forest: Forest, rows: DataFrame, key: str, ident: str, task, sc
 
 def score(forest: Forest, rows: DataFrame, key: str, ident: str) -> DataFrame:
     """(row_id, prediction) of each row of ``rows`` by its key's trees; rows of a key without a model have no row."""
-    step = forest.step
+    step, width = forest.step, len(forest.features)
 
     def task(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(model) or not len(mine):
             return pd.DataFrame([], columns=["row_id", "prediction"])
-        return pd.DataFrame({"row_id": mine["id"], "prediction": _predicted(np.array(list(mine["x"]), float), model["start"].iloc[0], model["splits"].iloc[0], step)})
+        return pd.DataFrame({"row_id": mine["id"], "prediction": _predicted(_matrix(mine, width), model["start"].iloc[0], model["splits"].iloc[0], step)})
 
     return _with_models(forest, rows, key, ident, task, "row_id long, prediction double")
 
@@ -200,8 +206,11 @@ def contributions(forest: Forest, rows: DataFrame, key: str, ident: str) -> Data
 
     def task(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(model) or not len(mine):
-            return pd.DataFrame([], columns=["row_id", "feature", "value"])
-        made = _shapley(np.array(list(mine["x"]), float), model["splits"].iloc[0], step, len(features))
-        return pd.DataFrame({"row_id": np.repeat(mine["id"].to_numpy(), len(features)), "feature": np.tile(features, len(mine)), "value": made.ravel()})
-
-    return _with_models(forest, rows, key, ident, task, "row_id long, feature string, value double")
+            return pd.DataFrame([], columns=["row_id", *values])
+        made = _shapley(_matrix(mine, len(features)), model["splits"].iloc[0], step, len(features))
+        return pd.DataFrame({"row_id": mine["id"].to_numpy()} | {v: made[:, i] for i, v in enumerate(values)})
+
+    values = [f"_v{i}" for i in range(len(features))]
+    made = _with_models(forest, rows, key, ident, task, ", ".join(["row_id long", *[f"{v} double" for v in values]]))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(v).alias("value")) for f, v in zip(features, values, strict=True)])
+    return made.select("row_id", F.inline(pairs))

@@ -85,8 +85,9 @@ def ml_06_recommended_formats(posts: DataFrame) -> DataFrame:
 def ml_10_contributions(posts: DataFrame) -> DataFrame:
     """Shapley values of trees for each content format."""
     from tidemark.operators import grouped_trees as G
+    from tidemark.operators.tables import Steps
 
-    rows = _training(posts)
+    rows = Steps(posts.sparkSession, "explained").save(_training(posts).select("post_id", "content_format", *_FEATURES, "log_likes"))
     return G.contributions(G.fit(rows, "content_format", _FEATURES, "log_likes", trees=3, depth=3), rows, "content_format", "post_id")
 
 
