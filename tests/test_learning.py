@@ -289,3 +289,19 @@ def test_trees_grow_on_cells(spark, monkeypatch):
     forest = G.fit(rows, "k", ["f0", "f1"], "y", trees=1, depth=2, bins=8)
     assert sizes and max(sizes) <= 70
     assert all(s["n_left"] + s["n_right"] == 1500 for m in forest.table.collect() for s in m["splits"] if s["node"] == 1)
+
+
+def test_events_are_not_shuffled(spark):
+    """With an event for every row, rows are still shuffled once; the events meet their blocks' sums where they were measured."""
+    from tidemark.streaming.feedback import learned, status
+
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 'small', 'large') as niche", "id * 7919 % 30011 as seq", "id % 21 / 10.0D - 1 as x", "id % 13 / 6.0D as y")
+    known, size = _shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")  # the events are larger, the blocks are not
+    try:
+        made = status(learned(rows, ["x"], ["y"], every=1)).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert {r["niche"]: r["samples"] for r in made} == {"small": 10_000, "large": 20_000}
+    assert sum(n for k, n in _shuffled(spark).items() if k not in known) < 40_000

@@ -116,7 +116,7 @@ class _Blocks:
                     first += n
                 yield pd.DataFrame({"niche": batch["niche"], "part": batch["part"], "at": batch["at"], "first": before, "weights": out[1::2], "after": out[2::2]})
 
-        self.packed = self.steps.save(dealt.mapInArrow(packed, "niche string, part int, at long, n long, v binary, map array<double>"))
+        self.packed = self.steps.save(dealt.select("niche", *values).mapInArrow(packed, "niche string, part int, at long, n long, v binary, map array<double>"))
         maps = self.packed.select("niche", "part", "at", "n", "map").repartition("niche").sortWithinPartitions("niche", "part", "at")
         self.starts = self.steps.save(maps.mapInPandas(folded, "niche string, part int, at long, first long, weights array<double>, after array<double>"))
 
@@ -175,7 +175,8 @@ def learned_in_blocks(
     earlier = Window.partitionBy("niche", "target").orderBy("part", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     ends = found.where("samples = 0").withColumns({f"{c}_0": F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) for c in ("a", "s", "y", "q", "total")})
     ends = ends.withColumn("last", F.coalesce(F.last(F.col("total_0") + F.col("before"), ignorenulls=True).over(earlier), F.lit(0.0)))
-    rows = found.where("samples > 0").join(ends.select("part", "at", "target", *[f"{c}_0" for c in ("a", "s", "y", "q", "total")], "last"), ["part", "at", "target"])
+    ends = steps.save(ends.select("part", "at", "target", *[f"{c}_0" for c in ("a", "s", "y", "q", "total")], "last"))  # of known size, so events stay where they are
+    rows = found.where("samples > 0").join(ends, ["part", "at", "target"])
     at, upto = F.col("samples"), lambda c: F.col(c) + F.col(f"{c}_0")
     spread = upto("q") - upto("y") * upto("y") / at
     improved = (at - every >= burn_in) & (upto("total") / at < 0.95 * F.coalesce(F.col("before") + F.col("total_0"), "last") / (at - every))
