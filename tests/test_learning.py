@@ -305,3 +305,28 @@ def test_events_are_not_shuffled(spark):
         spark.conf.set(size, before)
     assert {r["niche"]: r["samples"] for r in made} == {"small": 10_000, "large": 20_000}
     assert sum(n for k, n in _shuffled(spark).items() if k not in known) < 40_000
+
+
+def test_ranges_of_feedback_follow_its_rows(spark, monkeypatch):
+    """A task orders a bounded number of rows, whatever the session's number of partitions; many niches in a range, rows that lack
+    a value and a large niche give the weights of a plain loop, and the session's bound of batches stays."""
+    from tidemark.streaming import blocks as B
+
+    monkeypatch.setattr(B, "_RANGE", 1000, raising=False)
+    monkeypatch.setattr(B, "_TOGETHER", 300, raising=False)
+    r = np.random.default_rng(9)
+    made = [("large" if i % 2 else f"small{i % 34}" if i % 3 else None, int(i * 7919 % 30_011 // 2), float(a), None if i % 11 == 0 else math.nan if i % 13 == 0 else float(b)) for i, (a, b) in enumerate(r.standard_normal((30_000, 2)))]
+    rows, key = spark.createDataFrame(made, "niche string, seq long, x double, y double"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound, kept = spark.conf.get(key), [m for m in made if m[3] is not None and m[3] == m[3]]
+    blocks = B._Blocks(rows, ["x"], ["y"], 0.5, 70)
+    assert spark.conf.get(key) == bound
+    ranges = blocks.packed.groupBy("part").agg(F.sum("n").alias("n")).toPandas()
+    assert ranges.n.sum() == len(kept) and ranges.n.max() < 1500 and blocks.packed.where("n > 70").count() == 0
+    found = {w["niche"]: w["online"] for w in B.online_weights(rows, ["x"], "y", block=70).collect()}
+    assert len(found) == len({m[0] for m in kept})
+    for niche in found:
+        w = np.zeros(2)
+        for _, _, a, b in sorted((m for m in kept if m[0] == niche), key=lambda m: m[1:]):
+            v = np.array([a, 1.0])
+            w += 0.5 * (b - w @ v) * v / (1 + v @ v)
+        assert np.allclose(found[niche], w)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside send narrow rows to Python, so batches are bounded by rows alone: for the bound by bytes, Spark measures the
+    whole batch again at each row, which takes longer than sending it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 0:
+        spark.conf.set(key, str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Steps:
     """The tables of one run of one operator."""
 

@@ -13,49 +13,57 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import shuffles
-from tidemark.operators.tables import Steps
+from tidemark.operators.tables import Steps, batches_by_rows
 
-_TILE = 32  # rows that are solved for together
+_TILE = 16  # rows that are solved for together
+_STACK = 32  # blocks that are
+_RANGE = 1_000_000  # rows of a range, the work of a task
+_TOGETHER = 100_000  # rows of a range that are parted by niche together
 
 
 def steps_of(weights: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features, columns) after learning the rows ``x`` and ``y`` in order, and each row's error before it was learned.
+    """Weights (blocks, features, columns) after learning the rows ``x`` and ``y`` (blocks, rows, features or columns) of each block
+    in order, and each row's error before it was learned. Rows of zeros at the end move nothing.
 
-    Within a tile an error is the row's residual under the weights before, less what the tile's earlier errors have moved: a
-    triangular system. All tiles are solved at once, for ``y`` and for each feature; only the weights pass from tile to tile.
+    Within a tile an error is the row's residual under the weights before, less what the tile's earlier rows have moved. The rows
+    of one place in all tiles of all blocks are solved at once, for ``y`` and for each feature; only the weights pass from tile to tile.
     """
-    n, k, columns = len(x), x.shape[1], y.shape[1]
+    blocks, n, k, columns = *x.shape, y.shape[2]
     tiles = -(-n // _TILE)
-    both = np.zeros((tiles * _TILE, k + columns))  # rows of zeros at the end move nothing
-    both[:n, :k], both[:n, k:] = x, y
-    both = both.reshape(tiles, _TILE, k + columns)
-    part = both[:, :, :k].copy()
-    gain = rate / (1.0 + np.einsum("tij,tij->ti", part, part))
-    earlier = part @ part.transpose(0, 2, 1) * gain[:, None, :]
-    for row in range(1, _TILE):
-        both[:, row] -= (earlier[:, row, None, :row] @ both[:, :row])[:, 0]
-    moved = (part * gain[:, :, None]).transpose(0, 2, 1) @ both
-    keeps, adds = np.eye(k) - moved[:, :, :k], moved[:, :, k:]
-    before = np.empty((tiles, k, columns))
+    both = np.zeros((blocks, tiles * _TILE, k + columns))
+    both[:, :n, :k], both[:, :n, k:] = x, y
+    both = np.ascontiguousarray(both.reshape(blocks, tiles, _TILE, k + columns).transpose(2, 3, 1, 0))
+    moved = np.zeros((k, k + columns, tiles, blocks))
+    for row in both:
+        part = row[:k].copy()
+        gained = part * (rate / (1.0 + (part * part).sum(axis=0)))
+        for i in range(k):
+            row -= part[i] * moved[i]
+        for i in range(k):
+            moved[i] += gained[i] * row
+    keeps, adds = (np.ascontiguousarray(m.transpose(2, 3, 0, 1)) for m in (np.eye(k)[:, :, None, None] - moved[:, :k], moved[:, k:]))
+    before = np.empty((tiles, blocks, k, columns))
     for tile in range(tiles):
         before[tile] = weights
         weights = keeps[tile] @ weights + adds[tile]
-    errors = both[:, :, k:] - both[:, :, :k] @ before
-    return weights.copy(), errors.reshape(-1, columns)[:n]
+    errors, before = both[:, k:], before.transpose(2, 3, 0, 1)
+    for i in range(k):
+        errors = errors - both[:, i, None] * before[i]
+    return weights, errors.transpose(3, 2, 0, 1).reshape(blocks, -1, columns)[:, :n]
 
 
 class _Blocks:
     """A table of feedback in blocks (part, at) of a niche: ``packed``, a row for each with its ``n`` rows' values as one binary and
-    what it makes of the weights, and ``starts``, its niche's rows before it and the weights before and after it.
+    what it makes of the weights, and ``starts``, its niche's rows before it and the weights before and after it. Rows that lack a value
+    are left out.
 
-    Rows are dealt once, by range of niche and order; each task packs and composes its own in order, so a block ends with the
-    niche's rows of a task, and blocks of a niche come in the order of (part, at).
+    Rows are dealt once, by range of niche and order, in as many ranges as they need; each task parts its own by niche, packs and
+    composes them in order, so a block ends with the niche's rows of a task, and blocks of a niche come in the order of (part, at).
     """
 
     def __init__(self, feedback: DataFrame, features: list[str], targets: list[str], rate: float, block: int):
@@ -65,38 +73,50 @@ class _Blocks:
         named = [F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate([*features, *targets])]
         values = [f"_v{i}" for i in range(len(named))]
         rows = self.steps.save(feedback.select(F.coalesce(F.col("niche").cast("string"), F.lit("\0")).alias("niche"), "seq", *named))  # ranges read them twice
-        dealt = rows.repartitionByRange(shuffles(rows), "niche", "seq", *values).sortWithinPartitions("niche", "seq", *values)
+        ranges = max(shuffles(rows), -(-rows.count() // _RANGE))
+        rows = rows.na.drop(subset=values)  # of what is written: a condition on the source would work out its values once more
+        dealt = rows.repartitionByRange(ranges, "niche", "seq", *values).sortWithinPartitions("seq", *values)  # numbers first: names are slow to order
         arrays = self.arrays
 
-        def composed(v: np.ndarray) -> np.ndarray:
-            """What the block makes of the weights: targets learned from nothing, and the image of each unit vector."""
-            x, y = arrays(v, width)
-            made, _ = steps_of(np.hstack([np.zeros((width, n_targets)), np.eye(width)]), x, np.hstack([y, np.zeros((len(y), width))]), rate)
-            return made.ravel()
+        def composed(parts: list[np.ndarray]) -> np.ndarray:
+            """What each block makes of the weights: targets learned from nothing, and the image of each unit vector."""
+            x, y = arrays(parts, width)
+            none = np.hstack([np.zeros((width, n_targets)), np.eye(width)])
+            return steps_of(np.stack([none] * len(x)), x, np.concatenate([y, np.zeros_like(x)], axis=2), rate)[0].reshape(len(x), -1)
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, at, name, held = TaskContext.get().partitionId(), 0, None, np.zeros((0, len(values)))
+            part, at, codes = TaskContext.get().partitionId(), 0, {}
+            held, waiting = [(np.zeros(0, int), np.zeros((0, len(values))))], 0
 
             def blocks(least: int) -> Iterator[dict]:
-                nonlocal at, held
-                while len(held) >= least:
-                    v, held = held[:block], held[block:]
-                    yield {"niche": name, "part": part, "at": at, "n": len(v), "v": v.tobytes(), "map": composed(v).tolist()}
-                    at += 1
+                """Of what is held, blocks of at least ``least`` rows of a niche, in order; the rest stays held, by niche."""
+                nonlocal at, held, waiting
+                code, v = (np.concatenate(c) for c in zip(*held, strict=True))
+                order, names = np.argsort(code, kind="stable"), list(codes)
+                code, v = code[order], v[order]
+                begins = np.flatnonzero(np.diff(code, prepend=-1))
+                ends, rest = np.append(begins[1:], len(code)), np.ones(len(code), bool)
+                for i in np.flatnonzero(ends - begins >= least):
+                    for begin in range(begins[i], ends[i] - least + 1, block):
+                        mine = v[begin : min(begin + block, ends[i])]
+                        rest[begin : begin + len(mine)] = False
+                        yield {"niche": names[code[begin]], "part": part, "at": at, "n": len(mine), "v": mine}
+                        at += 1
+                held, waiting = [(code[rest], v[rest])], 0
+
+            def written(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+                for some in itertools.batched(found, _STACK):
+                    maps = composed([b["v"] for b in some]).tolist()
+                    yield pa.RecordBatch.from_pylist([b | {"v": b["v"].tobytes(), "map": m} for b, m in zip(some, maps, strict=True)], schema)
 
             for batch in batches:
-                out: list[dict] = []
-                mine = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in values], axis=1)
-                niche = batch.column("niche")
-                cuts = np.flatnonzero(pc.not_equal(niche[1:], niche[:-1]).to_numpy(zero_copy_only=False)) + 1
-                for begin, end in itertools.pairwise([0, *cuts.tolist(), len(mine)]):
-                    if (here := niche[begin].as_py()) != name:
-                        out.extend(blocks(1))
-                        name = here
-                    held = np.vstack([held, mine[begin:end]])
-                    out.extend(blocks(block))
-                yield pa.RecordBatch.from_pylist(out, schema)
-            yield pa.RecordBatch.from_pylist(list(blocks(1)), schema)
+                niche = batch.column("niche").dictionary_encode()
+                known = np.array([codes.setdefault(n, len(codes)) for n in niche.dictionary.to_pylist()], int)
+                held.append((known[niche.indices.to_numpy()], np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in values], axis=1)))
+                waiting += batch.num_rows
+                if waiting >= max(_TOGETHER, len(held[0][0])):  # what stayed is gone through again when as much has come
+                    yield from written(blocks(block))
+            yield from written(blocks(1))
 
         schema = pa.schema([("niche", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("map", pa.list_(pa.float64()))])
 
@@ -116,18 +136,24 @@ class _Blocks:
                     first += n
                 yield pd.DataFrame({"niche": batch["niche"], "part": batch["part"], "at": batch["at"], "first": before, "weights": out[1::2], "after": out[2::2]})
 
-        self.packed = self.steps.save(dealt.select("niche", *values).mapInArrow(packed, "niche string, part int, at long, n long, v binary, map array<double>"))
+        with batches_by_rows(feedback.sparkSession):
+            self.packed = self.steps.save(dealt.select("niche", *values).mapInArrow(packed, "niche string, part int, at long, n long, v binary, map array<double>"))
         maps = self.packed.select("niche", "part", "at", "n", "map").repartition("niche").sortWithinPartitions("niche", "part", "at")
         self.starts = self.steps.save(maps.mapInPandas(folded, "niche string, part int, at long, first long, weights array<double>, after array<double>"))
 
     @staticmethod
-    def arrays(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.hstack([v[:, : width - 1], np.ones((len(v), 1))]), v[:, width - 1 :]
+    def arrays(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features with the constant, and targets, of several blocks as a stack; rows that a block lacks are zeros."""
+        n = max(map(len, parts))
+        x, y = np.zeros((len(parts), n, width)), np.zeros((len(parts), n, parts[0].shape[1] - width + 1))
+        for i, v in enumerate(parts):
+            x[i, : len(v), :-1], x[i, : len(v), -1], y[i, : len(v)] = v[:, : width - 1], 1.0, v[:, width - 1 :]
+        return x, y
 
 
 def online_weights(feedback: DataFrame, features: list[str], target: str, rate: float = 0.5, block: int = 3000) -> DataFrame:
     """The learner's weights after all of a niche's rows: niche, ``online``, one for each feature and a last one for the constant."""
-    made = _Blocks(feedback.na.drop(subset=[*features, target]), features, [target], rate, block).starts
+    made = _Blocks(feedback, features, [target], rate, block).starts
     return made.groupBy("niche").agg(F.max_by("after", F.struct("part", "at")).alias("online")).withColumn("niche", F.nullif(F.col("niche"), F.lit("\0")))
 
 
@@ -142,11 +168,9 @@ def learned_in_blocks(
     blocks = _Blocks(feedback, features, targets, rate, block)
     steps, arrays, width, n_targets = blocks.steps, blocks.arrays, blocks.width, blocks.n_targets
 
-    def measured(niche: str, part: int, at: int, v: bytes, first: int, weights: list[float]) -> pa.RecordBatch:
+    def measured(niche: str, part: int, at: int, first: int, y: np.ndarray, errors: np.ndarray) -> pa.RecordBatch:
         """The block's sums at its events and, as sample 0, at its end: |e|, e squared, y and y squared, by target; the sum of |e|
         over targets there and, if it lies in the block, at the event before (at the end, the last one)."""
-        x, y = arrays(np.frombuffer(v).reshape(-1, width - 1 + n_targets), width)
-        _, errors = steps_of(np.asarray(weights).reshape(width, n_targets), x, y, rate)
         if bounds:
             shown = np.clip(y - errors, *bounds)
             if first == 0:
@@ -154,9 +178,9 @@ def learned_in_blocks(
             errors = y - shown
         sums = np.vstack([np.zeros((1, n_targets, 4)), np.cumsum(np.stack([np.abs(errors), errors**2, y, y**2], axis=2), axis=0)])
         total = sums[:, :, 0].sum(axis=1)
-        samples = first + np.arange(1, len(x) + 1)
+        samples = first + np.arange(1, len(y) + 1)
         events = np.flatnonzero(((samples >= burn_in) & (samples % every == 0)) | (samples % deep == 0)) + 1
-        places, named = np.append(events, len(x)), np.append(first + events, 0)
+        places, named = np.append(events, len(y)), np.append(first + events, 0)
         before = (places + first) // every * every - np.append(np.full(len(events), every), 0) - first
         earlier = np.where(before > 0, total[np.maximum(before, 0)], np.nan)
         n = len(places) * n_targets
@@ -165,11 +189,16 @@ def learned_in_blocks(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield measured(**row)
+            for begin in range(0, batch.num_rows, _STACK):
+                some = batch.slice(begin, _STACK).to_pylist()
+                x, y = arrays([np.frombuffer(b["v"]).reshape(-1, width - 1 + n_targets) for b in some], width)
+                _, errors = steps_of(np.array([b["weights"] for b in some]).reshape(-1, width, n_targets), x, y, rate)
+                for i, b in enumerate(some):
+                    n = b["n"]
+                    yield measured(b["niche"], b["part"], b["at"], b["first"], y[i, :n], errors[i, :n])
 
     names = ["niche", "part", "at", "samples", "target", "a", "s", "y", "q", "total", "before"]
-    held = blocks.packed.select("niche", "part", "at", "v").join(blocks.starts.select("part", "at", "first", "weights"), ["part", "at"]).select("niche", "part", "at", "v", "first", "weights")
+    held = blocks.packed.select("niche", "part", "at", "n", "v").join(blocks.starts.select("part", "at", "first", "weights"), ["part", "at"]).select("niche", "part", "at", "n", "v", "first", "weights")
     found = held.mapInArrow(each, "niche string, part int, at long, samples long, target string, a double, s double, y double, q double, total double, before double")
     found = steps.save(found)
     earlier = Window.partitionBy("niche", "target").orderBy("part", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block

@@ -117,10 +117,9 @@ def learned(feedback: DataFrame, features: list[str], targets: list[str], **sett
     A stream keeps its niches' models in state and needs the RocksDB state store. A table is learned in blocks, each niche by many
     tasks, with the same results.
     """
-    feedback = feedback.na.drop(subset=[*features, *targets])
     if not feedback.isStreaming:
         return learned_in_blocks(feedback, features, targets, **settings)
-    return feedback.groupBy("niche").transformWithStateInPandas(Learner(features, targets, **settings), METRIC_SCHEMA, "Append", "None")
+    return feedback.na.drop(subset=[*features, *targets]).groupBy("niche").transformWithStateInPandas(Learner(features, targets, **settings), METRIC_SCHEMA, "Append", "None")
 
 
 def satisfaction_learned(feedback: DataFrame, features: list[str], label: str = "label") -> DataFrame:
